@@ -22,10 +22,13 @@ INCOMPLETE_PENALTY = 0.8
 def lead_score_v2(
     revenue: Column, domestic_ultimate: Column, entity_score: Column, rev_per_emp: Column,
     it_per_emp: Column, market_value: Column, age: Column, completeness: Column,
-    completeness_cut: float = 0.5,
+    completeness_cut: float = 0.5, weights: dict | None = None,
 ) -> Column:
     """Sum of CASE terms, incomplete rows x0.8, clamped to [0, 100].
-    A null input behaves as a false comparison (adds nothing)."""
+    A null input behaves as a false comparison (adds nothing). ``weights``
+    optionally multiplies the components revenue, power, efficiency, tech,
+    market_value, stability (sensitivity analysis)."""
+    wt = {"revenue": 1.0, "power": 1.0, "efficiency": 1.0, "tech": 1.0, "market_value": 1.0, "stability": 1.0, **(weights or {})}
     rev_pts = F.lit(0.0)
     for cut, pts in reversed(REVENUE_STEPS):
         rev_pts = F.when(revenue >= cut, F.lit(pts)).otherwise(rev_pts)
@@ -42,6 +45,9 @@ def lead_score_v2(
         .when(age > AGE_GOLDEN[1], F.lit(AGE_MATURE_POINTS))
         .otherwise(F.lit(0.0))
     )
+    if weights:
+        rev_pts, power, eff = rev_pts * wt["revenue"], power * wt["power"], eff * wt["efficiency"]
+        tech, mv, stab = tech * wt["tech"], mv * wt["market_value"], stab * wt["stability"]
     score = rev_pts + F.coalesce(power, F.lit(0.0)) + eff + tech + mv + stab
     score = F.when(completeness < completeness_cut, score * INCOMPLETE_PENALTY).otherwise(score)
     return F.least(F.lit(100.0), F.greatest(F.lit(0.0), score))

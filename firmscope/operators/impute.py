@@ -32,7 +32,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from firmscope.operators.stats import smallest_k_per_group
-from firmscope.session import cut_lineage
 
 
 def fit_scaler(df: DataFrame, cols) -> dict:
@@ -151,7 +150,6 @@ def knn_impute(
         scale(a, ma, sa).alias("za"), scale(b, mb, sb).alias("zb"), scale(ordinal, mo, so).alias("zo"),
         (F.col(donor_col) if donor_col else F.lit(True)).alias("_donor"),
     )
-    rows = cut_lineage(rows)
     # bucket cuts for the ranking sort, from the materialised input (one small job)
     probs = [i / partitions for i in range(1, partitions)]
     cuts = set()
@@ -175,16 +173,20 @@ def knn_impute(
 
 
 def knn_apply(new_rows: DataFrame, donors: DataFrame, id_col: str, a: str, b: str, ordinal: str, groups, scaler: dict, k: int = 5, partitions: int = 8) -> DataFrame:
-    """Impute new rows against stored donors (I4): same search, donors are
-    the stored training rows, receivers are the new rows missing a value."""
+    """Impute new rows against stored donors (I4): the same search, with the
+    stored training rows as the only donors and the new rows as receivers.
+    Rows are keyed (is_new, id) so new ids may repeat stored ones; donor ties
+    still break by the stored id."""
     tagged = donors.select(
-        F.col(id_col), F.col(a), F.col(b), F.col(ordinal), F.lit(True).alias("_donor")
+        F.struct(F.lit(0).alias("n"), F.col(id_col).alias("i")).alias("_kid"), F.col(a), F.col(b), F.col(ordinal), F.lit(True).alias("_donor")
     ).unionByName(
-        new_rows.select(F.col(id_col), F.col(a), F.col(b), F.col(ordinal), F.lit(False).alias("_donor"))
+        new_rows.select(
+            F.struct(F.lit(1).alias("n"), F.col(id_col).alias("i")).alias("_kid"), F.col(a), F.col(b), F.col(ordinal), F.lit(False).alias("_donor")
+        )
     )
-    # stored rows only donate; new rows only receive (ids must not collide)
-    out, _ = knn_impute(tagged, id_col, a, b, ordinal, groups, k, partitions, scaler, donor_col="_donor")
-    return new_rows.join(out.filter(~F.col("_donor")).select(id_col, f"imp_{a}", f"imp_{b}"), id_col, "left")
+    out, _ = knn_impute(tagged, "_kid", a, b, ordinal, groups, k, partitions, scaler, donor_col="_donor")
+    imputed = out.filter(~F.col("_donor")).select(F.col("_kid.i").alias(id_col), f"imp_{a}", f"imp_{b}")
+    return new_rows.join(imputed, id_col, "left")
 
 
 def fill_median(df: DataFrame, medians: dict) -> DataFrame:

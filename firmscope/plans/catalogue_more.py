@@ -1 +1,509 @@
-"""Further named queries: report-only analytics, validation, model-based."""
+"""Further named queries: report-only analytics, statistics, validation,
+report facts, and queries over the k-means / isolation-forest results.
+
+Queries whose result depends on randomised fits (k-means starts, forest
+sampling, bootstrap) have no SQL oracle; they are checked by property tests.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from firmscope.config import CLUSTER_FEATURES, VALIDATION_FEATURES
+from firmscope.operators import extra as X
+from firmscope.operators import queries as Q
+from firmscope.operators import report as G
+from firmscope.operators import validate as V
+from firmscope.plans.catalogue import LEAD_COLS_SQL, _lead_cols, r2, r6, register
+from firmscope.plans.oracle import with_prepared
+from firmscope.plans.results import companies_raw, prepared, results, results_models
+from firmscope.session import cut_lineage
+
+
+# ------------------------------------------------------------------ X1–X5
+@register("size_bands", with_prepared(
+    ", b AS (SELECT CASE WHEN employees_clean <= 10 THEN '1-10' WHEN employees_clean <= 50 THEN '11-50' "
+    "WHEN employees_clean <= 200 THEN '51-200' WHEN employees_clean <= 1000 THEN '201-1000' ELSE '1000+' END AS band "
+    "FROM prepared WHERE employees_clean IS NOT NULL) "
+    "SELECT band, count(*) AS n, round(count(*) * 100.0 / sum(count(*)) OVER (), 6) AS pct FROM b GROUP BY band"))
+def size_bands(spark, sf):
+    return X.size_bands(prepared(spark, sf)).select("band", "n", r6("pct").alias("pct"))
+
+
+@register("correlations", with_prepared(
+    "SELECT round(corr(revenue_clean, employees_clean), 6) AS rev_emp, round(corr(revenue_clean, market_value_clean), 6) AS rev_market_value, "
+    "round(corr(revenue_clean, entity_score), 6) AS rev_entity_score FROM prepared"))
+def correlations(spark, sf):
+    c = X.correlations(prepared(spark, sf))
+    return c.select(*[r6(x).alias(x) for x in c.columns])
+
+
+@register("founding_summary", with_prepared(
+    "SELECT count(*) AS n, round(avg(CAST(year_found_clean > 2015 AS DOUBLE)), 6) AS share_after, "
+    "round(median(year_found_clean), 6) AS median_year FROM prepared WHERE year_found_clean IS NOT NULL"))
+def founding_summary(spark, sf):
+    s = X.founding_summary(prepared(spark, sf))
+    return s.select("n", r6("share_after").alias("share_after"), r6("median_year").alias("median_year"))
+
+
+@register("founding_by_year", with_prepared(
+    "SELECT year_found_clean AS year, count(*) AS n FROM prepared WHERE year_found_clean IS NOT NULL GROUP BY 1"))
+def founding_by_year(spark, sf):
+    return X.founding_by_year(prepared(spark, sf))
+
+
+@register("sic_sparsity", with_prepared(
+    ", s4 AS (SELECT COALESCE(sic_code, 'nan') AS g, count(*) AS size FROM prepared GROUP BY 1), "
+    "s2 AS (SELECT sic2 AS g, count(*) AS size FROM prepared GROUP BY 1) "
+    "SELECT 'sic4' AS level, count(*) AS groups, round(avg(CAST(size < 5 AS DOUBLE)), 6) AS share_small, round(median(size), 6) AS median_size FROM s4 "
+    "UNION ALL SELECT 'sic2', count(*), round(avg(CAST(size < 5 AS DOUBLE)), 6), round(median(size), 6) FROM s2"))
+def sic_sparsity(spark, sf):
+    s = X.sic_sparsity(prepared(spark, sf))
+    return s.select("level", "groups", r6("share_small").alias("share_small"), r6(F.col("median_size").cast("double")).alias("median_size"))
+
+
+@register("segment_insights", with_prepared(
+    "SELECT CAST(count_if(revenue_clean > 1e8) AS BIGINT) AS large_enterprises, "
+    "CAST(count_if(corporate_family_size > 100 AND revenue_per_employee > 5e4) AS BIGINT) AS efficient_groups, "
+    "CAST(count_if(revenue_clean < 1e6 AND revenue_vs_industry > 100) AS BIGINT) AS small_outperformers FROM prepared"))
+def segment_insights(spark, sf):
+    return X.segment_insights(prepared(spark, sf))
+
+
+# ------------------------------------------------------------------ X7, X11, X12
+def _score_sql(rev=1.0, power=1.0, eff=1.0, tech=1.0, mv=1.0, stab=1.0):
+    return (
+        "least(100.0, greatest(0.0, ("
+        f"CASE WHEN revenue_clean >= 1e8 THEN 35.0 WHEN revenue_clean >= 1e7 THEN 25.0 WHEN revenue_clean >= 1e6 THEN 15.0 WHEN revenue_clean >= 1e5 THEN 5.0 ELSE 0.0 END * {rev}"
+        f" + CASE WHEN is_domestic_ultimate_clean = 1 THEN 15.0 ELSE entity_score * 3.0 END * {power}"
+        f" + CASE WHEN revenue_per_employee >= 5e5 THEN 10.0 ELSE 0.0 END * {eff}"
+        f" + CASE WHEN it_spend_per_emp > 1000 THEN 10.0 WHEN it_spend_per_emp > 0 THEN 5.0 ELSE 0.0 END * {tech}"
+        f" + CASE WHEN market_value_clean > 0 THEN 15.0 ELSE 0.0 END * {mv}"
+        f" + CASE WHEN company_age >= 3 AND company_age <= 10 THEN 10.0 WHEN company_age > 10 THEN 5.0 ELSE 0.0 END * {stab}"
+        ") * CASE WHEN data_completeness < 0.5 THEN 0.8 ELSE 1.0 END))"
+    )
+
+
+def _ws_sql():
+    base = f"(SELECT company_id FROM prepared ORDER BY CAST({_score_sql()} AS DOUBLE) DESC, company_id LIMIT 100)"
+    parts = []
+    for name, kw in (("revenue_up_20", dict(rev=1.2)), ("power_down_20", dict(power=0.8)),
+                     ("value_up_10_stability_down_10", dict(mv=1.1, stab=0.9))):
+        other = f"(SELECT company_id FROM prepared ORDER BY CAST({_score_sql(**kw)} AS DOUBLE) DESC, company_id LIMIT 100)"
+        parts.append(
+            f"SELECT '{name}' AS variant, round((SELECT count(*) FROM ({base} INTERSECT {other})) * 1.0 / "
+            f"(SELECT count(*) FROM ({base} UNION {other})), 6) AS jaccard"
+        )
+    return with_prepared(" UNION ALL ".join(parts))
+
+
+@register("weight_sensitivity", _ws_sql())
+def weight_sensitivity(spark, sf):
+    return X.weight_sensitivity(prepared(spark, sf)).select("variant", r6("jaccard").alias("jaccard"))
+
+
+@register("profile_vs_market", with_prepared(
+    ", st AS (SELECT min(revenue_clean) lr, max(revenue_clean) hr, min(employees_clean) le, max(employees_clean) he, "
+    "min(lead_score) ls, max(lead_score) hs, min(company_age) la, max(company_age) ha FROM prepared), "
+    "nm AS (SELECT company_id, CASE WHEN hr > lr THEN (revenue_clean - lr) / (hr - lr) ELSE 0.0 END AS revenue_clean, "
+    "CASE WHEN he > le THEN (employees_clean - le) / (he - le) ELSE 0.0 END AS employees_clean, "
+    "CASE WHEN hs > ls THEN (lead_score - ls) / (hs - ls) ELSE 0.0 END AS lead_score, "
+    "CASE WHEN ha > la THEN (company_age - la) / (ha - la) ELSE 0.0 END AS company_age FROM prepared, st), "
+    "av AS (SELECT avg(revenue_clean) a1, avg(employees_clean) a2, avg(lead_score) a3, avg(company_age) a4 FROM nm) "
+    "SELECT company_id, metric, round(value, 6) AS value, round(market_avg, 6) AS market_avg FROM ("
+    "SELECT company_id, 'revenue_clean' AS metric, revenue_clean AS value, a1 AS market_avg FROM nm, av "
+    "UNION ALL SELECT company_id, 'employees_clean', employees_clean, a2 FROM nm, av "
+    "UNION ALL SELECT company_id, 'lead_score', lead_score, a3 FROM nm, av "
+    "UNION ALL SELECT company_id, 'company_age', company_age, a4 FROM nm, av)"))
+def profile_vs_market(spark, sf):
+    p = X.profile_vs_market(prepared(spark, sf))
+    return p.select("company_id", "metric", r6("value").alias("value"), r6("market_avg").alias("market_avg"))
+
+
+@register("territory_balance", with_prepared(
+    "SELECT region, count(*) AS leads, round(sum(revenue_clean), 2) AS revenue FROM prepared "
+    "WHERE lead_tier = 'Hot' AND region IS NOT NULL GROUP BY region"))
+def territory_balance(spark, sf):
+    return X.territory_balance(prepared(spark, sf)).select("region", "leads", r2("revenue").alias("revenue"))
+
+
+@register("territory_top_leads", with_prepared(
+    "SELECT region, rank, company_id, round(lead_score, 6) AS lead_score FROM (SELECT region, company_id, lead_score, "
+    "CAST(row_number() OVER (PARTITION BY region ORDER BY lead_score DESC, company_id) AS INTEGER) AS rank FROM prepared "
+    "WHERE lead_tier = 'Hot' AND region IS NOT NULL) WHERE rank <= 50"))
+def territory_top_leads(spark, sf):
+    t = X.territory_top_leads(prepared(spark, sf))
+    return t.select("region", "rank", "company_id", r6("lead_score").alias("lead_score"))
+
+
+# ------------------------------------------------------------------ V1, V3
+LOG_EFF = "ln(1 + revenue_clean / CASE WHEN employees_clean = 0 THEN 1.0 ELSE employees_clean END)"
+
+
+@register("welch_ttest", with_prepared(
+    f", m AS (SELECT lead_tier, count({LOG_EFF}) AS n, avg({LOG_EFF}) AS mean, var_samp({LOG_EFF}) AS var FROM prepared "
+    "WHERE lead_tier IN ('Priority', 'Cold') GROUP BY lead_tier), a AS (SELECT * FROM m WHERE lead_tier = 'Priority'), "
+    "b AS (SELECT * FROM m WHERE lead_tier = 'Cold') "
+    "SELECT 'Priority' AS group_a, 'Cold' AS group_b, a.n AS na, b.n AS nb, round(a.mean, 6) AS mean_a, round(b.mean, 6) AS mean_b, "
+    "round((a.mean - b.mean) / sqrt(a.var / a.n + b.var / b.n), 6) AS t, "
+    "round((a.var / a.n + b.var / b.n) * (a.var / a.n + b.var / b.n) / ((a.var / a.n) * (a.var / a.n) / (a.n - 1) + (b.var / b.n) * (b.var / b.n) / (b.n - 1)), 6) AS df "
+    "FROM a, b"))
+def welch_ttest(spark, sf):
+    from firmscope.plans.catalogue import _log_eff
+
+    w = V.welch_ttest(prepared(spark, sf), "lead_tier", "Priority", "Cold", _log_eff())
+    return w.select("group_a", "group_b", "na", "nb", *[r6(c).alias(c) for c in ("mean_a", "mean_b", "t", "df")])
+
+
+@register("welch_pvalue")
+def welch_pvalue(spark, sf):
+    from firmscope.plans.catalogue import _log_eff
+
+    return V.welch_with_p(prepared(spark, sf), "lead_tier", "Priority", "Cold", _log_eff())
+
+
+@register("ari_tier_region", with_prepared(
+    ", c AS (SELECT lead_tier AS a, region AS b, count(*) AS nij FROM prepared WHERE lead_tier IS NOT NULL AND region IS NOT NULL GROUP BY 1, 2), "
+    "s AS (SELECT sum(nij * (nij - 1) / 2.0) AS sij, sum(nij) AS n FROM c), "
+    "sa AS (SELECT sum(ai * (ai - 1) / 2.0) AS sa FROM (SELECT a, sum(nij) AS ai FROM c GROUP BY a)), "
+    "sb AS (SELECT sum(bj * (bj - 1) / 2.0) AS sb FROM (SELECT b, sum(nij) AS bj FROM c GROUP BY b)) "
+    "SELECT CAST(n AS BIGINT) AS n, round(CASE WHEN (sa + sb) / 2.0 = sa * sb / (n * (n - 1) / 2.0) THEN 1.0 "
+    "ELSE (sij - sa * sb / (n * (n - 1) / 2.0)) / ((sa + sb) / 2.0 - sa * sb / (n * (n - 1) / 2.0)) END, 6) AS ari FROM s, sa, sb"))
+def ari_tier_region(spark, sf):
+    a = V.adjusted_rand_index(prepared(spark, sf), "lead_tier", "region")
+    return a.select("n", r6("ari").alias("ari"))
+
+
+# ------------------------------------------------------------------ G1 (financial facts), G7, G8
+@register("due_diligence_financials", with_prepared(
+    ", b AS (SELECT sic2, median(revenue_clean) AS bench_revenue, "
+    "median(revenue_clean / CASE WHEN employees_clean = 0 THEN 1.0 ELSE employees_clean END) AS bench_productivity FROM prepared GROUP BY sic2), "
+    "f AS (SELECT p.*, CASE WHEN employees_clean > 0 THEN revenue_clean / employees_clean ELSE 0.0 END AS productivity, "
+    "COALESCE(b.bench_revenue, 1000000.0) AS rm, COALESCE(b.bench_productivity, 50000.0) AS pm FROM prepared p LEFT JOIN b USING (sic2)), "
+    "g AS (SELECT *, CASE WHEN rm > 0 THEN (revenue_clean / rm - 1) * 100 ELSE 0.0 END AS rv, "
+    "CASE WHEN pm > 0 THEN (productivity / pm - 1) * 100 ELSE 0.0 END AS pv FROM f) "
+    "SELECT company_id, company_name AS name, COALESCE(sic_description, 'N/A') AS industry, COALESCE(region, 'N/A') AS region, "
+    "COALESCE(country, 'N/A') AS country, CAST(company_age AS VARCHAR) || ' years' AS age, COALESCE(entity_type, 'N/A') AS entity_type, "
+    "'$' || printf('%,.0f', revenue_clean) AS revenue, printf('%,.0f', employees_clean) AS employees, "
+    "'$' || printf('%,.0f', productivity) || '/employee' AS productivity, printf('%+.0f', rv) || '%' AS revenue_vs_industry, "
+    "printf('%+.0f', pv) || '%' AS productivity_vs_industry, CASE WHEN rv > 0 THEN 'B' ELSE 'C' END AS health_grade, "
+    "is_domestic_ultimate_clean = 1 AS is_decision_maker, has_parent = 1 AS has_parent FROM g"))
+def due_diligence_financials(spark, sf):
+    return G.financial_facts(prepared(spark, sf))
+
+
+REPLY_SQL = (
+    "CASE WHEN lead_tier = 'Priority' THEN '```json' || chr(10) || '{\"Verdict\": \"' || lead_tier || ' lead\", \"Reason\": \"score ' "
+    "|| CAST(CAST(round(lead_score) AS BIGINT) AS VARCHAR) || '\", \"Risk\": \"' || CASE WHEN risk_shell THEN 'shell' ELSE 'none' END "
+    "|| '\", \"Action\": \"call\"}' || chr(10) || '```' "
+    "WHEN lead_tier = 'Hot' THEN '{\"Verdict\": \"' || lead_tier || ' lead\", \"Reason\": \"score ' || CAST(CAST(round(lead_score) AS BIGINT) AS VARCHAR) "
+    "|| '\", \"Risk\": \"' || CASE WHEN risk_shell THEN 'shell' ELSE 'none' END || '\"}' "
+    "WHEN lead_tier = 'Warm' THEN '{\"Verdict\": \"Watch\"' ELSE 'Error: quota exceeded' END"
+)
+
+
+def _replies(df):
+    score = F.round("lead_score").cast("bigint").cast("string")
+    risk = F.when(F.col("risk_shell"), "shell").otherwise("none")
+    body_hot = F.concat(F.lit('{"Verdict": "'), F.col("lead_tier"), F.lit(' lead", "Reason": "score '), score, F.lit('", "Risk": "'), risk, F.lit('"}'))
+    body_pri = F.concat(F.lit('{"Verdict": "'), F.col("lead_tier"), F.lit(' lead", "Reason": "score '), score, F.lit('", "Risk": "'), risk,
+                        F.lit('", "Action": "call"}'))
+    reply = (
+        F.when(F.col("lead_tier") == "Priority", F.concat(F.lit("```json\n"), body_pri, F.lit("\n```")))
+        .when(F.col("lead_tier") == "Hot", body_hot)
+        .when(F.col("lead_tier") == "Warm", F.lit('{"Verdict": "Watch"'))
+        .otherwise(F.lit("Error: quota exceeded"))
+    )
+    return df.select("company_id", reply.alias("reply"))
+
+
+@register("parsed_action_reports", with_prepared(
+    f", r AS (SELECT company_id, {REPLY_SQL} AS reply FROM prepared), "
+    "s AS (SELECT company_id, trim(reply) AS t, trim(regexp_replace(regexp_replace(trim(reply), '^```[A-Za-z]*\\s*', ''), '\\s*```$', '')) AS j FROM r), "
+    "p AS (SELECT company_id, t, CASE WHEN json_valid(j) THEN json_extract_string(j, '$.Verdict') END AS v, "
+    "CASE WHEN json_valid(j) THEN json_extract_string(j, '$.Reason') END AS re, CASE WHEN json_valid(j) THEN json_extract_string(j, '$.Risk') END AS ri, "
+    "CASE WHEN json_valid(j) THEN json_extract_string(j, '$.Action') END AS a FROM s), "
+    "q AS (SELECT *, starts_with(t, 'Error') OR COALESCE(v, re, ri, a) IS NULL AS bad FROM p) "
+    "SELECT pr.company_id, round(pr.lead_score, 6) AS lead_score, COALESCE(CASE WHEN NOT bad THEN v END, 'Review Required') AS verdict, "
+    "COALESCE(CASE WHEN NOT bad THEN re END, 'N/A') AS reason, COALESCE(CASE WHEN NOT bad THEN ri END, 'N/A') AS risk, "
+    "COALESCE(CASE WHEN NOT bad THEN a END, 'N/A') AS action, "
+    "CASE WHEN starts_with(t, 'Error') THEN t WHEN COALESCE(v, re, ri, a) IS NULL THEN 'unparsable reply' END AS error "
+    "FROM prepared pr JOIN q USING (company_id)"))
+def parsed_action_reports(spark, sf):
+    df = prepared(spark, sf)
+    parsed = G.parse_responses(_replies(df))
+    facts = df.select("company_id", r6("lead_score").alias("lead_score"))
+    return G.merge_report(facts, parsed)
+
+
+# ------------------------------------------------------------------ S1, S4: CSV round trip of the raw table
+@register("csv_roundtrip", "WITH " + __import__("firmscope.plans.oracle", fromlist=["ADAPTER_SQL"]).ADAPTER_SQL
+          + " SELECT company_id, company_name, region, country, sic_code, entity_type, revenue_usd, employees_total FROM raw")
+def csv_roundtrip(spark, sf):
+    """Write the raw company table as a headered CSV with the reference's
+    column names, read it back with the raw reader (all text, null tokens)."""
+    from firmscope.session import checkpoint_dir
+    from firmscope.sources.companies import RAW_COLUMNS, read_companies
+    import uuid
+
+    raw = companies_raw(spark, sf)
+    back = dict((e, r) for r, e in RAW_COLUMNS)
+    cols = [F.col(c).cast("string").alias(back[c]) for c in raw.columns]
+    path = f"{checkpoint_dir(spark).rstrip('/')}/firmscope-csv-{uuid.uuid4().hex}"
+    full = raw.select(*cols)
+    for r, _ in RAW_COLUMNS:
+        if r not in full.columns:
+            full = full.withColumn(r, F.lit(None).cast("string"))
+    full.select(*[r for r, _ in RAW_COLUMNS]).write.option("header", "true").csv(path)
+    df = read_companies(spark, path)
+    return df.select(
+        F.col("company_id").cast("long").alias("company_id"), "company_name", "region", "country", "sic_code", "entity_type",
+        "revenue_usd", "employees_total",
+    )
+
+
+# ------------------------------------------------------------------ model-based (rows-only checks)
+@register("kmeans_segments")
+def kmeans_segments(spark, sf):
+    """Cluster tiers and names with their sizes."""
+    r = results(spark, sf)
+    return r.groupBy("cluster", "cluster_tier", "cluster_name").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("cluster_tier_profile")
+def cluster_tier_profile(spark, sf):
+    from firmscope.operators.segment import cluster_tier_profile as ctp
+
+    return ctp(results(spark, sf))
+
+
+@register("cluster_profiles")
+def cluster_profiles(spark, sf):
+    return G.cluster_profiles(results(spark, sf))
+
+
+@register("cluster_facts")
+def cluster_facts(spark, sf):
+    return G.cluster_facts(results(spark, sf))
+
+
+@register("anomaly_facts")
+def anomaly_facts(spark, sf):
+    return G.anomaly_facts(results(spark, sf))
+
+
+@register("value_counts_cluster")
+def value_counts_cluster(spark, sf):
+    return Q.value_counts(results(spark, sf), "cluster_name")
+
+
+@register("anomalies")
+def anomalies(spark, sf):
+    """Forest decision value and label per company."""
+    return results(spark, sf).select("company_id", "anomaly_score", "anomaly_label")
+
+
+@register("risk_flags")
+def risk_flags(spark, sf):
+    """Four-flag sum, flag texts and risk grade per company."""
+    from firmscope.functions import scoring as S
+
+    r = results(spark, sf)
+    flags = S.risk_flag_list({c: F.col(c) for c in ("risk_shell", "risk_data_quality", "risk_orphan_sub", "is_anomaly")})
+    return r.select("company_id", "risk_flags", flags.alias("flag_texts"), S.risk_grade(F.col("risk_flags")).alias("risk_grade"))
+
+
+@register("risk_summary")
+def risk_summary(spark, sf):
+    r = results(spark, sf)
+    return r.agg(
+        F.count_if("risk_shell").alias("shells"), F.count_if(F.col("anomaly_label") == "Anomaly").alias("anomalies"),
+        F.count_if(F.col("risk_flags") >= 2).alias("high_risk"), (F.avg((F.col("risk_flags") > 0).cast("double")) * 100).alias("risk_rate_pct"),
+    )
+
+
+@register("dataset_stats")
+def dataset_stats(spark, sf):
+    r = results(spark, sf)
+    return r.agg(
+        F.count(F.lit(1)).alias("companies"), F.countDistinct("cluster").alias("clusters"),
+        F.count_if(F.col("anomaly_label") == "Anomaly").alias("anomalies"),
+        (F.count_if(F.col("anomaly_label") == "Anomaly") * 100.0 / F.count(F.lit(1))).alias("anomaly_pct"),
+    )
+
+
+@register("overview_with_anomalies")
+def overview_with_anomalies(spark, sf):
+    """A4 on the sidebar-filtered view (region only)."""
+    v = Q.sidebar_filter(results(spark, sf), region="EUROPE")
+    return v.agg(
+        F.count(F.lit(1)).alias("companies"), F.avg("revenue_clean").alias("avg_revenue"),
+        F.avg("employees_clean").alias("avg_employees"), F.count_if(F.col("anomaly_label") == "Anomaly").alias("anomalies"),
+    )
+
+
+@register("sidebar_anomalies")
+def sidebar_anomalies(spark, sf):
+    """Region + anomalies-only view."""
+    return Q.sidebar_filter(results(spark, sf), region="ASIA", anomalies_only=True).select("company_id", "company_name", "cluster_name")
+
+
+@register("top_anomalies")
+def top_anomalies(spark, sf):
+    r = results(spark, sf).filter(F.col("anomaly_label") == "Anomaly")
+    return Q.top_by(r, "revenue_clean", 10, ["company_id", "company_name", "revenue_clean", "employees_clean", "cluster_name"])
+
+
+@register("market_full_spec")
+def market_full_spec(spark, sf):
+    """P2 with tier targets (tier number, not raw label) and high-risk exclusion."""
+    spec = Q.MarketSpec(region="AMERICA", industry_keywords=("auto", "furn"), target_tiers=(1, 2, 3), exclude_high_risk=True)
+    return Q.top_by(Q.market_filter(results(spark, sf), spec), "lead_score", 50, [*_lead_cols(), "cluster_name"])
+
+
+@register("sample_scatter")
+def sample_scatter(spark, sf):
+    return Q.sample_scatter(results(spark, sf).select("company_id", "employees_clean", "revenue_clean", "cluster_name"), 1000)
+
+
+@register("anomaly_histogram")
+def anomaly_histogram(spark, sf):
+    return X.anomaly_histogram(results(spark, sf))
+
+
+@register("due_diligence_facts")
+def due_diligence_facts(spark, sf):
+    return G.due_diligence_facts(results(spark, sf))
+
+
+@register("action_facts")
+def action_facts(spark, sf):
+    return G.action_facts(results(spark, sf))
+
+
+@register("comparison_facts")
+def comparison_facts(spark, sf):
+    """G4 for every company beside the next company of its cluster by id."""
+    r = results(spark, sf)
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("cluster").orderBy("company_id")
+    pairs = r.select(F.col("company_id").alias("id_a"), F.lead("company_id").over(w).alias("id_b")).filter(F.col("id_b").isNotNull())
+    return G.comparison_facts(r, pairs)
+
+
+@register("market_facts")
+def market_facts(spark, sf):
+    from firmscope.plans.catalogue import MARKET
+
+    m = Q.market_filter(results(spark, sf), MARKET)
+    return G.market_facts(m, Q.country_breakdown(m))
+
+
+@register("score_companies")
+def score_companies_q(spark, sf):
+    """Score the company table as new rows with the stored models
+    (saved to and loaded from the checkpoint folder first)."""
+    from firmscope.plans.pipeline import score_companies
+    from firmscope.sources.models import load_models, save_models
+    from firmscope.session import checkpoint_dir
+    import uuid
+
+    results(spark, sf)
+    models = results_models(spark, sf)
+    path = f"{checkpoint_dir(spark).rstrip('/')}/firmscope-models-{uuid.uuid4().hex}"
+    save_models(models, path)
+    loaded = load_models(spark, path)
+    out = score_companies(companies_raw(spark, sf), loaded)
+    return out.select("company_id", "cluster_name", "lead_score", "lead_tier", "anomaly_label", "revenue_clean", "employees_clean", "company_age")
+
+
+# ------------------------------------------------------------------ validation (rows-only)
+def _validation_vec(spark, sf):
+    from firmscope.operators.segment import cluster_matrix
+
+    r = results(spark, sf).withColumn(
+        "revenue_per_employee_v",
+        F.col("revenue_clean") / F.when(F.col("employees_clean") == 0, F.lit(1.0)).otherwise(F.col("employees_clean")),
+    )
+    r = r.fillna(0.0, subset=list(VALIDATION_FEATURES))
+    vec, _, _ = cluster_matrix(r.drop(*[c for c in r.columns if c.startswith("z_")]), VALIDATION_FEATURES)
+    return cut_lineage(vec.select("company_id", *VALIDATION_FEATURES, "features"), "validation-features")
+
+
+_VALIDATION: dict = {}
+
+
+def _validation_base(spark, sf):
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _VALIDATION:
+        from firmscope.operators.segment import kmeans_fit
+
+        vec = _validation_vec(spark, sf)
+        model = kmeans_fit(vec, 5, 10, 42)
+        _VALIDATION[key] = cut_lineage(model.transform(vec).withColumnRenamed("cluster", "base"), "validation-base")
+    return _VALIDATION[key]
+
+
+@register("bootstrap_ari")
+def bootstrap_ari(spark, sf):
+    """V2: 20 bootstrap refits (5 starts each), ARI vs the base labels."""
+    key = ("boot", spark.sparkContext.applicationId, sf)
+    if key not in _VALIDATION:
+        base = _validation_base(spark, sf)
+        _VALIDATION[key] = cut_lineage(V.bootstrap_ari(base, "base", runs=20, k=5, starts=5), "bootstrap")
+    return _VALIDATION[key]
+
+
+@register("ari_histogram")
+def ari_histogram(spark, sf):
+    """V7: 10-bin histogram of the bootstrap ARIs and their mean."""
+    b = bootstrap_ari(spark, sf)
+    h = Q.histogram(b, "ari", 0.1, 10)
+    return h.withColumn("_one", F.lit(1)).join(b.agg(F.avg("ari").alias("mean_ari")).withColumn("_one", F.lit(1)), "_one").drop("_one")
+
+
+@register("cluster_predictor")
+def cluster_predictor(spark, sf):
+    """V4, V6: random forest (50 trees, 70/30) predicting the base labels."""
+    base = _validation_base(spark, sf).drop("features")
+    _, test, acc = V.cluster_predictor(base, list(VALIDATION_FEATURES), "base")
+    return spark.createDataFrame([(float(acc), test.count())], "accuracy double, test_rows long")
+
+
+@register("permutation_importance")
+def permutation_importance(spark, sf):
+    """V5: mean accuracy drop per shuffled feature, 5 repeats."""
+    base = _validation_base(spark, sf).drop("features")
+    model, test, _ = V.cluster_predictor(base, list(VALIDATION_FEATURES), "base")
+    return V.permutation_importance(model, test.drop("features"), list(VALIDATION_FEATURES), repeats=5)
+
+
+@register("k_sweep")
+def k_sweep(spark, sf):
+    """Cost and silhouette for k = 2..8 on the cluster features."""
+    from firmscope.operators.segment import cluster_matrix
+
+    vec, _, _ = cluster_matrix(prepared(spark, sf), CLUSTER_FEATURES)
+    return X.k_sweep(cut_lineage(vec.select("features"), "sweep"))
+
+
+@register("tier_classifier")
+def tier_classifier(spark, sf):
+    """Gradient-boosted trees for the lead tier (one-vs-rest) and for
+    Hot-or-Priority (binary); test accuracy of each."""
+    from pyspark.ml.classification import GBTClassifier, OneVsRest
+    from pyspark.ml.feature import StringIndexer, VectorAssembler
+
+    feats = ["log_revenue", "log_employees", "entity_score", "revenue_per_employee", "company_age", "is_domestic_ultimate_clean",
+             "market_value_clean", "it_spend_per_emp", "data_completeness"]
+    df = prepared(spark, sf).filter(F.col("lead_tier").isNotNull())
+    df = VectorAssembler(inputCols=feats, outputCol="features").transform(df)
+    df = StringIndexer(inputCol="lead_tier", outputCol="label").fit(df).transform(df)
+    df = df.withColumn("hot_label", F.col("lead_tier").isin("Hot", "Priority").cast("double"))
+    train, test = df.randomSplit([0.7, 0.3], 42)
+    ovr = OneVsRest(classifier=GBTClassifier(maxIter=20, seed=42), parallelism=4).fit(train)
+    acc_tier = V.accuracy(ovr.transform(test))
+    gbt = GBTClassifier(maxIter=20, seed=42, labelCol="hot_label").fit(train)
+    acc_hot = V.accuracy(gbt.transform(test), label="hot_label")
+    return spark.createDataFrame([("lead_tier", float(acc_tier)), ("hot_or_priority", float(acc_hot))], "model string, accuracy double")

@@ -121,12 +121,79 @@ def prepare(raw: DataFrame, cfg: Config = DEFAULT, models: Models | None = None)
     """Deterministic core. With ``models`` given, stored fits are reused
     (batch scoring); otherwise they are fitted here."""
     fitted = models or Models()
-    df = clean_stage(raw, cfg)
+    df = cut_lineage(clean_stage(raw, cfg), "clean")  # read by the scaler fit, the search and the join
+    fitted.donors = df.select("company_id", "log_rev_in", "log_emp_in", "entity_ord")
     df, fitted.impute_scaler = impute_stage(df, cfg, fitted.impute_scaler or None)
+    df = cut_lineage(df, "imputed")  # read by the median fits and everything after
     df, fitted.medians = feature_stage(df, cfg, fitted.medians or None)
-    df = cut_lineage(df)
     if fitted.industry is None:
         fitted.industry = industry_benchmark(df)
     df = attach_benchmark(df, fitted.industry, cfg.broadcast_rows, cfg.vs_industry_clip)
     df = rule_risk_stage(score_stage(df, cfg), cfg)
     return df, fitted
+
+
+def finish(df: DataFrame, cfg: Config = DEFAULT, models: Models | None = None, refit: bool = True) -> tuple[DataFrame, Models]:
+    """Segment (k-means, tier names) and flag anomalies (isolation forest) on
+    the prepared table, then sum the four risk flags. With ``refit=False``
+    the stored models in ``models`` are applied instead."""
+    from firmscope.config import CLUSTER_FEATURES
+    from firmscope.operators import iforest as IF
+    from firmscope.operators import segment as SG
+
+    m = models or Models()
+    feats = list(CLUSTER_FEATURES)
+    zcols = [f"z_{c}" for c in feats]
+    if refit:
+        vec, m.cluster_scaler, m.cluster_medians = SG.cluster_matrix(df, feats)
+        vec = cut_lineage(vec, "cluster-features")  # iterative fits re-read it
+        m.kmeans = SG.kmeans_fit(vec, cfg.k, cfg.kmeans_starts, cfg.seed)
+        assigned = SG.kmeans_assign(vec, m.kmeans)
+        m.cluster_names = cut_lineage(SG.name_clusters(SG.cluster_tier_profile(assigned)), "cluster-names")
+        m.forest = IF.iforest_fit(vec, "company_id", zcols, cfg.iforest_trees, cfg.iforest_sample, cfg.seed).toPandas()
+    else:
+        vec, _, _ = SG.cluster_matrix(df, feats, m.cluster_scaler, m.cluster_medians)
+        assigned = SG.kmeans_assign(vec, m.kmeans)
+    named = SG.attach_cluster_name(assigned, m.cluster_names)
+    scored = IF.iforest_score(named.drop("features"), m.forest, zcols)
+    if refit:
+        scored = cut_lineage(scored, "forest-scores")
+        m.anomaly_threshold = IF.anomaly_threshold(scored, cfg.contamination)
+    out = IF.anomaly_columns(scored, m.anomaly_threshold)
+    out = out.withColumn(
+        "risk_flags",
+        S.risk_flags(F.col("risk_shell"), F.col("risk_data_quality"), F.col("risk_orphan_sub"), F.col("is_anomaly")),
+    )
+    return out, m
+
+
+def run(raw: DataFrame, cfg: Config = DEFAULT) -> tuple[DataFrame, Models]:
+    """The whole batch pipeline on a raw company table."""
+    df, m = prepare(raw, cfg)
+    df = cut_lineage(df, "prepared")
+    return finish(df, cfg, m)
+
+
+def score_companies(raw_new: DataFrame, models: Models, cfg: Config = DEFAULT, donors: DataFrame | None = None) -> DataFrame:
+    """Score a table of new companies with stored models (E1): same cleaning,
+    kNN imputation against the stored donors, stored medians and industry
+    medians, stored scaler, k-means centres, forest and threshold. Stateless
+    per row except the donor search, so it also runs on a stream's batches."""
+    from firmscope.operators.impute import knn_apply
+
+    df = clean_stage(raw_new, cfg)
+    if donors is None:
+        donors = models.donors
+    groups = set(cfg.entity_map_impute.values()) | {cfg.entity_default}
+    imp = knn_apply(df, donors, "company_id", "log_rev_in", "log_emp_in", "entity_ord", groups, models.impute_scaler, cfg.knn_k, cfg.rank_partitions)
+    imp = imp.withColumns(
+        {
+            "revenue_clean": F.when(F.col("log_rev_in").isNotNull(), F.col("revenue_raw")).otherwise(F.expm1("imp_log_rev_in")),
+            "employees_clean": F.when(F.col("log_emp_in").isNotNull(), F.col("employees_raw")).otherwise(F.expm1("imp_log_emp_in")),
+        }
+    ).drop("imp_log_rev_in", "imp_log_emp_in")
+    feat, _ = feature_stage(imp, cfg, models.medians)
+    feat = attach_benchmark(feat, models.industry, cfg.broadcast_rows, cfg.vs_industry_clip)
+    feat = rule_risk_stage(score_stage(feat, cfg), cfg)
+    out, _ = finish(feat, cfg, models, refit=False)
+    return out
