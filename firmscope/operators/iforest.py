@@ -1,9 +1,11 @@
 """Isolation forest (R4–R6; Liu, Ting & Zhou 2008) grown and scored on Spark.
 
-* sample: every tree gets psi = min(256, n) rows. Small tables explode a tree
-  id per row and keep the psi smallest hash keys per tree; large tables take
-  one Bernoulli sample of ~1.5 x trees x psi rows and deal them to trees by
-  hash, so the input is never multiplied by the tree count.
+* sample: every tree gets psi = min(256, n) rows. Small tables give each row
+  a hash-filtered list of trees (probability 1.5 psi / n each) and explode
+  only that; large tables take one Bernoulli sample of ~1.5 x trees x psi rows
+  and deal them to trees by hash. Either way about 1.5 x trees x psi rows
+  appear, never the input times the tree count; the psi smallest hash keys
+  per tree are kept.
 * grow: ``groupBy(tree).applyInPandas`` builds each tree in parallel (random
   feature, uniform cut between the node's min and max, depth <= ceil(log2 psi))
   and emits a node table (tree, node, feature, cut, left, right, size).
@@ -49,9 +51,15 @@ def avg_path_length(n):
 def sample_trees(df: DataFrame, id_col: str, trees: int, psi: int, seed: int, n: int) -> DataFrame:
     """(tree, id, features...) with psi rows per tree."""
     rate = min(1.0, 1.5 * psi / max(n, 1))
-    if n * trees <= 50_000_000:
-        exploded = df.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-        keyed = exploded.withColumn("_u", F.xxhash64(F.col(id_col), F.col("tree"), F.lit(seed)))
+    if rate * trees > 1.0:
+        # each row joins each tree with probability `rate`: the tree list is
+        # filtered per row before exploding, so only ~1.5 x trees x psi rows appear
+        cut = int(rate * 2**31)
+        member = F.filter(
+            F.sequence(F.lit(0), F.lit(trees - 1)),
+            lambda t: F.pmod(F.xxhash64(F.col(id_col), t, F.lit(seed)), F.lit(2**31)) < F.lit(cut),
+        )
+        keyed = df.withColumn("tree", F.explode(member)).withColumn("_u", F.xxhash64(F.col(id_col), F.col("tree"), F.lit(seed + 1)))
     else:
         sampled = df.sample(False, min(1.0, rate * trees), seed)
         keyed = sampled.withColumn("tree", F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(trees)).cast("int")).withColumn(

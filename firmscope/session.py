@@ -23,6 +23,9 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        # small memory pages: the default grows with the heap and every
+        # sort/aggregate of a task allocates one, which dominates tiny tasks
+        .config("spark.buffer.pageSize", "2m")
         .config("spark.driver.memory", os.environ.get("FIRMSCOPE_DRIVER_MEMORY", "16g"))
         .getOrCreate()
     )
