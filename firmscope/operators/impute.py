@@ -66,7 +66,10 @@ def _running_rank(u: DataFrame, splits: list) -> DataFrame:
     running count is taken inside each (tgt, g, bucket), and the counts of
     earlier buckets (a table of groups x buckets rows) are added.
     """
-    bucketed = Bucketizer(splits=splits, inputCol="key", outputCol="b", handleInvalid="keep").transform(u)
+    if len(splits) > 2:
+        bucketed = Bucketizer(splits=splits, inputCol="key", outputCol="b", handleInvalid="keep").transform(u)
+    else:
+        bucketed = u.withColumn("b", F.lit(0.0))
     is_v = (F.col("kind") == 0).cast("long")
     w = Window.partitionBy("tgt", "g", "b").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = bucketed.withColumn("local", F.sum(is_v).over(w))
