@@ -48,6 +48,25 @@ def fit_scaler(df: DataFrame, cols) -> dict:
     return out
 
 
+def _fit_with_cuts(df: DataFrame, cols, cut_cols, probs, scaler: dict | None):
+    """One aggregation: the scaler (unless given) and approximate quantiles
+    of ``cut_cols`` (bucket boundaries for the ranking sort)."""
+    aggs = []
+    if scaler is None:
+        for c in cols:
+            aggs += [F.avg(c).alias(f"m_{c}"), F.stddev_pop(c).alias(f"s_{c}")]
+    for c in cut_cols:
+        aggs.append((F.percentile_approx(c, probs, 1000) if probs else F.array()).alias(f"q_{c}"))
+    row = df.agg(*aggs).first()
+    if scaler is None:
+        scaler = {}
+        for c in cols:
+            m, s = row[f"m_{c}"], row[f"s_{c}"]
+            scaler[c] = (m if m is not None else 0.0, s if (s is not None and s > 0) else 1.0)
+    cuts = {c: [q for q in (row[f"q_{c}"] or []) if q is not None] for c in cut_cols}
+    return scaler, cuts
+
+
 def scale(col, mean: float, std: float):
     return (F.col(col) - F.lit(mean)) / F.lit(std) if isinstance(col, str) else (col - F.lit(mean)) / F.lit(std)
 
@@ -144,7 +163,9 @@ def knn_impute(
     ``groups`` lists every value the ordinal can take. Returns ``df`` with
     ``imp_a``/``imp_b`` (the observed value where present) and the scaler.
     """
-    scaler = scaler or fit_scaler(df, [a, b, ordinal])
+    # scaler fit and the bucket cuts of the ranking sort share one pass
+    probs = [i / partitions for i in range(1, partitions)]
+    scaler, raw_cuts = _fit_with_cuts(df, [a, b, ordinal], [a, b], probs, scaler)
     (ma, sa), (mb, sb), (mo, so) = scaler[a], scaler[b], scaler[ordinal]
     groups = sorted({float(g) for g in groups})
     zo_of = {g: (g - mo) / so for g in groups}
@@ -153,11 +174,7 @@ def knn_impute(
         scale(a, ma, sa).alias("za"), scale(b, mb, sb).alias("zb"), scale(ordinal, mo, so).alias("zo"),
         (F.col(donor_col) if donor_col else F.lit(True)).alias("_donor"),
     )
-    # bucket cuts for the ranking sort, from the materialised input (one small job)
-    probs = [i / partitions for i in range(1, partitions)]
-    cuts = set()
-    for qs in rows.approxQuantile(["za", "zb"], probs, 0.001) if probs else []:
-        cuts.update(q for q in qs if q is not None)
+    cuts = {(q - ma) / sa for q in raw_cuts[a]} | {(q - mb) / sb for q in raw_cuts[b]}
     splits = [float("-inf")] + sorted(c for c in cuts if abs(c) != float("inf")) + [float("inf")]
     common = ["id", "g", "zo", "_donor"]
     long = rows.select(F.lit("a").alias("tgt"), *common, F.col("zb").alias("x"), F.col("va").alias("t")).unionByName(

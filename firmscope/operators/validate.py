@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from firmscope.operators.queries import group_moments
+from firmscope.session import cut_lineage
 
 
 # ------------------------------------------------------------------ V1
@@ -168,12 +169,14 @@ def accuracy(pred: DataFrame, label: str = "label", prediction: str = "predictio
     return MulticlassClassificationEvaluator(labelCol=label, predictionCol=prediction, metricName="accuracy").evaluate(pred)
 
 
-def permutation_importance(model, test: DataFrame, features: list, repeats: int = 5, seed: int = 42, buckets: int = 64) -> DataFrame:
+def permutation_importance(model, test: DataFrame, features: list, repeats: int = 5, seed: int = 42, rows_per_bucket: int = 200_000) -> DataFrame:
     """Mean accuracy drop when one column is shuffled. The shuffle pairs
     rows by a random rank inside hashed buckets (two row numbers joined), so
-    no global single-partition window is needed."""
+    no global single-partition window is needed; the bucket count grows with
+    the test set (about ``rows_per_bucket`` rows per window partition)."""
     spark = test.sparkSession
-    base = test.select(*features, "label").withColumn("_rid", F.monotonically_increasing_id())
+    base = cut_lineage(test.select(*features, "label").withColumn("_rid", F.monotonically_increasing_id()), "perm-test")
+    buckets = max(8, base.count() // rows_per_bucket + 1)
     base = base.withColumn("_b", F.pmod(F.xxhash64("_rid"), F.lit(buckets)))
     ref = accuracy(model.transform(VectorAssembler(inputCols=features, outputCol="features").transform(base)))
     rows = []

@@ -181,7 +181,7 @@ def score_companies(raw_new: DataFrame, models: Models, cfg: Config = DEFAULT, d
     per row except the donor search, so it also runs on a stream's batches."""
     from firmscope.operators.impute import knn_apply
 
-    df = clean_stage(raw_new, cfg)
+    df = cut_lineage(clean_stage(raw_new, cfg), "new-clean")  # the donor search reads it many times
     if donors is None:
         donors = models.donors
     groups = set(cfg.entity_map_impute.values()) | {cfg.entity_default}
