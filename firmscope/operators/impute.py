@@ -101,10 +101,11 @@ def _running_rank(u: DataFrame, splits: list) -> DataFrame:
     )
 
 
-def _impute_long(long: DataFrame, groups: list, zo_of: dict, k: int, splits: list) -> DataFrame:
+def _impute_long(long: DataFrame, groups: list, zo_of: dict, k: int, splits: list, ks=None) -> DataFrame:
     """``long`` holds one row per (row, target): tgt, id, g, zo, x (the other
     coordinate, scaled, nullable), t (target value, null = receiver), _donor.
-    Returns (id, tgt, value) for every receiver."""
+    Returns (id, tgt, value) for every receiver; with ``ks`` (each <= k) one
+    column ``k{n}`` per neighbour count instead of ``value``."""
     donors = long.filter(F.col("t").isNotNull() & F.col("_donor"))
     receivers = long.filter(F.col("t").isNull())
     group_arr = F.array(*[F.lit(g) for g in groups])
@@ -151,6 +152,10 @@ def _impute_long(long: DataFrame, groups: list, zo_of: dict, k: int, splits: lis
     cands = cand_a.unionByName(cand_b).unionByName(cand_c)
     w = Window.partitionBy("tgt", "rid").orderBy("d2", "id")
     best = cands.withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") <= k)
+    if ks:
+        return best.groupBy(F.col("rid").alias("id"), "tgt").agg(
+            *[F.avg(F.when(F.col("_rk") <= n, F.col("t"))).alias(f"k{n}") for n in ks]
+        )
     return best.groupBy(F.col("rid").alias("id"), "tgt").agg(F.avg("t").alias("value"))
 
 
@@ -209,6 +214,58 @@ def knn_apply(new_rows: DataFrame, donors: DataFrame, id_col: str, a: str, b: st
     return new_rows.join(imputed, id_col, "left")
 
 
+def impute_cv(
+    df: DataFrame, id_col: str, a: str, b: str, ordinal: str, groups, ks=(1, 3, 5, 7, 10), folds: int = 5,
+    seed: int = 42, partitions: int = 8,
+) -> DataFrame:
+    """K-fold cross-validation of the kNN imputer (X8): every known value of
+    ``a`` and ``b`` is hidden in one fold and imputed from the other folds;
+    mean squared error per (target, k) over folds, its standard error, and
+    the one-standard-error choice (largest k within one SE of the best).
+    All folds, targets and k values run in one neighbour-search pass: the
+    (target, fold) pair is the search's group key."""
+    kmax = max(ks)
+    probs = [i / partitions for i in range(1, partitions)]
+    scaler, raw_cuts = _fit_with_cuts(df, [a, b, ordinal], [a, b], probs, None)
+    (ma, sa), (mb, sb), (mo, so) = scaler[a], scaler[b], scaler[ordinal]
+    groups = sorted({float(g) for g in groups})
+    zo_of = {g: (g - mo) / so for g in groups}
+    rows = df.select(
+        F.col(id_col).alias("id"), F.col(a).alias("va"), F.col(b).alias("vb"), F.col(ordinal).cast("double").alias("g"),
+        scale(a, ma, sa).alias("za"), scale(b, mb, sb).alias("zb"), scale(ordinal, mo, so).alias("zo"),
+        F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(folds)).alias("fold"),
+    )
+    cuts = {(q - ma) / sa for q in raw_cuts[a]} | {(q - mb) / sb for q in raw_cuts[b]}
+    splits = [float("-inf")] + sorted(c for c in cuts if abs(c) != float("inf")) + [float("inf")]
+    per_fold = rows.withColumn("f", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
+    parts = []
+    for name, val, other in (("a", "va", "zb"), ("b", "vb", "za")):
+        known = per_fold.filter(F.col(val).isNotNull())
+        parts.append(known.select(
+            F.concat(F.lit(name), F.lit(":"), F.col("f").cast("string")).alias("tgt"), "id", "g", "zo",
+            F.col(other).alias("x"), F.when(F.col("fold") != F.col("f"), F.col(val)).alias("t"),
+            (F.col("fold") != F.col("f")).alias("_donor"), F.col(val).alias("truth"),
+        ))
+    long = parts[0].unionByName(parts[1])
+    pred = _impute_long(long.drop("truth"), groups, zo_of, kmax, splits, ks)
+    truth = long.filter(~F.col("_donor")).select("id", "tgt", "truth")
+    err = pred.join(truth, ["id", "tgt"]).withColumn("target", F.split("tgt", ":")[0]).withColumn("fold", F.split("tgt", ":")[1])
+    stack = ", ".join(f"{n}, k{n}" for n in ks)
+    long_err = err.selectExpr("target", "fold", "truth", f"stack({len(ks)}, {stack}) AS (k, pred)")
+    fold_mse = long_err.groupBy("target", "fold", "k").agg(F.avg((F.col("pred") - F.col("truth")) ** 2).alias("mse"))
+    summary = fold_mse.groupBy("target", "k").agg(
+        F.avg("mse").alias("mse"), (F.stddev_samp("mse") / F.sqrt(F.count(F.lit(1)))).alias("se")
+    ).withColumn("target", F.when(F.col("target") == "a", F.lit(a)).otherwise(F.lit(b)))
+    # one-standard-error rule within each target (<= len(ks) rows per target)
+    w = Window.partitionBy("target")
+    best = summary.withColumn("_min", F.min("mse").over(w)).withColumn(
+        "_se_at_min", F.min(F.when(F.col("mse") == F.col("_min"), F.col("se"))).over(w)
+    )
+    ok = F.col("mse") <= F.col("_min") + F.col("_se_at_min")
+    chosen = best.withColumn("_kmax_ok", F.max(F.when(ok, F.col("k"))).over(w))
+    return chosen.select("target", "k", "mse", "se", (F.col("k") == F.col("_kmax_ok")).alias("chosen"))
+
+
 def fill_median(df: DataFrame, medians: dict) -> DataFrame:
     """Nulls (and +-inf) of each column -> its median (a fitted value)."""
     return df.withColumns(

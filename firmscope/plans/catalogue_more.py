@@ -507,3 +507,16 @@ def tier_classifier(spark, sf):
     gbt = GBTClassifier(maxIter=20, seed=42, labelCol="hot_label").fit(train)
     acc_hot = V.accuracy(gbt.transform(test), label="hot_label")
     return spark.createDataFrame([("lead_tier", float(acc_tier)), ("hot_or_priority", float(acc_hot))], "model string, accuracy double")
+
+
+@register("impute_cv")
+def impute_cv(spark, sf):
+    """5-fold CV of the kNN imputer for k in 1, 3, 5, 7, 10 (log scale),
+    with the one-standard-error choice per target."""
+    from firmscope.config import DEFAULT as cfg
+    from firmscope.operators.impute import impute_cv as cv
+    from firmscope.plans.pipeline import clean_stage
+
+    clean = cut_lineage(clean_stage(companies_raw(spark, sf)), "cv-clean")
+    groups = set(cfg.entity_map_impute.values()) | {cfg.entity_default}
+    return cv(clean, "company_id", "log_rev_in", "log_emp_in", "entity_ord", groups)

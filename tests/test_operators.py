@@ -122,3 +122,34 @@ def test_path_length_constants():
     c = avg_path_length([0, 1, 2, 256])
     assert c[0] == 0 and c[1] == 0 and c[2] == 1
     assert c[3] == pytest.approx(2 * (math.log(255) + 0.5772156649) - 2 * 255 / 256)
+
+
+def test_impute_cv_matches_brute_force(spark):
+    from pyspark.sql import functions as F
+
+    df = P.clean_stage(read_tables(spark, SF_SMALL))
+    got = I.impute_cv(df, "company_id", "log_rev_in", "log_emp_in", "entity_ord", [1, 2, 3, 4], ks=(3, 5), folds=5, seed=42)
+    got = got.toPandas().set_index(["target", "k"]).sort_index()
+    src = df.select("company_id", "log_rev_in", "log_emp_in", "entity_ord",
+                    F.pmod(F.xxhash64("company_id", F.lit(42)), F.lit(5)).alias("fold")).toPandas()
+    X = src[["log_rev_in", "log_emp_in", "entity_ord"]].to_numpy(dtype=float)
+    ids = src.company_id.to_numpy()
+    mu, sd = np.nanmean(X, axis=0), np.nanstd(X, axis=0)
+    Z = (X - mu) / sd
+    for col, name in ((0, "log_rev_in"), (1, "log_emp_in")):
+        for k in (3, 5):
+            mses = []
+            for f in range(5):
+                hold = np.flatnonzero((src.fold.to_numpy() == f) & ~np.isnan(X[:, col]))
+                donors = np.flatnonzero((src.fold.to_numpy() != f) & ~np.isnan(X[:, col]))
+                errs = []
+                for r in hold:
+                    zr = Z[r].copy()
+                    zr[col] = np.nan
+                    diff = Z[donors] - zr
+                    present = ~np.isnan(diff)
+                    d2 = np.where(present, diff * diff, 0.0).sum(axis=1) * 3.0 / present.sum(axis=1)
+                    order = np.lexsort((ids[donors], d2))[:k]
+                    errs.append((X[donors[order], col].mean() - X[r, col]) ** 2)
+                mses.append(np.mean(errs))
+            assert got.loc[(name, k), "mse"] == pytest.approx(np.mean(mses), rel=1e-9)
