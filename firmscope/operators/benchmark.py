@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from firmscope.functions.features import vs_industry
 from firmscope.operators.stats import bounded_broadcast, quantiles
-from firmscope.session import cut_lineage
 
 
 def industry_benchmark(df: DataFrame, exact: bool = True) -> DataFrame:
@@ -41,8 +40,8 @@ def industry_stats(df: DataFrame) -> DataFrame:
 
 def attach_benchmark(df: DataFrame, stats: DataFrame, max_rows: int = 1_000_000, clip=(-100.0, 500.0)) -> DataFrame:
     """Left join to the per-industry medians (broadcast after a row-count
-    check; the key is a 2-character prefix) and the clipped % gaps."""
-    stats = cut_lineage(stats)
+    check; the key is a 2-character prefix) and the clipped % gaps. Pass a
+    materialised ``stats`` (the count check reads it)."""
     joined = df.join(bounded_broadcast(stats, max_rows), "sic2", "left")
     return joined.withColumns(
         {

@@ -28,8 +28,18 @@ def cluster_matrix(df: DataFrame, cols, scaler: dict | None = None, medians: dic
     cols = list(cols)
     clean = df.withColumns({c: F.when(F.col(c).isin(float("inf"), float("-inf")), None).otherwise(F.col(c)).cast("double") for c in cols})
     if medians is None:
-        medians = median_row(clean, cols)
-    filled = clean.withColumns({c: F.coalesce(F.col(c), F.lit(medians[c])) for c in cols})
+        # one pass: null counts and the scaler of the unfilled columns; the
+        # median fill (and a refit) is only needed when some value is missing
+        aggs = [F.count_if(F.col(c).isNull()).alias(f"n_{c}") for c in cols]
+        for c in cols:
+            aggs += [F.avg(c).alias(f"m_{c}"), F.stddev_pop(c).alias(f"s_{c}")]
+        row = clean.agg(*aggs).first()
+        missing = [c for c in cols if row[f"n_{c}"]]
+        medians = median_row(clean, missing) if missing else {}
+        medians.update({c: None for c in cols if c not in medians})
+        if not missing and scaler is None:
+            scaler = {c: (row[f"m_{c}"] or 0.0, row[f"s_{c}"] if row[f"s_{c}"] else 1.0) for c in cols}
+    filled = clean.withColumns({c: F.coalesce(F.col(c), F.lit(medians[c])) for c in cols if medians.get(c) is not None})
     if scaler is None:
         scaler = fit_scaler(filled, cols)
     z = filled.withColumns({f"z_{c}": (F.col(c) - F.lit(scaler[c][0])) / F.lit(scaler[c][1]) for c in cols})

@@ -7,6 +7,7 @@ driver round trips (scaler, medians, k-means, forest, percentile).
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -125,9 +126,15 @@ def prepare(raw: DataFrame, cfg: Config = DEFAULT, models: Models | None = None)
     fitted.donors = df.select("company_id", "log_rev_in", "log_emp_in", "entity_ord")
     df, fitted.impute_scaler = impute_stage(df, cfg, fitted.impute_scaler or None)
     df = cut_lineage(df, "imputed")  # read by the median fits and everything after
-    df, fitted.medians = feature_stage(df, cfg, fitted.medians or None)
     if fitted.industry is None:
-        fitted.industry = industry_benchmark(df)
+        # global medians and per-industry medians are independent fits: run them together
+        with ThreadPoolExecutor(max_workers=1) as pool:
+            industry = pool.submit(lambda: cut_lineage(industry_benchmark(df), "industry"))
+            df, fitted.medians = feature_stage(df, cfg, fitted.medians or None)
+            fitted.industry = industry.result()
+    else:
+        df, fitted.medians = feature_stage(df, cfg, fitted.medians or None)
+        fitted.industry = cut_lineage(fitted.industry, "industry")
     df = attach_benchmark(df, fitted.industry, cfg.broadcast_rows, cfg.vs_industry_clip)
     df = rule_risk_stage(score_stage(df, cfg), cfg)
     return df, fitted
@@ -147,10 +154,16 @@ def finish(df: DataFrame, cfg: Config = DEFAULT, models: Models | None = None, r
     if refit:
         vec, m.cluster_scaler, m.cluster_medians = SG.cluster_matrix(df, feats)
         vec = cut_lineage(vec, "cluster-features")  # iterative fits re-read it
-        m.kmeans = SG.kmeans_fit(vec, cfg.k, cfg.kmeans_starts, cfg.seed)
-        assigned = SG.kmeans_assign(vec, m.kmeans)
-        m.cluster_names = cut_lineage(SG.name_clusters(SG.cluster_tier_profile(assigned)), "cluster-names")
-        m.forest = IF.iforest_fit(vec, "company_id", zcols, cfg.iforest_trees, cfg.iforest_sample, cfg.seed).toPandas()
+        # the forest and the k-means starts are independent fits on the same
+        # matrix: grow the forest while the k-means jobs run
+        with ThreadPoolExecutor(max_workers=1) as pool:
+            forest = pool.submit(
+                lambda: IF.iforest_fit(vec, "company_id", zcols, cfg.iforest_trees, cfg.iforest_sample, cfg.seed).toPandas()
+            )
+            m.kmeans = SG.kmeans_fit(vec, cfg.k, cfg.kmeans_starts, cfg.seed)
+            assigned = SG.kmeans_assign(vec, m.kmeans)
+            m.cluster_names = cut_lineage(SG.name_clusters(SG.cluster_tier_profile(assigned)), "cluster-names")
+            m.forest = forest.result()
     else:
         vec, _, _ = SG.cluster_matrix(df, feats, m.cluster_scaler, m.cluster_medians)
         assigned = SG.kmeans_assign(vec, m.kmeans)

@@ -15,7 +15,7 @@ from firmscope.config import DEFAULT, Config
 from firmscope.session import cut_lineage
 from firmscope.sources.companies import read_tables
 
-_lock = threading.Lock()
+_lock = threading.RLock()
 _prepared: dict = {}
 _full: dict = {}
 
@@ -24,8 +24,17 @@ def _key(spark: SparkSession, sf_dir: str, cfg: Config):
     return (spark.sparkContext.applicationId, sf_dir.rstrip("/"), repr(cfg))
 
 
+_raw: dict = {}
+
+
 def companies_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_tables(spark, sf_dir)
+    """The raw company view, materialised once: the customer/orders join and
+    aggregation are shared by the pipeline, batch scoring and the CSV round trip."""
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    with _lock:
+        if key not in _raw:
+            _raw[key] = cut_lineage(read_tables(spark, sf_dir), "raw")
+        return _raw[key]
 
 
 def prepared(spark: SparkSession, sf_dir: str, cfg: Config = DEFAULT) -> DataFrame:
