@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from firmscope.functions import scoring as S
-from firmscope.operators.queries import attach_row
+from firmscope.operators.queries import combine_rows, stat_row
 from firmscope.operators.stats import quantiles, smallest_k_per_group
 
 # Employee size bands (fixed values): label, inclusive upper bound.
@@ -40,7 +40,7 @@ def founding_summary(df: DataFrame, after: int = 2015) -> DataFrame:
     y = df.filter(F.col("year_found_clean").isNotNull())
     med = quantiles(y, ["year_found_clean"], (), 0.5, ["median_year"])
     agg = y.agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("year_found_clean") > after).cast("double")).alias("share_after"))
-    return attach_row(agg, med)
+    return combine_rows(agg, med)
 
 
 def founding_by_year(df: DataFrame) -> DataFrame:
@@ -57,7 +57,7 @@ def sic_sparsity(df: DataFrame, small: int = 5) -> DataFrame:
         sizes = df.groupBy(key.alias("g")).agg(F.count(F.lit(1)).alias("size"))
         med = quantiles(sizes, ["size"], (), 0.5, ["median_size"])
         agg = sizes.agg(F.count(F.lit(1)).alias("groups"), F.avg((F.col("size") < small).cast("double")).alias("share_small"))
-        part = attach_row(agg, med).withColumn("level", F.lit(level))
+        part = combine_rows(agg, med).withColumn("level", F.lit(level))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -97,33 +97,37 @@ def _score(df: DataFrame, weights=None):
 
 def weight_sensitivity(df: DataFrame, variants=WEIGHT_VARIANTS, top: int = 100) -> DataFrame:
     """Jaccard similarity of the top-``top`` lead sets (score desc, id) under
-    perturbed weights vs the base weights. Top sets are TakeOrdered top-n."""
-    def top_ids(weights):
-        return df.select("company_id", _score(df, weights).alias("s")).orderBy(F.col("s").desc(), "company_id").limit(top).select("company_id")
+    perturbed weights vs the base weights. Each top set is a TakeOrdered
+    top-n; the set sizes come from one aggregation over the tagged union."""
+    def top_ids(weights, variant, side):
+        ranked = df.select("company_id", _score(df, weights).alias("s")).orderBy(F.col("s").desc(), "company_id").limit(top)
+        return ranked.select(F.lit(variant).alias("variant"), "company_id", F.lit(side).alias("side"))
 
-    base = top_ids(None)
-    out = None
+    tagged = None
     for name, w in variants:
-        other = top_ids(w)
-        inter = base.intersect(other).agg(F.count(F.lit(1)).alias("inter"))
-        union = base.union(other).distinct().agg(F.count(F.lit(1)).alias("uni"))
-        row = attach_row(inter, union).select(F.lit(name).alias("variant"), (F.col("inter") / F.col("uni")).alias("jaccard"))
-        out = row if out is None else out.unionByName(row)
-    return out
+        both = top_ids(None, name, "base").unionByName(top_ids(w, name, "variant"))
+        tagged = both if tagged is None else tagged.unionByName(both)
+    per_id = tagged.groupBy("variant", "company_id").agg(F.countDistinct("side").alias("sides"))
+    return per_id.groupBy("variant").agg((F.count_if(F.col("sides") == 2) / F.count(F.lit(1))).alias("jaccard"))
 
 
 def profile_vs_market(df: DataFrame, metrics=("revenue_clean", "employees_clean", "lead_score", "company_age")) -> DataFrame:
     """Min-max normalised metrics of every company beside the market average
-    of the normalised metric (one row per company and metric)."""
-    stats = df.agg(*[F.min(m).alias(f"lo_{m}") for m in metrics], *[F.max(m).alias(f"hi_{m}") for m in metrics])
-    j = attach_row(df.select("company_id", *metrics), stats)
-    norm = j.select("company_id", *[
-        F.when(F.col(f"hi_{m}") > F.col(f"lo_{m}"), (F.col(m) - F.col(f"lo_{m}")) / (F.col(f"hi_{m}") - F.col(f"lo_{m}"))).otherwise(F.lit(0.0)).alias(m)
-        for m in metrics
-    ])
-    avgs = norm.agg(*[F.avg(m).alias(f"avg_{m}") for m in metrics])
-    stack = ", ".join(f"'{m}', {m}, avg_{m}" for m in metrics)
-    return attach_row(norm, avgs).selectExpr("company_id", f"stack({len(metrics)}, {stack}) AS (metric, value, market_avg)")
+    of the normalised metric (one row per company and metric). The ranges
+    and averages are fitted statistics applied as literals."""
+    rng = stat_row(df.agg(*[F.min(m).alias(f"lo_{m}") for m in metrics], *[F.max(m).alias(f"hi_{m}") for m in metrics]))
+
+    def norm(m):
+        lo, hi = rng[f"lo_{m}"], rng[f"hi_{m}"]
+        if lo is None or hi is None or not hi > lo:
+            return F.lit(0.0)
+        return (F.col(m) - F.lit(lo)) / F.lit(hi - lo)
+
+    normed = df.select("company_id", *[norm(m).alias(m) for m in metrics])
+    avgs = stat_row(normed.agg(*[F.avg(m).alias(m) for m in metrics]))
+    lit = lambda v: "CAST(NULL AS DOUBLE)" if v is None else f"CAST({float(v)!r} AS DOUBLE)"
+    stack = ", ".join(f"'{m}', {m}, {lit(avgs[m])}" for m in metrics)
+    return normed.selectExpr("company_id", f"stack({len(metrics)}, {stack}) AS (metric, value, market_avg)")
 
 
 def territory_balance(df: DataFrame, tier: str = "Hot") -> DataFrame:
@@ -143,11 +147,11 @@ def territory_top_leads(df: DataFrame, tier: str = "Hot", n: int = 50) -> DataFr
 def anomaly_histogram(df: DataFrame, bins: int = 20) -> DataFrame:
     """Histogram of the decision values over their range, with the share of
     rows below the cut (decision < 0)."""
-    st = df.agg(F.min("anomaly_score").alias("lo"), F.max("anomaly_score").alias("hi"))
-    j = attach_row(df.select("anomaly_score"), st)
-    width = F.when(F.col("hi") > F.col("lo"), (F.col("hi") - F.col("lo")) / bins).otherwise(F.lit(1.0))
-    b = F.least(F.floor((F.col("anomaly_score") - F.col("lo")) / width), F.lit(bins - 1)).cast("int")
-    return j.groupBy(b.alias("bin")).agg(
+    st = stat_row(df.agg(F.min("anomaly_score").alias("lo"), F.max("anomaly_score").alias("hi")))
+    lo, hi = st["lo"] or 0.0, st["hi"] or 0.0
+    width = (hi - lo) / bins if hi > lo else 1.0
+    b = F.least(F.floor((F.col("anomaly_score") - F.lit(lo)) / F.lit(width)), F.lit(bins - 1)).cast("int")
+    return df.groupBy(b.alias("bin")).agg(
         F.count(F.lit(1)).alias("n"), F.min("anomaly_score").alias("min_score"), F.count_if(F.col("anomaly_score") < 0).alias("below_cut")
     )
 

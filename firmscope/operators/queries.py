@@ -18,10 +18,22 @@ from firmscope.operators.stats import quantiles
 ID = "company_id"
 
 
-def attach_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Append the columns of a one-row frame to every row (equi-join on a
-    constant key against a broadcast single row)."""
-    return df.withColumn("_one", F.lit(1)).join(F.broadcast(one_row.withColumn("_one", F.lit(1))), "_one", "left").drop("_one")
+def combine_rows(*frames: DataFrame) -> DataFrame:
+    """Several one-row aggregates -> one row with all their columns (a union
+    and one aggregate; no join)."""
+    u = frames[0]
+    for f in frames[1:]:
+        u = u.unionByName(f, allowMissingColumns=True)
+    cols = []
+    for f in frames:
+        cols += [c for c in f.columns if c not in cols]
+    return u.agg(*[F.first(c, ignorenulls=True).alias(c) for c in cols])
+
+
+def stat_row(one_row: DataFrame) -> dict:
+    """A fitted one-row statistic, as driver-side numbers for literals."""
+    row = one_row.first()
+    return row.asDict() if row is not None else {}
 
 
 # ---------------------------------------------------------------- filters
@@ -55,17 +67,17 @@ class MarketSpec:
 def market_filter(df: DataFrame, spec: MarketSpec, tier_mode: str = "tier") -> DataFrame:
     """Conjunction of the spec's filters.
 
-    * region: applied only when some row has that region (else ignored);
-      decided by a semi-join against the region's existence, no driver trip;
+    * region: applied only when some row has that region (else ignored); the
+      existence check is a one-row probe (on a region-partitioned table it
+      reads only that partition's metadata), so the filter itself is static
+      and prunes partitions;
     * country: lower-cased, trimmed literal containment (null never matches);
     * industry: any keyword as a case-insensitive regular expression;
     * revenue / employee bounds inclusive; tiers IN (tier number, or the raw
       k-means label with ``tier_mode='label'``); exclude rows with >= 2 flags.
     """
-    if spec.region:
-        exists = df.filter(F.col("region") == spec.region).select(F.lit(1).alias("_k")).limit(1)
-        tagged = df.withColumn("_k", F.lit(1)).join(F.broadcast(exists.withColumn("_hit", F.lit(True))), "_k", "left")
-        df = tagged.filter(F.col("_hit").isNull() | (F.col("region") == spec.region)).drop("_k", "_hit")
+    if spec.region and df.filter(F.col("region") == spec.region).select(F.lit(1)).limit(1).count() > 0:
+        df = df.filter(F.col("region") == spec.region)
     if spec.country:
         needle = spec.country.strip().lower()
         df = df.filter(F.coalesce(F.lower(F.trim(F.col("country"))).contains(needle), F.lit(False)))
@@ -111,10 +123,10 @@ def top_by(df: DataFrame, col: str, n: int, columns: list) -> DataFrame:
 def page(df: DataFrame, number: int, size: int = 50, order: str = ID) -> DataFrame:
     """Page ``number`` (1-based) of rows ordered by ``order``, plus the page
     count max(1, ceil(n / size)) as a column."""
-    total = df.agg(F.count(F.lit(1)).alias("_n"))
-    pages = F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(size))).cast("long").alias("total_pages")
+    total = df.count()
+    pages = max(1, -(-total // size))
     rows = df.orderBy(order).offset((number - 1) * size).limit(size)
-    return attach_row(rows, total.select(pages))
+    return rows.withColumn("total_pages", F.lit(pages).cast("long"))
 
 
 def sample_scatter(df: DataFrame, n: int = 1000, seed: int = 7) -> DataFrame:
@@ -159,7 +171,7 @@ def market_summary(df: DataFrame) -> DataFrame:
         F.avg("lead_score").alias("avg_lead_score"),
         F.countDistinct("country").alias("countries"),
     )
-    return attach_row(agg, med)
+    return combine_rows(agg, med)
 
 
 def country_breakdown(df: DataFrame, n: int = 10) -> DataFrame:

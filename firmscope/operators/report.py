@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from firmscope.functions import scoring as S
 from firmscope.functions.features import vs_benchmark
-from firmscope.operators.queries import attach_row, global_medians, value_counts
+from firmscope.operators.queries import combine_rows, global_medians, stat_row, value_counts
 from firmscope.operators.stats import quantiles
 
 # Defaults used when no benchmark is available (fixed values).
@@ -39,8 +39,9 @@ def benchmarks(df: DataFrame, scope: str = "industry") -> DataFrame:
     (default) or the global medians the reference used."""
     df = productivity(df)
     if scope == "global":
-        g = global_medians(df).select(F.col("median_revenue").alias("bench_revenue"), F.col("median_productivity").alias("bench_productivity"))
-        return attach_row(df, g)
+        g = stat_row(global_medians(df))  # two fitted numbers
+        return df.withColumns({"bench_revenue": F.lit(g.get("median_revenue")).cast("double"),
+                               "bench_productivity": F.lit(g.get("median_productivity")).cast("double")})
     rpe = F.col("revenue_clean") / F.when(F.col("employees_clean") == 0, F.lit(1.0)).otherwise(F.col("employees_clean"))
     med = quantiles(df.withColumn("_rpe", rpe), ["revenue_clean", "_rpe"], ["sic2"], 0.5, ["bench_revenue", "bench_productivity"])
     return df.join(F.broadcast(med), "sic2", "left")  # one row per SIC-2 prefix
@@ -164,7 +165,7 @@ def market_facts(market: DataFrame, countries: DataFrame, n_industries: int = 5)
     ind = value_counts(market, "sic_description", n_industries).agg(
         F.map_from_entries(F.collect_list(F.struct("sic_description", "n"))).alias("top_industries")
     )
-    row = attach_row(attach_row(attach_row(tot, med), ctry), ind)
+    row = combine_rows(tot, med, ctry, ind)
     return row.withColumn("facts_json", F.to_json(F.struct("total_companies", "median_revenue", "avg_lead_score", "countries", "top_industries")))
 
 

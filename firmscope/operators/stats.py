@@ -57,11 +57,17 @@ def quantiles(
     largest = max((row[f"m{i}"] or 0) for i in range(len(value_cols)))
     if largest <= exact_group_rows:
         return df.groupBy(*group_cols).agg(*[F.percentile(c, p).alias(n) for c, n in zip(value_cols, names)])
-    out = None
-    for c, n in zip(value_cols, names):
-        q = _bracket_quantile(df, c, group_cols, p, n)
-        out = q if out is None else out.join(q, group_cols, "full") if group_cols else out.crossJoin(q)
-    return out
+    parts = [_bracket_quantile(df, c, group_cols, p, n) for c, n in zip(value_cols, names)]
+    if group_cols:
+        out = parts[0]
+        for q in parts[1:]:
+            out = out.join(q, group_cols, "full")
+        return out
+    # one-row results: union and take each column's value (no join)
+    u = parts[0]
+    for q in parts[1:]:
+        u = u.unionByName(q, allowMissingColumns=True)
+    return u.agg(*[F.first(n, ignorenulls=True).alias(n) for n in names])
 
 
 def _bracket_quantile(df: DataFrame, value: str, group_cols: list, p: float, name: str) -> DataFrame:
@@ -77,18 +83,20 @@ def _bracket_quantile(df: DataFrame, value: str, group_cols: list, p: float, nam
         F.col("_br")[0].alias("_lo"), F.col("_br")[1].alias("_hi"),
         F.floor(pos).alias("_k1"), F.ceil(pos).alias("_k2"), (pos - F.floor(pos)).alias("_frac"),
     )
+    if not group_cols:
+        return _bracket_global(base, stats.first(), p, name)
     stats = cut_lineage(stats)  # one row per group
     stats_b = bounded_broadcast(stats)
-    joined = base.join(stats_b, group_cols) if group_cols else base.crossJoin(stats_b)
+    joined = base.join(stats_b, group_cols)
     counts = joined.groupBy(*group_cols).agg(
         F.count_if(F.col("_v") < F.col("_lo")).alias("_below"),
         F.count_if((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi"))).alias("_inside"),
     )
-    st = stats.join(counts, group_cols) if group_cols else stats.crossJoin(counts)
+    st = stats.join(counts, group_cols)
     ok = (F.col("_below") <= F.col("_k1")) & (F.col("_below") + F.col("_inside") >= F.col("_k2") + 1)
     st = cut_lineage(st.withColumn("_ok", ok))
     st_b = bounded_broadcast(st)
-    inside = (base.join(st_b, group_cols) if group_cols else base.crossJoin(st_b)).filter(
+    inside = base.join(st_b, group_cols).filter(
         F.col("_ok") & (F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi"))
     )
     w = Window.partitionBy(*group_cols).orderBy("_v")
@@ -100,14 +108,28 @@ def _bracket_quantile(df: DataFrame, value: str, group_cols: list, p: float, nam
     ).select(*group_cols, (F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_frac")).alias(name))
     # groups whose bracket missed the target rank: exact built-in on those groups only
     failed = st.filter(~F.col("_ok")).select(*group_cols)
-    if group_cols:
-        fallback = base.join(F.broadcast(failed), group_cols, "left_semi").groupBy(*group_cols).agg(
-            F.percentile("_v", p).alias(name)
-        )
-        return picked.unionByName(fallback)
-    if failed.count() == 0:
-        return picked
-    return base.agg(F.percentile("_v", p).alias(name))
+    fallback = base.join(F.broadcast(failed), group_cols, "left_semi").groupBy(*group_cols).agg(
+        F.percentile("_v", p).alias(name)
+    )
+    return picked.unionByName(fallback)
+
+
+def _bracket_global(base: DataFrame, st, p: float, name: str) -> DataFrame:
+    """Global case: the bracket and the counts are a few fitted numbers used
+    as literals; only rows inside the bracket are ranked."""
+    spark = base.sparkSession
+    if st is None or not st["_n"]:
+        return spark.createDataFrame([(None,)], f"`{name}` double")
+    lo, hi, k1, k2, frac = st["_lo"], st["_hi"], st["_k1"], st["_k2"], st["_frac"]
+    c = base.agg(
+        F.count_if(F.col("_v") < lo).alias("below"),
+        F.count_if((F.col("_v") >= lo) & (F.col("_v") <= hi)).alias("inside"),
+    ).first()
+    if not (c["below"] <= k1 and c["below"] + c["inside"] >= k2 + 1):
+        return base.agg(F.percentile("_v", p).alias(name))
+    # the rows inside the bracket are few (about 8 / accuracy of all rows)
+    vals = base.filter((F.col("_v") >= lo) & (F.col("_v") <= hi)).orderBy("_v").offset(int(k1 - c["below"])).limit(int(k2 - k1 + 1))
+    return vals.agg((F.min("_v") + (F.max("_v") - F.min("_v")) * F.lit(float(frac))).alias(name))
 
 
 def median_row(df: DataFrame, cols: Sequence[str], names: Sequence[str] | None = None) -> dict:

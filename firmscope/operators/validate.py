@@ -12,24 +12,27 @@ from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from firmscope.operators.queries import group_moments
+from firmscope.operators.queries import combine_rows, group_moments
 from firmscope.session import cut_lineage
 
 
 # ------------------------------------------------------------------ V1
 def welch_ttest(df: DataFrame, group: str, a: str, b: str, value) -> DataFrame:
     """t and Welch–Satterthwaite degrees of freedom of ``value`` between
-    groups ``a`` and ``b`` (unequal variances), from per-group moments."""
-    m = group_moments(df.filter(F.col(group).isin(a, b)), group, value)
-    pa = m.filter(F.col(group) == a).select(F.col("n").alias("na"), F.col("mean").alias("ma"), F.col("var").alias("va"), F.lit(1).alias("_k"))
-    pb = m.filter(F.col(group) == b).select(F.col("n").alias("nb"), F.col("mean").alias("mb"), F.col("var").alias("vb"), F.lit(1).alias("_k"))
-    j = pa.join(pb, "_k")
+    groups ``a`` and ``b`` (unequal variances): one conditional aggregation."""
+    base = df.filter(F.col(group).isin(a, b)).withColumn("_v", value)
+    in_a, in_b = F.col(group) == a, F.col(group) == b
+    m = base.agg(
+        F.count(F.when(in_a, F.col("_v"))).alias("na"), F.count(F.when(in_b, F.col("_v"))).alias("nb"),
+        F.avg(F.when(in_a, F.col("_v"))).alias("mean_a"), F.avg(F.when(in_b, F.col("_v"))).alias("mean_b"),
+        F.var_samp(F.when(in_a, F.col("_v"))).alias("va"), F.var_samp(F.when(in_b, F.col("_v"))).alias("vb"),
+    )
     sa, sb = F.col("va") / F.col("na"), F.col("vb") / F.col("nb")
-    return j.select(
-        F.lit(a).alias("group_a"), F.lit(b).alias("group_b"), "na", "nb",
-        F.col("ma").alias("mean_a"), F.col("mb").alias("mean_b"),
-        ((F.col("ma") - F.col("mb")) / F.sqrt(sa + sb)).alias("t"),
+    return m.select(
+        F.lit(a).alias("group_a"), F.lit(b).alias("group_b"), "na", "nb", "mean_a", "mean_b",
+        ((F.col("mean_a") - F.col("mean_b")) / F.sqrt(sa + sb)).alias("t"),
         ((sa + sb) * (sa + sb) / (sa * sa / (F.col("na") - 1) + sb * sb / (F.col("nb") - 1))).alias("df"),
     )
 
@@ -83,7 +86,7 @@ def welch_with_p(df: DataFrame, group: str, a: str, b: str, value) -> DataFrame:
     """Welch test plus the two-sided p-value, evaluated by ``mapInPandas``
     over the one-row result (no SciPy needed)."""
     w = welch_ttest(df, group, a, b, value)
-    schema = w.schema.add("p_value", "double")
+    schema = T.StructType(w.schema.fields + [T.StructField("p_value", T.DoubleType())])
 
     def with_p(batches):
         for pdf in batches:
@@ -102,7 +105,7 @@ def adjusted_rand_index(df: DataFrame, a: str, b: str) -> DataFrame:
     s_ij = cont.agg(F.sum(pairs(F.col("nij"))).alias("sij"), F.sum("nij").alias("n"))
     s_a = cont.groupBy(a).agg(F.sum("nij").alias("ai")).agg(F.sum(pairs(F.col("ai"))).alias("sa"))
     s_b = cont.groupBy(b).agg(F.sum("nij").alias("bj")).agg(F.sum(pairs(F.col("bj"))).alias("sb"))
-    j = s_ij.withColumn("_k", F.lit(1)).join(s_a.withColumn("_k", F.lit(1)), "_k").join(s_b.withColumn("_k", F.lit(1)), "_k")
+    j = combine_rows(s_ij, s_a, s_b)
     expected = F.col("sa") * F.col("sb") / pairs(F.col("n"))
     max_index = (F.col("sa") + F.col("sb")) / 2.0
     ari = F.when(max_index == expected, F.lit(1.0)).otherwise((F.col("sij") - expected) / (max_index - expected))

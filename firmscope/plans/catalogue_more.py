@@ -460,7 +460,8 @@ def ari_histogram(spark, sf):
     """V7: 10-bin histogram of the bootstrap ARIs and their mean."""
     b = bootstrap_ari(spark, sf)
     h = Q.histogram(b, "ari", 0.1, 10)
-    return h.withColumn("_one", F.lit(1)).join(b.agg(F.avg("ari").alias("mean_ari")).withColumn("_one", F.lit(1)), "_one").drop("_one")
+    mean = Q.stat_row(b.agg(F.avg("ari").alias("mean_ari")))["mean_ari"]
+    return h.withColumn("mean_ari", F.lit(mean).cast("double"))
 
 
 @register("cluster_predictor")

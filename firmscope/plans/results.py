@@ -45,7 +45,7 @@ def prepared(spark: SparkSession, sf_dir: str, cfg: Config = DEFAULT) -> DataFra
     with _lock:
         if key not in _prepared:
             df, models = prepare(companies_raw(spark, sf_dir), cfg)
-            _prepared[key] = (cut_lineage(df, "prepared"), models)
+            _prepared[key] = (cut_lineage(df, "prepared", partition_by="region"), models)
         return _prepared[key][0]
 
 
@@ -65,7 +65,7 @@ def results(spark: SparkSession, sf_dir: str, cfg: Config = DEFAULT) -> DataFram
     with _lock:
         if key not in _full:
             df, models = finish(base, cfg, models)
-            _full[key] = (cut_lineage(df, "results"), models)
+            _full[key] = (cut_lineage(df, "results", partition_by="region"), models)
         return _full[key][0]
 
 

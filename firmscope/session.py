@@ -51,10 +51,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
+def cut_lineage(df: DataFrame, name: str = "stage", partition_by: str | None = None) -> DataFrame:
     """Materialise ``df`` as a parquet table in the shared checkpoint folder
     and read it back: one job, survives executor loss, starts a new lineage,
-    and later reads get column pruning and filter pushdown."""
+    and later reads get column pruning and filter pushdown (and partition
+    pruning on ``partition_by``). The schema is kept as written."""
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/firmscope-{name}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    writer = df.write.mode("overwrite")
+    if partition_by:
+        writer = writer.partitionBy(partition_by)
+    writer.parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    return back.select(*df.columns)
