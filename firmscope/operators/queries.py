@@ -195,11 +195,7 @@ def group_moments(df: DataFrame, group: str, value: Column) -> DataFrame:
 def box_summary(df: DataFrame, group: str, value: str) -> DataFrame:
     """Quartiles and 1.5-IQR whiskers (most extreme data points inside the fences)."""
     base = df.filter(F.col(group).isNotNull() & F.col(value).isNotNull())
-    q = (
-        quantiles(base, [value], [group], 0.25, ["q1"])
-        .join(quantiles(base, [value], [group], 0.5, ["median"]), group)
-        .join(quantiles(base, [value], [group], 0.75, ["q3"]), group)
-    )
+    q = quantiles(base, [value], [group], [0.25, 0.5, 0.75], ["q1", "median", "q3"])
     fences = q.withColumns(
         {"_lo": F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")), "_hi": F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))}
     )

@@ -43,14 +43,28 @@ def smallest_k_per_group(
 
 
 def quantiles(
-    df: DataFrame, value_cols: Sequence[str], group_cols: Sequence[str] = (), p: float = 0.5,
+    df: DataFrame, value_cols: Sequence[str], group_cols: Sequence[str] = (), p=0.5,
     names: Sequence[str] | None = None, exact_group_rows: int = EXACT_GROUP_ROWS,
 ) -> DataFrame:
     """Exact linear-interpolated quantile ``p`` (as pandas/NumPy/DuckDB
     ``quantile_cont``) of each value column per group; nulls skipped.
     Returns one row per group that has at least one value (all groups when
-    ``group_cols`` is empty: one row)."""
+    ``group_cols`` is empty: one row). ``p`` may be a list of probabilities
+    for a single value column (``names`` then names each probability)."""
     group_cols = list(group_cols)
+    if isinstance(p, (list, tuple)):
+        (c,) = value_cols
+        names = list(names)
+        n = df.groupBy(*group_cols).agg(F.count(c).alias("_n")).agg(F.max("_n").alias("m")).first()["m"] or 0
+        if n <= exact_group_rows:
+            arr = df.groupBy(*group_cols).agg(F.percentile(c, list(p)).alias("_qs"))
+            return arr.select(*group_cols, *[F.col("_qs")[i].alias(nm) for i, nm in enumerate(names)])
+        out = None
+        for pi, nm in zip(p, names):
+            q = quantiles(df, [c], group_cols, pi, [nm], exact_group_rows)
+            out = q if out is None else (out.join(q, group_cols, "full") if group_cols else
+                                         out.unionByName(q, allowMissingColumns=True))
+        return out if group_cols else out.agg(*[F.first(nm, ignorenulls=True).alias(nm) for nm in names])
     names = list(names or [f"q_{c}" for c in value_cols])
     sizes = df.groupBy(*group_cols).agg(*[F.count(c).alias(f"_n{i}") for i, c in enumerate(value_cols)])
     row = sizes.agg(*[F.max(f"_n{i}").alias(f"m{i}") for i in range(len(value_cols))]).first()

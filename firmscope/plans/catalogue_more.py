@@ -521,3 +521,20 @@ def impute_cv(spark, sf):
     clean = cut_lineage(clean_stage(companies_raw(spark, sf)), "cv-clean")
     groups = set(cfg.entity_map_impute.values()) | {cfg.entity_default}
     return cv(clean, "company_id", "log_rev_in", "log_emp_in", "entity_ord", groups)
+
+
+@register("embeddings_kmeans_ari")
+def embeddings_kmeans_ari(spark, sf):
+    """K1 + V3 on data with known structure: k-means (k = number of planted
+    labels, best of 10 starts) on the embedding vectors, ARI against the
+    planted labels."""
+    from pyspark.ml.functions import array_to_vector
+
+    from firmscope.operators.segment import kmeans_fit
+
+    emb = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "label", array_to_vector("embedding").alias("features"))
+    emb = cut_lineage(emb, "embeddings")
+    k = emb.select("label").distinct().count()
+    model = kmeans_fit(emb, k, 10, 42)
+    pred = model.transform(emb)
+    return V.adjusted_rand_index(pred, "label", "cluster").withColumn("k", F.lit(k))
