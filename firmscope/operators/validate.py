@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from firmscope.operators.queries import combine_rows, group_moments
+from firmscope.operators.queries import combine_rows
 from firmscope.session import cut_lineage
 
 

@@ -14,7 +14,7 @@ from firmscope.operators import extra as X
 from firmscope.operators import queries as Q
 from firmscope.operators import report as G
 from firmscope.operators import validate as V
-from firmscope.plans.catalogue import LEAD_COLS_SQL, _lead_cols, r2, r6, register
+from firmscope.plans.catalogue import _lead_cols, r2, r6, register
 from firmscope.plans.oracle import with_prepared
 from firmscope.plans.results import companies_raw, prepared, results, results_models
 from firmscope.session import cut_lineage
