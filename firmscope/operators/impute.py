@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from firmscope.operators.stats import smallest_k_per_group
+from firmscope.session import cut_lineage
 
 
 def fit_scaler(df: DataFrame, cols) -> dict:
@@ -121,7 +122,10 @@ def _impute_long(long: DataFrame, groups: list, zo_of: dict, k: int, splits: lis
     )
     keys = rec_x.select("tgt", "g", F.col("rkey").alias("key")).distinct().withColumn("kind", F.lit(1))
     u = u.unionByName(keys, allowMissingColumns=True)
-    ranked = _running_rank(u, splits)
+    # both the value side and the receiver side read the ranks: materialise
+    # once (column pruning would otherwise make the two subtrees differ and
+    # run the top-k windows and the ranking sort twice)
+    ranked = cut_lineage(_running_rank(u, splits), "knn-ranks")
     v_ranked = ranked.filter(F.col("kind") == 0).select("tgt", "g", F.col("rank").alias("vrank"), "key", "donors")
     r_keys = ranked.filter(F.col("kind") == 1).select("tgt", "g", F.col("key").alias("rkey"), F.col("rank").alias("r"))
 
