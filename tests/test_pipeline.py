@@ -96,3 +96,27 @@ def test_csv_reader_skips_long_rows_pads_short(spark, tmp_path):
     assert [r.company_id for r in df] == ["1", "3", "4"]
     assert df[1].region is None and df[1].company_name == "C"
     assert df[2].company_name is None and df[2].revenue_usd is None
+
+
+def test_prepared_same_at_1_and_n_partitions(spark):
+    from firmscope.config import Config
+    from firmscope.plans.results import prepared
+
+    cols = ["company_id", "revenue_clean", "employees_clean", "lead_score", "lead_tier", "revenue_vs_industry"]
+    a = prepared(spark, SF_SMALL, Config(rank_partitions=1)).select(*cols).toPandas().sort_values("company_id").reset_index(drop=True)
+    b = prepared(spark, SF_SMALL, Config(rank_partitions=16)).select(*cols).toPandas().sort_values("company_id").reset_index(drop=True)
+    assert a.equals(b)
+
+
+def test_no_nan_in_outputs(spark):
+    import math
+
+    from pyspark.sql import types as T
+
+    from firmscope.plans.results import results
+
+    r = results(spark, SF_SMALL)
+    doubles = [f.name for f in r.schema.fields if isinstance(f.dataType, T.DoubleType)]
+    row = r.agg(*[F.count_if(F.isnan(c)).alias(c) for c in doubles]).first()
+    assert all(row[c] == 0 for c in doubles), {c: row[c] for c in doubles if row[c]}
+    assert not any(isinstance(v, float) and math.isnan(v) for v in row)
