@@ -75,10 +75,10 @@ class Config:
     age_clip: tuple = (0.0, 200.0)
     vs_industry_clip: tuple = (-100.0, 500.0)
     evaluator_default_age: float = 15.0
-    # partitions used by range-ranked kNN search; a cluster run raises it
+    # minimum number of key buckets in the kNN ranking sort (grows with the data)
     rank_partitions: int = 8
     # broadcast a dimension only when its row count is at most this
-    broadcast_rows: int = 1_000_000
+    broadcast_rows: int = 200_000
 
 
 DEFAULT = Config()

@@ -38,7 +38,7 @@ def industry_stats(df: DataFrame) -> DataFrame:
     )
 
 
-def attach_benchmark(df: DataFrame, stats: DataFrame, max_rows: int = 1_000_000, clip=(-100.0, 500.0)) -> DataFrame:
+def attach_benchmark(df: DataFrame, stats: DataFrame, max_rows: int = 200_000, clip=(-100.0, 500.0)) -> DataFrame:
     """Left join to the per-industry medians (broadcast after a row-count
     check; the key is a 2-character prefix) and the clipped % gaps. Pass a
     materialised ``stats`` (the count check reads it)."""

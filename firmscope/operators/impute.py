@@ -48,22 +48,32 @@ def fit_scaler(df: DataFrame, cols) -> dict:
     return out
 
 
-def _fit_with_cuts(df: DataFrame, cols, cut_cols, probs, scaler: dict | None):
-    """One aggregation: the scaler (unless given) and approximate quantiles
-    of ``cut_cols`` (bucket boundaries for the ranking sort)."""
-    aggs = []
+# bucket cuts for the ranking sort come from one fine quantile grid, thinned
+# to about one bucket per RANK_BUCKET_ROWS input rows (at least `partitions`)
+CUT_GRID = 4096
+RANK_BUCKET_ROWS = 2_000_000
+
+
+def _fit_with_cuts(df: DataFrame, cols, cut_cols, partitions: int, scaler: dict | None):
+    """One aggregation: the row count, the scaler (unless given) and a fine
+    quantile grid of ``cut_cols``; returns the scaler and, per cut column,
+    bucket boundaries for about max(partitions, rows / RANK_BUCKET_ROWS) buckets."""
+    grid = [i / CUT_GRID for i in range(1, CUT_GRID)]
+    aggs = [F.count(F.lit(1)).alias("_rows")]
     if scaler is None:
         for c in cols:
             aggs += [F.avg(c).alias(f"m_{c}"), F.stddev_pop(c).alias(f"s_{c}")]
     for c in cut_cols:
-        aggs.append((F.percentile_approx(c, probs, 1000) if probs else F.array()).alias(f"q_{c}"))
+        aggs.append(F.percentile_approx(c, grid, 10 * CUT_GRID).alias(f"q_{c}"))
     row = df.agg(*aggs).first()
     if scaler is None:
         scaler = {}
         for c in cols:
             m, s = row[f"m_{c}"], row[f"s_{c}"]
             scaler[c] = (m if m is not None else 0.0, s if (s is not None and s > 0) else 1.0)
-    cuts = {c: [q for q in (row[f"q_{c}"] or []) if q is not None] for c in cut_cols}
+    buckets = min(CUT_GRID, max(partitions, -(-(row["_rows"] or 0) // RANK_BUCKET_ROWS)))
+    step = max(1, CUT_GRID // buckets)
+    cuts = {c: [q for q in (row[f"q_{c}"] or [])[step - 1::step] if q is not None] for c in cut_cols}
     return scaler, cuts
 
 
@@ -172,8 +182,7 @@ def knn_impute(
     ``imp_a``/``imp_b`` (the observed value where present) and the scaler.
     """
     # scaler fit and the bucket cuts of the ranking sort share one pass
-    probs = [i / partitions for i in range(1, partitions)]
-    scaler, raw_cuts = _fit_with_cuts(df, [a, b, ordinal], [a, b], probs, scaler)
+    scaler, raw_cuts = _fit_with_cuts(df, [a, b, ordinal], [a, b], partitions, scaler)
     (ma, sa), (mb, sb), (mo, so) = scaler[a], scaler[b], scaler[ordinal]
     groups = sorted({float(g) for g in groups})
     zo_of = {g: (g - mo) / so for g in groups}
@@ -228,8 +237,7 @@ def impute_cv(
     All folds, targets and k values run in one neighbour-search pass: the
     (target, fold) pair is the search's group key."""
     kmax = max(ks)
-    probs = [i / partitions for i in range(1, partitions)]
-    scaler, raw_cuts = _fit_with_cuts(df, [a, b, ordinal], [a, b], probs, None)
+    scaler, raw_cuts = _fit_with_cuts(df, [a, b, ordinal], [a, b], partitions, None)
     (ma, sa), (mb, sb), (mo, so) = scaler[a], scaler[b], scaler[ordinal]
     groups = sorted({float(g) for g in groups})
     zo_of = {g: (g - mo) / so for g in groups}

@@ -24,7 +24,7 @@ EXACT_GROUP_ROWS = 2_000_000
 APPROX_ACCURACY = 100_000
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
+def bounded_broadcast(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
     """``broadcast(df)`` when ``df`` has at most ``max_rows`` rows, else ``df``
     unchanged (the join then shuffles). Pass a materialised frame: the
     check runs a count job."""

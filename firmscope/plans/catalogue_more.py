@@ -383,13 +383,18 @@ def action_facts(spark, sf):
 
 @register("comparison_facts")
 def comparison_facts(spark, sf):
-    """G4 for every company beside the next company of its cluster by id."""
-    r = results(spark, sf)
-    from pyspark.sql import Window
+    """G4 for every company beside its cluster's highest-revenue company
+    (top-1 per cluster, limited on the map side; no per-cluster sort)."""
+    from firmscope.operators.stats import smallest_k_per_group
 
-    w = Window.partitionBy("cluster").orderBy("company_id")
-    pairs = r.select(F.col("company_id").alias("id_a"), F.lead("company_id").over(w).alias("id_b")).filter(F.col("id_b").isNotNull())
-    return G.comparison_facts(r, pairs)
+    r = results(spark, sf)
+    leader = smallest_k_per_group(r, ["cluster"], [F.col("revenue_clean").desc(), F.col("company_id")], 1).select(
+        "cluster", F.col("company_id").alias("id_b")
+    )
+    pairs = r.select("cluster", F.col("company_id").alias("id_a")).join(F.broadcast(leader), "cluster").filter(
+        F.col("id_a") != F.col("id_b")
+    )  # leader: one row per cluster (k rows)
+    return G.comparison_facts(r, pairs.select("id_a", "id_b"))
 
 
 @register("market_facts")
