@@ -48,33 +48,31 @@ def fit_scaler(df: DataFrame, cols) -> dict:
     return out
 
 
-# bucket cuts for the ranking sort come from one fine quantile grid, thinned
-# to about one bucket per RANK_BUCKET_ROWS input rows (at least `partitions`)
-CUT_GRID = 4096
+# bucket cuts for the ranking sort: about one bucket per RANK_BUCKET_ROWS input
+# rows (at least `partitions`, at most MAX_BUCKETS)
+MAX_BUCKETS = 4096
 RANK_BUCKET_ROWS = 2_000_000
 
 
 def _fit_with_cuts(df: DataFrame, cols, cut_cols, partitions: int, scaler: dict | None):
-    """One aggregation: the row count, the scaler (unless given) and a fine
-    quantile grid of ``cut_cols``; returns the scaler and, per cut column,
-    bucket boundaries for about max(partitions, rows / RANK_BUCKET_ROWS) buckets."""
-    grid = [i / CUT_GRID for i in range(1, CUT_GRID)]
+    """The row count and the scaler (unless given) in one aggregation, then
+    approximate quantiles of ``cut_cols`` as bucket boundaries for about
+    max(partitions, rows / RANK_BUCKET_ROWS) buckets (a statistics job, so
+    the probabilities never become a large literal expression)."""
     aggs = [F.count(F.lit(1)).alias("_rows")]
     if scaler is None:
         for c in cols:
             aggs += [F.avg(c).alias(f"m_{c}"), F.stddev_pop(c).alias(f"s_{c}")]
-    for c in cut_cols:
-        aggs.append(F.percentile_approx(c, grid, 10 * CUT_GRID).alias(f"q_{c}"))
     row = df.agg(*aggs).first()
     if scaler is None:
         scaler = {}
         for c in cols:
             m, s = row[f"m_{c}"], row[f"s_{c}"]
             scaler[c] = (m if m is not None else 0.0, s if (s is not None and s > 0) else 1.0)
-    buckets = min(CUT_GRID, max(partitions, -(-(row["_rows"] or 0) // RANK_BUCKET_ROWS)))
-    step = max(1, CUT_GRID // buckets)
-    cuts = {c: [q for q in (row[f"q_{c}"] or [])[step - 1::step] if q is not None] for c in cut_cols}
-    return scaler, cuts
+    buckets = min(MAX_BUCKETS, max(partitions, -(-(row["_rows"] or 0) // RANK_BUCKET_ROWS)))
+    probs = [i / buckets for i in range(1, buckets)]
+    qs = df.approxQuantile(list(cut_cols), probs, 1.0 / (10 * buckets)) if probs else [[] for _ in cut_cols]
+    return scaler, {c: [q for q in qv if q is not None] for c, qv in zip(cut_cols, qs)}
 
 
 def scale(col, mean: float, std: float):
