@@ -391,3 +391,13 @@ def all_queries() -> dict:
 def all_oracles() -> dict:
     all_queries()
     return dict(ORACLE)
+
+
+# ------------------------------------------------------------------ A18: pick list of names, one excluded
+@register("distinct_company_names", with_prepared(
+    "SELECT DISTINCT company_name FROM prepared WHERE company_name IS NOT NULL AND company_name <> 'Customer#000000001' "
+    "ORDER BY company_name LIMIT 500"))
+def distinct_company_names(spark, sf):
+    """Selection list for the second company of a comparison: distinct names
+    (sorted), the first company excluded, capped at 500 as the list is."""
+    return Q.distinct_values(prepared(spark, sf), "company_name", limit=500, exclude="Customer#000000001")

@@ -543,3 +543,10 @@ def embeddings_kmeans_ari(spark, sf):
     model = kmeans_fit(emb, k, 10, 42)
     pred = model.transform(emb)
     return V.adjusted_rand_index(pred, "label", "cluster").withColumn("k", F.lit(k))
+
+
+@register("anomaly_names")
+def anomaly_names(spark, sf):
+    """The first 20 anomaly names (by name) offered for investigation."""
+    r = results(spark, sf).filter(F.col("anomaly_label") == "Anomaly")
+    return Q.distinct_values(r, "company_name", limit=20)
