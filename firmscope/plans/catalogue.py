@@ -16,7 +16,7 @@ from firmscope.functions import clean as C
 from firmscope.functions import scoring as S
 from firmscope.operators import queries as Q
 from firmscope.operators.benchmark import industry_stats
-from firmscope.plans.oracle import with_prepared
+from firmscope.plans.oracle import ADAPTER_SQL, with_prepared
 from firmscope.plans.results import companies_raw, prepared
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,7 +79,7 @@ def clean_fields(spark, sf):
 
 @register(
     "clean_strict",
-    "WITH " + __import__("firmscope.plans.oracle", fromlist=["ADAPTER_SQL"]).ADAPTER_SQL
+    "WITH " + ADAPTER_SQL
     + " SELECT company_id, TRY_CAST(trim(replace(revenue_usd, ',', '')) AS DOUBLE) AS revenue_strict,"
     " TRY_CAST(trim(replace(employees_total, ',', '')) AS DOUBLE) AS employees_strict FROM raw",
 )

@@ -15,7 +15,7 @@ from firmscope.operators import queries as Q
 from firmscope.operators import report as G
 from firmscope.operators import validate as V
 from firmscope.plans.catalogue import _lead_cols, r2, r6, register
-from firmscope.plans.oracle import with_prepared
+from firmscope.plans.oracle import ADAPTER_SQL, with_prepared
 from firmscope.plans.results import companies_raw, prepared, results, results_models
 from firmscope.session import cut_lineage
 
@@ -237,7 +237,7 @@ def parsed_action_reports(spark, sf):
 
 
 # ------------------------------------------------------------------ S1, S4: CSV round trip of the raw table
-@register("csv_roundtrip", "WITH " + __import__("firmscope.plans.oracle", fromlist=["ADAPTER_SQL"]).ADAPTER_SQL
+@register("csv_roundtrip", "WITH " + ADAPTER_SQL
           + " SELECT company_id, company_name, region, country, sic_code, entity_type, revenue_usd, employees_total FROM raw")
 def csv_roundtrip(spark, sf):
     """Write the raw company table as a headered CSV with the reference's
