@@ -109,7 +109,11 @@ def iforest_fit(df: DataFrame, id_col: str, features: list, trees: int = 100, ps
     n = df.count()
     psi = min(psi, n)
     sample = sample_trees(df.select(id_col, *features), id_col, trees, psi, seed, n)
-    nodes = sample.groupBy("tree").applyInPandas(_grow(features, psi, seed), NODE_SCHEMA)
+    # an explicit partition count by tree (kept by AQE, unlike a tiny shuffle
+    # it would coalesce into one task) so trees grow in parallel; the grouped
+    # apply reuses this partitioning
+    parallel = max(1, min(trees, 2 * df.sparkSession.sparkContext.defaultParallelism))
+    nodes = sample.repartition(parallel, "tree").groupBy("tree").applyInPandas(_grow(features, psi, seed), NODE_SCHEMA)
     return nodes.withColumn("psi", F.lit(psi))
 
 
