@@ -550,3 +550,13 @@ def anomaly_names(spark, sf):
     """The first 20 anomaly names (by name) offered for investigation."""
     r = results(spark, sf).filter(F.col("anomaly_label") == "Anomaly")
     return Q.distinct_values(r, "company_name", limit=20)
+
+
+@register("score_companies_evaluator")
+def score_companies_evaluator(spark, sf):
+    """E1 with the reference evaluator's rules (D1, D12, I6 variants) over the
+    whole company table, with the pipeline's stored models."""
+    from firmscope.plans.pipeline import score_companies
+
+    out = score_companies(companies_raw(spark, sf), results_models(spark, sf), variant="evaluator")
+    return out.select("company_id", "cluster_name", "lead_score", "lead_tier", "anomaly_label", "revenue_clean", "employees_clean", "company_age")

@@ -187,17 +187,29 @@ def run(raw: DataFrame, cfg: Config = DEFAULT) -> tuple[DataFrame, Models]:
     return finish(df, cfg, m)
 
 
-def score_companies(raw_new: DataFrame, models: Models, cfg: Config = DEFAULT, donors: DataFrame | None = None) -> DataFrame:
-    """Score a table of new companies with stored models (E1): same cleaning,
-    kNN imputation against the stored donors, stored medians and industry
+def score_companies(
+    raw_new: DataFrame, models: Models, cfg: Config = DEFAULT, donors: DataFrame | None = None, variant: str = "pipeline",
+) -> DataFrame:
+    """Score a table of new companies with stored models (E1): cleaning,
+    kNN imputation against the stored donors, features, stored industry
     medians, stored scaler, k-means centres, forest and threshold. Stateless
-    per row except the donor search, so it also runs on a stream's batches."""
+    per row except the donor search, so it also runs on a stream's batches.
+
+    ``variant='pipeline'`` (default) applies the pipeline's rules, so batch
+    scores equal the pipeline's for the same rows. ``variant='evaluator'``
+    applies the reference's single-company evaluator rules instead: strict
+    number parser, its entity map for both imputation and features, age 15
+    when the year is missing or 0, revenue/employee and IT/employee 0 when
+    headcount is not positive, any non-empty value as domestic ultimate,
+    missing cluster features as 0, left-closed tier cuts (75/50/30)."""
     from firmscope.operators.impute import knn_apply
 
-    df = cut_lineage(clean_stage(raw_new, cfg), "new-clean")  # the donor search reads it many times
     if donors is None:
         donors = models.donors
     groups = set(cfg.entity_map_impute.values()) | {cfg.entity_default}
+    if variant == "evaluator":
+        return _score_evaluator(raw_new, models, cfg, donors, groups)
+    df = cut_lineage(clean_stage(raw_new, cfg), "new-clean")  # the donor search reads it many times
     imp = knn_apply(df, donors, "company_id", "log_rev_in", "log_emp_in", "entity_ord", groups, models.impute_scaler, cfg.knn_k, cfg.rank_partitions)
     imp = imp.withColumns(
         {
@@ -210,3 +222,61 @@ def score_companies(raw_new: DataFrame, models: Models, cfg: Config = DEFAULT, d
     feat = rule_risk_stage(score_stage(feat, cfg), cfg)
     out, _ = finish(feat, cfg, models, refit=False)
     return out
+
+
+def _score_evaluator(raw_new: DataFrame, models: Models, cfg: Config, donors: DataFrame, groups) -> DataFrame:
+    from firmscope.config import CLUSTER_FEATURES, ENTITY_MAP_EVALUATOR
+    from firmscope.operators.impute import knn_apply
+
+    present = lambda c: F.coalesce(F.length(F.col(c)) > 0, F.lit(False))  # noqa: E731  (non-empty value)
+    rev, emp = C.clean_number_strict("revenue_usd"), C.clean_number_strict("employees_total")
+    df = raw_new.withColumns({"revenue_raw": rev, "employees_raw": emp})
+    df = df.withColumns(
+        {
+            "log_rev_in": F.when(F.col("revenue_raw") > 0, F.log1p("revenue_raw")),
+            "log_emp_in": F.when(F.col("employees_raw") > 0, F.log1p("employees_raw")),
+            "entity_ord": C.entity_ordinal("entity_type", ENTITY_MAP_EVALUATOR, cfg.entity_default),
+            "is_domestic_ultimate_clean": present("is_domestic_ultimate").cast("int"),
+            "year_found_clean": C.clean_number_strict("year_found"),
+            "market_value_clean": C.clean_number_strict("market_value_usd"),
+            "it_spend_clean": F.coalesce(C.clean_number_strict("it_spend"), F.lit(0.0)),
+            "has_parent": present("parent_company").cast("int"),
+            "sic2": FE.sic2(F.col("sic_code")),
+        }
+    ).withColumn("entity_score", F.col("entity_ord"))
+    df = cut_lineage(df, "new-eval")
+    imp = knn_apply(df, donors, "company_id", "log_rev_in", "log_emp_in", "entity_ord", groups, models.impute_scaler, cfg.knn_k, cfg.rank_partitions)
+    emp_c = F.col("employees_clean")
+    feat = imp.withColumns(
+        {
+            "log_revenue": F.coalesce(F.col("log_rev_in"), F.col("imp_log_rev_in")),
+            "log_employees": F.coalesce(F.col("log_emp_in"), F.col("imp_log_emp_in")),
+            "revenue_clean": F.when(F.col("log_rev_in").isNotNull(), F.col("revenue_raw")).otherwise(F.expm1("imp_log_rev_in")),
+            "employees_clean": F.when(F.col("log_emp_in").isNotNull(), F.col("employees_raw")).otherwise(F.expm1("imp_log_emp_in")),
+        }
+    ).withColumns(
+        {
+            "company_age": F.when(F.col("year_found_clean").isNull() | (F.col("year_found_clean") == 0), F.lit(cfg.evaluator_default_age))
+            .otherwise(F.least(F.greatest(F.lit(float(cfg.reference_year)) - F.col("year_found_clean"), F.lit(0.0)), F.lit(200.0))),
+            "revenue_per_employee": F.when(emp_c > 0, F.col("revenue_clean") / emp_c).otherwise(F.lit(0.0)),
+            "it_spend_per_emp": F.when(emp_c > 0, F.col("it_spend_clean") / emp_c).otherwise(F.lit(0.0)),
+            "data_completeness": (
+                (F.col("revenue_raw") > 0).cast("int") + (F.col("employees_raw") > 0).cast("int")
+                + present("sic_code").cast("int") + present("entity_type").cast("int") + present("region").cast("int")
+                + present("country").cast("int") + present("year_found").cast("int")
+            ) / F.lit(7.0),
+            "is_revenue_missing": F.coalesce(~(F.col("revenue_raw") > 0), F.lit(True)),
+            "is_employees_missing": F.coalesce(~(F.col("employees_raw") > 0), F.lit(True)),
+        }
+    ).drop("imp_log_rev_in", "imp_log_emp_in")
+    feat = feat.fillna(0.0, subset=list(CLUSTER_FEATURES))  # missing cluster features -> 0
+    feat = feat.withColumn(
+        "lead_score",
+        S.lead_score_v2(
+            F.col("revenue_clean"), F.col("is_domestic_ultimate_clean"), F.col("entity_score"), F.col("revenue_per_employee"),
+            F.col("it_spend_per_emp"), F.col("market_value_clean"), F.col("company_age"), F.col("data_completeness"), cfg.completeness_cut,
+        ),
+    ).withColumn("lead_tier", S.lead_tier(F.col("lead_score"), "evaluator"))
+    feat = rule_risk_stage(feat, cfg)
+    out, _ = finish(feat, cfg, models, refit=False)
+    return out

@@ -120,3 +120,21 @@ def test_no_nan_in_outputs(spark):
     row = r.agg(*[F.count_if(F.isnan(c)).alias(c) for c in doubles]).first()
     assert all(row[c] == 0 for c in doubles), {c: row[c] for c in doubles if row[c]}
     assert not any(isinstance(v, float) and math.isnan(v) for v in row)
+
+
+def test_evaluator_variant_sample_company(spark):
+    """The sample new company: revenue 15M, 50 employees, Parent, founded
+    2010, domestic ultimate -> 25 + 15 + 5 = 45, Warm; age 16."""
+    from firmscope.plans.pipeline import score_companies
+    from firmscope.plans.results import companies_raw, results_models
+    from firmscope.sources.companies import ENGINE_COLUMNS
+
+    raw = companies_raw(spark, SF_SMALL)
+    row = {c: None for c in ENGINE_COLUMNS}
+    row.update(company_id=10**9, company_name="Local Kingpin", revenue_usd="15000000", employees_total="50",
+               entity_type="Parent", year_found="2010", is_domestic_ultimate="True")
+    new = spark.createDataFrame([tuple(row[c] for c in raw.columns)], raw.schema)
+    out = score_companies(new, results_models(spark, SF_SMALL), variant="evaluator").first()
+    assert out.lead_score == 45.0 and out.lead_tier == "Warm" and out.company_age == 16.0
+    assert out.revenue_clean == 15e6 and out.employees_clean == 50.0
+    assert out.cluster_name.startswith("Tier ")
