@@ -15,7 +15,7 @@ from firmscope.operators import queries as Q
 from firmscope.operators import report as G
 from firmscope.operators import validate as V
 from firmscope.plans.catalogue import _lead_cols, r2, r6, register
-from firmscope.plans.oracle import ADAPTER_SQL, with_prepared
+from firmscope.plans.oracle import ADAPTER_SQL, EVALUATOR_SQL, with_prepared
 from firmscope.plans.results import companies_raw, prepared, results, results_models
 from firmscope.session import cut_lineage
 
@@ -560,3 +560,18 @@ def score_companies_evaluator(spark, sf):
 
     out = score_companies(companies_raw(spark, sf), results_models(spark, sf), variant="evaluator")
     return out.select("company_id", "cluster_name", "lead_score", "lead_tier", "anomaly_label", "revenue_clean", "employees_clean", "company_age")
+
+
+@register("evaluator_scores", EVALUATOR_SQL + (
+    "SELECT company_id, round(lead_score, 6) AS lead_score, CASE WHEN lead_score >= 75 THEN 'Priority' WHEN lead_score >= 50 THEN 'Hot' "
+    "WHEN lead_score >= 30 THEN 'Warm' ELSE 'Cold' END AS lead_tier, round(revenue_clean, 2) AS revenue_clean, "
+    "round(employees_clean, 4) AS employees_clean, round(company_age, 6) AS company_age FROM evaluated"))
+def evaluator_scores(spark, sf):
+    """The deterministic columns of the evaluator variant."""
+    from firmscope.plans.pipeline import score_companies
+
+    out = score_companies(companies_raw(spark, sf), results_models(spark, sf), variant="evaluator")
+    return out.select(
+        "company_id", r6("lead_score").alias("lead_score"), "lead_tier", r2("revenue_clean").alias("revenue_clean"),
+        F.round("employees_clean", 4).alias("employees_clean"), r6("company_age").alias("company_age"),
+    )

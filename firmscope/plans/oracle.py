@@ -136,3 +136,62 @@ prepared AS (
 
 def with_prepared(select: str) -> str:
     return CORE_SQL + select
+
+
+_STRICT = "TRY_CAST(trim(replace({c}, ',', '')) AS DOUBLE)"
+
+# The single-company evaluator's rules on every company, imputed against the
+# pipeline's rows as stored donors (same scaler), brute force.
+EVALUATOR_SQL = CORE_SQL.rstrip() + f""",
+e0 AS (
+  SELECT company_id, {_STRICT.format(c='revenue_usd')} AS rev_e, {_STRICT.format(c='employees_total')} AS emp_e,
+    {_STRICT.format(c='year_found')} AS year_e, {_STRICT.format(c='market_value_usd')} AS mv_e,
+    COALESCE({_STRICT.format(c='it_spend')}, 0.0) AS it_e,
+    CAST(COALESCE(length(is_domestic_ultimate) > 0, false) AS INTEGER) AS du_e,
+    CAST(CASE entity_type WHEN 'Parent' THEN 3 WHEN 'Headquarters' THEN 3 WHEN 'Subsidiary' THEN 2 WHEN 'Branch' THEN 1
+         WHEN 'Single Location' THEN 3 ELSE 1 END AS DOUBLE) AS ord_e,
+    (CAST(COALESCE(length(sic_code) > 0, false) AS INTEGER) + CAST(COALESCE(length(entity_type) > 0, false) AS INTEGER)
+     + CAST(COALESCE(length(region) > 0, false) AS INTEGER) + CAST(COALESCE(length(country) > 0, false) AS INTEGER)
+     + CAST(COALESCE(length(year_found) > 0, false) AS INTEGER)) AS present5
+  FROM raw),
+e1 AS (
+  SELECT e0.*, CASE WHEN rev_e > 0 THEN ln(1 + rev_e) END AS va, CASE WHEN emp_e > 0 THEN ln(1 + emp_e) END AS vb FROM e0),
+ez AS (SELECT e1.*, (va - ma) / sa AS za, (vb - mb) / sb AS zb, (ord_e - mo) / so AS zo FROM e1, sc),
+ecand_a AS (
+  SELECT r.company_id AS rid, d.id AS did, d.va AS t,
+         CASE WHEN r.zb IS NOT NULL AND d.zb IS NOT NULL THEN 1.5 * ((r.zb - d.zb) * (r.zb - d.zb) + (r.zo - d.zo) * (r.zo - d.zo))
+              ELSE 3.0 * ((r.zo - d.zo) * (r.zo - d.zo)) END AS d2
+  FROM ez r JOIN z d ON r.va IS NULL AND d.va IS NOT NULL),
+eimp_a AS (
+  SELECT rid, avg(t) AS imp FROM (
+    SELECT rid, t, row_number() OVER (PARTITION BY rid ORDER BY d2, did) AS rk FROM ecand_a) WHERE rk <= 5 GROUP BY rid),
+ecand_b AS (
+  SELECT r.company_id AS rid, d.id AS did, d.vb AS t,
+         CASE WHEN r.za IS NOT NULL AND d.za IS NOT NULL THEN 1.5 * ((r.za - d.za) * (r.za - d.za) + (r.zo - d.zo) * (r.zo - d.zo))
+              ELSE 3.0 * ((r.zo - d.zo) * (r.zo - d.zo)) END AS d2
+  FROM ez r JOIN z d ON r.vb IS NULL AND d.vb IS NOT NULL),
+eimp_b AS (
+  SELECT rid, avg(t) AS imp FROM (
+    SELECT rid, t, row_number() OVER (PARTITION BY rid ORDER BY d2, did) AS rk FROM ecand_b) WHERE rk <= 5 GROUP BY rid),
+e2 AS (
+  SELECT ez.*,
+    CASE WHEN va IS NOT NULL THEN rev_e ELSE exp(ia.imp) - 1 END AS revenue_clean,
+    CASE WHEN vb IS NOT NULL THEN emp_e ELSE exp(ib.imp) - 1 END AS employees_clean,
+    CASE WHEN year_e IS NULL OR year_e = 0 THEN 15.0 ELSE least(greatest(2026.0 - year_e, 0.0), 200.0) END AS company_age,
+    (CAST(COALESCE(rev_e > 0, false) AS INTEGER) + CAST(COALESCE(emp_e > 0, false) AS INTEGER) + present5) / 7.0 AS completeness
+  FROM ez LEFT JOIN eimp_a ia ON ia.rid = ez.company_id LEFT JOIN eimp_b ib ON ib.rid = ez.company_id),
+e3 AS (
+  SELECT *, CASE WHEN employees_clean > 0 THEN revenue_clean / employees_clean ELSE 0.0 END AS rpe,
+    CASE WHEN employees_clean > 0 THEN it_e / employees_clean ELSE 0.0 END AS it_emp FROM e2),
+evaluated AS (
+  SELECT *, CAST(least(100.0, greatest(0.0, (
+      CASE WHEN revenue_clean >= 1e8 THEN 35.0 WHEN revenue_clean >= 1e7 THEN 25.0 WHEN revenue_clean >= 1e6 THEN 15.0
+           WHEN revenue_clean >= 1e5 THEN 5.0 ELSE 0.0 END
+      + CASE WHEN du_e = 1 THEN 15.0 ELSE ord_e * 3.0 END
+      + CASE WHEN rpe >= 5e5 THEN 10.0 ELSE 0.0 END
+      + CASE WHEN it_emp > 1000 THEN 10.0 WHEN it_emp > 0 THEN 5.0 ELSE 0.0 END
+      + CASE WHEN mv_e > 0 THEN 15.0 ELSE 0.0 END
+      + CASE WHEN company_age >= 3 AND company_age <= 10 THEN 10.0 WHEN company_age > 10 THEN 5.0 ELSE 0.0 END
+    ) * CASE WHEN completeness < 0.5 THEN 0.8 ELSE 1.0 END)) AS DOUBLE) AS lead_score
+  FROM e3)
+"""

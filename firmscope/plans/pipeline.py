@@ -261,7 +261,8 @@ def _score_evaluator(raw_new: DataFrame, models: Models, cfg: Config, donors: Da
             "revenue_per_employee": F.when(emp_c > 0, F.col("revenue_clean") / emp_c).otherwise(F.lit(0.0)),
             "it_spend_per_emp": F.when(emp_c > 0, F.col("it_spend_clean") / emp_c).otherwise(F.lit(0.0)),
             "data_completeness": (
-                (F.col("revenue_raw") > 0).cast("int") + (F.col("employees_raw") > 0).cast("int")
+                F.coalesce(F.col("revenue_raw") > 0, F.lit(False)).cast("int")
+                + F.coalesce(F.col("employees_raw") > 0, F.lit(False)).cast("int")
                 + present("sic_code").cast("int") + present("entity_type").cast("int") + present("region").cast("int")
                 + present("country").cast("int") + present("year_found").cast("int")
             ) / F.lit(7.0),
