@@ -138,3 +138,18 @@ def test_evaluator_variant_sample_company(spark):
     assert out.lead_score == 45.0 and out.lead_tier == "Warm" and out.company_age == 16.0
     assert out.revenue_clean == 15e6 and out.employees_clean == 50.0
     assert out.cluster_name.startswith("Tier ")
+
+
+def test_write_and_read_results(spark, tmp_path):
+    from firmscope.plans.results import results
+    from firmscope.sources.companies import read_results, write_results
+
+    r = results(spark, SF_SMALL).select("company_id", "region", "lead_score", "cluster_name", "risk_flags")
+    write_results(r, str(tmp_path / "pq"), "parquet")
+    back = read_results(spark, str(tmp_path / "pq"), "parquet")
+    assert sorted(back.columns) == sorted(r.columns)
+    assert back.count() == r.count()
+    assert back.filter(F.col("region") == "ASIA").count() == r.filter(F.col("region") == "ASIA").count()
+    write_results(r, str(tmp_path / "csv"), "csv", partition_by=None)
+    csv = read_results(spark, str(tmp_path / "csv"), "csv")
+    assert csv.count() == r.count() and set(csv.columns) == set(r.columns)
