@@ -131,7 +131,7 @@ def test_evaluator_variant_sample_company(spark):
 
     raw = companies_raw(spark, SF_SMALL)
     row = {c: None for c in ENGINE_COLUMNS}
-    row.update(company_id=10**9, company_name="Local Kingpin", revenue_usd="15000000", employees_total="50",
+    row.update(company_id=10**9, company_name="Sample Co", revenue_usd="15000000", employees_total="50",
                entity_type="Parent", year_found="2010", is_domestic_ultimate="True")
     new = spark.createDataFrame([tuple(row[c] for c in raw.columns)], raw.schema)
     out = score_companies(new, results_models(spark, SF_SMALL), variant="evaluator").first()
