@@ -125,7 +125,7 @@ def _fit_best(df: DataFrame, k: int, starts: int, seed: int, weight_col: str | N
     return best
 
 
-def bootstrap_ari(vec: DataFrame, base_col: str, runs: int = 20, k: int = 5, starts: int = 5, parallel: int = 4) -> DataFrame:
+def bootstrap_ari(vec: DataFrame, base_col: str, runs: int = 20, k: int = 5, starts: int = 5, parallel: int = 8) -> DataFrame:
     """Resample with replacement (Poisson(1) row weights — one pass, no row
     copies), refit k-means, relabel the original rows, ARI vs the base labels.
     Returns (run, ari)."""
