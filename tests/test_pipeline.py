@@ -153,3 +153,35 @@ def test_write_and_read_results(spark, tmp_path):
     write_results(r, str(tmp_path / "csv"), "csv", partition_by=None)
     csv = read_results(spark, str(tmp_path / "csv"), "csv")
     assert csv.count() == r.count() and set(csv.columns) == set(r.columns)
+
+
+def test_market_filter_semantics(spark):
+    from firmscope.operators.queries import MarketSpec, market_filter
+    from firmscope.plans.results import results
+
+    r = results(spark, SF_SMALL)
+    pdf = r.select("company_id", "region", "country", "sic_description", "revenue_clean", "employees_clean",
+                   "cluster", "cluster_tier", "risk_flags").toPandas()
+
+    def ids(spec, mode="tier"):
+        return sorted(market_filter(r, spec, mode).select("company_id").toPandas().company_id)
+
+    # unknown region is ignored
+    assert ids(MarketSpec(region="ATLANTIS")) == sorted(pdf.company_id)
+    # country: trimmed, lower-cased literal containment
+    exp = pdf[pdf.country.fillna("").str.lower().str.strip().str.contains("nation_1", regex=False) & pdf.country.notna()]
+    assert ids(MarketSpec(country="  NATION_1 ")) == sorted(exp.company_id)
+    # keywords: any, case-insensitive regex
+    exp = pdf[pdf.sic_description.str.contains("auto|furn", case=False, na=False)]
+    assert ids(MarketSpec(industry_keywords=("AUTO", "furn"))) == sorted(exp.company_id)
+    # bounds inclusive: a bound equal to an existing value keeps that row
+    v = float(pdf.revenue_clean.median())
+    exp = pdf[(pdf.revenue_clean >= v) & (pdf.revenue_clean <= v)]
+    assert ids(MarketSpec(min_revenue=v, max_revenue=v)) == sorted(exp.company_id)
+    # tiers by tier number, or by the raw k-means label
+    exp = pdf[pdf.cluster_tier.isin([1, 2]) & (pdf.risk_flags < 2)]
+    assert ids(MarketSpec(target_tiers=(1, 2), exclude_high_risk=True)) == sorted(exp.company_id)
+    exp = pdf[pdf.cluster.isin([1, 2])]
+    assert ids(MarketSpec(target_tiers=(1, 2)), "label") == sorted(exp.company_id)
+    # empty result
+    assert ids(MarketSpec(min_revenue=1e30)) == []
