@@ -153,3 +153,18 @@ def test_impute_cv_matches_brute_force(spark):
                     errs.append((X[donors[order], col].mean() - X[r, col]) ** 2)
                 mses.append(np.mean(errs))
             assert got.loc[(name, k), "mse"] == pytest.approx(np.mean(mses), rel=1e-9)
+
+
+def test_knn_hot_key_matches_brute_force(spark):
+    """A third of the rows share one employee value: long runs of equal keys
+    must still give the k smallest-id donors at equal distance."""
+    base = P.clean_stage(read_tables(spark, SF_MID))
+    hot = base.withColumn(
+        "log_emp_in", F.when((F.col("company_id") % 3 == 0) & F.col("log_emp_in").isNotNull(), F.lit(4.0)).otherwise(F.col("log_emp_in"))
+    )
+    out, _ = I.knn_impute(hot, "company_id", "log_rev_in", "log_emp_in", "entity_ord", [1, 2, 3, 4], 5, 8)
+    got = out.select("company_id", "imp_log_rev_in", "imp_log_emp_in").toPandas().sort_values("company_id")
+    src = hot.select("company_id", "log_rev_in", "log_emp_in", "entity_ord").toPandas().sort_values("company_id")
+    exp = brute_knn(src.company_id.to_numpy(), src.log_rev_in.to_numpy(dtype=float), src.log_emp_in.to_numpy(dtype=float), src.entity_ord.to_numpy(dtype=float))
+    np.testing.assert_allclose(got.imp_log_rev_in.to_numpy(dtype=float), exp[:, 0], rtol=1e-12)
+    np.testing.assert_allclose(got.imp_log_emp_in.to_numpy(dtype=float), exp[:, 1], rtol=1e-12)
