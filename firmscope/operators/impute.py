@@ -160,7 +160,9 @@ def _impute_long(long: DataFrame, groups: list, zo_of: dict, k: int, splits: lis
     # b_nx and b_all hold at most 2 targets x groups x k rows: broadcast is bounded by construction
 
     # (4) k nearest by (d^2, id), mean of their values
-    cands = cand_a.unionByName(cand_b).unionByName(cand_c)
+    # one shuffle by receiver serves the rank window, the per-target mean and
+    # the caller's per-row pivot (all cluster on the receiver id)
+    cands = cand_a.unionByName(cand_b).unionByName(cand_c).repartition("rid")
     w = Window.partitionBy("tgt", "rid").orderBy("d2", "id")
     best = cands.withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") <= k)
     if ks:
