@@ -210,7 +210,11 @@ def score_companies(
     if variant == "evaluator":
         return _score_evaluator(raw_new, models, cfg, donors, groups)
     df = cut_lineage(clean_stage(raw_new, cfg), "new-clean")  # the donor search reads it many times
-    imp = knn_apply(df, donors, "company_id", "log_rev_in", "log_emp_in", "entity_ord", groups, models.impute_scaler, cfg.knn_k, cfg.rank_partitions)
+    needs = df.filter(F.col("log_rev_in").isNull() | F.col("log_emp_in").isNull()).select(F.lit(1)).limit(1).count() > 0
+    if needs:
+        imp = knn_apply(df, donors, "company_id", "log_rev_in", "log_emp_in", "entity_ord", groups, models.impute_scaler, cfg.knn_k, cfg.rank_partitions)
+    else:  # nothing to impute (e.g. a complete micro-batch): no neighbour search
+        imp = df.withColumns({"imp_log_rev_in": F.col("log_rev_in"), "imp_log_emp_in": F.col("log_emp_in")})
     imp = imp.withColumns(
         {
             "revenue_clean": F.when(F.col("log_rev_in").isNotNull(), F.col("revenue_raw")).otherwise(F.expm1("imp_log_rev_in")),

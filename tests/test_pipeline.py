@@ -185,3 +185,15 @@ def test_market_filter_semantics(spark):
     assert ids(MarketSpec(target_tiers=(1, 2)), "label") == sorted(exp.company_id)
     # empty result
     assert ids(MarketSpec(min_revenue=1e30)) == []
+
+
+def test_complete_rows_skip_search(spark):
+    from firmscope.plans.pipeline import score_companies
+    from firmscope.plans.results import companies_raw, results, results_models
+
+    raw = companies_raw(spark, SF_SMALL)
+    complete = raw.filter(F.col("revenue_usd").isNotNull() & (F.col("employees_total") != "0") & F.col("employees_total").isNotNull())
+    out = score_companies(complete, results_models(spark, SF_SMALL)).select("company_id", "lead_score").toPandas()
+    base = results(spark, SF_SMALL).select("company_id", "lead_score").toPandas()
+    m = out.merge(base, on="company_id", suffixes=("_new", "_base"))
+    assert len(m) == len(out) > 0 and (m.lead_score_new == m.lead_score_base).all()
