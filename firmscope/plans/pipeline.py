@@ -118,11 +118,15 @@ def rule_risk_stage(df: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     )
 
 
-def prepare(raw: DataFrame, cfg: Config = DEFAULT, models: Models | None = None) -> tuple[DataFrame, Models]:
+def prepare(
+    raw: DataFrame | None, cfg: Config = DEFAULT, models: Models | None = None, cleaned: DataFrame | None = None,
+) -> tuple[DataFrame, Models]:
     """Deterministic core. With ``models`` given, stored fits are reused
-    (batch scoring); otherwise they are fitted here."""
+    (batch scoring); otherwise they are fitted here. ``cleaned`` may pass an
+    already materialised ``clean_stage`` output instead of ``raw``."""
     fitted = models or Models()
-    df = cut_lineage(clean_stage(raw, cfg), "clean")  # read by the scaler fit, the search and the join
+    # the cleaned table is read by the scaler fit, the search and the join: materialised
+    df = cleaned if cleaned is not None else cut_lineage(clean_stage(raw, cfg), "clean")
     fitted.donors = df.select("company_id", "log_rev_in", "log_emp_in", "entity_ord")
     df, fitted.impute_scaler = impute_stage(df, cfg, fitted.impute_scaler or None)
     df = cut_lineage(df, "imputed")  # read by the median fits and everything after

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from firmscope.config import DEFAULT, Config
 from firmscope.session import cut_lineage
-from firmscope.sources.companies import read_tables
+from firmscope.sources.companies import RAW_VIEW_COLUMNS, read_tables
 
 _lock = threading.RLock()
 _prepared: dict = {}
@@ -24,17 +24,26 @@ def _key(spark: SparkSession, sf_dir: str, cfg: Config):
     return (spark.sparkContext.applicationId, sf_dir.rstrip("/"), repr(cfg))
 
 
-_raw: dict = {}
+_clean: dict = {}
 
 
-def companies_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The raw company view, materialised once: the customer/orders join and
-    aggregation are shared by the pipeline, batch scoring and the CSV round trip."""
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+def companies_clean(spark: SparkSession, sf_dir: str, cfg: Config = DEFAULT) -> DataFrame:
+    """The company view with the cleaning columns, materialised once: the
+    customer/orders join and aggregation and the cleaning projection are
+    shared by the pipeline, batch scoring and the CSV round trip."""
+    from firmscope.plans.pipeline import clean_stage
+
+    key = _key(spark, sf_dir, cfg)
     with _lock:
-        if key not in _raw:
-            _raw[key] = cut_lineage(read_tables(spark, sf_dir), "raw")
-        return _raw[key]
+        if key not in _clean:
+            _clean[key] = cut_lineage(clean_stage(read_tables(spark, sf_dir), cfg), "clean")
+        return _clean[key]
+
+
+def companies_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw (all-text) company view: a column projection of the
+    materialised cleaned table, so it costs no extra write."""
+    return companies_clean(spark, sf_dir).select(*RAW_VIEW_COLUMNS)
 
 
 def prepared(spark: SparkSession, sf_dir: str, cfg: Config = DEFAULT) -> DataFrame:
@@ -44,7 +53,7 @@ def prepared(spark: SparkSession, sf_dir: str, cfg: Config = DEFAULT) -> DataFra
     key = _key(spark, sf_dir, cfg)
     with _lock:
         if key not in _prepared:
-            df, models = prepare(companies_raw(spark, sf_dir), cfg)
+            df, models = prepare(None, cfg, cleaned=companies_clean(spark, sf_dir, cfg))
             _prepared[key] = (cut_lineage(df, "prepared", partition_by="region"), models)
         return _prepared[key][0]
 

@@ -48,6 +48,13 @@ NULL_TOKENS = (
 
 _OVERFLOW = "_overflow_field"
 
+# Columns of the company view built by ``read_tables`` (in order).
+RAW_VIEW_COLUMNS = (
+    "company_id", "company_name", "region", "country", "sic_code", "sic_description", "entity_type", "parent_company",
+    "year_found", "is_domestic_ultimate", "revenue_usd", "employees_total", "employees_single_site",
+    "corporate_family_members", "market_value_usd", "it_spend",
+)
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
