@@ -16,6 +16,7 @@ from firmscope.session import cut_lineage
 from firmscope.sources.companies import RAW_VIEW_COLUMNS, read_tables
 
 _lock = threading.RLock()
+_clean: dict = {}
 _prepared: dict = {}
 _full: dict = {}
 
@@ -24,9 +25,6 @@ def _key(spark: SparkSession, sf_dir: str, cfg: Config):
     return (spark.sparkContext.applicationId, sf_dir.rstrip("/"), repr(cfg))
 
 
-_clean: dict = {}
-
-
 def companies_clean(spark: SparkSession, sf_dir: str, cfg: Config = DEFAULT) -> DataFrame:
     """The company view with the cleaning columns, materialised once: the
     customer/orders join and aggregation and the cleaning projection are
