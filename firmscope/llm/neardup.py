@@ -12,8 +12,12 @@ Not all pairs of a bucket are made. First every member meets the smallest one;
 then members that are still apart meet the member with most links; and only
 pairs of different components are made in the last round. Members of one
 component need no further links, so none between different components is lost.
-A link at the threshold itself shares no band with probability 2e-7, and the
-screen drops it with less than 1e-9.
+In the last round a bound by rarity spares pairs that cannot be similar: with
+q(x) shingles of x in no other document of that round, the intersection of x
+and y is at most min(n(x) - q(x), n(y) - q(y)).
+A pair that shares several buckets is made in the first of them alone. A link
+at the threshold itself shares no band with probability 2e-7, and the screen
+drops it with about as much.
 
 Rows: null or empty texts, and texts without words, have the empty set and are
 linked with nothing. Rows that repeat a doc_id and text get the same result;
@@ -28,6 +32,7 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
@@ -41,10 +46,12 @@ PERCENT = 85
 BANDS, ROWS = 40, 7
 #: One-bit signatures: minima used, and bits that may differ. A linked pair
 #: differs in a bit with at most (1 - 0.85) / 2, so in 256 with mean 19.2 and
-#: deviation 4.2; 46 is more than six deviations away.
-SIGNATURE_BITS, MAX_DIFFERENT = 256, 46
+#: deviation 4.2; 42 is more than five deviations away.
+SIGNATURE_BITS, MAX_DIFFERENT = 256, 42
 #: Shingles hashed at a time.
 PIECE = 2048
+#: Texts whose shingles meet in one range, about.
+TEXTS_PER_RANGE = 5000
 #: Rows with two texts in an Arrow batch.
 PAIR_ROWS = 200
 
@@ -131,6 +138,34 @@ def _may_link(percent: int) -> Column:
     return (100 * small >= percent * large) & (different <= MAX_DIFFERENT)
 
 
+def _own_shingles(texts: DataFrame, ranges: int) -> DataFrame:
+    """(rep, own): shingles of each text that are in no other text. Sorted
+    blocks of hashes are cut by range; a range decides about its hashes."""
+    width = (1 << 64) // ranges + 1
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(t.as_py()) for t in batch.column(1).cast(pa.binary())]
+            hashes = np.concatenate([*sets, np.empty(0, np.uint64)])
+            owners = np.repeat(batch.column(0).to_numpy(), [len(x) for x in sets])
+            order = np.argsort(hashes)
+            cuts = np.searchsorted(hashes[order], np.array([i * width for i in range(1, ranges)], np.uint64))
+            parts = [(i, x) for i, x in enumerate(np.split(order, cuts)) if len(x)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([i for i, _ in parts], pa.int32()), pa.array([hashes[x].tobytes() for _, x in parts], pa.binary()), pa.array([owners[x].tobytes() for _, x in parts], pa.binary())],
+                names=["part", "hashes", "owners"])
+
+    def once(frame: pd.DataFrame) -> pd.DataFrame:
+        hashes = np.concatenate([np.frombuffer(x, np.uint64) for x in frame.hashes])
+        owners = np.concatenate([np.frombuffer(x, np.int64) for x in frame.owners])
+        _, first, n = np.unique(hashes, return_index=True, return_counts=True)
+        rep, own = np.unique(owners[first[n == 1]], return_counts=True)
+        return pd.DataFrame({"rep": rep, "own": own})
+
+    return (texts.mapInArrow(blocks, "part int, hashes binary, owners binary").groupBy("part").applyInPandas(once, "rep long, own long")
+            .groupBy("rep").agg(F.sum("own").alias("own")))
+
+
 def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Pairs (u, v) whose full sets are similar enough. Sorted by u, so that its set is made once."""
 
@@ -156,12 +191,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = written(
         signs.where("set_id is not null and id is not null").groupBy("set_id").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig")),
         "neardup-classes")
-    about = classes.select("rep", "n", "sig")
+    about = classes.select("rep", "n", "sig", "bands")
     in_bucket = Window.partitionBy("bucket")
     buckets = written(
-        classes.select("rep", F.explode("bands").alias("bucket"))
-        .select("bucket", "rep", F.min("rep").over(in_bucket).alias("first"), F.max("rep").over(in_bucket).alias("last"))
-        .where("first != last").select("bucket", "rep", "first"),
+        classes.select("rep", F.posexplode("bands").alias("band", "bucket"))
+        .select("band", "bucket", "rep", F.min("rep").over(in_bucket).alias("first"), F.max("rep").over(in_bucket).alias("last"))
+        .where("first != last").select("band", "bucket", "rep", "first"),
         "neardup-buckets")
     met = buckets.select("rep").distinct()
     texts = written(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text is not null").join(met, F.col("id") == F.col("rep"), "left_semi"), "neardup-texts")
@@ -176,9 +211,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def apart(components: DataFrame) -> DataFrame:
         """Rows of the buckets that still hold more than one component."""
-        of = buckets.select("bucket", "rep").join(components.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        of = buckets.select("band", "bucket", "rep").join(components.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         return (of.withColumn("low", F.min("component").over(in_bucket)).withColumn("high", F.max("component").over(in_bucket))
-                .where("low != high").select("bucket", "rep", "component"))
+                .where("low != high").select("band", "bucket", "rep", "component"))
 
     # round 1: every member and the smallest of its bucket
     found = links(buckets.where("rep != first").select(F.col("first").alias("u"), F.col("rep").alias("v")), "neardup-first")
@@ -189,9 +224,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     best = ranked.withColumn("best", F.max("by").over(in_bucket)).where("component != best.component")
     found = written(found.unionByName(links(best.select((-F.col("best.rep")).alias("u"), F.col("rep").alias("v")), "neardup-second")), "neardup-links")
     # round 3: all pairs of a bucket whose members are in different components
-    rest = apart(connected_components(found)).join(about, "rep")
-    rest = written(rest.select("bucket", "component", F.struct("rep", "n", "sig").alias("x")), "neardup-apart")
-    pairs = rest.alias("l").join(rest.withColumnRenamed("x", "y").alias("r"), (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.component") != F.col("r.component")) & (F.col("x.rep") < F.col("y.rep")) & _may_link(percent))
+    rest = written(apart(connected_components(found)), "neardup-apart")
+    last_texts = texts.join(rest.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").select("id", "text")
+    n_last = last_texts.count()
+    own = written(_own_shingles(last_texts, max(1, n_last // TEXTS_PER_RANGE)), "neardup-own")
+    rest = rest.join(about, "rep").join(own, "rep", "left").select("bucket", "component", F.struct("rep", "n", "sig", F.slice("bands", F.lit(1), F.col("band")).alias("before"), (F.col("n") - F.coalesce("own", F.lit(0))).alias("shared")).alias("x"))
+    rest = written(rest, "neardup-apart")
+    most = F.least("x.shared", "y.shared")
+    pairs = rest.alias("l").join(rest.withColumnRenamed("x", "y").alias("r"), (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.component") != F.col("r.component")) & (F.col("x.rep") < F.col("y.rep"))
+                                 & (100 * most >= percent * (F.col("x.n") + F.col("y.n") - most)) & _may_link(percent)
+                                 & ~F.arrays_overlap("x.before", "y.before"))
     pairs = written(pairs.select(F.col("x.rep").alias("u"), F.col("y.rep").alias("v")).distinct(), "neardup-third-pairs")
     with arrow_rows(spark, PAIR_ROWS):
         third = written(_confirmed(pairs, texts, percent), "neardup-third")
