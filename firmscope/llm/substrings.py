@@ -182,7 +182,7 @@ def send_contexts(shard_id: int, shard: Shard, shared: pa.Table) -> list[tuple]:
         least = np.full(len(one), np.iinfo(np.int64).max)
         np.minimum.at(least, which, shard.doc[runs])
         later = shard.doc[runs] > least[which]
-        out.append((r, shard_id, padded[one][inside[one]].tobytes(), size[one].astype(np.uint8).tobytes(), least.tobytes(), None))
+        out.append((r, shard_id, pa.compress(padded[one][inside[one]].tobytes(), "zstd", asbytes=True), size[one].astype(np.uint8).tobytes(), least.tobytes(), None))
         home.append((r, np.stack([first, size, which, later]).astype(np.int32 if len(shard.bytes) < 1 << 31 else np.int64)))
     return [*out, *(((1 << shard.bits) + shard_id, r, x.tobytes(), str(x.dtype).encode(), None, None) for r, x in home)]
 
@@ -202,8 +202,10 @@ def suffix_array(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     head = _words(padded, ">u8")[:n].astype(np.uint64)
     order = np.argsort(head)
     sorted_head = head[order]
-    rank = np.empty(n, np.int64)
     new = np.concatenate([[True], sorted_head[1:] != sorted_head[:-1]])
+    del padded, head, sorted_head
+    small = np.int32 if n < 1 << 31 else np.int64
+    order, rank = order.astype(small), np.empty(n, small)
     rank[order] = np.flatnonzero(new)[np.cumsum(new) - 1]
     reach = 8
     while True:
@@ -213,7 +215,7 @@ def suffix_array(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(places):
             break
         group = order[places]
-        ahead = np.where(group + reach < n, rank[np.minimum(group + reach, n - 1)] + 1, 0)
+        ahead = np.where(group < n - reach, rank[np.minimum(group, n - 1 - reach) + reach] + 1, 0) if reach < n else np.zeros(len(group), small)
         key = (rank[group].astype(np.uint64) << np.uint64(32)) | ahead.astype(np.uint64)
         by = np.argsort(key)
         group, key = group[by], key[by]
@@ -300,7 +302,9 @@ def answer(table: pa.Table, ranges: int) -> list[tuple]:
     key, src = table.column("key")[0].as_py(), table.column("src").to_pylist()
     if key >= ranges:
         return [(key - ranges, r, None, None, a, b) for r, a, b in zip(src, table.column("a").to_pylist(), table.column("b").to_pylist())]
-    masks = repeated(table.column("a").to_pylist(), [np.frombuffer(x, np.uint8) for x in table.column("b").to_pylist()], [np.frombuffer(x, np.int64) for x in table.column("c").to_pylist()])
+    sizes = [np.frombuffer(x, np.uint8) for x in table.column("b").to_pylist()]
+    texts = [pa.decompress(x, int(n.sum()), "zstd", asbytes=True) for x, n in zip(table.column("a").to_pylist(), sizes)]
+    masks = repeated(texts, sizes, [np.frombuffer(x, np.int64) for x in table.column("c").to_pylist()])
     return [(s, key, m.tobytes(), None, None, None) for s, m in zip(src, masks)]
 
 
