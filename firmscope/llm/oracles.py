@@ -53,3 +53,33 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
 """
+
+ORACLE["op3_preference"] = """
+WITH c AS (SELECT conv_id AS pair_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL),
+l AS (SELECT pair_id, max({'turn': turn, 'text': coalesce(text, '')}) AS last FROM c WHERE role = 'assistant' GROUP BY pair_id),
+r AS (
+  SELECT c.pair_id, c.turn, c.role, CASE WHEN c.role = 'assistant' AND c.turn = l.last.turn THEN o.last.text ELSE c.text END AS text
+  FROM c LEFT JOIN l ON l.pair_id = c.pair_id LEFT JOIN l o ON o.pair_id = xor(c.pair_id, 1)
+  WHERE NOT coalesce(c.role = 'assistant' AND c.turn = l.last.turn, FALSE) OR o.pair_id IS NOT NULL),
+t AS (
+  SELECT DISTINCT 0 AS side, pair_id, turn, coalesce(role, 'unknown') AS role, replace(coalesce(text, ''), '<|', '< |') AS text FROM c
+  UNION SELECT 1, pair_id, turn, coalesce(role, 'unknown'), replace(coalesce(text, ''), '<|', '< |') FROM r),
+n AS (SELECT *, row_number() OVER (PARTITION BY pair_id, side ORDER BY turn NULLS FIRST, role, text) AS i FROM t),
+p AS (SELECT DISTINCT pair_id FROM t),
+k AS (
+  SELECT p.pair_id, coalesce(min(CASE WHEN a.role IS NULL OR b.role IS NULL OR a.role != b.role OR a.text != b.text THEN coalesce(a.i, b.i) END) - 1, max(coalesce(a.i, b.i))) AS k
+  FROM p LEFT JOIN (SELECT * FROM n WHERE side = 0) a ON a.pair_id = p.pair_id
+  FULL JOIN (SELECT * FROM n WHERE side = 1) b ON b.pair_id = a.pair_id AND b.i = a.i GROUP BY p.pair_id),
+m AS (
+  SELECT n.*, k.k, '<|' || role || '|>' || chr(10) AS head, text || '<|end|>' || chr(10) AS body FROM n JOIN k USING (pair_id)),
+z AS (
+  SELECT *, coalesce(sum(length(head) + length(body)) OVER (PARTITION BY pair_id, side ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM m WHERE i > k),
+s AS (
+  SELECT pair_id, side, string_agg(head || body, '' ORDER BY i) AS txt,
+    string_agg(CASE WHEN role = 'assistant' THEN CAST(CAST(off AS BIGINT) + length(head) AS VARCHAR) || ':' || CAST(CAST(off AS BIGINT) + length(head) + length(body) AS VARCHAR) END, ',' ORDER BY i) AS spans
+  FROM z GROUP BY pair_id, side),
+q AS (SELECT pair_id, string_agg(head || body, '' ORDER BY i) AS txt FROM m WHERE side = 0 AND i <= k GROUP BY pair_id)
+SELECT k.pair_id, CAST(k.k AS INTEGER) AS n_common, coalesce(q.txt, '') AS prompt, coalesce(a.txt, '') AS chosen, coalesce(a.spans, '') AS chosen_spans,
+  coalesce(b.txt, '') AS rejected, coalesce(b.spans, '') AS rejected_spans
+FROM k LEFT JOIN q USING (pair_id) LEFT JOIN s a ON a.pair_id = k.pair_id AND a.side = 0 LEFT JOIN s b ON b.pair_id = k.pair_id AND b.side = 1
+"""

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from firmscope.llm import decontaminate, langid, neardup, pieces, quality, substrings, topk
+from firmscope.llm import decontaminate, langid, neardup, pieces, pii, preference, quality, secretscan, substrings, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: Documents whose remainder this is teach nothing.
@@ -30,6 +30,12 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % FOLDS == HELD_OUT
 
 
+@query
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secretscan.report(secretscan.scan(docs, secretscan.train(secretscan.labelled_sample(docs))))
+
+
 @query
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -38,6 +44,13 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= ACCEPT).cast("int").alias("predicted"))
 
 
+@query
+def op3_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = preference.format_pairs(*preference.swapped_answers(table(spark, sf_dir, "conversations")))
+    spans = [F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",").alias(c) for c in ("chosen_spans", "rejected_spans")]
+    return out.select("pair_id", "n_common", "prompt", "chosen", spans[0], "rejected", spans[1])
+
+
 @query
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -56,6 +69,12 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, profiles).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+@query
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.report(pii.scan(docs, pii.fit(pii.labelled_proposals(docs))))
+
+
 @query
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
