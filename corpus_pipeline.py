@@ -17,7 +17,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from firmscope.llm import neardup, pieces, quality
+from firmscope.llm import decontaminate, neardup, pieces, quality, secretscan
 from firmscope.llm.queries import ACCEPT, held_out, table
 from firmscope.llm.shared import written
 
@@ -39,8 +39,24 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return same.dropDuplicates()
 
 
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the benchmark does not contaminate."""
+    key = F.struct("doc_id", F.xxhash64("text").alias("text_hash"))
+    judged = decontaminate.contamination(docs.select(key.alias("key"), "text"), table(spark, sf_dir, "benchmark"), id_col="key")
+    gone = judged.where("contaminated").select("key").distinct()
+    return docs.withColumn("key", key).alias("d").join(gone.alias("g"), F.col("d.key").eqNullSafe(F.col("g.key")), "left_anti").select(*COLUMNS)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, secrets replaced; ``n_chars`` changes by as much as the text."""
+    ratios = secretscan.train(secretscan.labelled_sample(docs))
+    longer = docs.withColumn("n_chars", F.col("n_chars") - F.coalesce(F.length("text"), F.lit(0)))
+    clean = secretscan.redacted(longer, ratios)
+    return clean.withColumn("n_chars", F.col("n_chars") + F.coalesce(F.length("text"), F.lit(0))).select(*COLUMNS)
+
+
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256, ids)."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256)."""
     encoded = pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
     return pieces.id_digests(encoded)
 
@@ -48,6 +64,8 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("quality", keep_quality),
     ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("secrets", redact_secrets),
     ("tokens", tokenize),
 ]
 
