@@ -94,7 +94,7 @@ def log_count_ratios(rows: list[np.ndarray], labels: np.ndarray, alpha: float =
     for wanted in (1, 0):
         own = [r for r, y in zip(rows, labels) if y == wanted]
         n = alpha + np.bincount(np.concatenate([*own, np.empty(0, np.int64)]), minlength=1 << BITS)
-        counts.append(np.log(n / n.sum()))
+        counts.append(np.log(n / n.sum()))  # of indicators, over all of the class
     return counts[0] - counts[1]
 
 
@@ -174,8 +174,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             slots = [indicators(t.as_py()).astype(np.int32) for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(slots, pa.list_(pa.int32()))], names=["at", "label", "slots"])
 
-    sample = sorted(picked.mapInArrow(reduce, "at long, label int, slots array<int>").toArrow().to_pylist(), key=lambda r: (r["at"], r["label"], r["slots"]))
-    return fit_rows([np.array(r["slots"], np.int64) for r in sample], np.array([r["label"] for r in sample]))
+    sample = picked.mapInArrow(reduce, "at long, label int, slots array<int>").toArrow().combine_chunks()
+    slots = sample.column("slots").combine_chunks()
+    values, ends = slots.values.to_numpy(), slots.offsets.to_numpy()
+    label = sample.column("label").to_numpy()
+    # in an order that does not depend on how tasks ended; rows with one hash are sorted by what they hold
+    keys = [(at, y, values[i:j].tobytes()) for at, y, i, j in zip(sample.column("at").to_pylist(), label.tolist(), ends[:-1], ends[1:])]
+    order = sorted(range(len(keys)), key=keys.__getitem__)
+    return fit_rows([values[ends[i] : ends[i + 1]] for i in order], label[order])
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", column: str = "score") -> DataFrame:
