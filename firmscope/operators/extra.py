@@ -70,12 +70,13 @@ def segment_insights(df: DataFrame) -> DataFrame:
     )
 
 
-def k_sweep(vec: DataFrame, ks=range(2, 9), seed: int = 42) -> DataFrame:
-    """Training cost and silhouette (squared Euclidean) per k."""
+def k_sweep(vec: DataFrame, ks=range(2, 9), seed: int = 42, starts: int = 3, max_iter: int = 300) -> DataFrame:
+    """Training cost and silhouette (squared Euclidean) per k, of the best of ``starts`` fits."""
     rows = []
     ev = ClusteringEvaluator(featuresCol="features", predictionCol="p", metricName="silhouette", distanceMeasure="squaredEuclidean")
     for k in ks:
-        m = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="p").fit(vec)
+        fits = [KMeans(k=k, seed=seed + i, maxIter=max_iter, featuresCol="features", predictionCol="p").fit(vec) for i in range(starts)]
+        m = min(fits, key=lambda f: f.summary.trainingCost)
         rows.append((int(k), float(m.summary.trainingCost), float(ev.evaluate(m.transform(vec)))))
     return vec.sparkSession.createDataFrame(rows, "k int, cost double, silhouette double")
 

@@ -49,22 +49,16 @@ def avg_path_length(n):
 
 
 def sample_trees(df: DataFrame, id_col: str, trees: int, psi: int, seed: int, n: int) -> DataFrame:
-    """(tree, id, features...) with psi rows per tree."""
-    rate = min(1.0, 1.5 * psi / max(n, 1))
-    if rate * trees > 1.0:
-        # each row joins each tree with probability `rate`: the tree list is
-        # filtered per row before exploding, so only ~1.5 x trees x psi rows appear
-        cut = int(rate * 2**31)
-        member = F.filter(
-            F.sequence(F.lit(0), F.lit(trees - 1)),
-            lambda t: F.pmod(F.xxhash64(F.col(id_col), t, F.lit(seed)), F.lit(2**31)) < F.lit(cut),
-        )
-        keyed = df.withColumn("tree", F.explode(member)).withColumn("_u", F.xxhash64(F.col(id_col), F.col("tree"), F.lit(seed + 1)))
-    else:
-        sampled = df.sample(False, min(1.0, rate * trees), seed)
-        keyed = sampled.withColumn("tree", F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(trees)).cast("int")).withColumn(
-            "_u", F.xxhash64(F.col(id_col), F.lit(seed + 1))
-        )
+    """(tree, id, features...) with psi rows per tree. Each row joins each
+    tree with the same probability by a hash of (id, tree, seed), whatever the
+    table's size or layout; the tree list is filtered per row before exploding,
+    so only about 1.5 x trees x psi rows appear."""
+    cut = int(min(1.0, 1.5 * psi / max(n, 1)) * 2**62)
+    member = F.filter(
+        F.sequence(F.lit(0), F.lit(trees - 1)),
+        lambda t: F.pmod(F.xxhash64(F.col(id_col), t, F.lit(seed)), F.lit(2**62)) < F.lit(cut),
+    )
+    keyed = df.withColumn("tree", F.explode(member)).withColumn("_u", F.xxhash64(F.col(id_col), F.col("tree"), F.lit(seed + 1)))
     w = Window.partitionBy("tree").orderBy("_u", id_col)
     # row_number <= psi is limited per map task before the shuffle
     return keyed.withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") <= psi).drop("_rk", "_u")

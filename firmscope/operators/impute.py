@@ -49,8 +49,7 @@ def fit_scaler(df: DataFrame, cols) -> dict:
 
 
 # bucket cuts for the ranking sort: about one bucket per RANK_BUCKET_ROWS input
-# rows (at least `partitions`, at most MAX_BUCKETS)
-MAX_BUCKETS = 4096
+# rows (at least `partitions`)
 RANK_BUCKET_ROWS = 2_000_000
 
 
@@ -69,7 +68,7 @@ def _fit_with_cuts(df: DataFrame, cols, cut_cols, partitions: int, scaler: dict
         for c in cols:
             m, s = row[f"m_{c}"], row[f"s_{c}"]
             scaler[c] = (m if m is not None else 0.0, s if (s is not None and s > 0) else 1.0)
-    buckets = min(MAX_BUCKETS, max(partitions, -(-(row["_rows"] or 0) // RANK_BUCKET_ROWS)))
+    buckets = max(partitions, -(-(row["_rows"] or 0) // RANK_BUCKET_ROWS))
     probs = [i / buckets for i in range(1, buckets)]
     qs = df.approxQuantile(list(cut_cols), probs, 1.0 / (10 * buckets)) if probs else [[] for _ in cut_cols]
     return scaler, {c: [q for q in qv if q is not None] for c, qv in zip(cut_cols, qs)}
@@ -79,10 +78,6 @@ def scale(col, mean: float, std: float):
     return (F.col(col) - F.lit(mean)) / F.lit(std) if isinstance(col, str) else (col - F.lit(mean)) / F.lit(std)
 
 
-def unscale(col, mean: float, std: float):
-    return col * F.lit(std) + F.lit(mean)
-
-
 def _running_rank(u: DataFrame, splits: list) -> DataFrame:
     """Global per-group rank of donor values. ``u`` has unique
     (tgt, g, key, kind) rows, kind 0 = donor value, 1 = receiver key. Adds

@@ -47,7 +47,7 @@ def cluster_matrix(df: DataFrame, cols, scaler: dict | None = None, medians: dic
     return vec, scaler, medians
 
 
-def kmeans_fit(df: DataFrame, k: int = 5, starts: int = 10, seed: int = 42, max_iter: int = 50, parallel: int = 10) -> KMeansModel:
+def kmeans_fit(df: DataFrame, k: int = 5, starts: int = 10, seed: int = 42, max_iter: int = 300, parallel: int = 10) -> KMeansModel:
     """Best of ``starts`` fits (k-means|| init, different seeds) by training
     cost. ``df`` should be materialised: every fit re-reads it. Fits run as
     concurrent Spark jobs."""

@@ -1,9 +1,8 @@
 """Scale-safe building blocks shared by the operators.
 
-* ``quantiles``            — exact (interpolated) grouped quantiles whose memory
-                             does not grow with the group: built-in exact
-                             ``percentile`` while every group is small, else an
-                             approximate bracket refined to the exact value.
+* ``quantiles``            — exact (interpolated) grouped quantiles, one lazy plan
+                             for every size: counts of equal values, sums by
+                             bucket of value, order inside the wanted buckets.
 * ``smallest_k_per_group`` — top-k rows per group; Spark limits each group on
                              the map side before the shuffle.
 * ``bounded_broadcast``    — broadcast a side only after checking its row count.
@@ -16,14 +15,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from firmscope.session import cut_lineage
-
-# Groups up to this many rows use Spark's exact percentile (its buffer holds one
-# entry per distinct value of the group); larger ones take the bracket path.
-EXACT_GROUP_ROWS = 2_000_000
-APPROX_ACCURACY = 100_000
-
-
 def bounded_broadcast(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
     """``broadcast(df)`` when ``df`` has at most ``max_rows`` rows, else ``df``
     unchanged (the join then shuffles). Pass a materialised frame: the
@@ -42,108 +33,56 @@ def smallest_k_per_group(
     return df.withColumn(rank_col, F.row_number().over(w)).filter(F.col(rank_col) <= k).drop(rank_col)
 
 
+def _value_bucket(v: Column) -> Column:
+    """A non-decreasing function of a double with 256 steps per factor of two,
+    so that a bucket holds a small share of any spread of values."""
+    size = F.floor(F.log2(F.abs(v)) * 256) + 300_000  # positive for every double but 0
+    return F.when(v == 0, F.lit(0)).when(v > 0, size).otherwise(-size).cast("long")
+
+
 def quantiles(
-    df: DataFrame, value_cols: Sequence[str], group_cols: Sequence[str] = (), p=0.5,
-    names: Sequence[str] | None = None, exact_group_rows: int = EXACT_GROUP_ROWS,
+    df: DataFrame, value_cols: Sequence[str], group_cols: Sequence[str] = (), p=0.5, names: Sequence[str] | None = None,
 ) -> DataFrame:
     """Exact linear-interpolated quantile ``p`` (as pandas/NumPy/DuckDB
     ``quantile_cont``) of each value column per group; nulls skipped.
-    Returns one row per group that has at least one value (all groups when
-    ``group_cols`` is empty: one row). ``p`` may be a list of probabilities
-    for a single value column (``names`` then names each probability)."""
-    group_cols = list(group_cols)
+    Returns one row per group, null where it has no value (one row when
+    ``group_cols`` is empty). ``p`` may be a list of probabilities for a
+    single value column (``names`` then names each probability).
+
+    One lazy plan for every size: equal values are counted with partial sums,
+    counts add up in buckets of value, and only the buckets that hold a wanted
+    rank are put in order. Tied values are one row, and a hot group is spread
+    over its buckets."""
+    g = list(group_cols)
     if isinstance(p, (list, tuple)):
-        (c,) = value_cols
-        names = list(names)
-        n = df.groupBy(*group_cols).agg(F.count(c).alias("_n")).agg(F.max("_n").alias("m")).first()["m"] or 0
-        if n <= exact_group_rows:
-            arr = df.groupBy(*group_cols).agg(F.percentile(c, list(p)).alias("_qs"))
-            return arr.select(*group_cols, *[F.col("_qs")[i].alias(nm) for i, nm in enumerate(names)])
-        out = None
-        for pi, nm in zip(p, names):
-            q = quantiles(df, [c], group_cols, pi, [nm], exact_group_rows)
-            out = q if out is None else (out.join(q, group_cols, "full") if group_cols else
-                                         out.unionByName(q, allowMissingColumns=True))
-        return out if group_cols else out.agg(*[F.first(nm, ignorenulls=True).alias(nm) for nm in names])
+        wanted = [(0, float(x)) for x in p]
+    else:
+        wanted = [(j, float(p)) for j in range(len(value_cols))]
     names = list(names or [f"q_{c}" for c in value_cols])
-    sizes = df.groupBy(*group_cols).agg(*[F.count(c).alias(f"_n{i}") for i, c in enumerate(value_cols)])
-    row = sizes.agg(*[F.max(f"_n{i}").alias(f"m{i}") for i in range(len(value_cols))]).first()
-    largest = max((row[f"m{i}"] or 0) for i in range(len(value_cols)))
-    if largest <= exact_group_rows:
-        return df.groupBy(*group_cols).agg(*[F.percentile(c, p).alias(n) for c, n in zip(value_cols, names)])
-    parts = [_bracket_quantile(df, c, group_cols, p, n) for c, n in zip(value_cols, names)]
-    if group_cols:
-        out = parts[0]
-        for q in parts[1:]:
-            out = out.join(q, group_cols, "full")
-        return out
-    # one-row results: union and take each column's value (no join)
-    u = parts[0]
-    for q in parts[1:]:
-        u = u.unionByName(q, allowMissingColumns=True)
-    return u.agg(*[F.first(n, ignorenulls=True).alias(n) for n in names])
-
-
-def _bracket_quantile(df: DataFrame, value: str, group_cols: list, p: float, name: str) -> DataFrame:
-    eps = 4.0 / APPROX_ACCURACY
-    base = df.select(*group_cols, F.col(value).alias("_v")).filter(F.col("_v").isNotNull())
-    stats = base.groupBy(*group_cols).agg(
-        F.count("_v").alias("_n"),
-        F.percentile_approx("_v", [max(0.0, p - eps), min(1.0, p + eps)], APPROX_ACCURACY).alias("_br"),
-    )
-    pos = (F.col("_n") - 1) * F.lit(p)
-    stats = stats.select(
-        *group_cols, "_n",
-        F.col("_br")[0].alias("_lo"), F.col("_br")[1].alias("_hi"),
-        F.floor(pos).alias("_k1"), F.ceil(pos).alias("_k2"), (pos - F.floor(pos)).alias("_frac"),
-    )
-    if not group_cols:
-        return _bracket_global(base, stats.first(), p, name)
-    stats = cut_lineage(stats)  # one row per group
-    stats_b = bounded_broadcast(stats)
-    joined = base.join(stats_b, group_cols)
-    counts = joined.groupBy(*group_cols).agg(
-        F.count_if(F.col("_v") < F.col("_lo")).alias("_below"),
-        F.count_if((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi"))).alias("_inside"),
-    )
-    st = stats.join(counts, group_cols)
-    ok = (F.col("_below") <= F.col("_k1")) & (F.col("_below") + F.col("_inside") >= F.col("_k2") + 1)
-    st = cut_lineage(st.withColumn("_ok", ok))
-    st_b = bounded_broadcast(st)
-    inside = base.join(st_b, group_cols).filter(
-        F.col("_ok") & (F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi"))
-    )
-    w = Window.partitionBy(*group_cols).orderBy("_v")
-    ranked = inside.withColumn("_pos", F.col("_below") + F.row_number().over(w) - 1).filter(
-        (F.col("_pos") == F.col("_k1")) | (F.col("_pos") == F.col("_k2"))
-    )
-    picked = ranked.groupBy(*group_cols).agg(
-        F.min_by("_v", "_pos").alias("_a"), F.max_by("_v", "_pos").alias("_b"), F.first("_frac").alias("_frac")
-    ).select(*group_cols, (F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_frac")).alias(name))
-    # groups whose bracket missed the target rank: exact built-in on those groups only
-    failed = st.filter(~F.col("_ok")).select(*group_cols)
-    fallback = base.join(F.broadcast(failed), group_cols, "left_semi").groupBy(*group_cols).agg(
-        F.percentile("_v", p).alias(name)
-    )
-    return picked.unionByName(fallback)
-
-
-def _bracket_global(base: DataFrame, st, p: float, name: str) -> DataFrame:
-    """Global case: the bracket and the counts are a few fitted numbers used
-    as literals; only rows inside the bracket are ranked."""
-    spark = base.sparkSession
-    if st is None or not st["_n"]:
-        return spark.createDataFrame([(None,)], f"`{name}` double")
-    lo, hi, k1, k2, frac = st["_lo"], st["_hi"], st["_k1"], st["_k2"], st["_frac"]
-    c = base.agg(
-        F.count_if(F.col("_v") < lo).alias("below"),
-        F.count_if((F.col("_v") >= lo) & (F.col("_v") <= hi)).alias("inside"),
-    ).first()
-    if not (c["below"] <= k1 and c["below"] + c["inside"] >= k2 + 1):
-        return base.agg(F.percentile("_v", p).alias(name))
-    # the rows inside the bracket are few (about 8 / accuracy of all rows)
-    vals = base.filter((F.col("_v") >= lo) & (F.col("_v") <= hi)).orderBy("_v").offset(int(k1 - c["below"])).limit(int(k2 - k1 + 1))
-    return vals.agg((F.min("_v") + (F.max("_v") - F.min("_v")) * F.lit(float(frac))).alias(name))
+    cells = F.array(*[F.struct(F.lit(j).alias("_j"), F.col(c).cast("double").alias("_v")) for j, c in enumerate(value_cols)])
+    counts = df.select(*g, F.explode(cells).alias("_x")).groupBy(*g, "_x._j", "_x._v").agg(F.count(F.lit(1)).alias("_c"))
+    known = counts.filter(F.col("_v").isNotNull()).withColumn("_b", _value_bucket(F.col("_v")))
+    buckets = known.groupBy(*g, "_j", "_b").agg(F.sum("_c").alias("_n"))
+    w = Window.partitionBy(*g, "_j")
+    buckets = buckets.withColumn("_upto", F.sum("_n").over(w.orderBy("_b"))).withColumn("_all", F.sum("_n").over(w))
+    ranks = F.array(*[
+        F.struct(F.lit(t).alias("_t"), F.lit(j).alias("_tj"), F.lit(side).alias("_side"), rank((F.col("_all") - 1) * F.lit(x)).cast("long").alias("_k"),
+                 ((F.col("_all") - 1) * F.lit(x) - F.floor((F.col("_all") - 1) * F.lit(x))).alias("_frac"))
+        for t, (j, x) in enumerate(wanted) for side, rank in ((0, F.floor), (1, F.ceil))])
+    holds = buckets.withColumn("_before", F.col("_upto") - F.col("_n")).select(*g, "_j", "_b", "_before", "_upto", F.explode(ranks).alias("_r")).filter(
+        (F.col("_r._tj") == F.col("_j")) & (F.col("_r._k") >= F.col("_before")) & (F.col("_r._k") < F.col("_upto")))
+    same = [F.col(f"k.{c}").eqNullSafe(F.col(f"h.{c}")) for c in [*g, "_j", "_b"]]
+    condition = same[0]
+    for c in same[1:]:
+        condition = condition & c
+    inside = known.alias("k").join(holds.alias("h"), condition).select(*[F.col(f"k.{c}") for c in g], "_v", "_c", "_before", "_r.*")
+    at = Window.partitionBy(*g, "_t", "_side").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    picked = inside.withColumn("_cum", F.col("_before") + F.sum("_c").over(at)).filter(F.col("_cum") > F.col("_k"))
+    ends = picked.groupBy(*g, "_t").agg(
+        F.min(F.when(F.col("_side") == 0, F.col("_v"))).alias("_lo"), F.min(F.when(F.col("_side") == 1, F.col("_v"))).alias("_hi"), F.first("_frac").alias("_frac"))
+    values = ends.select(*g, "_t", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_frac")).alias("_q"))
+    without = counts.filter(F.col("_v").isNull()).select(*g, F.lit(-1).alias("_t"), F.lit(None).cast("double").alias("_q"))
+    return values.unionByName(without).groupBy(*g).agg(*[F.max(F.when(F.col("_t") == t, F.col("_q"))).alias(n) for t, n in enumerate(names)])
 
 
 def median_row(df: DataFrame, cols: Sequence[str], names: Sequence[str] | None = None) -> dict:

@@ -1,14 +1,16 @@
 """Operators against brute force and properties: exact kNN imputation,
-exact quantiles on both paths, partition invariance, isolation forest,
+exact quantiles, partition invariance, isolation forest,
 adjusted Rand index, Welch p-value."""
 
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_MID, SF_SMALL
+from firmscope.operators import iforest as IF
 from firmscope.operators import impute as I
 from firmscope.operators import stats as ST
 from firmscope.operators import validate as V
@@ -55,18 +57,37 @@ def test_knn_partition_invariant(spark):
     assert pa.equals(pb)
 
 
-def test_quantiles_both_paths_match_numpy(spark):
-    df = read_tables(spark, SF_MID).select("company_id", F.col("company_id").cast("double").alias("v"),
-                                           (F.col("company_id") % 7).alias("g"))
-    for p in (0.05, 0.25, 0.5, 0.75):
-        exact = ST.quantiles(df, ["v"], ["g"], p, ["q"]).toPandas().set_index("g").sort_index()
-        bracket = ST.quantiles(df, ["v"], ["g"], p, ["q"], exact_group_rows=0).toPandas().set_index("g").sort_index()
-        pdf = df.toPandas()
-        ref = pdf.groupby("g")["v"].quantile(p).sort_index()
-        np.testing.assert_allclose(exact.q.to_numpy(), ref.to_numpy())
-        np.testing.assert_allclose(bracket.q.to_numpy(), ref.to_numpy())
-    glob = ST.quantiles(df, ["v"], (), 0.5, ["q"], exact_group_rows=0).first()["q"]
-    assert glob == pytest.approx(float(np.median(df.toPandas().v)))
+def test_quantiles_match_pandas(spark):
+    """One dominant group, 60 % ties, negative, tiny and missing values, a null group and a group without values."""
+    rng = np.random.default_rng(3)
+    n = 30_000
+    v = np.where(rng.random(n) < 0.6, 7.0, rng.normal(0, 1, n) * 10.0 ** rng.integers(-8, 9, n))
+    v = np.where(rng.random(n) < 0.05, np.nan, v)
+    g = np.where(rng.random(n) < 0.7, 0, rng.integers(1, 6, n))
+    rows = [(None if int(b) == 5 else int(b), None if (np.isnan(x) or b == 4) else float(x), float(i)) for i, (x, b) in enumerate(zip(v, g))]
+    df = spark.createDataFrame(rows, "g int, v double, w double").repartition(8).cache()
+    pdf = pd.DataFrame(rows, columns=["g", "v", "w"])
+    for p in (0.0, 0.05, 0.5, 0.75, 1.0):
+        got = ST.quantiles(df, ["v", "w"], ["g"], p, ["qv", "qw"]).toPandas().set_index("g").sort_index()
+        want = pdf.groupby("g", dropna=False)[["v", "w"]].quantile(p).sort_index()
+        np.testing.assert_allclose(got[["qv", "qw"]].to_numpy(), want.to_numpy(), rtol=1e-12)
+    row = ST.quantiles(df, ["v"], (), [0.25, 0.5], ["a", "b"]).first()
+    np.testing.assert_allclose([row.a, row.b], pdf.v.quantile([0.25, 0.5]).to_numpy(), rtol=1e-12)
+    empty = ST.quantiles(df.filter("false"), ["v"], (), 0.5, ["a"]).collect()
+    assert [r.a for r in empty] == [None]
+
+
+def test_quantile_plan_orders_no_row_in_one_task(spark):
+    df = spark.range(1000).withColumn("v", F.col("id").cast("double"))
+    plan = ST.quantiles(df, ["v"], (), 0.5, ["q"])._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrdered" not in plan and "rangepartitioning" not in plan
+
+
+def test_forest_sample_does_not_depend_on_layout(spark):
+    df = spark.range(60_000).withColumn("x", F.rand(1))
+    parts = [IF.sample_trees(d.select("id"), "id", 100, 256, 42, 60_000).select("tree", "id") for d in (df, df.repartition(13))]
+    a, b = (set(map(tuple, p.collect())) for p in parts)
+    assert a == b and len(a) == 100 * 256
 
 
 def test_smallest_k_per_group(spark):
