@@ -24,10 +24,12 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from firmscope.operators.stats import bounded_broadcast
+
 #: n-grams of a profile, and of a text.
 PROFILE_SIZE = 300
 #: Labelled rows that teach one language, about.
@@ -86,7 +88,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     added per (language, n-gram); only the profiles come to the driver."""
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("key"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
     share = known.groupBy("lang").agg((F.lit(float(per_language)) / F.count("*")).alias("share"))
-    picked = known.join(share, "lang").where(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < F.col("share") * float(1 << 20))
+    # a few languages: sent along after a count of them, so that texts are not dealt by language
+    picked = known.join(bounded_broadcast(share), "lang").where(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < F.col("share") * float(1 << 20))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -98,9 +101,6 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams)), pa.array(grams.astype(np.int64)), pa.array(counts)], names=["lang", "gram", "n"])
 
     sums = picked.select("lang", "text").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    # a bounded heap per language: the best `size` of each task, then of all
-    from pyspark.sql import Window
-
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     rows = sums.withColumn("r", rank).where(F.col("r") <= size).orderBy("lang", "r").collect()
     out: dict[str, list[int]] = {}
