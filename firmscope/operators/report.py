@@ -44,11 +44,11 @@ def benchmarks(df: DataFrame, scope: str = "industry") -> DataFrame:
                                "bench_productivity": F.lit(g.get("median_productivity")).cast("double")})
     rpe = F.col("revenue_clean") / F.when(F.col("employees_clean") == 0, F.lit(1.0)).otherwise(F.col("employees_clean"))
     med = quantiles(df.withColumn("_rpe", rpe), ["revenue_clean", "_rpe"], ["sic2"], 0.5, ["bench_revenue", "bench_productivity"])
-    return df.join(F.broadcast(med), "sic2", "left")  # one row per SIC-2 prefix
+    return df.join(med, "sic2", "left")  # one row per SIC-2 prefix; Spark broadcasts it by its size
 
 
-def financial_facts(df: DataFrame, scope: str = "industry") -> DataFrame:
-    """Flat financial-health facts with the reference's text formats."""
+def financial_facts(df: DataFrame, scope: str = "industry", keep: tuple = ()) -> DataFrame:
+    """Flat financial-health facts with the reference's text formats; columns in ``keep`` go along."""
     b = benchmarks(df, scope)
     rev_med = F.coalesce(F.col("bench_revenue"), F.lit(DEFAULT_MEDIAN_REVENUE))
     prod_med = F.coalesce(F.col("bench_productivity"), F.lit(DEFAULT_MEDIAN_PRODUCTIVITY))
@@ -70,19 +70,16 @@ def financial_facts(df: DataFrame, scope: str = "industry") -> DataFrame:
         S.health_grade(rv).alias("health_grade"),
         (F.col("is_domestic_ultimate_clean") == 1).alias("is_decision_maker"),
         (F.col("has_parent") == 1).alias("has_parent"),
+        *keep,
     )
 
 
 def due_diligence_facts(df: DataFrame, scope: str = "industry") -> DataFrame:
     """Nested report document per company: profile, financial health, risk,
     hierarchy and a default recommendation."""
-    fin = financial_facts(df, scope)
-    risk = df.select(
-        "company_id", "risk_flags",
-        S.risk_flag_list({"risk_shell": F.col("risk_shell"), "risk_data_quality": F.col("risk_data_quality"),
-                          "risk_orphan_sub": F.col("risk_orphan_sub"), "is_anomaly": F.col("is_anomaly")}).alias("flags"),
-    )
-    j = fin.join(risk, "company_id")
+    flags = S.risk_flag_list({"risk_shell": F.col("risk_shell"), "risk_data_quality": F.col("risk_data_quality"),
+                              "risk_orphan_sub": F.col("risk_orphan_sub"), "is_anomaly": F.col("is_anomaly")})
+    j = financial_facts(df.withColumn("flags", flags), scope, ("risk_flags", "flags"))
     return j.select(
         "company_id",
         F.struct("name", "industry", "region", "country", "age", "entity_type").alias("company_profile"),

@@ -240,21 +240,20 @@ def parsed_action_reports(spark, sf):
 @register("csv_roundtrip", "WITH " + ADAPTER_SQL
           + " SELECT company_id, company_name, region, country, sic_code, entity_type, revenue_usd, employees_total FROM raw")
 def csv_roundtrip(spark, sf):
-    """Write the raw company table as a headered CSV with the reference's
-    column names, read it back with the raw reader (all text, null tokens)."""
+    """Write the raw company table as a headered CSV of 72 columns, the
+    reference's names among 51 others in a mixed order, and read it back with
+    the raw reader (by header, all text, null tokens)."""
+    import uuid
+    import zlib
+
     from firmscope.session import checkpoint_dir
     from firmscope.sources.companies import RAW_COLUMNS, read_companies
-    import uuid
 
     raw = companies_raw(spark, sf)
-    back = dict((e, r) for r, e in RAW_COLUMNS)
-    cols = [F.col(c).cast("string").alias(back[c]) for c in raw.columns]
+    known = [(F.col(e).cast("string") if e in raw.columns else F.lit(None).cast("string")).alias(r) for r, e in RAW_COLUMNS]
+    full = raw.select(*known, *[F.concat(F.lit(f"extra {i}, "), F.col("company_name")).alias(f"Extra {i}") for i in range(51)])
     path = f"{checkpoint_dir(spark).rstrip('/')}/firmscope-csv-{uuid.uuid4().hex}"
-    full = raw.select(*cols)
-    for r, _ in RAW_COLUMNS:
-        if r not in full.columns:
-            full = full.withColumn(r, F.lit(None).cast("string"))
-    full.select(*[r for r, _ in RAW_COLUMNS]).write.option("header", "true").csv(path)
+    full.select(*sorted(full.columns, key=lambda c: zlib.crc32(c.encode()))).write.option("header", "true").csv(path)
     df = read_companies(spark, path)
     return df.select(
         F.col("company_id").cast("long").alias("company_id"), "company_name", "region", "country", "sic_code", "entity_type",

@@ -119,43 +119,30 @@ def read_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def raw_schema(extra_columns: int = 0) -> T.StructType:
-    fields = [T.StructField(raw, T.StringType(), True) for raw, _ in RAW_COLUMNS]
-    fields += [T.StructField(f"_extra_{i}", T.StringType(), True) for i in range(extra_columns)]
-    fields.append(T.StructField(_OVERFLOW, T.StringType(), True))
-    return T.StructType(fields)
-
-
-def read_companies(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """Raw firmographic CSV with header, every column as text.
-
-    A row with more fields than the header fills the trailing overflow column
-    and is skipped; a short row is padded with nulls (PERMISSIVE). The header's
-    column order must match ``schema`` (default: ``RAW_COLUMNS``).
+def read_companies(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """Raw firmographic CSV with header, the engine's columns as text.
+
+    Columns go by their header, in any order; unknown ones are left out, known
+    ones that are absent are null. A row with more fields than the header is
+    skipped; a short row is padded with nulls. ``multi_line`` allows line
+    breaks inside quotes, for which Spark reads each file in one task; without
+    it large files are split. The files of a folder share one header.
     """
-    schema = schema or raw_schema()
-    df = (
-        spark.read.option("header", "true")
-        .option("mode", "PERMISSIVE")
-        .option("enforceSchema", "true")
-        .option("multiLine", "true")
-        .option("escape", '"')
-        .schema(schema)
-        .csv(path)
-    )
-    df = df.filter(F.col(_OVERFLOW).isNull()).drop(_OVERFLOW)
-    renames = dict(RAW_COLUMNS)
-    out = [F.col(f"`{c}`").alias(renames.get(c, c)) for c in df.columns if not c.startswith("_extra_")]
-    df = df.select(*out)
-    return nullify_tokens(df)
+    reader = lambda: spark.read.option("header", "true").option("multiLine", str(multi_line).lower()).option("escape", '"')
+    header = reader().csv(path).columns
+    # by position: names may repeat or differ in case, and a long row fills the last field
+    fields = [f"c{i}" for i in range(len(header))]
+    schema = T.StructType([T.StructField(c, T.StringType(), True) for c in [*fields, _OVERFLOW]])
+    df = reader().option("mode", "PERMISSIVE").option("enforceSchema", "true").schema(schema).csv(path).filter(F.col(_OVERFLOW).isNull())
+    place = {name.strip(): c for c, name in reversed(list(zip(fields, header)))}
+    found = [F.col(place[raw.strip()]).alias(name) for raw, name in RAW_COLUMNS if raw.strip() in place]
+    return ensure_columns(nullify_tokens(df.select(*found))).select(*ENGINE_COLUMNS)
 
 
 def nullify_tokens(df: DataFrame, columns=None) -> DataFrame:
     """Text the pandas reader treats as missing becomes SQL NULL."""
     columns = columns or [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    return df.withColumns(
-        {c: F.when(F.trim(F.col(c)).isin(*NULL_TOKENS) | F.col(c).isNull(), F.lit(None)).otherwise(F.col(c)) for c in columns}
-    )
+    return df.withColumns({c: F.when(~F.col(c).isin(*NULL_TOKENS), F.col(c)) for c in columns})
 
 
 def ensure_columns(df: DataFrame, columns=ENGINE_COLUMNS) -> DataFrame:

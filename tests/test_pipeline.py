@@ -98,6 +98,16 @@ def test_csv_reader_skips_long_rows_pads_short(spark, tmp_path):
     assert df[2].company_name is None and df[2].revenue_usd is None
 
 
+def test_csv_reader_goes_by_header(spark, tmp_path):
+    from firmscope.sources.companies import ENGINE_COLUMNS, read_companies
+
+    lines = ["Extra A,Company Sites,Country,DUNS Number ,Extra A,Revenue (USD)", '"q,1",Acme, NA ,7,z,"$1,000"', "x,Beta", "x,Gamma,NA,9,z,5,6"]
+    (tmp_path / "c.csv").write_text("\n".join(lines) + "\n")
+    rows = sorted(read_companies(spark, str(tmp_path / "c.csv")).collect(), key=lambda r: r.company_name)
+    assert list(rows[0].asDict()) == list(ENGINE_COLUMNS)
+    assert [(r.company_id, r.company_name, r.country, r.revenue_usd, r.website) for r in rows] == [("7", "Acme", " NA ", "$1,000", None), (None, "Beta", None, None, None)]
+
+
 def test_prepared_same_at_1_and_n_partitions(spark):
     from firmscope.config import Config
     from firmscope.plans.results import prepared
