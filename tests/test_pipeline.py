@@ -98,6 +98,15 @@ def test_csv_reader_skips_long_rows_pads_short(spark, tmp_path):
     assert df[2].company_name is None and df[2].revenue_usd is None
 
 
+def test_epoch_that_runs_again_is_written_once(spark, tmp_path):
+    from firmscope.streaming.scoring import write_epoch
+
+    for epoch, n in ((0, 3), (1, 5), (1, 5)):
+        write_epoch(spark.range(n), str(tmp_path / "sink"), epoch)
+    back = spark.read.parquet(str(tmp_path / "sink"))
+    assert {r.epoch: r["count"] for r in back.groupBy("epoch").count().collect()} == {0: 3, 1: 5}
+
+
 def test_csv_reader_goes_by_header(spark, tmp_path):
     from firmscope.sources.companies import ENGINE_COLUMNS, read_companies
 
