@@ -17,6 +17,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -128,13 +129,13 @@ def iforest_score(df: DataFrame, nodes_pdf: pd.DataFrame, features: list, out_co
         left[nd], right[nd] = t["left"].to_numpy(), t["right"].to_numpy()
         leaf_len[nd] = t["depth"].to_numpy() + avg_path_length(t["size"].to_numpy())
         trees.append((feat, cut, left, right, leaf_len))
-    schema = T.StructType(df.schema.fields + [T.StructField(out_col, T.DoubleType())])
     shared = df.sparkSession.sparkContext.broadcast(trees)
 
-    def score(batches):
+    @F.pandas_udf("double")
+    def score(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         forest = shared.value
-        for pdf in batches:
-            x = pdf[features].to_numpy(dtype="float64")
+        for columns in batches:
+            x = np.column_stack([c.to_numpy(dtype="float64") for c in columns])
             total = np.zeros(len(x))
             rows = np.arange(len(x))
             for feat, cut, left, right, leaf_len in forest:
@@ -148,9 +149,10 @@ def iforest_score(df: DataFrame, nodes_pdf: pd.DataFrame, features: list, out_co
                     go_left = x[r, f[inner]] < cut[at[inner]]
                     at[inner] = np.where(go_left, left[at[inner]], right[at[inner]])
                 total += leaf_len[at]
-            yield pdf.assign(**{out_col: np.power(2.0, -(total / len(forest)) / norm)})
+            yield pd.Series(np.power(2.0, -(total / len(forest)) / norm))
 
-    return df.mapInPandas(score, schema)
+    # only the features go through Python
+    return df.withColumn(out_col, score(*[F.col(c).cast("double") for c in features]))
 
 
 def anomaly_threshold(scored: DataFrame, contamination: float = 0.05, col: str = "iforest_s") -> float:
