@@ -246,7 +246,6 @@ def test_personal_data(spark):
         assert [tuple(s) for s in r.base] == brute(known[r.doc_id]) and set(r.base) <= set(r.spans)
     assert pii.fit(pii.labelled_proposals(docs.limit(0))) is None
     assert pii.scan(table(spark, []), None).count() == 0
-    assert all(len(r.text or "") < 10**6 for r in docs.select("text").limit(1).collect())
 
 
 # ------------------------------------------------------------------ classifiers
