@@ -10,18 +10,24 @@ distance from a receiver missing target T to a donor having T is
     donor lacks x (or receiver does):    d^2 = 3   * do^2
 
 so, per ordinal group of donors, the nearest donors are the nearest x values.
-The plan never pairs every receiver with every donor:
+Receivers with the same (ordinal, x) have the same neighbours, so the search
+runs once for each distinct pair and its answer is attached to the rows. The
+plan never pairs every receiver with every donor:
 
 1. per (group, x value) keep the k smallest donor ids (salted two-stage rank);
 2. rank the distinct donor x values per group in one bucketed sort (running
    count per quantile bucket + broadcast bucket offsets); distinct receiver
    keys ride in the same sort and get their insertion rank r;
-3. each receiver equi-joins value ranks r-k+1 .. r+k in every group
-   (<= 2k values x k ids), plus the k smallest-id donors lacking x per group;
-4. rank candidates per receiver by (d^2, donor id), average the first k.
-
-Fan-out per receiver is bounded (groups x (2k x k + k)); ties are broken by the
-smallest id. Observed values are never rewritten.
+3. each distinct receiver key equi-joins value ranks r-k+1 .. r+k in every
+   group (<= 2k values x k ids), plus the k smallest-id donors lacking x per
+   group;
+4. rank candidates per receiver key by (d^2, donor id), average the first k;
+5. receivers take their key's answer (keys of many receivers are dealt over
+   several tasks; those lacking x share one answer per ordinal: broadcast).
+
+Fan-out per distinct key is bounded (groups x (2k x k + k)); ties are broken by
+the smallest id. Observed values are never rewritten. Without any donor the
+column's mean is taken.
 """
 
 from __future__ import annotations
@@ -30,7 +36,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from firmscope.operators.stats import smallest_k_per_group
+from firmscope.operators.stats import attach_by_key, smallest_k_per_group
 from firmscope.session import cut_lineage
 
 
@@ -107,7 +113,7 @@ def _running_rank(u: DataFrame, splits: list) -> DataFrame:
 def _impute_long(long: DataFrame, groups: list, zo_of: dict, k: int, splits: list, ks=None) -> DataFrame:
     """``long`` holds one row per (row, target): tgt, id, g, zo, x (the other
     coordinate, scaled, nullable), t (target value, null = receiver), _donor.
-    Returns (id, tgt, value) for every receiver; with ``ks`` (each <= k) one
+    Returns (id, tgt, value) for every receiver that has a donor; with ``ks`` (each <= k) one
     column ``k{n}`` per neighbour count instead of ``value``."""
     donors = long.filter(F.col("t").isNotNull() & F.col("_donor"))
     receivers = long.filter(F.col("t").isNull())
@@ -120,9 +126,9 @@ def _impute_long(long: DataFrame, groups: list, zo_of: dict, k: int, splits: lis
     u = d5.groupBy("tgt", "g", "key").agg(F.collect_list(F.struct("id", "t")).alias("donors")).withColumn("kind", F.lit(0))
 
     # (2) one bucketed sort ranks donor values and distinct receiver keys together
-    rec_x = receivers.filter(F.col("x").isNotNull()).select(
-        "tgt", F.col("id").alias("rid"), F.col("zo").alias("rzo"), F.col("x").alias("rkey"), F.explode(group_arr).alias("g")
-    )
+    asked = receivers.select("tgt", F.col("g").alias("rg"), F.col("zo").alias("rzo"), F.col("x").alias("rkey")).distinct()
+    rec = asked.withColumn("g", F.explode(group_arr))
+    rec_x = rec.filter(F.col("rkey").isNotNull())
     keys = rec_x.select("tgt", "g", F.col("rkey").alias("key")).distinct().withColumn("kind", F.lit(1))
     u = u.unionByName(keys, allowMissingColumns=True)
     # both the value side and the receiver side read the ranks: materialise
@@ -132,39 +138,45 @@ def _impute_long(long: DataFrame, groups: list, zo_of: dict, k: int, splits: lis
     v_ranked = ranked.filter(F.col("kind") == 0).select("tgt", "g", F.col("rank").alias("vrank"), "key", "donors")
     r_keys = ranked.filter(F.col("kind") == 1).select("tgt", "g", F.col("key").alias("rkey"), F.col("rank").alias("r"))
 
-    # (3) each receiver meets the k nearest distinct values on each side of its key
+    # (3) each key meets the k nearest distinct values on each side of it
     near = rec_x.join(r_keys, ["tgt", "g", "rkey"]).select(
-        "tgt", "rid", "g", "rzo", "rkey", F.explode(F.sequence(F.col("r") - (k - 1), F.col("r") + k)).alias("vrank")
+        "tgt", "rg", "g", "rzo", "rkey", F.explode(F.sequence(F.col("r") - (k - 1), F.col("r") + k)).alias("vrank")
     )
     dzo = F.col("rzo") - zo_map[F.col("g")]
     cand_a = (
         near.join(v_ranked, ["tgt", "g", "vrank"])
-        .select("tgt", "rid", "g", "rzo", "rkey", "key", F.explode("donors").alias("d"))
-        .select("tgt", "rid", F.col("d.id").alias("id"), F.col("d.t").alias("t"),
+        .select("tgt", "rg", "g", "rzo", "rkey", "key", F.explode("donors").alias("d"))
+        .select("tgt", "rg", "rkey", F.col("d.id").alias("id"), F.col("d.t").alias("t"),
                 (F.lit(1.5) * ((F.col("rkey") - F.col("key")) * (F.col("rkey") - F.col("key")) + dzo * dzo)).alias("d2"))
     )
     # donors lacking x share only the ordinal: k smallest ids per (target, group)
     b_nx = smallest_k_per_group(donors.filter(F.col("x").isNull()).select("tgt", "id", "g", "t"), ["tgt", "g"], [F.col("id")], k)
-    cand_b = rec_x.join(F.broadcast(b_nx), ["tgt", "g"]).select("tgt", "rid", "id", "t", (F.lit(3.0) * (dzo * dzo)).alias("d2"))
+    by_ordinal = ["tgt", "rg", "rkey", "id", "t", (F.lit(3.0) * (dzo * dzo)).alias("d2")]
+    cand_b = rec_x.join(F.broadcast(b_nx), ["tgt", "g"]).select(*by_ordinal)
     # receivers lacking x share only the ordinal with every donor
     b_all = smallest_k_per_group(donors.select("tgt", "id", "g", "t"), ["tgt", "g"], [F.col("id")], k)
-    rec_nx = receivers.filter(F.col("x").isNull()).select(
-        "tgt", F.col("id").alias("rid"), F.col("zo").alias("rzo"), F.explode(group_arr).alias("g")
-    )
-    cand_c = rec_nx.join(F.broadcast(b_all), ["tgt", "g"]).select("tgt", "rid", "id", "t", (F.lit(3.0) * (dzo * dzo)).alias("d2"))
+    cand_c = rec.filter(F.col("rkey").isNull()).join(F.broadcast(b_all), ["tgt", "g"]).select(*by_ordinal)
     # b_nx and b_all hold at most 2 targets x groups x k rows: broadcast is bounded by construction
 
-    # (4) k nearest by (d^2, id), mean of their values
-    # one shuffle by receiver serves the rank window, the per-target mean and
-    # the caller's per-row pivot (all cluster on the receiver id)
-    cands = cand_a.unionByName(cand_b).unionByName(cand_c).repartition("rid")
-    w = Window.partitionBy("tgt", "rid").orderBy("d2", "id")
+    # (4) k nearest by (d^2, id), mean of their values: one shuffle by receiver key
+    by_key = ["tgt", "rg", "rkey"]
+    cands = cand_a.unionByName(cand_b).unionByName(cand_c).repartition(*by_key)
+    w = Window.partitionBy(*by_key).orderBy("d2", "id")
     best = cands.withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") <= k)
     if ks:
-        return best.groupBy(F.col("rid").alias("id"), "tgt").agg(
-            *[F.avg(F.when(F.col("_rk") <= n, F.col("t"))).alias(f"k{n}") for n in ks]
-        )
-    return best.groupBy(F.col("rid").alias("id"), "tgt").agg(F.avg("t").alias("value"))
+        names = [f"k{n}" for n in ks]
+        found = best.groupBy(*by_key).agg(*[F.avg(F.when(F.col("_rk") <= n, F.col("t"))).alias(f"k{n}") for n in ks])
+    else:
+        names = ["value"]
+        found = best.groupBy(*by_key).agg(F.avg("t").alias("value"))
+    answers = cut_lineage(found.select("tgt", F.col("rg").alias("g"), F.col("rkey").alias("x"), *names), "knn-answers")
+
+    # (5) one answer per (target, ordinal) for receivers lacking x; the others by their key
+    rows = receivers.select("tgt", "id", "g", "x")
+    keyless = answers.filter(F.col("x").isNull()).drop("x")
+    keyed = attach_by_key(rows.filter(F.col("x").isNotNull()), answers.filter(F.col("x").isNotNull()), ["tgt", "g", "x"], ["id"])
+    plain = rows.filter(F.col("x").isNull()).join(F.broadcast(keyless), ["tgt", "g"])
+    return keyed.select("id", "tgt", *names).unionByName(plain.select("id", "tgt", *names))
 
 
 def knn_impute(
@@ -198,8 +210,9 @@ def knn_impute(
     )
     out = (
         df.join(imp.withColumnRenamed("id", id_col), id_col, "left")
-        .withColumn(f"imp_{a}", F.coalesce(F.col(a), F.col(f"imp_{a}")))
-        .withColumn(f"imp_{b}", F.coalesce(F.col(b), F.col(f"imp_{b}")))
+        # a column without any donor falls back to its mean
+        .withColumn(f"imp_{a}", F.coalesce(F.col(a), F.col(f"imp_{a}"), F.lit(ma)))
+        .withColumn(f"imp_{b}", F.coalesce(F.col(b), F.col(f"imp_{b}"), F.lit(mb)))
     )
     return out, scaler
 

@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from firmscope.operators.stats import quantiles
+from firmscope.operators.stats import attach_by_key, bounded_broadcast, quantiles
 
 ID = "company_id"
 
@@ -199,7 +199,7 @@ def box_summary(df: DataFrame, group: str, value: str) -> DataFrame:
     fences = q.withColumns(
         {"_lo": F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")), "_hi": F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))}
     )
-    whisk = base.join(F.broadcast(fences.select(group, "_lo", "_hi")), group).groupBy(group).agg(
+    whisk = base.join(bounded_broadcast(fences.select(group, "_lo", "_hi")), group).groupBy(group).agg(
         F.min(F.when(F.col(value) >= F.col("_lo"), F.col(value))).alias("whisker_low"),
         F.max(F.when(F.col(value) <= F.col("_hi"), F.col(value))).alias("whisker_high"),
     )
@@ -218,9 +218,16 @@ def distinct_values(df: DataFrame, col: str, limit: int | None = None, where: Co
 def compare_companies(df: DataFrame, pairs: DataFrame, metrics=("employees_clean", "revenue_clean")) -> DataFrame:
     """Side-by-side metrics for a table of pairs (id_a, id_b): one row per
     pair and metric. Two keyed lookups, then an unpivot."""
-    cols = [ID, *metrics]
-    a = df.select(*[F.col(c).alias(f"a_{c}") for c in cols])
-    b = df.select(*[F.col(c).alias(f"b_{c}") for c in cols])
-    joined = pairs.join(a, pairs.id_a == F.col(f"a_{ID}")).join(b, pairs.id_b == F.col(f"b_{ID}"))
+    joined = pair_columns(df, pairs, metrics)
     stack = ", ".join(f"'{m}', CAST(a_{m} AS DOUBLE), CAST(b_{m} AS DOUBLE)" for m in metrics)
     return joined.selectExpr("id_a", "id_b", f"stack({len(metrics)}, {stack}) AS (metric, value_a, value_b)")
+
+
+def pair_columns(df: DataFrame, pairs: DataFrame, columns) -> DataFrame:
+    """``pairs`` (id_a, id_b) with ``columns`` of both companies (prefixes
+    ``a_`` and ``b_``). Either id may repeat in any number of pairs, as when
+    all are compared with a few leaders: each lookup deals its hot ids over
+    several tasks, keyed by the other id."""
+    a = df.select(F.col(ID).alias("id_a"), *[F.col(c).alias(f"a_{c}") for c in columns])
+    b = df.select(F.col(ID).alias("id_b"), *[F.col(c).alias(f"b_{c}") for c in columns])
+    return attach_by_key(attach_by_key(pairs, a, ["id_a"], ["id_b"]), b, ["id_b"], ["id_a"])

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from firmscope.functions import scoring as S
 from firmscope.functions.features import vs_benchmark
-from firmscope.operators.queries import combine_rows, global_medians, stat_row, value_counts
+from firmscope.operators.queries import combine_rows, global_medians, pair_columns, stat_row, value_counts
 from firmscope.operators.stats import quantiles
 
 # Defaults used when no benchmark is available (fixed values).
@@ -140,10 +140,8 @@ def anomaly_facts(df: DataFrame) -> DataFrame:
 
 
 def comparison_facts(df: DataFrame, pairs: DataFrame) -> DataFrame:
-    cols = ["company_id", "employees_clean", "revenue_clean", "region", "sic_description"]
-    a = df.select(*[F.col(c).alias(f"a_{c}") for c in cols])
-    b = df.select(*[F.col(c).alias(f"b_{c}") for c in cols])
-    return pairs.join(a, pairs.id_a == F.col("a_company_id")).join(b, pairs.id_b == F.col("b_company_id")).drop("a_company_id", "b_company_id")
+    """Both companies of each pair (id_a, id_b) side by side."""
+    return pair_columns(df, pairs, ["employees_clean", "revenue_clean", "region", "sic_description"])
 
 
 def action_facts(df: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@
 * ``smallest_k_per_group`` — top-k rows per group; Spark limits each group on
                              the map side before the shuffle.
 * ``bounded_broadcast``    — broadcast a side only after checking its row count.
+* ``attach_by_key``        — keyed lookup whose hot keys are dealt over several tasks.
 """
 
 from __future__ import annotations
@@ -15,6 +16,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# a key is dealt over at most this many shares of a keyed lookup
+KEY_SHARES = 1024
+
+
 def bounded_broadcast(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
     """``broadcast(df)`` when ``df`` has at most ``max_rows`` rows, else ``df``
     unchanged (the join then shuffles). Pass a materialised frame: the
@@ -22,6 +27,19 @@ def bounded_broadcast(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= max_rows else df
 
 
+def attach_by_key(rows: DataFrame, lookup: DataFrame, keys: Sequence[str], spread: Sequence[str], how: str = "inner") -> DataFrame:
+    """``rows`` with the columns of ``lookup`` (one row per key; ``keys`` are
+    columns of both). Each row belongs to a share of its key, picked by a hash
+    of the ``spread`` columns; the lookup row is copied once for each (key,
+    share) that occurs, so a key that holds a third of all rows is joined in
+    up to ``KEY_SHARES`` places, a rare one is copied once, and no join is
+    keyed on the bare key alone but that of the distinct (key, share) pairs."""
+    share = F.pmod(F.xxhash64(*spread), F.lit(KEY_SHARES))
+    dealt = rows.withColumn("_share", share)
+    copies = dealt.select(*keys, "_share").distinct().join(lookup, list(keys))
+    return dealt.join(copies, [*keys, "_share"], how).drop("_share")
+
+
 def smallest_k_per_group(
     df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[Column], k: int, rank_col: str = "_rk",
 ) -> DataFrame:

@@ -310,13 +310,13 @@ def company_lookup(spark, sf):
 def compare_with_leader(spark, sf):
     """Every company beside its industry's revenue leader (pairs table built
     from the data; the leader per SIC-2 is a top-1 per group)."""
-    from firmscope.operators.stats import smallest_k_per_group
+    from firmscope.operators.stats import bounded_broadcast, smallest_k_per_group
 
     df = prepared(spark, sf)
     leader = smallest_k_per_group(df, ["sic2"], [F.col("revenue_clean").desc(), F.col("company_id")], 1).select(
         "sic2", F.col("company_id").alias("id_b")
     )
-    pairs = df.select("sic2", F.col("company_id").alias("id_a")).join(leader, "sic2").filter(F.col("id_a") != F.col("id_b"))
+    pairs = df.select("sic2", F.col("company_id").alias("id_a")).join(bounded_broadcast(leader), "sic2").filter(F.col("id_a") != F.col("id_b"))
     out = Q.compare_companies(df, pairs.select("id_a", "id_b"))
     return out.select("id_a", "id_b", "metric", r2("value_a").alias("value_a"), r2("value_b").alias("value_b"))
 
