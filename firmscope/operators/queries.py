@@ -100,6 +100,13 @@ def market_filter(df: DataFrame, spec: MarketSpec, tier_mode: str = "tier") -> D
     return df
 
 
+def market_spec(fields: dict) -> MarketSpec:
+    """The specification in a parsed reply; null or absent fields set no
+    filter. Revenue and headcount bounds, tiers and the row limit as given."""
+    known = {k: v for k, v in fields.items() if v is not None and k in MarketSpec.__dataclass_fields__}
+    return MarketSpec(**{k: tuple(v) if isinstance(v, list) else v for k, v in known.items()})
+
+
 def search_name(df: DataFrame, text: str | None) -> DataFrame:
     """Case-insensitive regex search on the name; empty text keeps all rows."""
     if not text:
@@ -164,6 +171,14 @@ def histogram(df: DataFrame, col: str, width: float, bins: int, lo: float = 0.0)
     )
 
 
+def range_histogram(df: DataFrame, col: str, bins: int = 10) -> DataFrame:
+    """Equal-width bins over the range of the values; the largest one belongs
+    to the last bin. Values that are all equal lie in bin 0."""
+    st = stat_row(df.agg(F.min(col).alias("lo"), F.max(col).alias("hi")))
+    lo, hi = st["lo"] or 0.0, st["hi"] or 0.0
+    return histogram(df, col, (hi - lo) / bins if hi > lo else 1.0, bins, lo)
+
+
 def market_summary(df: DataFrame) -> DataFrame:
     med = quantiles(df, ["revenue_clean"], (), 0.5, ["median_revenue"])
     agg = df.agg(
@@ -230,4 +245,4 @@ def pair_columns(df: DataFrame, pairs: DataFrame, columns) -> DataFrame:
     several tasks, keyed by the other id."""
     a = df.select(F.col(ID).alias("id_a"), *[F.col(c).alias(f"a_{c}") for c in columns])
     b = df.select(F.col(ID).alias("id_b"), *[F.col(c).alias(f"b_{c}") for c in columns])
-    return attach_by_key(attach_by_key(pairs, a, ["id_a"], ["id_b"]), b, ["id_b"], ["id_a"])
+    return attach_by_key(attach_by_key(pairs, a, ["id_a"], ["id_b"]), b, ["id_b"], ["id_a"], occurring=pairs)

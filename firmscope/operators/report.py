@@ -4,13 +4,16 @@ external model is not part of this library."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import json
+from dataclasses import asdict
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from firmscope.functions import scoring as S
 from firmscope.functions.features import vs_benchmark
-from firmscope.operators.queries import combine_rows, global_medians, pair_columns, stat_row, value_counts
+from firmscope.operators.queries import MarketSpec, combine_rows, global_medians, pair_columns, stat_row, value_counts
 from firmscope.operators.stats import quantiles
 
 # Defaults used when no benchmark is available (fixed values).
@@ -18,6 +21,13 @@ DEFAULT_MEDIAN_REVENUE = 1_000_000.0
 DEFAULT_MEDIAN_PRODUCTIVITY = 50_000.0
 DEFAULT_VERDICT = "Review Required"
 NA_TEXT = "N/A"
+# Texts of a report to which no reply was merged (fixed values).
+SUMMARY_FORMAT = "Mock DD Report for %s. Enable LLM for full analysis."
+EXPLANATION_TEXT = "Enable LLM for detailed risk analysis."
+ACTION_TEXT = "Enable LLM for specific recommendations"
+CONFIDENCE_TEXT = "Low (Mock Mode)"
+UNKNOWN_TEXT = "Unknown"
+MERGED_CONFIDENCE = "Medium"
 
 
 def money(c):
@@ -74,19 +84,24 @@ def financial_facts(df: DataFrame, scope: str = "industry", keep: tuple = ()) ->
     )
 
 
-def due_diligence_facts(df: DataFrame, scope: str = "industry") -> DataFrame:
-    """Nested report document per company: profile, financial health, risk,
-    hierarchy and a default recommendation."""
+def due_diligence_facts(df: DataFrame, scope: str = "industry", related: str | None = None) -> DataFrame:
+    """Nested report document per company: summary, profile, financial health,
+    risk, hierarchy and a default recommendation. ``related`` names an array
+    column of related companies (none: an empty list)."""
     flags = S.risk_flag_list({"risk_shell": F.col("risk_shell"), "risk_data_quality": F.col("risk_data_quality"),
                               "risk_orphan_sub": F.col("risk_orphan_sub"), "is_anomaly": F.col("is_anomaly")})
-    j = financial_facts(df.withColumn("flags", flags), scope, ("risk_flags", "flags"))
+    others = F.coalesce(F.col(related) if related else F.lit(None), F.array()).cast("array<string>")
+    j = financial_facts(df.withColumns({"flags": flags, "related_entities": others}), scope, ("risk_flags", "flags", "related_entities"))
     return j.select(
         "company_id",
+        F.format_string(SUMMARY_FORMAT, F.coalesce("name", F.lit(UNKNOWN_TEXT))).alias("executive_summary"),
         F.struct("name", "industry", "region", "country", "age", "entity_type").alias("company_profile"),
         F.struct("revenue", "employees", "productivity", "revenue_vs_industry", "productivity_vs_industry", "health_grade").alias("financial_health"),
-        F.struct(S.risk_grade(F.col("risk_flags")).alias("overall_risk"), F.col("risk_flags").alias("risk_score"), "flags").alias("risk_assessment"),
-        F.struct("is_decision_maker", "entity_type", "has_parent", F.array().cast("array<string>").alias("related_entities")).alias("hierarchy_analysis"),
-        F.struct(F.lit(DEFAULT_VERDICT).alias("verdict")).alias("recommendation"),
+        F.struct(S.risk_grade(F.col("risk_flags")).alias("overall_risk"), F.col("risk_flags").alias("risk_score"), "flags",
+                 F.lit(EXPLANATION_TEXT).alias("explanation")).alias("risk_assessment"),
+        F.struct("is_decision_maker", "entity_type", "has_parent", "related_entities").alias("hierarchy_analysis"),
+        F.struct(F.lit(DEFAULT_VERDICT).alias("verdict"), F.lit(ACTION_TEXT).alias("action"), F.lit(NA_TEXT).alias("timeline"),
+                 F.lit(CONFIDENCE_TEXT).alias("confidence")).alias("recommendation"),
     )
 
 
@@ -151,22 +166,50 @@ def action_facts(df: DataFrame) -> DataFrame:
     )
 
 
-def market_facts(market: DataFrame, countries: DataFrame, n_industries: int = 5) -> DataFrame:
+def market_facts(market: DataFrame, countries: DataFrame, n_industries: int = 5, spec: MarketSpec | None = None) -> DataFrame:
     """One row: totals, per-country records (a top-10 list, bounded), median
-    revenue, average score, top industries as a map; plus its JSON text."""
+    revenue, average score, top industries as a map, the filters that
+    ``spec`` sets as JSON; plus the JSON text of all facts."""
     med = quantiles(market, ["revenue_clean"], (), 0.5, ["median_revenue"])
     tot = market.agg(F.count(F.lit(1)).alias("total_companies"), F.avg("lead_score").alias("avg_lead_score"))
     ctry = countries.agg(F.sort_array(F.collect_list(F.struct(F.col("companies").alias("companies"), "country", "median_revenue", "avg_lead_score")), False).alias("countries"))
     ind = value_counts(market, "sic_description", n_industries).agg(
         F.map_from_entries(F.collect_list(F.struct("sic_description", "n"))).alias("top_industries")
     )
-    row = combine_rows(tot, med, ctry, ind)
-    return row.withColumn("facts_json", F.to_json(F.struct("total_companies", "median_revenue", "avg_lead_score", "countries", "top_industries")))
+    filters = {k: v for k, v in asdict(spec).items() if v not in (None, (), {}, False)} if spec else {}
+    row = combine_rows(tot, med, ctry, ind).withColumn("filters_applied", F.lit(json.dumps(filters, sort_keys=True)))
+    return row.withColumn("facts_json", F.to_json(F.struct(
+        "total_companies", "median_revenue", "avg_lead_score", "countries", "top_industries", "filters_applied")))
 
 
 ACTION_REPLY_SCHEMA = T.StructType([T.StructField(n, T.StringType()) for n in ("Verdict", "Reason", "Risk", "Action")])
 
 
+# Field names of the nested replies (fixed values).
+_TEXT = T.StringType()
+
+
+def _fields(*names: str) -> T.StructType:
+    return T.StructType([T.StructField(n, _TEXT) for n in names])
+
+
+DUE_REPLY_SCHEMA = T.StructType([
+    T.StructField("executive_summary", _TEXT),
+    T.StructField("financial_health", _fields("health_grade", "key_strength", "key_concern")),
+    T.StructField("risk_assessment", T.StructType([
+        *_fields("overall_risk", "explanation").fields,
+        T.StructField("red_flags", T.ArrayType(_TEXT)), T.StructField("mitigating_factors", T.ArrayType(_TEXT))])),
+    T.StructField("recommendation", _fields("verdict", "action", "timeline", "confidence")),
+])
+SPEC_REPLY_SCHEMA = T.StructType([
+    *_fields("region", "country").fields,
+    T.StructField("industry_keywords", T.ArrayType(_TEXT)),
+    *[T.StructField(n, T.DoubleType()) for n in ("min_revenue", "max_revenue", "min_employees", "max_employees")],
+    T.StructField("target_tiers", T.ArrayType(T.IntegerType())),
+    T.StructField("exclude_high_risk", T.BooleanType()), T.StructField("limit", T.IntegerType()),
+])
+
+
 def parse_responses(replies: DataFrame, text_col: str = "reply", schema: T.StructType = ACTION_REPLY_SCHEMA) -> DataFrame:
     """Model replies -> struct: an ``Error`` prefix is an error; code fences
     (with or without a language tag) are stripped; JSON that does not parse
@@ -174,10 +217,13 @@ def parse_responses(replies: DataFrame, text_col: str = "reply", schema: T.Struc
     text = F.trim(F.col(text_col))
     stripped = F.trim(F.regexp_replace(F.regexp_replace(text, r"^```[A-Za-z]*\s*", ""), r"\s*```$", ""))
     parsed = F.from_json(stripped, schema, {"mode": "PERMISSIVE"})
-    any_field = F.coalesce(*[parsed[f.name] for f in schema.fields])
-    is_error = text.startswith("Error") | any_field.isNull()
+    nothing = F.lit(True)
+    for f in schema.fields:
+        nothing = nothing & parsed[f.name].isNull()
+    nothing = parsed.isNull() | nothing
+    is_error = text.startswith("Error") | nothing
     return replies.withColumn("parsed", F.when(~is_error, parsed)).withColumn(
-        "error", F.when(text.startswith("Error"), text).when(any_field.isNull(), F.lit("unparsable reply"))
+        "error", F.when(text.startswith("Error"), text).when(nothing, F.lit("unparsable reply"))
     )
 
 
@@ -190,3 +236,43 @@ def merge_report(facts: DataFrame, parsed: DataFrame, defaults: dict | None = No
         *[F.coalesce(F.col(f"parsed.{k}"), F.lit(v)).alias(k.lower()) for k, v in defaults.items()],
         "error",
     )
+
+
+def escape_dollars(c: Column) -> Column:
+    return F.replace(c, F.lit("$"), F.lit("\\$"))
+
+
+def merge_due_diligence(facts: DataFrame, parsed: DataFrame) -> DataFrame:
+    """``due_diligence_facts`` with the parsed reply (``DUE_REPLY_SCHEMA``) of
+    each company, one at most: computed facts stay, the reply gives the
+    judgements, and a field that it lacks takes its default. Without a usable
+    reply only ``error`` (the reply's, or that there is none) and the computed
+    facts say so: the judgements are the defaults."""
+    j = facts.join(parsed.select("company_id", "parsed", "error"), "company_id", "left")
+
+    def said(path: str, default: str, free_text: bool = False) -> Column:
+        c = F.col(f"parsed.{path}")
+        return F.coalesce(escape_dollars(c) if free_text else c, F.lit(default))
+
+    def listed(path: str) -> Column:
+        return F.coalesce(F.col(f"parsed.{path}"), F.array().cast("array<string>"))
+
+    def fact(part: str, *names: str) -> list:
+        return [F.col(f"{part}.{n}").alias(n) for n in names]
+
+    return j.select(
+        "company_id", said("executive_summary", "", True).alias("executive_summary"), "company_profile",
+        F.struct(*fact("financial_health", "revenue", "employees", "productivity", "revenue_vs_industry", "productivity_vs_industry"),
+                 said("financial_health.health_grade", NA_TEXT).alias("health_grade"),
+                 said("financial_health.key_strength", "", True).alias("key_strength"),
+                 said("financial_health.key_concern", "", True).alias("key_concern")).alias("financial_health"),
+        F.struct(said("risk_assessment.overall_risk", UNKNOWN_TEXT).alias("overall_risk"), *fact("risk_assessment", "risk_score", "flags"),
+                 said("risk_assessment.explanation", "", True).alias("explanation"),
+                 listed("risk_assessment.red_flags").alias("red_flags"),
+                 listed("risk_assessment.mitigating_factors").alias("mitigating_factors")).alias("risk_assessment"),
+        "hierarchy_analysis",
+        F.struct(said("recommendation.verdict", DEFAULT_VERDICT).alias("verdict"), said("recommendation.action", "", True).alias("action"),
+                 said("recommendation.timeline", NA_TEXT).alias("timeline"),
+                 said("recommendation.confidence", MERGED_CONFIDENCE).alias("confidence")).alias("recommendation"),
+        F.when(F.col("parsed").isNull(), F.coalesce("error", F.lit("no reply"))).alias("error"),
+    )

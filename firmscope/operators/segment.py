@@ -59,8 +59,17 @@ def kmeans_fit(df: DataFrame, k: int = 5, starts: int = 10, seed: int = 42, max_
     return min(models, key=lambda m: m.summary.trainingCost)
 
 
-def kmeans_assign(df: DataFrame, model: KMeansModel) -> DataFrame:
-    return model.transform(df)
+def kmeans_assign(df: DataFrame, cols, centres) -> DataFrame:
+    """Adds ``cluster``, the index of the centre nearest to ``cols`` (squared
+    Euclidean distance, ties to the smaller index), as one expression over
+    k centres given as sequences of numbers."""
+    gaps = []
+    for i, centre in enumerate(centres):
+        d2 = F.lit(0.0)
+        for c, v in zip(cols, centre):
+            d2 = d2 + (F.col(c) - F.lit(float(v))) * (F.col(c) - F.lit(float(v)))
+        gaps.append(F.struct(d2.alias("d2"), F.lit(i).alias("i")))
+    return df.withColumn("cluster", F.array_min(F.array(*gaps))["i"])
 
 
 def cluster_tier_profile(df: DataFrame) -> DataFrame:

@@ -27,17 +27,21 @@ def bounded_broadcast(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= max_rows else df
 
 
-def attach_by_key(rows: DataFrame, lookup: DataFrame, keys: Sequence[str], spread: Sequence[str], how: str = "inner") -> DataFrame:
+def attach_by_key(
+    rows: DataFrame, lookup: DataFrame, keys: Sequence[str], spread: Sequence[str], how: str = "inner",
+    occurring: DataFrame | None = None,
+) -> DataFrame:
     """``rows`` with the columns of ``lookup`` (one row per key; ``keys`` are
     columns of both). Each row belongs to a share of its key, picked by a hash
     of the ``spread`` columns; the lookup row is copied once for each (key,
     share) that occurs, so a key that holds a third of all rows is joined in
     up to ``KEY_SHARES`` places, a rare one is copied once, and no join is
-    keyed on the bare key alone but that of the distinct (key, share) pairs."""
+    keyed on the bare key alone but that of the distinct (key, share) pairs.
+    These are read from ``occurring`` where a cheaper frame has the same keys
+    and spread columns."""
     share = F.pmod(F.xxhash64(*spread), F.lit(KEY_SHARES))
-    dealt = rows.withColumn("_share", share)
-    copies = dealt.select(*keys, "_share").distinct().join(lookup, list(keys))
-    return dealt.join(copies, [*keys, "_share"], how).drop("_share")
+    copies = (rows if occurring is None else occurring).select(*keys, share.alias("_share")).distinct().join(lookup, list(keys))
+    return rows.withColumn("_share", share).join(copies, [*keys, "_share"], how).drop("_share")
 
 
 def smallest_k_per_group(

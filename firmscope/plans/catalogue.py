@@ -383,7 +383,7 @@ def top_shells(spark, sf):
 
 def all_queries() -> dict:
     # report-only analytics, validation and model-based queries register on import
-    from firmscope.plans import catalogue_more  # noqa: F401
+    from firmscope.plans import catalogue_labels, catalogue_more  # noqa: F401
 
     return dict(QUERIES)
 

@@ -401,7 +401,7 @@ def market_facts(spark, sf):
     from firmscope.plans.catalogue import MARKET
 
     m = Q.market_filter(results(spark, sf), MARKET)
-    return G.market_facts(m, Q.country_breakdown(m))
+    return G.market_facts(m, Q.country_breakdown(m), spec=MARKET)
 
 
 @register("score_companies")
@@ -463,7 +463,7 @@ def bootstrap_ari(spark, sf):
 def ari_histogram(spark, sf):
     """V7: 10-bin histogram of the bootstrap ARIs and their mean."""
     b = bootstrap_ari(spark, sf)
-    h = Q.histogram(b, "ari", 0.1, 10)
+    h = Q.range_histogram(b, "ari", 10)
     mean = Q.stat_row(b.agg(F.avg("ari").alias("mean_ari")))["mean_ari"]
     return h.withColumn("mean_ari", F.lit(mean).cast("double"))
 

@@ -165,23 +165,28 @@ def finish(df: DataFrame, cfg: Config = DEFAULT, models: Models | None = None, r
                 lambda: IF.iforest_fit(vec, "company_id", zcols, cfg.iforest_trees, cfg.iforest_sample, cfg.seed).toPandas()
             )
             m.kmeans = SG.kmeans_fit(vec, cfg.k, cfg.kmeans_starts, cfg.seed)
-            assigned = SG.kmeans_assign(vec, m.kmeans)
+            assigned = SG.kmeans_assign(vec, zcols, m.kmeans.clusterCenters())
             m.cluster_names = cut_lineage(SG.name_clusters(SG.cluster_tier_profile(assigned)), "cluster-names")
             m.forest = forest.result()
     else:
         vec, _, _ = SG.cluster_matrix(df, feats, m.cluster_scaler, m.cluster_medians)
-        assigned = SG.kmeans_assign(vec, m.kmeans)
+        assigned = SG.kmeans_assign(vec, zcols, m.kmeans.clusterCenters())
     named = SG.attach_cluster_name(assigned, m.cluster_names)
     scored = IF.iforest_score(named.drop("features"), m.forest, zcols)
     if refit:
         scored = cut_lineage(scored, "forest-scores")
         m.anomaly_threshold = IF.anomaly_threshold(scored, cfg.contamination)
-    out = IF.anomaly_columns(scored, m.anomaly_threshold)
-    out = out.withColumn(
+    return flag_stage(scored, m.anomaly_threshold), m
+
+
+def flag_stage(scored: DataFrame, threshold: float) -> DataFrame:
+    """Decision value, label and the sum of the four risk flags."""
+    from firmscope.operators import iforest as IF
+
+    return IF.anomaly_columns(scored, threshold).withColumn(
         "risk_flags",
         S.risk_flags(F.col("risk_shell"), F.col("risk_data_quality"), F.col("risk_orphan_sub"), F.col("is_anomaly")),
     )
-    return out, m
 
 
 def run(raw: DataFrame, cfg: Config = DEFAULT) -> tuple[DataFrame, Models]:
