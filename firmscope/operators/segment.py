@@ -49,13 +49,18 @@ def cluster_matrix(df: DataFrame, cols, scaler: dict | None = None, medians: dic
 
 def kmeans_fit(df: DataFrame, k: int = 5, starts: int = 10, seed: int = 42, max_iter: int = 300, parallel: int = 10) -> KMeansModel:
     """Best of ``starts`` fits (k-means|| init, different seeds) by training
-    cost. ``df`` should be materialised: every fit re-reads it. Fits run as
-    concurrent Spark jobs."""
+    cost. Fits run as concurrent Spark jobs over one persisted copy of the
+    vectors (each would keep its own otherwise)."""
+    vectors = df.select("features").persist()
+
     def fit(i):
-        return KMeans(k=k, seed=seed + i, maxIter=max_iter, featuresCol="features", predictionCol="cluster").fit(df)
+        return KMeans(k=k, seed=seed + i, maxIter=max_iter, featuresCol="features", predictionCol="cluster").fit(vectors)
 
-    with ThreadPoolExecutor(max_workers=max(1, min(parallel, starts))) as pool:
-        models = list(pool.map(fit, range(starts)))
+    try:
+        with ThreadPoolExecutor(max_workers=max(1, min(parallel, starts))) as pool:
+            models = list(pool.map(fit, range(starts)))
+    finally:
+        vectors.unpersist()
     return min(models, key=lambda m: m.summary.trainingCost)
 
 

@@ -152,28 +152,41 @@ def accuracy(pred: DataFrame, label: str = "label", prediction: str = "predictio
     return MulticlassClassificationEvaluator(labelCol=label, predictionCol=prediction, metricName="accuracy").evaluate(pred)
 
 
+def hashed_rank(df: DataFrame, by: list, id_col: str, buckets: int, seed: int, name: str) -> DataFrame:
+    """Rank (from 1) of every row within ``by`` in the order of a hash of the
+    id: rows are numbered inside hash buckets and the sizes of the earlier
+    buckets (groups x buckets numbers) are added."""
+    dealt = df.withColumn("_h", F.xxhash64(id_col, *by, F.lit(seed))).withColumn("_b", F.pmod("_h", F.lit(buckets)))
+    local = dealt.withColumn("_n", F.row_number().over(Window.partitionBy(*by, "_b").orderBy("_h", id_col)))
+    sizes = dealt.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_c"))
+    earlier = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(*by, "_b", F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_start"))
+    return local.join(starts, [*by, "_b"]).withColumn(name, F.col("_start") + F.col("_n")).drop("_h", "_b", "_n", "_start")
+
+
 def permutation_importance(model, test: DataFrame, features: list, repeats: int = 5, seed: int = 42, rows_per_bucket: int = 200_000) -> DataFrame:
-    """Mean accuracy drop when one column is shuffled. The shuffle pairs
-    rows by a random rank inside hashed buckets (two row numbers joined), so
-    no global single-partition window is needed; the bucket count grows with
-    the test set (about ``rows_per_bucket`` rows per window partition)."""
-    spark = test.sparkSession
+    """Mean accuracy drop when one column is shuffled over the whole test set.
+
+    All (feature, repeat) variants run in one pass: each has its own hashed
+    order of the rows, and the row at rank r of the plain order takes the value
+    of the row at rank r of the variant's order. Hashes of a written row number
+    give the same shuffle whenever a partition is computed again."""
     base = cut_lineage(test.select(*features, "label").withColumn("_rid", F.monotonically_increasing_id()), "perm-test")
     buckets = max(8, base.count() // rows_per_bucket + 1)
-    base = base.withColumn("_b", F.pmod(F.xxhash64("_rid"), F.lit(buckets)))
-    ref = accuracy(model.transform(VectorAssembler(inputCols=features, outputCol="features").transform(base)))
+    variant = F.explode(F.sequence(F.lit(0), F.lit(len(features) * repeats - 1))).alias("_var")
+    of_variant = F.floor(F.col("_var") / repeats)
+    donors = base.select("_rid", variant, *features)
+    value = F.element_at(F.array(*[F.col(f).cast("double") for f in features]), (of_variant + 1).cast("int"))
+    donors = hashed_rank(donors.select("_rid", "_var", value.alias("_v")), ["_var"], "_rid", buckets, seed, "_rank").select("_var", "_rank", "_v")
+    plain = hashed_rank(base.withColumn("_all", F.lit(-1)), ["_all"], "_rid", buckets, seed, "_rank")
+    rows = plain.select("*", variant).join(donors, ["_var", "_rank"])
+    mixed = rows.select("_var", "label", *[F.when(of_variant == i, F.col("_v")).otherwise(F.col(f)).alias(f) for i, f in enumerate(features)])
+    own = base.select(F.lit(-1).alias("_var"), "label", *features)
+    scored = model.transform(VectorAssembler(inputCols=features, outputCol="features").transform(mixed.unionByName(own)))
+    right = {r["_var"]: r["acc"] for r in scored.groupBy("_var").agg(F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("acc")).collect()}
     rows = []
-    for f in features:
-        drops = []
-        for r in range(repeats):
-            w1 = Window.partitionBy("_b").orderBy("_rid")
-            w2 = Window.partitionBy("_b").orderBy(F.rand(seed + 97 * r), "_rid")
-            left = base.withColumn("_rn", F.row_number().over(w1))
-            donor = base.select("_b", F.col(f).alias("_v"), F.row_number().over(w2).alias("_rn"))
-            shuffled = left.join(donor, ["_b", "_rn"]).withColumn(f, F.col("_v")).drop("_v")
-            acc = accuracy(model.transform(VectorAssembler(inputCols=features, outputCol="features").transform(shuffled)))
-            drops.append(ref - acc)
-        rows.append((f, float(sum(drops) / len(drops)), float(min(drops)), float(max(drops))))
-    return spark.createDataFrame(rows, "feature string, importance_mean double, importance_min double, importance_max double").orderBy(
-        "importance_mean"
-    )
+    for i, f in enumerate(features):
+        drops = [right[-1] - right[i * repeats + r] for r in range(repeats)]
+        rows.append((f, sum(drops) / len(drops), min(drops), max(drops)))
+    return test.sparkSession.createDataFrame(
+        rows, "feature string, importance_mean double, importance_min double, importance_max double").orderBy("importance_mean")

@@ -77,17 +77,28 @@ def clean_fields(spark, sf):
     )
 
 
+# texts as found in the wild, made of the headcount: thousands commas, sign, blanks, currency, exponent, words
 @register(
     "clean_strict",
     "WITH " + ADAPTER_SQL
-    + " SELECT company_id, TRY_CAST(trim(replace(revenue_usd, ',', '')) AS DOUBLE) AS revenue_strict,"
-    " TRY_CAST(trim(replace(employees_total, ',', '')) AS DOUBLE) AS employees_strict FROM raw",
+    + ", t AS (SELECT *, CASE company_id % 7 WHEN 0 THEN '1,' || employees_total || '00.50' WHEN 1 THEN ' ' || employees_total || ' ' "
+    "WHEN 2 THEN '-' || employees_total WHEN 3 THEN '$' || employees_total WHEN 4 THEN employees_total || 'e2' "
+    "WHEN 5 THEN 'about ' || employees_total ELSE '' END AS messy FROM raw)"
+    " SELECT company_id, TRY_CAST(trim(replace(revenue_usd, ',', '')) AS DOUBLE) AS revenue_strict,"
+    " TRY_CAST(trim(replace(employees_total, ',', '')) AS DOUBLE) AS employees_strict,"
+    " TRY_CAST(trim(replace(messy, ',', '')) AS DOUBLE) AS messy_strict FROM t",
 )
 def clean_strict(spark, sf):
-    raw = companies_raw(spark, sf)
+    text, kind = F.col("employees_total"), F.col("company_id") % 7
+    messy = (
+        F.when(kind == 0, F.concat(F.lit("1,"), text, F.lit("00.50"))).when(kind == 1, F.concat(F.lit(" "), text, F.lit(" ")))
+        .when(kind == 2, F.concat(F.lit("-"), text)).when(kind == 3, F.concat(F.lit("$"), text)).when(kind == 4, F.concat(text, F.lit("e2")))
+        .when(kind == 5, F.concat(F.lit("about "), text)).otherwise(F.lit(""))
+    )
+    raw = companies_raw(spark, sf).withColumn("messy", messy)
     return raw.select(
         "company_id", C.clean_number_strict("revenue_usd").alias("revenue_strict"),
-        C.clean_number_strict("employees_total").alias("employees_strict"),
+        C.clean_number_strict("employees_total").alias("employees_strict"), C.clean_number_strict("messy").alias("messy_strict"),
     )
 
 

@@ -86,3 +86,28 @@ def test_spec_reply_gives_a_market_filter(spark):
     assert market_spec(got["a"]["parsed"].asDict()) == MarketSpec(
         region="ASIA", industry_keywords=("steel",), target_tiers=(1, 2), min_revenue=5.0)
     assert [got[i]["parsed"] for i in "bcd"] == [None] * 3 and got["c"]["error"] == "unparsable reply"
+
+
+def test_hashed_rank_is_a_permutation_whatever_the_buckets(spark):
+    from firmscope.operators.validate import hashed_rank
+
+    df = spark.range(1000).withColumn("g", F.col("id") % 2)
+    for buckets in (1, 8):
+        out = hashed_rank(df, ["g"], "id", buckets, 5, "r").collect()
+        for g in (0, 1):
+            ranks = [r["r"] for r in sorted(out, key=lambda r: r["id"]) if r["g"] == g]
+            assert sorted(ranks) == list(range(1, 501)) and ranks != sorted(ranks)
+
+
+def test_permutation_importance_finds_the_feature_in_use(spark):
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+
+    from firmscope.operators.validate import permutation_importance
+
+    df = spark.range(2000).select(F.hash("id").cast("double").alias("h")).select(
+        ((F.col("h") % 100) / 100).alias("used"), ((F.floor(F.col("h") / 1000) % 100) / 100).alias("idle")).withColumn(
+        "label", (F.col("used") > 0).cast("double"))
+    model = LogisticRegression().fit(VectorAssembler(inputCols=["used", "idle"], outputCol="features").transform(df))
+    got = {r["feature"]: r["importance_mean"] for r in permutation_importance(model, df, ["used", "idle"], repeats=3).collect()}
+    assert got["used"] > 0.4 and abs(got["idle"]) < 0.05
