@@ -200,9 +200,18 @@ def suffix_array(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(text)
     padded = np.concatenate([text, np.zeros(8, np.uint8)])
     head = _words(padded, ">u8")[:n].astype(np.uint64)
-    order = np.argsort(head)
+    # suffixes of less than eight bytes come before those that only their padding
+    # equals, the shortest first, and are groups of their own
+    whole = max(0, n - 7)
+    order, short = np.argsort(head[:whole]), np.arange(n - 1, whole - 1, -1)
+    short = short[np.argsort(head[short], kind="stable")]
+    at = np.searchsorted(head[order], head[short])
+    order = np.insert(order, at, short)
     sorted_head = head[order]
-    new = np.concatenate([[True], sorted_head[1:] != sorted_head[:-1]])
+    new = np.concatenate([[True], sorted_head[1:] != sorted_head[:-1], [True]])
+    at += np.arange(len(short))
+    new[at] = new[at + 1] = True
+    new = new[:n]
     del padded, head, sorted_head
     small = np.int32 if n < 1 << 31 else np.int64
     order, rank = order.astype(small), np.empty(n, small)

@@ -142,6 +142,20 @@ def test_suffix_array_and_prefixes():
     assert [int(x) for x in got[1:]] == [common(data[i:], data[j:]) for i, j in zip(order, order[1:])]
 
 
+def test_suffix_array_of_data_that_end_in_nuls():
+    for data in [b"\x00" * 60, b"ab\x00\x00", b"\x00", b"\x00" * 9 + b"a" + b"\x00" * 9, *(b"a\x00" * 20 + b"\x00" * k for k in range(1, 20)), b"\x00ab" * 30 + b"\x00\x00"]:
+        order, rank = substrings.suffix_array(np.frombuffer(data, np.uint8))
+        assert [data[i:] for i in order] == sorted(data[i:] for i in range(len(data)))
+        assert list(rank[order]) == list(range(len(data)))
+
+
+def test_repeats_of_nuls_are_removed(spark):
+    shared = "b" * 20 + "c" * 40 + "\x00\x00"
+    texts = [(1, "one" + "\x00" * 60), (2, "two" + "\x00" * 60 + "two"), (3, "three" + shared), (4, "four" + shared), (5, "\x00" * 49)]
+    got = sorted((r.doc_id, r.n_bytes, [(s.start, s.end) for s in r.spans], bytes(r.kept)) for r in substrings.remove_repeats(table(spark, texts)).collect())
+    assert got == brute_cut(texts) and got[1][3] == b"twotwo"
+
+
 # ------------------------------------------------------------------ decontamination
 def test_contamination_equals_brute_force(spark):
     rng = random.Random(8)
