@@ -26,10 +26,30 @@ def _sum(c: Column) -> Column:
 
 def matches(text: Column, pattern: str) -> Column:
     """array<struct<start, end, value>> of the leftmost non-overlapping matches."""
-    marked = F.regexp_replace(F.replace(text, F.lit(_MARK), F.lit(_OTHER)), pattern, f"{_MARK}$0{_MARK}")
+    return between_marks(F.regexp_replace(F.replace(text, F.lit(_MARK), F.lit(_OTHER)), pattern, f"{_MARK}$0{_MARK}"))
+
+
+def between_marks(marked: Column) -> Column:
+    """array<struct<start, end, value>> of what is set between marks, as places of the text without marks."""
     return let(F.split(marked, _MARK), lambda parts: F.when(F.size(parts) > 1, _located(parts)).otherwise(F.array().cast(SPAN)))
 
 
+def without_marks(marked: Column) -> Column:
+    return F.replace(marked, F.lit(_MARK), F.lit(""))
+
+
+def rewritten(text: Column, spans: Column, form: Callable[[Column, Column], Column]) -> Column:
+    """The text with ``form`` of each span and its value between marks in its
+    place; ``spans`` are sorted by start and do not overlap."""
+    text = F.replace(text, F.lit(_MARK), F.lit(_OTHER))
+    value = lambda s: F.substring(text, s["start"] + 1, s["end"] - s["start"])
+    parts = F.transform(F.sequence(F.lit(0), F.size(spans)), lambda i: let(
+        F.when(i > 0, F.get(spans, i - 1)["end"]).otherwise(0),
+        lambda start: F.when(i < F.size(spans), let(F.get(spans, i), lambda s: F.concat(F.substring(text, start + 1, s["start"] - start), F.lit(_MARK), form(s, value(s)), F.lit(_MARK))))
+        .otherwise(F.substring(text, start + 1, F.length(text)))))
+    return F.array_join(parts, "")
+
+
 def _located(parts: Column) -> Column:
     """Gaps and matches in turn, to spans: sums of lengths by blocks, so that many matches stay cheap."""
     lengths = F.transform(parts, F.length)

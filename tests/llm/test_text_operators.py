@@ -262,6 +262,19 @@ def test_personal_data(spark):
     assert pii.scan(table(spark, []), None).count() == 0
 
 
+def test_personal_data_that_the_fixed_formats_miss(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    model = pii.fit(pii.labelled_proposals(docs))
+    added = ["write to jane.roe (at) example (dot) org today", "or jane.roe [at] mail.example [dot] com there", "one of them is (499) 555-6503 and", "the 555-123-4567 or", "the 555.123.4567 or", "and 4111.1111.1111.1111 too"]
+    plain = ["the order 12345678 of", "it was 2024-05-17 when", "it was 17.05.2024 when", "in all 1.234.567 of", "the years 1990-1995 were", "see them @ home. Then they", "sum 12345.678901 here"]
+    rows = {r.doc_id: r for r in pii.scan(table(spark, list(enumerate(added + plain))), model).collect()}
+    assert all(not r.base for r in rows.values())
+    found = {t: [pii.KINDS[s.kind] for s in rows[i].spans] for i, t in enumerate(added + plain)}
+    assert found == {t: [("email_like" if "at" in t and "jane" in t else "number_like")] for t in added} | {t: [] for t in plain}
+    at = rows[0].spans[0]
+    assert added[0][at.start : at.end] == "jane.roe (at) example (dot) org"
+
+
 # ------------------------------------------------------------------ classifiers
 def test_quality_on_held_out_rows(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
