@@ -369,6 +369,37 @@ def test_pipeline_stages(spark):
         assert r.decoded_sha256 == hashlib.sha256(sp.decode(ids).encode()).hexdigest()
 
 
+def test_pipeline_keeps_what_quality_and_decontamination_keep(spark):
+    import corpus_pipeline as C
+    from firmscope.llm.queries import ACCEPT, held_out
+
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select(*C.COLUMNS)
+    texts = [(r.doc_id, r.text) for r in docs.collect()]
+    kept = lambda df: sorted((r.doc_id, r.text) for r in df.select("doc_id", "text").collect())
+    model = quality.fit(docs, spark.read.parquet(f"{sf}/labels.parquet").where(~held_out(F.col("doc_id"))))
+    want = sorted((i, t) for i, t in texts if model.score(t or "") >= ACCEPT)
+    assert 0 < len(want) < len(texts) and kept(C.keep_quality(spark, docs, sf)) == want
+
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    shingles = set()
+    for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect():
+        v = words(r.text)
+        n = min(13, len(v))
+        shingles |= {tuple(v[k : k + n]) for k in range(len(v) - n + 1)} if v and r.item_id is not None else set()
+
+    def contaminated(t):
+        w, hit = words(t), set()
+        for n in {len(x) for x in shingles}:
+            for at in range(len(w) - n + 1):
+                if tuple(w[at : at + n]) in shingles:
+                    hit.update(range(at, at + n))
+        return len(hit) > 0 and 20 * len(hit) >= len(w)
+
+    want = sorted((i, t) for i, t in texts if not contaminated(t))
+    assert 0 < len(want) < len(texts) and kept(C.drop_contaminated(spark, docs, sf)) == want
+
+
 @pytest.mark.parametrize("name", ["op3_preference", "op4_decontaminate", "op5_minhash", "op8_topk"])
 def test_queries_equal_their_sql(spark, name):
     from oracle_harness import compare
