@@ -83,3 +83,52 @@ SELECT k.pair_id, CAST(k.k AS INTEGER) AS n_common, coalesce(q.txt, '') AS promp
   coalesce(b.txt, '') AS rejected, coalesce(b.spans, '') AS rejected_spans
 FROM k LEFT JOIN q USING (pair_id) LEFT JOIN s a ON a.pair_id = k.pair_id AND a.side = 0 LEFT JOIN s b ON b.pair_id = k.pair_id AND b.side = 1
 """
+
+ORACLE["op11_search"] = r"""
+WITH c AS (
+  SELECT 'd' AS kind, row_number() OVER () AS r, doc_id AS id, NULL AS item, text FROM documents
+  UNION ALL SELECT 'q', 0, NULL, item_id, text FROM benchmark WHERE item_id IS NOT NULL),
+t AS (
+  SELECT kind, r, id, item, unnest(list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x != '')) AS term FROM c),
+f AS (SELECT r, id, term, count(*) AS tf FROM t WHERE kind = 'd' GROUP BY r, id, term),
+d AS (SELECT r, CAST(sum(tf) AS BIGINT) AS n FROM f GROUP BY r),
+s AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS len FROM d),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM f, s GROUP BY term, n_docs),
+m AS (SELECT r, 100 - 90 + (90 * n * n_docs) // len AS m FROM d, s),
+q AS (SELECT DISTINCT item, term FROM t WHERE kind = 'q'),
+x AS (
+  SELECT q.item AS item_id, f.r, f.id AS doc_id, CAST(sum(w.w * ((1000000000 * f.tf) // (1000 * f.tf + 8 * m.m))) AS BIGINT) AS score
+  FROM q JOIN f USING (term) JOIN w USING (term) JOIN m ON m.r = f.r GROUP BY q.item, f.r, f.id),
+k AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank FROM x WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 10
+"""
+
+ORACLE["op13_interaction"] = r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+v AS (SELECT *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x != '') AS w FROM d),
+l AS (SELECT doc_id, coalesce(max(CASE WHEN quality = 1 THEN 1 END), 0) AS good, coalesce(max(CASE WHEN toxic = 1 THEN 1 END), 0) AS toxic FROM labels GROUP BY doc_id),
+f AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    CASE WHEN len(w) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * (length(t) - length(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))) > 3 * length(t) THEN 'C' ELSE '' END
+    || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+    || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END AS m
+  FROM v LEFT JOIN l USING (doc_id)),
+g AS (SELECT part, m, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, m),
+a AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (
+  SELECT p.x || q.x || r.x || s.x || t.x AS o FROM a p JOIN a q ON q.x != p.x JOIN a r ON r.x NOT IN (p.x, q.x)
+  JOIN a s ON s.x NOT IN (p.x, q.x, r.x) JOIN a t ON t.x NOT IN (p.x, q.x, r.x, s.x)),
+z AS (
+  SELECT g.*, o.o, i.step, o.o[i.step] AS letter, contains(m, o.o[i.step]) AS fails, length(translate(m, o.o[1:i.step - 1], '')) = length(m) AS reached
+  FROM g, o, (SELECT unnest([1, 2, 3, 4, 5]) AS step) i),
+y AS (
+  SELECT part, o AS filter_order, step, letter, CAST(coalesce(sum(n) FILTER (WHERE fails AND reached), 0) AS BIGINT) AS removed,
+    CAST(coalesce(sum(n) FILTER (WHERE reached AND NOT fails), 0) AS BIGINT) AS kept, CAST(coalesce(sum(n) FILTER (WHERE fails AND NOT reached), 0) AS BIGINT) AS redundant,
+    CAST(coalesce(sum(n) FILTER (WHERE m = letter), 0) AS BIGINT) AS unique_fails, CAST(coalesce(sum(good) FILTER (WHERE fails AND reached), 0) AS BIGINT) AS good_lost,
+    CAST(coalesce(sum(toxic) FILTER (WHERE fails AND reached), 0) AS BIGINT) AS toxic_lost
+  FROM z GROUP BY part, o, step, letter)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley FROM y
+"""

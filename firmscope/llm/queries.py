@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from firmscope.llm import decontaminate, langid, neardup, pieces, pii, preference, quality, secretscan, substrings, topk
+from firmscope.llm import decontaminate, filteraudit, langid, lexical, licences, neardup, pieces, pii, preference, quality, secretscan, substrings, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: Documents whose remainder this is teach nothing.
@@ -91,3 +91,19 @@ def op9_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return pieces.id_digests(pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model")))
+
+
+@query
+def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
+
+
+@query
+def op12_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return licences.report(licences.scan(docs, licences.build_index(docs)))
+
+
+@query
+def op13_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filteraudit.audit(filteraudit.failures(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
