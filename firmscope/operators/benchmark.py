@@ -9,11 +9,11 @@ from firmscope.functions.features import vs_industry
 from firmscope.operators.stats import bounded_broadcast, quantiles
 
 
-def industry_benchmark(df: DataFrame, exact: bool = True) -> DataFrame:
+def industry_benchmark(df: DataFrame, exact: bool = True, aggs=()) -> DataFrame:
     """sic2 -> ind_rev_med, ind_emp_med (exact interpolated medians; the
     approximate variant returns a data value, not an interpolation)."""
     if exact:
-        return quantiles(df, ["revenue_clean", "employees_clean"], ["sic2"], 0.5, ["ind_rev_med", "ind_emp_med"])
+        return quantiles(df, ["revenue_clean", "employees_clean"], ["sic2"], 0.5, ["ind_rev_med", "ind_emp_med"], aggs=aggs)
     return df.groupBy("sic2").agg(
         F.percentile_approx("revenue_clean", 0.5).cast("double").alias("ind_rev_med"),
         F.percentile_approx("employees_clean", 0.5).cast("double").alias("ind_emp_med"),
@@ -23,15 +23,14 @@ def industry_benchmark(df: DataFrame, exact: bool = True) -> DataFrame:
 def industry_stats(df: DataFrame) -> DataFrame:
     """The stored per-industry artefact: median/mean/std/count of revenue and
     median/mean/std of employees per SIC-2 group."""
-    med = industry_benchmark(df)
-    mom = df.groupBy("sic2").agg(
+    stats = industry_benchmark(df, aggs=[
         F.avg("revenue_clean").alias("ind_revenue_mean"),
         F.stddev_samp("revenue_clean").alias("ind_revenue_std"),
         F.count("revenue_clean").alias("ind_count"),
         F.avg("employees_clean").alias("ind_employees_mean"),
         F.stddev_samp("employees_clean").alias("ind_employees_std"),
-    )
-    return mom.join(med, "sic2", "left").select(
+    ])
+    return stats.select(
         F.col("sic2").alias("sic_2digit"),
         F.col("ind_rev_med").alias("ind_revenue_median"), "ind_revenue_mean", "ind_revenue_std", "ind_count",
         F.col("ind_emp_med").alias("ind_employees_median"), "ind_employees_mean", "ind_employees_std",

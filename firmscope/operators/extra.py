@@ -3,14 +3,14 @@ semantics here are this library's, documented per function."""
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from firmscope.functions import scoring as S
-from firmscope.operators.queries import combine_rows, stat_row
-from firmscope.operators.stats import quantiles
+from firmscope.operators import lloyd
+from firmscope.operators.queries import stat_row
+from firmscope.operators.stats import quantiles, smallest_k_per_group
+from firmscope.session import cut_lineage
 
 # Employee size bands (fixed values): label, inclusive upper bound.
 SIZE_BANDS = (("1-10", 10.0), ("11-50", 50.0), ("51-200", 200.0), ("201-1000", 1000.0), ("1000+", None))
@@ -38,9 +38,8 @@ def correlations(df: DataFrame) -> DataFrame:
 
 def founding_summary(df: DataFrame, after: int = 2015) -> DataFrame:
     y = df.filter(F.col("year_found_clean").isNotNull())
-    med = quantiles(y, ["year_found_clean"], (), 0.5, ["median_year"])
-    agg = y.agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("year_found_clean") > after).cast("double")).alias("share_after"))
-    return combine_rows(agg, med)
+    return quantiles(y, ["year_found_clean"], (), 0.5, ["median_year"], aggs=[
+        F.count(F.lit(1)).alias("n"), F.avg((F.col("year_found_clean") > after).cast("double")).alias("share_after")])
 
 
 def founding_by_year(df: DataFrame) -> DataFrame:
@@ -54,10 +53,9 @@ def sic_sparsity(df: DataFrame, small: int = 5) -> DataFrame:
     of groups under ``small`` rows, median group size."""
     out = None
     for level, key in (("sic4", F.coalesce(F.col("sic_code"), F.lit("nan"))), ("sic2", F.col("sic2"))):
-        sizes = df.groupBy(key.alias("g")).agg(F.count(F.lit(1)).alias("size"))
-        med = quantiles(sizes, ["size"], (), 0.5, ["median_size"])
-        agg = sizes.agg(F.count(F.lit(1)).alias("groups"), F.avg((F.col("size") < small).cast("double")).alias("share_small"))
-        part = combine_rows(agg, med).withColumn("level", F.lit(level))
+        sizes = cut_lineage(df.groupBy(key.alias("g")).agg(F.count(F.lit(1)).alias("size")), "group-sizes")
+        part = quantiles(sizes, ["size"], (), 0.5, ["median_size"], aggs=[
+            F.count(F.lit(1)).alias("groups"), F.avg((F.col("size") < small).cast("double")).alias("share_small")]).withColumn("level", F.lit(level))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -70,15 +68,14 @@ def segment_insights(df: DataFrame) -> DataFrame:
     )
 
 
-def k_sweep(vec: DataFrame, ks=range(2, 9), seed: int = 42, starts: int = 3, max_iter: int = 300) -> DataFrame:
-    """Training cost and silhouette (squared Euclidean) per k, of the best of ``starts`` fits."""
-    rows = []
-    ev = ClusteringEvaluator(featuresCol="features", predictionCol="p", metricName="silhouette", distanceMeasure="squaredEuclidean")
-    for k in ks:
-        fits = [KMeans(k=k, seed=seed + i, maxIter=max_iter, featuresCol="features", predictionCol="p").fit(vec) for i in range(starts)]
-        m = min(fits, key=lambda f: f.summary.trainingCost)
-        rows.append((int(k), float(m.summary.trainingCost), float(ev.evaluate(m.transform(vec)))))
-    return vec.sparkSession.createDataFrame(rows, "k int, cost double, silhouette double")
+def k_sweep(df: DataFrame, id_col: str, cols, ks=range(2, 9), seed: int = 42, starts: int = 10, max_iter: int = 300) -> DataFrame:
+    """Training cost and silhouette (squared Euclidean) per k, of the best of
+    ``starts`` fits; all of them advance in the same scans."""
+    pts = lloyd.points(df, id_col, list(cols), seed=seed)
+    fits = lloyd.fit(pts, [lloyd.Replica(k, s) for k in ks for s in range(starts)], seed, max_iter)
+    chosen = [lloyd.best([f for f in fits if f.replica.k == k]) for k in ks]
+    rows = [(int(f.replica.k), float(f.cost), float(s)) for f, s in zip(chosen, lloyd.silhouettes(pts, chosen))]
+    return df.sparkSession.createDataFrame(rows, "k int, cost double, silhouette double")
 
 
 # Score-weight perturbations for the sensitivity check (fixed values).
@@ -98,18 +95,18 @@ def _score(df: DataFrame, weights=None):
 
 def weight_sensitivity(df: DataFrame, variants=WEIGHT_VARIANTS, top: int = 100) -> DataFrame:
     """Jaccard similarity of the top-``top`` lead sets (score desc, id) under
-    perturbed weights vs the base weights. Each top set is a TakeOrdered
-    top-n; the set sizes come from one aggregation over the tagged union."""
-    def top_ids(weights, variant, side):
-        ranked = df.select("company_id", _score(df, weights).alias("s")).orderBy(F.col("s").desc(), "company_id").limit(top)
-        return ranked.select(F.lit(variant).alias("variant"), "company_id", F.lit(side).alias("side"))
-
-    tagged = None
-    for name, w in variants:
-        both = top_ids(None, name, "base").unionByName(top_ids(w, name, "variant"))
-        tagged = both if tagged is None else tagged.unionByName(both)
-    per_id = tagged.groupBy("variant", "company_id").agg(F.countDistinct("side").alias("sides"))
-    return per_id.groupBy("variant").agg((F.count_if(F.col("sides") == 2) / F.count(F.lit(1))).alias("jaccard"))
+    perturbed weights vs the base weights. All scores of a row are taken in
+    one scan; the top sets are limited on the map side, and the base set's ids
+    meet every variant's in one aggregate of (variants + 1) x ``top`` rows."""
+    scores = [(None, None), *variants]
+    stacked = df.select("company_id", F.inline(F.array(*[F.struct(F.lit(i).alias("v"), _score(df, w).alias("s")) for i, (_, w) in enumerate(scores)])))
+    best = smallest_k_per_group(stacked, ["v"], [F.col("s").desc(), F.col("company_id")], top)
+    sides = best.groupBy("company_id").agg(F.collect_set("v").alias("in"))
+    pairs = sides.select(F.explode(F.sequence(F.lit(1), F.lit(len(variants)))).alias("v"), F.array_contains("in", 0).alias("base"), F.col("in"))
+    pairs = pairs.select("v", "base", F.expr("array_contains(in, v)").alias("own")).filter(F.col("base") | F.col("own"))
+    names = F.array(*[F.lit(n) for n, _ in variants])
+    return pairs.groupBy("v").agg((F.count_if(F.col("base") & F.col("own")) / F.count(F.lit(1))).alias("jaccard")).select(
+        F.element_at(names, F.col("v")).alias("variant"), "jaccard")
 
 
 def profile_vs_market(df: DataFrame, metrics=("revenue_clean", "employees_clean", "lead_score", "company_age")) -> DataFrame:

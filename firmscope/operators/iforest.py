@@ -1,16 +1,18 @@
-"""Isolation forest (R4–R6; Liu, Ting & Zhou 2008) grown and scored on Spark.
-
-* sample: every tree gets psi = min(256, n) rows. Small tables give each row
-  a hash-filtered list of trees (probability 1.5 psi / n each) and explode
-  only that; large tables take one Bernoulli sample of ~1.5 x trees x psi rows
-  and deal them to trees by hash. Either way about 1.5 x trees x psi rows
-  appear, never the input times the tree count; the psi smallest hash keys
-  per tree are kept.
-* grow: ``groupBy(tree).applyInPandas`` builds each tree in parallel (random
-  feature, uniform cut between the node's min and max, depth <= ceil(log2 psi))
-  and emits a node table (tree, node, feature, cut, left, right, size).
-* score: ``mapInPandas`` walks every tree for an Arrow batch of rows at once
-  against the broadcast node table (at most trees x (2 psi - 1) rows).
+"""Isolation forest (R4–R6; Liu, Ting & Zhou 2008) grown and scored on Spark,
+with nothing left to a random generator: any engine can grow the same trees.
+
+* sample: rows whose portable hash falls in a range that holds about
+  trees x psi rows (all rows of a small table) are the pool; each tree takes
+  the psi = min(256, n) of them with the least universal hash of its own.
+* grow: level by level for all trees in one plan. A node's count and the
+  least and greatest value of every feature are window aggregates over (tree, node);
+  the feature (among those that vary) and the place of the cut between its
+  ends come from a portable hash of (tree, node). Nodes are numbered as in a
+  heap: 2 i and 2 i + 1 lie below i. At most trees x psi rows take part,
+  dealt by tree once, whatever the input's size.
+* score: a pandas function walks every tree for an Arrow batch of rows at
+  once against the broadcast node table (at most trees x (2 psi - 1) rows). Path
+  lengths are whole numbers, so their sums do not depend on their order.
   s = 2^(-E[h] / c(psi)); decision = -s - P(-s, contamination); label -1 when < 0.
 """
 
@@ -23,21 +25,15 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from firmscope.functions.portable import hash52, unit
+from firmscope.operators.lloyd import HALF, PRIME, stream
 from firmscope.operators.stats import quantiles
 
-EULER_GAMMA = 0.5772156649015329
-
-NODE_SCHEMA = T.StructType(
-    [
-        T.StructField("tree", T.IntegerType()), T.StructField("node", T.IntegerType()),
-        T.StructField("feature", T.IntegerType()), T.StructField("cut", T.DoubleType()),
-        T.StructField("left", T.IntegerType()), T.StructField("right", T.IntegerType()),
-        T.StructField("size", T.LongType()), T.StructField("depth", T.IntegerType()),
-    ]
-)
+#: Steps of a path length to one node.
+STEPS = 1 << 32
 
+EULER_GAMMA = 0.5772156649015329
 
 def avg_path_length(n):
     """c(n): average path length of an unsuccessful BST search over n points."""
@@ -50,85 +46,70 @@ def avg_path_length(n):
 
 
 def sample_trees(df: DataFrame, id_col: str, trees: int, psi: int, seed: int, n: int) -> DataFrame:
-    """(tree, id, features...) with psi rows per tree. Each row joins each
-    tree with the same probability by a hash of (id, tree, seed), whatever the
-    table's size or layout; the tree list is filtered per row before exploding,
-    so only about 1.5 x trees x psi rows appear."""
-    cut = int(min(1.0, 1.5 * psi / max(n, 1)) * 2**62)
-    member = F.filter(
-        F.sequence(F.lit(0), F.lit(trees - 1)),
-        lambda t: F.pmod(F.xxhash64(F.col(id_col), t, F.lit(seed)), F.lit(2**62)) < F.lit(cut),
-    )
-    keyed = df.withColumn("tree", F.explode(member)).withColumn("_u", F.xxhash64(F.col(id_col), F.col("tree"), F.lit(seed + 1)))
-    w = Window.partitionBy("tree").orderBy("_u", id_col)
+    """(tree, columns of ``df``) with psi rows per tree. The pool is picked by
+    a hash of the id, whatever the table's size or layout, and only its rows are
+    copied for the trees."""
+    h = hash52(F.col(id_col), F.lit(seed))
+    pool = df.withColumn("_h", h).filter(F.col("_h") < int(min(1.0, trees * psi / max(n, 1)) * 2**52))
+    dealt = F.inline(F.array(*[F.struct(F.lit(t).alias("tree"), *[F.lit(c).alias(name) for c, name in zip(stream(seed, "tree", t), ("_x", "_y", "_z"))]) for t in range(trees)]))
+    own = F.pmod(F.col("_x") * F.shiftright("_h", HALF) + F.col("_y") * F.col("_h").bitwiseAND((1 << HALF) - 1) + F.col("_z"), F.lit(PRIME))
+    keyed = pool.select("*", dealt).withColumn("_own", own)
+    w = Window.partitionBy("tree").orderBy("_own", "_h")
     # row_number <= psi is limited per map task before the shuffle
-    return keyed.withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") <= psi).drop("_rk", "_u")
-
-
-def _grow(features: list, psi: int, seed: int):
-    max_depth = int(math.ceil(math.log2(max(psi, 2))))
-
-    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-        tree = int(pdf["tree"].iloc[0])
-        rng = np.random.default_rng([seed, tree])
-        x = pdf[features].to_numpy(dtype="float64")
-        rows = []
-        stack = [(0, np.arange(len(x)), 0)]
-        next_id = 1
-        while stack:
-            node, idx, depth = stack.pop()
-            sub = x[idx]
-            if depth >= max_depth or len(idx) <= 1:
-                rows.append((tree, node, -1, 0.0, -1, -1, len(idx), depth))
-                continue
-            lo, hi = sub.min(axis=0), sub.max(axis=0)
-            usable = np.flatnonzero(hi > lo)
-            if usable.size == 0:
-                rows.append((tree, node, -1, 0.0, -1, -1, len(idx), depth))
-                continue
-            f = int(rng.choice(usable))
-            cut = float(rng.uniform(lo[f], hi[f]))
-            left, right = next_id, next_id + 1
-            next_id += 2
-            rows.append((tree, node, f, cut, left, right, len(idx), depth))
-            mask = sub[:, f] < cut
-            stack.append((left, idx[mask], depth + 1))
-            stack.append((right, idx[~mask], depth + 1))
-        return pd.DataFrame(rows, columns=[f.name for f in NODE_SCHEMA.fields])
-
-    return grow
+    return keyed.withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") <= psi).select("tree", *df.columns)
+
+
+def max_depth(psi: int) -> int:
+    return int(math.ceil(math.log2(max(psi, 2))))
 
 
 def iforest_fit(df: DataFrame, id_col: str, features: list, trees: int = 100, psi: int = 256, seed: int = 42) -> DataFrame:
-    """Grow the forest; returns the node table (small: trees x (2 psi - 1) rows at most)."""
+    """Grow the forest; returns the node table (tree, node, feature, cut,
+    size, depth, psi), feature -1 in leaves: trees x (2 psi - 1) rows at most."""
     n = df.count()
     psi = min(psi, n)
-    sample = sample_trees(df.select(id_col, *features), id_col, trees, psi, seed, n)
-    # an explicit partition count by tree (kept by AQE, unlike a tiny shuffle
-    # it would coalesce into one task) so trees grow in parallel; the grouped
-    # apply reuses this partitioning
+    x = F.array(*[F.col(c).cast("double") for c in features])
+    sample = sample_trees(df.select(F.col(id_col), x.alias("x")), id_col, trees, psi, seed, n)
+    # windows over (tree, node) are satisfied by rows dealt by tree: one shuffle for all levels
     parallel = max(1, min(trees, 2 * df.sparkSession.sparkContext.defaultParallelism))
-    nodes = sample.repartition(parallel, "tree").groupBy("tree").applyInPandas(_grow(features, psi, seed), NODE_SCHEMA)
-    return nodes.withColumn("psi", F.lit(psi))
+    rows = sample.repartition(parallel, "tree").select("tree", "x", F.lit(1).alias("node"), F.array().cast("array<struct<node:int,feature:int,cut:double,size:bigint>>").alias("path"))
+    by = Window.partitionBy("tree", "node")
+    for _ in range(max_depth(psi)):
+        ends = F.array(*[F.struct(F.lit(j).alias("j"), F.min(F.get("x", F.lit(j))).over(by).alias("lo"), F.max(F.get("x", F.lit(j))).over(by).alias("hi")) for j in range(len(features))])
+        rows = rows.select("tree", "x", "node", "path", F.count(F.lit(1)).over(by).alias("size"), F.filter(ends, lambda e: e["hi"] > e["lo"]).alias("varies"))
+        which = F.pmod(hash52(F.col("tree"), F.col("node"), F.lit(seed)), F.size("varies").cast("long")).cast("int")
+        rows = rows.withColumn("f", F.when(F.size("varies") > 0, F.get("varies", which)))
+        cut = F.col("f.lo") + unit(F.col("node"), F.col("tree"), F.lit(seed)) * (F.col("f.hi") - F.col("f.lo"))
+        rows = rows.withColumn("cut", cut)
+        split = F.col("f").isNotNull()
+        rows = rows.select(
+            "tree", "x", F.when(split, 2 * F.col("node") + (F.get("x", F.col("f.j")) >= F.col("cut")).cast("int")).otherwise(F.col("node")).alias("node"),
+            F.when(split, F.concat("path", F.array(F.struct("node", F.col("f.j").alias("feature"), "cut", "size")))).otherwise(F.col("path")).alias("path"))
+    inner = rows.select("tree", F.inline("path")).distinct()
+    leaves = rows.groupBy("tree", "node").agg(F.count(F.lit(1)).alias("size")).select("tree", "node", F.lit(-1).alias("feature"), F.lit(0.0).alias("cut"), "size")
+    nodes = inner.unionByName(leaves)
+    return nodes.withColumns({"depth": F.floor(F.log2("node")).cast("int"), "psi": F.lit(psi)})
+
+
+def leaf_steps(depth, size) -> np.ndarray:
+    """Path length of a leaf: its depth and the expected rest, in ``STEPS``."""
+    return np.rint((np.asarray(depth, "float64") + avg_path_length(size)) * STEPS).astype("int64")
 
 
 def iforest_score(df: DataFrame, nodes_pdf: pd.DataFrame, features: list, out_col: str = "iforest_s") -> DataFrame:
     """Anomaly score s in (0, 1] per row (higher = more isolated)."""
     psi = int(nodes_pdf["psi"].iloc[0])
     norm = float(avg_path_length([psi])[0]) or 1.0
+    places = 2 << max_depth(psi)
     trees = []
-    for _, t in nodes_pdf.sort_values(["tree", "node"]).groupby("tree"):
-        size = int(t["node"].max()) + 1
-        feat = np.full(size, -1, dtype="int64")
-        cut = np.zeros(size)
-        left = np.full(size, -1, dtype="int64")
-        right = np.full(size, -1, dtype="int64")
-        leaf_len = np.zeros(size)
-        nd = t["node"].to_numpy()
-        feat[nd], cut[nd] = t["feature"].to_numpy(), t["cut"].to_numpy()
-        left[nd], right[nd] = t["left"].to_numpy(), t["right"].to_numpy()
-        leaf_len[nd] = t["depth"].to_numpy() + avg_path_length(t["size"].to_numpy())
-        trees.append((feat, cut, left, right, leaf_len))
+    for _, t in nodes_pdf.groupby("tree"):
+        feat, cut = np.full(places, -1, dtype="int64"), np.zeros(places)
+        # a place without sampled rows is a leaf of size 0
+        length = leaf_steps(np.floor(np.log2(np.maximum(np.arange(places), 1))), np.zeros(places))
+        at = t["node"].to_numpy()
+        feat[at], cut[at] = t["feature"].to_numpy(), t["cut"].to_numpy()
+        length[at] = leaf_steps(t["depth"].to_numpy(), t["size"].to_numpy())
+        trees.append((feat, cut, length))
     shared = df.sparkSession.sparkContext.broadcast(trees)
 
     @F.pandas_udf("double")
@@ -136,20 +117,19 @@ def iforest_score(df: DataFrame, nodes_pdf: pd.DataFrame, features: list, out_co
         forest = shared.value
         for columns in batches:
             x = np.column_stack([c.to_numpy(dtype="float64") for c in columns])
-            total = np.zeros(len(x))
+            total = np.zeros(len(x), dtype="int64")
             rows = np.arange(len(x))
-            for feat, cut, left, right, leaf_len in forest:
-                at = np.zeros(len(x), dtype="int64")
+            for feat, cut, length in forest:
+                at = np.ones(len(x), dtype="int64")
                 while True:
                     f = feat[at]
                     inner = f >= 0
                     if not inner.any():
                         break
                     r = rows[inner]
-                    go_left = x[r, f[inner]] < cut[at[inner]]
-                    at[inner] = np.where(go_left, left[at[inner]], right[at[inner]])
-                total += leaf_len[at]
-            yield pd.Series(np.power(2.0, -(total / len(forest)) / norm))
+                    at[inner] = 2 * at[inner] + (x[r, f[inner]] >= cut[at[inner]])
+                total += length[at]
+            yield pd.Series(np.power(2.0, -(total / STEPS / len(forest)) / norm))
 
     # only the features go through Python
     return df.withColumn(out_col, score(*[F.col(c).cast("double") for c in features]))

@@ -13,7 +13,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from firmscope.operators.stats import attach_by_key, bounded_broadcast, quantiles
+from firmscope.functions.portable import hash52
+from firmscope.operators.stats import attach_by_key, bounded_broadcast, quantiles, rows_at
+from firmscope.session import cut_lineage
 
 ID = "company_id"
 
@@ -128,18 +130,19 @@ def top_by(df: DataFrame, col: str, n: int, columns: list) -> DataFrame:
 
 
 def page(df: DataFrame, number: int, size: int = 50, order: str = ID) -> DataFrame:
-    """Page ``number`` (1-based) of rows ordered by ``order``, plus the page
-    count max(1, ceil(n / size)) as a column."""
-    total = df.count()
-    pages = max(1, -(-total // size))
-    rows = df.orderBy(order).offset((number - 1) * size).limit(size)
-    return rows.withColumn("total_pages", F.lit(pages).cast("long"))
+    """Page ``number`` (1-based) of rows ordered by the numeric column
+    ``order`` (ties by id), plus the page count max(1, ceil(n / size)) as a
+    column. Any page sorts only the range of values it lies in, so the last
+    one costs what the first does."""
+    rows, total = rows_at(df, order, (number - 1) * size, size, ID)
+    return rows.withColumn("total_pages", F.lit(max(1, -(-total // size))).cast("long"))
 
 
 def sample_scatter(df: DataFrame, n: int = 1000, seed: int = 7) -> DataFrame:
-    """All rows when at most n, else a uniform random n (top-n by a seeded
-    random key: per-partition top-n, no global sort)."""
-    return df.withColumn("_r", F.rand(seed)).orderBy("_r").limit(n).drop("_r")
+    """All rows when at most n, else a uniform random n: those of the smallest
+    portable hash of the id, whatever the file layout (per-partition top-n, no
+    global sort)."""
+    return df.withColumn("_r", hash52(F.col(ID), F.lit(seed))).orderBy("_r", ID).limit(n).drop("_r")
 
 
 # ---------------------------------------------------------------- aggregates
@@ -180,20 +183,15 @@ def range_histogram(df: DataFrame, col: str, bins: int = 10) -> DataFrame:
 
 
 def market_summary(df: DataFrame) -> DataFrame:
-    med = quantiles(df, ["revenue_clean"], (), 0.5, ["median_revenue"])
-    agg = df.agg(
-        F.count(F.lit(1)).alias("companies"),
-        F.avg("lead_score").alias("avg_lead_score"),
-        F.countDistinct("country").alias("countries"),
-    )
-    return combine_rows(agg, med)
+    return quantiles(df, ["revenue_clean"], (), 0.5, ["median_revenue"], aggs=[
+        F.count(F.lit(1)).alias("companies"), F.avg("lead_score").alias("avg_lead_score"), F.countDistinct("country").alias("countries")])
 
 
 def country_breakdown(df: DataFrame, n: int = 10) -> DataFrame:
     base = df.filter(F.col("country").isNotNull())
-    med = quantiles(base, ["revenue_clean"], ["country"], 0.5, ["median_revenue"])
-    agg = base.groupBy("country").agg(F.count(F.lit(1)).alias("companies"), F.avg("lead_score").alias("avg_lead_score"))
-    return agg.join(med, "country", "left").orderBy(F.col("companies").desc(), "country").limit(n)
+    per = quantiles(base, ["revenue_clean"], ["country"], 0.5, ["median_revenue"], aggs=[
+        F.count(F.lit(1)).alias("companies"), F.avg("lead_score").alias("avg_lead_score")])
+    return per.orderBy(F.col("companies").desc(), "country").limit(n)
 
 
 def global_medians(df: DataFrame) -> DataFrame:
@@ -210,15 +208,13 @@ def group_moments(df: DataFrame, group: str, value: Column) -> DataFrame:
 def box_summary(df: DataFrame, group: str, value: str) -> DataFrame:
     """Quartiles and 1.5-IQR whiskers (most extreme data points inside the fences)."""
     base = df.filter(F.col(group).isNotNull() & F.col(value).isNotNull())
-    q = quantiles(base, [value], [group], [0.25, 0.5, 0.75], ["q1", "median", "q3"])
-    fences = q.withColumns(
-        {"_lo": F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")), "_hi": F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))}
-    )
-    whisk = base.join(bounded_broadcast(fences.select(group, "_lo", "_hi")), group).groupBy(group).agg(
-        F.min(F.when(F.col(value) >= F.col("_lo"), F.col(value))).alias("whisker_low"),
-        F.max(F.when(F.col(value) <= F.col("_hi"), F.col(value))).alias("whisker_high"),
+    # a row for each group: written once, as the whiskers and the result read it
+    q = bounded_broadcast(cut_lineage(quantiles(base, [value], [group], [0.25, 0.5, 0.75], ["q1", "median", "q3"]), "quartiles"))
+    reach = 1.5 * (F.col("q3") - F.col("q1"))
+    return base.join(q, group).groupBy(group, "q1", "median", "q3").agg(
+        F.min(F.when(F.col(value) >= F.col("q1") - reach, F.col(value))).alias("whisker_low"),
+        F.max(F.when(F.col(value) <= F.col("q3") + reach, F.col(value))).alias("whisker_high"),
     )
-    return q.join(whisk, group)
 
 
 def distinct_values(df: DataFrame, col: str, limit: int | None = None, where: Column | None = None, exclude=None) -> DataFrame:

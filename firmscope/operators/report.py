@@ -118,11 +118,9 @@ def cluster_profiles(df: DataFrame) -> DataFrame:
     """Per cluster name: size, median revenue and employees, modal region and
     industry, share of all rows as text with one decimal and '%'."""
     base = df.filter(F.col("cluster_name").isNotNull())
-    size = base.groupBy("cluster_name").agg(F.count(F.lit(1)).alias("size"))
-    med = quantiles(base, ["revenue_clean", "employees_clean"], ["cluster_name"], 0.5, ["median_revenue", "median_employees"])
+    med = quantiles(base, ["revenue_clean", "employees_clean"], ["cluster_name"], 0.5, ["median_revenue", "median_employees"], aggs=[F.count(F.lit(1)).alias("size")])
     out = (
-        size.join(med, "cluster_name", "left")
-        .join(modal(base, "cluster_name", "region", "top_region"), "cluster_name", "left")
+        med.join(modal(base, "cluster_name", "region", "top_region"), "cluster_name", "left")
         .join(modal(base, "cluster_name", "sic_description", "top_industry"), "cluster_name", "left")
         .fillna({"top_region": NA_TEXT, "top_industry": NA_TEXT})
     )
@@ -170,14 +168,13 @@ def market_facts(market: DataFrame, countries: DataFrame, n_industries: int = 5,
     """One row: totals, per-country records (a top-10 list, bounded), median
     revenue, average score, top industries as a map, the filters that
     ``spec`` sets as JSON; plus the JSON text of all facts."""
-    med = quantiles(market, ["revenue_clean"], (), 0.5, ["median_revenue"])
-    tot = market.agg(F.count(F.lit(1)).alias("total_companies"), F.avg("lead_score").alias("avg_lead_score"))
+    tot = quantiles(market, ["revenue_clean"], (), 0.5, ["median_revenue"], aggs=[F.count(F.lit(1)).alias("total_companies"), F.avg("lead_score").alias("avg_lead_score")])
     ctry = countries.agg(F.sort_array(F.collect_list(F.struct(F.col("companies").alias("companies"), "country", "median_revenue", "avg_lead_score")), False).alias("countries"))
     ind = value_counts(market, "sic_description", n_industries).agg(
         F.map_from_entries(F.collect_list(F.struct("sic_description", "n"))).alias("top_industries")
     )
     filters = {k: v for k, v in asdict(spec).items() if v not in (None, (), {}, False)} if spec else {}
-    row = combine_rows(tot, med, ctry, ind).withColumn("filters_applied", F.lit(json.dumps(filters, sort_keys=True)))
+    row = combine_rows(tot, ctry, ind).withColumn("filters_applied", F.lit(json.dumps(filters, sort_keys=True)))
     return row.withColumn("facts_json", F.to_json(F.struct(
         "total_companies", "median_revenue", "avg_lead_score", "countries", "top_industries", "filters_applied")))
 

@@ -3,13 +3,10 @@ starts, tier names from the per-cluster revenue rank and modal entity score."""
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
-
-from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from firmscope.operators import lloyd
 from firmscope.operators.impute import fit_scaler
 from firmscope.operators.stats import median_row, quantiles
 
@@ -24,7 +21,7 @@ HQ_SCORE, SUB_SCORE, SMALL_RANK = 2.8, 1.8, 4
 
 def cluster_matrix(df: DataFrame, cols, scaler: dict | None = None, medians: dict | None = None):
     """+-inf -> null -> column median, then z-score with the population std.
-    Adds ``features`` (vector) and returns (df, scaler, medians)."""
+    Adds ``z_<column>`` and returns (df, scaler, medians)."""
     cols = list(cols)
     clean = df.withColumns({c: F.when(F.col(c).isin(float("inf"), float("-inf")), None).otherwise(F.col(c)).cast("double") for c in cols})
     if medians is None:
@@ -43,25 +40,14 @@ def cluster_matrix(df: DataFrame, cols, scaler: dict | None = None, medians: dic
     if scaler is None:
         scaler = fit_scaler(filled, cols)
     z = filled.withColumns({f"z_{c}": (F.col(c) - F.lit(scaler[c][0])) / F.lit(scaler[c][1]) for c in cols})
-    vec = VectorAssembler(inputCols=[f"z_{c}" for c in cols], outputCol="features").transform(z)
-    return vec, scaler, medians
-
+    return z, scaler, medians
 
-def kmeans_fit(df: DataFrame, k: int = 5, starts: int = 10, seed: int = 42, max_iter: int = 300, parallel: int = 10) -> KMeansModel:
-    """Best of ``starts`` fits (k-means|| init, different seeds) by training
-    cost. Fits run as concurrent Spark jobs over one persisted copy of the
-    vectors (each would keep its own otherwise)."""
-    vectors = df.select("features").persist()
 
-    def fit(i):
-        return KMeans(k=k, seed=seed + i, maxIter=max_iter, featuresCol="features", predictionCol="cluster").fit(vectors)
-
-    try:
-        with ThreadPoolExecutor(max_workers=max(1, min(parallel, starts))) as pool:
-            models = list(pool.map(fit, range(starts)))
-    finally:
-        vectors.unpersist()
-    return min(models, key=lambda m: m.summary.trainingCost)
+def kmeans_fit(df: DataFrame, id_col: str, cols, k: int = 5, starts: int = 10, seed: int = 42, max_iter: int = 300) -> lloyd.Fit:
+    """Best of ``starts`` fits (k-means++ starts) by cost on the standardised
+    columns; all starts advance in the same scans."""
+    fits = lloyd.fit(lloyd.points(df, id_col, list(cols), seed=seed), [lloyd.Replica(k, s) for s in range(starts)], seed, max_iter)
+    return lloyd.best(fits)
 
 
 def kmeans_assign(df: DataFrame, cols, centres) -> DataFrame:
@@ -80,12 +66,8 @@ def kmeans_assign(df: DataFrame, cols, centres) -> DataFrame:
 def cluster_tier_profile(df: DataFrame) -> DataFrame:
     """Per cluster: median revenue and the modal entity score (smallest of
     ties; the mean when no mode exists)."""
-    med = quantiles(df, ["revenue_clean"], ["cluster"], 0.5, ["median_revenue"])
-    mode = df.groupBy("cluster").agg(
-        F.coalesce(F.mode("entity_score", True), F.avg("entity_score")).alias("entity_mode"),
-        F.count(F.lit(1)).alias("size"),
-    )
-    return mode.join(med, "cluster", "left")
+    return quantiles(df, ["revenue_clean"], ["cluster"], 0.5, ["median_revenue"], aggs=[
+        F.coalesce(F.mode("entity_score", True), F.avg("entity_score")).alias("entity_mode"), F.count(F.lit(1)).alias("size")])
 
 
 def name_clusters(profile: DataFrame) -> DataFrame:

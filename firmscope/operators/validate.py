@@ -3,18 +3,14 @@ stability of the segmentation, cluster predictor and permutation importance."""
 
 from __future__ import annotations
 
-import math
-from concurrent.futures import ThreadPoolExecutor
-
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from firmscope.operators.queries import combine_rows
+from firmscope.functions.portable import hash52, unit
+from firmscope.operators import lloyd
 from firmscope.session import cut_lineage
 
 
@@ -37,113 +33,79 @@ def welch_ttest(df: DataFrame, group: str, a: str, b: str, value) -> DataFrame:
     )
 
 
-def _beta_tail(a: float, b: float, x: float) -> float:
-    """I_x(a, b) by its power series x^a (1-x)^b / (a B(a, b)) * sum over n of
-    x^n (a+b)(a+b+1).../((a+1)(a+2)...); all terms are positive."""
-    scale = math.exp(a * math.log(x) + b * math.log1p(-x) + math.lgamma(a + b) - math.lgamma(a + 1.0) - math.lgamma(b))
-    total, term, n = 0.0, 1.0, 0
-    while term > total * 1e-17:
-        total += term
-        term *= x * (a + b + n) / (a + 1.0 + n)
-        n += 1
-    return scale * total
+def t_two_sided_p(t, dof):
+    """Two-sided p-value of Student's t as a Column: the density from |t| on
+    over the density from 0 on. With x = |t| + exp(w) both integrands fall off
+    doubly exponentially, where equal steps of w are exact to rounding. Null
+    without a positive number of degrees of freedom."""
+    steps = F.transform(F.sequence(F.lit(-T_STEPS), F.lit(T_STEPS)), lambda i: F.exp(i * F.lit(T_STEP)))
 
+    def beyond(start):
+        density = lambda x: F.exp(-(dof + 1.0) / 2.0 * F.log1p(x * x / dof))
+        return F.aggregate(steps, F.lit(0.0), lambda s, w: s + density(start + w) * w)
 
-def betainc_reg(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta function; the series runs on the side of the mean where it shrinks fast."""
-    if not 0.0 < x < 1.0:
-        return 0.0 if x <= 0.0 else 1.0
-    if x * (a + b + 2.0) < a + 1.0:
-        return _beta_tail(a, b, x)
-    return 1.0 - _beta_tail(b, a, 1.0 - x)
+    return F.when(dof > 0, beyond(F.abs(t)) / beyond(F.lit(0.0)))
 
 
-def t_two_sided_p(t: float, dof: float) -> float:
-    """Two-sided p-value of Student's t: I_{dof/(dof+t^2)}(dof/2, 1/2)."""
-    if t is None or dof is None or not math.isfinite(t) or dof <= 0:
-        return float("nan")
-    return betainc_reg(dof / 2.0, 0.5, dof / (dof + t * t))
+#: Steps of w on each side of 0, and their size.
+T_STEPS, T_STEP = 900, 0.05
 
 
 def welch_with_p(df: DataFrame, group: str, a: str, b: str, value) -> DataFrame:
-    """Welch test plus the two-sided p-value, evaluated by ``mapInPandas``
-    over the one-row result (no SciPy needed)."""
+    """Welch test plus the two-sided p-value (one row)."""
     w = welch_ttest(df, group, a, b, value)
-    schema = T.StructType(w.schema.fields + [T.StructField("p_value", T.DoubleType())])
-
-    def with_p(batches):
-        for pdf in batches:
-            yield pdf.assign(p_value=[t_two_sided_p(x, y) for x, y in zip(pdf["t"], pdf["df"])])
-
-    return w.mapInPandas(with_p, schema)
+    return w.withColumn("p_value", t_two_sided_p(F.col("t"), F.col("df")))
 
 
 # ------------------------------------------------------------------ V3
 def adjusted_rand_index(df: DataFrame, a: str, b: str) -> DataFrame:
-    """ARI of two labelings from the contingency table (pair counts as
-    bigint/double, all aggregates; nothing leaves the executors)."""
+    """ARI of two labelings from the contingency table (all aggregates;
+    nothing leaves the executors)."""
     base = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
+    return ari_of_counts(base.groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count(F.lit(1)).alias("n")))
+
+
+def ari_of_counts(counts: DataFrame, by: tuple = ()) -> DataFrame:
+    """(by, n, ari) of contingency tables (by, a, b, n), one for each ``by``."""
     pairs = lambda c: c * (c - 1) / 2.0
-    cont = base.groupBy(a, b).agg(F.count(F.lit(1)).alias("nij"))
-    s_ij = cont.agg(F.sum(pairs(F.col("nij"))).alias("sij"), F.sum("nij").alias("n"))
-    s_a = cont.groupBy(a).agg(F.sum("nij").alias("ai")).agg(F.sum(pairs(F.col("ai"))).alias("sa"))
-    s_b = cont.groupBy(b).agg(F.sum("nij").alias("bj")).agg(F.sum(pairs(F.col("bj"))).alias("sb"))
-    j = combine_rows(s_ij, s_a, s_b)
+    # each kind of sum is a grouping of the same counts: cells, rows and columns
+    kinds = F.inline(F.array(*[F.struct(F.lit(i).alias("kind"), x.alias("x"), y.alias("y")) for i, (x, y) in enumerate([
+        (F.col("a").cast("string"), F.col("b").cast("string")), (F.col("a").cast("string"), F.lit(None).cast("string")), (F.lit(None).cast("string"), F.col("b").cast("string"))])]))
+    sums = counts.select(*by, "n", kinds).groupBy(*by, "kind", "x", "y").agg(F.sum("n").alias("n"))
+    total = lambda i, v: F.sum(F.when(F.col("kind") == i, v))
+    j = sums.groupBy(*by).agg(total(0, F.col("n")).alias("n"), total(0, pairs(F.col("n"))).alias("sij"), total(1, pairs(F.col("n"))).alias("sa"), total(2, pairs(F.col("n"))).alias("sb"))
     expected = F.col("sa") * F.col("sb") / pairs(F.col("n"))
     max_index = (F.col("sa") + F.col("sb")) / 2.0
     ari = F.when(max_index == expected, F.lit(1.0)).otherwise((F.col("sij") - expected) / (max_index - expected))
-    return j.select(F.col("n").alias("n"), ari.alias("ari"))
+    return j.select(*by, "n", ari.alias("ari"))
 
 
 # ------------------------------------------------------------------ V2, V7
-def _fit_best(df: DataFrame, k: int, starts: int, seed: int, weight_col: str | None = None):
-    best = None
-    for i in range(starts):
-        km = KMeans(k=k, seed=seed + i, featuresCol="features", predictionCol="p", maxIter=300)
-        if weight_col:
-            km = km.setWeightCol(weight_col)
-        m = km.fit(df)
-        if best is None or m.summary.trainingCost < best.summary.trainingCost:
-            best = m
-    return best
-
-
-def bootstrap_ari(vec: DataFrame, base_col: str, runs: int = 20, k: int = 5, starts: int = 5, parallel: int = 8) -> DataFrame:
-    """Resample with replacement (Poisson(1) row weights — one pass, no row
-    copies), refit k-means, relabel the original rows, ARI vs the base labels.
-    Returns (run, ari)."""
-    spark = vec.sparkSession
-
-    def one(i):  # one resample: weights, refit, relabel, ARI
-        weighted = vec.withColumn("_w", _poisson1(F.rand(1000 + i)).cast("double"))
-        model = _fit_best(weighted.filter(F.col("_w") > 0), k, starts, i, "_w")
-        labels = model.transform(vec).select(base_col, F.col("p").alias("boot"))
-        return i, adjusted_rand_index(labels, base_col, "boot").first()["ari"]
-
-    with ThreadPoolExecutor(max_workers=parallel) as pool:
-        rows = list(pool.map(one, range(runs)))
-    return spark.createDataFrame(rows, "run int, ari double")
-
-
-def _poisson1(u):
-    """Poisson(1) draw from one uniform by inverting the CDF, as far as a double tells it from 1."""
-    below, p, k = 0.0, math.exp(-1.0), 0
-    expr = F
-    while below + p > below and below + p < 1.0:
-        below += p
-        expr = expr.when(u < below, F.lit(k))
-        k += 1
-        p /= k
-    return expr.otherwise(F.lit(k))
+def bootstrap_ari(df: DataFrame, id_col: str, cols: list, base_col: str, runs: int = 20, k: int = 5, starts: int = 5, seed: int = 42) -> DataFrame:
+    """Resample with replacement (Poisson(1) row weights, no row copies),
+    refit k-means, relabel the original rows, ARI vs the base labels. All runs
+    and starts advance in the same scans. Returns (run, ari)."""
+    pts = lloyd.points(df, id_col, cols, (base_col,), seed)
+    fits = lloyd.fit(pts, [lloyd.Replica(k, s, run) for run in range(runs) for s in range(starts)], seed)
+    chosen = [lloyd.best([f for f in fits if f.replica.run == run]) for run in range(runs)]
+    counts = lloyd.contingency(pts, base_col, chosen)
+    return ari_of_counts(counts, ("fit",)).select(F.col("fit").alias("run"), "ari")
 
 
 # ------------------------------------------------------------------ V4, V5, V6
-def cluster_predictor(df: DataFrame, features: list, label: str, seed: int = 42, trees: int = 50):
+def hashed_split(df: DataFrame, id_col: str, share: float, seed: int) -> tuple[DataFrame, DataFrame]:
+    """(about ``share`` of the rows, the rest) by a portable hash of the id."""
+    first = unit(F.col(id_col), F.lit(seed)) < share
+    return df.filter(first), df.filter(~first)
+
+
+def cluster_predictor(df: DataFrame, features: list, label: str, id_col: str, seed: int = 42, trees: int = 50, depth: int = 30):
     """70/30 split, random forest, accuracy on the test part. Returns
-    (model, test DataFrame with features, accuracy)."""
+    (model, test DataFrame with features, accuracy). Trees grow until their
+    leaves are pure, at most ``depth`` levels (30 is the most MLlib allows)."""
     vec = VectorAssembler(inputCols=features, outputCol="features").transform(df).withColumn("label", F.col(label).cast("double"))
-    train, test = vec.randomSplit([0.7, 0.3], seed)
-    model = RandomForestClassifier(numTrees=trees, seed=seed, labelCol="label", featuresCol="features").fit(train)
+    train, test = hashed_split(vec, id_col, 0.7, seed)
+    model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, labelCol="label", featuresCol="features").fit(train)
     acc = accuracy(model.transform(test))
     return model, test, acc
 
@@ -156,7 +118,7 @@ def hashed_rank(df: DataFrame, by: list, id_col: str, buckets: int, seed: int, n
     """Rank (from 1) of every row within ``by`` in the order of a hash of the
     id: rows are numbered inside hash buckets and the sizes of the earlier
     buckets (groups x buckets numbers) are added."""
-    dealt = df.withColumn("_h", F.xxhash64(id_col, *by, F.lit(seed))).withColumn("_b", F.pmod("_h", F.lit(buckets)))
+    dealt = df.withColumn("_h", hash52(F.col(id_col), *[F.col(c) for c in by], F.lit(seed))).withColumn("_b", F.pmod("_h", F.lit(buckets)))
     local = dealt.withColumn("_n", F.row_number().over(Window.partitionBy(*by, "_b").orderBy("_h", id_col)))
     sizes = dealt.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_c"))
     earlier = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
@@ -164,14 +126,14 @@ def hashed_rank(df: DataFrame, by: list, id_col: str, buckets: int, seed: int, n
     return local.join(starts, [*by, "_b"]).withColumn(name, F.col("_start") + F.col("_n")).drop("_h", "_b", "_n", "_start")
 
 
-def permutation_importance(model, test: DataFrame, features: list, repeats: int = 5, seed: int = 42, rows_per_bucket: int = 200_000) -> DataFrame:
+def permutation_importance(model, test: DataFrame, features: list, id_col: str, repeats: int = 5, seed: int = 42, rows_per_bucket: int = 200_000) -> DataFrame:
     """Mean accuracy drop when one column is shuffled over the whole test set.
 
     All (feature, repeat) variants run in one pass: each has its own hashed
     order of the rows, and the row at rank r of the plain order takes the value
-    of the row at rank r of the variant's order. Hashes of a written row number
-    give the same shuffle whenever a partition is computed again."""
-    base = cut_lineage(test.select(*features, "label").withColumn("_rid", F.monotonically_increasing_id()), "perm-test")
+    of the row at rank r of the variant's order. The orders are those of a
+    portable hash of the id, whatever the file layout."""
+    base = cut_lineage(test.select(*features, "label", F.col(id_col).alias("_rid")), "perm-test")
     buckets = max(8, base.count() // rows_per_bucket + 1)
     variant = F.explode(F.sequence(F.lit(0), F.lit(len(features) * repeats - 1))).alias("_var")
     of_variant = F.floor(F.col("_var") / repeats)

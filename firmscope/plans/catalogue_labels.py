@@ -1,11 +1,11 @@
 """Queries over segments and anomalies with a SQL oracle.
 
-The pipeline's own segments and anomaly scores come from randomised fits. Here
-the same operators work on a table that both engines can compute: companies
-belong to the nearest of five fixed centres, and a plain formula over the
-standardised features stands for the forest's score. Everything after the two
-fits (assignment, tier names, threshold, flags, views, report facts) is the
-code that the pipeline runs.
+Each query over a result table is registered twice: over the pipeline's own
+results, whose k-means and forest SQL repeats hash by hash (``oracle_fits``), and over
+a table of fixed labels, where companies belong to the nearest of five given centres and
+a plain formula over the standardised features stands for the forest's score.
+The second kind checks what comes after the fits (assignment, tier names, threshold,
+flags, views, report facts) on segments of other shapes.
 """
 
 from __future__ import annotations
@@ -24,10 +24,11 @@ from firmscope.operators import report as G
 from firmscope.operators import segment as SG
 from firmscope.operators import validate as V
 from firmscope.operators.stats import smallest_k_per_group
+from firmscope.plans import oracle_fits as OF
 from firmscope.plans.catalogue import LEAD_COLS_SQL, _lead_cols, r2, r6, register
 from firmscope.plans.oracle import CORE_SQL
 from firmscope.plans.pipeline import flag_stage
-from firmscope.plans.results import companies_raw, prepared, results_models
+from firmscope.plans.results import companies_raw, prepared, results, results_models
 from firmscope.session import cut_lineage
 
 #: Five centres over the standardised ``CLUSTER_FEATURES``.
@@ -54,7 +55,7 @@ def labelled(spark: SparkSession, sf: str) -> DataFrame:
             gap = F.lit(0.0)
             for c in ZCOLS:
                 gap = gap + F.abs(c)
-            scored = SG.kmeans_assign(z.drop("features"), ZCOLS, CENTRES).withColumn("iforest_s", gap / (gap + 7.0)).drop(*ZCOLS)
+            scored = SG.kmeans_assign(z, ZCOLS, CENTRES).withColumn("iforest_s", gap / (gap + 7.0)).drop(*ZCOLS)
             scored = cut_lineage(scored, "labelled-scores")  # read by the profile, the threshold and the table
             named = SG.attach_cluster_name(scored, SG.name_clusters(SG.cluster_tier_profile(scored)))
             _labelled[key] = cut_lineage(flag_stage(named, IF.anomaly_threshold(scored)), "labelled", partition_by="region")
@@ -66,104 +67,95 @@ def _values() -> str:
     return f"SELECT * FROM (VALUES {rows}) AS t(cluster, " + ", ".join(f"c{j}" for j in range(len(FEATS))) + ")"
 
 
-_Z = ", ".join(f"(p.{c} - m{j}) / s{j} AS z{j}" for j, c in enumerate(FEATS))
-_FIT = ", ".join(f"avg({c}) AS m{j}, stddev_pop({c}) AS s{j}" for j, c in enumerate(FEATS))
 _D2 = " + ".join(f"(z{j} - c{j}) * (z{j} - c{j})" for j in range(len(FEATS)))
 _GAP = " + ".join(f"abs(z{j})" for j in range(len(FEATS)))
 
-LABELLED_SQL = CORE_SQL.rstrip() + f""",
-zfit AS (SELECT {_FIT} FROM prepared),
-zrows AS (SELECT p.*, {_Z} FROM prepared p, zfit),
-centres AS ({_values()}),
-nearest AS (SELECT company_id, cluster FROM (
+LABELLED_SQL = ",\n".join([CORE_SQL.rstrip(), OF.z_columns("prepared", FEATS, "z"), f"centres AS ({_values()})", OF.segment_tail(f"""nearest AS (SELECT company_id, cluster FROM (
   SELECT company_id, cluster, row_number() OVER (PARTITION BY company_id ORDER BY {_D2}, cluster) AS rk FROM zrows, centres) WHERE rk = 1),
-assigned AS (SELECT zrows.*, nearest.cluster, ({_GAP}) / (({_GAP}) + 7.0) AS s FROM zrows JOIN nearest USING (company_id)),
-modes AS (SELECT cluster, entity_score AS entity_mode FROM (
-  SELECT cluster, entity_score, row_number() OVER (PARTITION BY cluster ORDER BY n DESC, entity_score) AS rk
-  FROM (SELECT cluster, entity_score, count(*) AS n FROM assigned GROUP BY cluster, entity_score)) WHERE rk = 1),
-profile AS (SELECT cluster, median(revenue_clean) AS median_revenue, count(*) AS size FROM assigned GROUP BY cluster),
-tiers AS (SELECT profile.*, entity_mode, rank() OVER (ORDER BY median_revenue DESC NULLS LAST) AS cluster_tier FROM profile JOIN modes USING (cluster)),
-names AS (SELECT cluster, cluster_tier, 'Tier ' || CAST(cluster_tier AS VARCHAR) || ' ' || CASE WHEN cluster_tier = 1 THEN 'Global HQ'
-  WHEN cluster_tier >= 4 AND entity_mode >= 2.8 THEN 'Local HQ' WHEN entity_mode >= 2.8 THEN 'Parent HQ'
-  WHEN entity_mode >= 1.8 THEN 'Subsidiary' ELSE 'Branch' END AS cluster_name FROM tiers),
-cut AS (SELECT quantile_cont(-s, 0.05) AS t FROM assigned),
-decided AS (SELECT assigned.*, cluster_tier, cluster_name, -s - t AS anomaly_score FROM assigned JOIN names USING (cluster), cut),
-labelled AS (SELECT *, anomaly_score < 0 AS is_anomaly, CASE WHEN anomaly_score < 0 THEN 'Anomaly' ELSE 'Normal' END AS anomaly_label,
-  CAST(risk_shell AS INTEGER) + CAST(risk_data_quality AS INTEGER) + CAST(risk_orphan_sub AS INTEGER)
-  + CAST(anomaly_score < 0 AS INTEGER) AS risk_flags FROM decided)
-"""
+assigned AS (SELECT zrows.*, nearest.cluster, ({_GAP}) / (({_GAP}) + 7.0) AS s FROM zrows JOIN nearest USING (company_id))""")])
 
 
 def with_labelled(select: str) -> str:
     return LABELLED_SQL + select
 
 
+def both(name: str, select: str, labelled_name: str | None = None):
+    """Register a function of a result table twice: as ``name`` over the
+    pipeline's results, whose fits SQL follows by their hashes, and as
+    ``labelled_<name>`` over the fixed labels."""
+    def deco(fn):
+        register(name, OF.results_sql(select))(lambda spark, sf: fn(results(spark, sf)))
+        register(f"labelled_{labelled_name or name}", with_labelled(select))(lambda spark, sf: fn(labelled(spark, sf)))
+        return fn
+    return deco
+
+
 _FLAG_TEXTS = "COALESCE(NULLIF(concat_ws('; ', " + ", ".join(f"CASE WHEN {n} THEN '{t}' END" for n, t in RISK_TEXTS) + "), ''), 'No risk flags detected')"
 
 
 # ------------------------------------------------------------------ K2–K4, A2, J2
-@register("labelled_assignment", with_labelled("SELECT company_id, cluster, cluster_tier, cluster_name FROM labelled"))
-def labelled_assignment(spark, sf):
-    return labelled(spark, sf).select("company_id", "cluster", "cluster_tier", "cluster_name")
+@both("company_segments", ("SELECT company_id, cluster, cluster_tier, cluster_name FROM labelled"), "assignment")
+def company_segments(df):
+    return df.select("company_id", "cluster", "cluster_tier", "cluster_name")
 
 
-@register("labelled_segments", with_labelled(
-    "SELECT cluster, size, entity_mode, round(median_revenue, 4) AS median_revenue, cluster_tier, cluster_name FROM tiers JOIN names USING (cluster, cluster_tier)"))
-def labelled_segments(spark, sf):
-    profile = SG.cluster_tier_profile(labelled(spark, sf))
+@both("segment_profile", (
+    "SELECT cluster, size, entity_mode, round(median_revenue, 4) AS median_revenue, cluster_tier, cluster_name FROM tiers JOIN names USING (cluster, cluster_tier)"), "segments")
+def segment_profile(df):
+    profile = SG.cluster_tier_profile(df)
     named = profile.join(SG.name_clusters(profile), "cluster")
     return named.select("cluster", "size", "entity_mode", F.round("median_revenue", 4).alias("median_revenue"), "cluster_tier", "cluster_name")
 
 
 # ------------------------------------------------------------------ R5–R9, X10
-@register("labelled_anomalies", with_labelled("SELECT company_id, round(anomaly_score, 6) AS anomaly_score, is_anomaly, anomaly_label FROM labelled"))
-def labelled_anomalies(spark, sf):
-    return labelled(spark, sf).select("company_id", r6("anomaly_score").alias("anomaly_score"), "is_anomaly", "anomaly_label")
+@both("anomalies", ("SELECT company_id, round(anomaly_score, 6) AS anomaly_score, is_anomaly, anomaly_label FROM labelled"))
+def anomalies(df):
+    return df.select("company_id", r6("anomaly_score").alias("anomaly_score"), "is_anomaly", "anomaly_label")
 
 
-@register("labelled_risk_flags", with_labelled(
+@both("risk_flags", (
     f"SELECT company_id, risk_flags, {_FLAG_TEXTS} AS flag_texts, CASE WHEN risk_flags > 0 THEN 'Medium' ELSE 'Low' END AS risk_grade FROM labelled"))
-def labelled_risk_flags(spark, sf):
+def risk_flags(df):
     flags = S.risk_flag_list({name: F.col(name) for name, _ in RISK_TEXTS})
-    return labelled(spark, sf).select(
+    return df.select(
         "company_id", "risk_flags", F.concat_ws("; ", flags).alias("flag_texts"), S.risk_grade(F.col("risk_flags")).alias("risk_grade"))
 
 
 _EDGES = "(SELECT min(anomaly_score) AS lo, max(anomaly_score) AS hi FROM labelled)"
 
 
-@register("labelled_anomaly_histogram", with_labelled(
+@both("anomaly_histogram", (
     "SELECT CAST(least(floor((anomaly_score - lo) / ((hi - lo) / 20)), 19) AS INTEGER) AS bin, count(*) AS n, "
     f"round(min(anomaly_score), 6) AS min_score, CAST(count_if(anomaly_score < 0) AS BIGINT) AS below_cut FROM labelled, {_EDGES} GROUP BY 1"))
-def labelled_anomaly_histogram(spark, sf):
-    return X.anomaly_histogram(labelled(spark, sf)).select("bin", "n", r6("min_score").alias("min_score"), "below_cut")
+def anomaly_histogram(df):
+    return X.anomaly_histogram(df).select("bin", "n", r6("min_score").alias("min_score"), "below_cut")
 
 
 # ------------------------------------------------------------------ A4, A5, A12, P1, T3, A18
-@register("labelled_risk_summary", with_labelled(
+@both("risk_summary", (
     "SELECT CAST(count_if(risk_shell) AS BIGINT) AS shells, CAST(count_if(is_anomaly) AS BIGINT) AS anomalies, "
     "CAST(count_if(risk_flags >= 2) AS BIGINT) AS high_risk, round(avg(CASE WHEN risk_flags > 0 THEN 100.0 ELSE 0.0 END), 6) AS risk_rate_pct FROM labelled"))
-def labelled_risk_summary(spark, sf):
-    return labelled(spark, sf).agg(
+def risk_summary(df):
+    return df.agg(
         F.count_if("risk_shell").alias("shells"), F.count_if(F.col("anomaly_label") == "Anomaly").alias("anomalies"),
         F.count_if(F.col("risk_flags") >= 2).alias("high_risk"), r6(F.avg((F.col("risk_flags") > 0).cast("double")) * 100).alias("risk_rate_pct"))
 
 
-@register("labelled_dataset_stats", with_labelled(
+@both("dataset_stats", (
     "SELECT count(*) AS companies, count(DISTINCT cluster) AS clusters, CAST(count_if(is_anomaly) AS BIGINT) AS anomalies, "
     "round(count_if(is_anomaly) * 100.0 / count(*), 6) AS anomaly_pct FROM labelled"))
-def labelled_dataset_stats(spark, sf):
+def dataset_stats(df):
     odd = F.count_if(F.col("anomaly_label") == "Anomaly")
-    return labelled(spark, sf).agg(
+    return df.agg(
         F.count(F.lit(1)).alias("companies"), F.countDistinct("cluster").alias("clusters"), odd.alias("anomalies"),
         r6(odd.cast("double") * 100 / F.count(F.lit(1))).alias("anomaly_pct"))
 
 
-@register("labelled_overview", with_labelled(
+@both("overview_with_anomalies", (
     "SELECT count(*) AS companies, round(avg(revenue_clean), 2) AS avg_revenue, round(avg(employees_clean), 4) AS avg_employees, "
-    "CAST(count_if(is_anomaly) AS BIGINT) AS anomalies FROM labelled WHERE region = 'EUROPE'"))
-def labelled_overview(spark, sf):
-    return Q.sidebar_filter(labelled(spark, sf), region="EUROPE").agg(
+    "CAST(count_if(is_anomaly) AS BIGINT) AS anomalies FROM labelled WHERE region = 'EUROPE'"), "overview")
+def overview_with_anomalies(df):
+    return Q.sidebar_filter(df, region="EUROPE").agg(
         F.count(F.lit(1)).alias("companies"), r2(F.avg("revenue_clean")).alias("avg_revenue"),
         F.round(F.avg("employees_clean"), 4).alias("avg_employees"), F.count_if(F.col("anomaly_label") == "Anomaly").alias("anomalies"))
 
@@ -175,24 +167,24 @@ def labelled_sidebar(spark, sf):
     return v.select("company_id", "company_name")
 
 
-@register("labelled_value_counts_cluster", with_labelled("SELECT cluster_name, count(*) AS n FROM labelled GROUP BY cluster_name"))
-def labelled_value_counts_cluster(spark, sf):
-    return Q.value_counts(labelled(spark, sf), "cluster_name")
+@both("value_counts_cluster", ("SELECT cluster_name, count(*) AS n FROM labelled GROUP BY cluster_name"))
+def value_counts_cluster(df):
+    return Q.value_counts(df, "cluster_name")
 
 
-@register("labelled_top_anomalies", with_labelled(
+@both("top_anomalies", (
     "SELECT company_id, company_name, round(revenue_clean, 2) AS revenue_clean, round(employees_clean, 4) AS employees_clean, cluster_name "
     "FROM labelled WHERE is_anomaly ORDER BY labelled.revenue_clean DESC, company_id LIMIT 10"))
-def labelled_top_anomalies(spark, sf):
-    odd = labelled(spark, sf).filter(F.col("anomaly_label") == "Anomaly")
+def top_anomalies(df):
+    odd = df.filter(F.col("anomaly_label") == "Anomaly")
     return Q.top_by(odd, "revenue_clean", 10, [
         "company_id", "company_name", r2("revenue_clean").alias("revenue_clean"), F.round("employees_clean", 4).alias("employees_clean"), "cluster_name"])
 
 
-@register("labelled_anomaly_names", with_labelled(
+@both("anomaly_names", (
     "SELECT DISTINCT company_name FROM labelled WHERE is_anomaly AND company_name IS NOT NULL ORDER BY company_name LIMIT 20"))
-def labelled_anomaly_names(spark, sf):
-    return Q.distinct_values(labelled(spark, sf).filter(F.col("anomaly_label") == "Anomaly"), "company_name", limit=20)
+def anomaly_names(df):
+    return Q.distinct_values(df.filter(F.col("anomaly_label") == "Anomaly"), "company_name", limit=20)
 
 
 # ------------------------------------------------------------------ P2, G6, G7: a saved reply drives the market filter
@@ -219,19 +211,20 @@ def labelled_market(spark, sf):
     return Q.top_by(market, "lead_score", spec.limit, [*_lead_cols(), "cluster_name"])
 
 
-@register("labelled_market_facts", with_labelled(
-    f", m AS (SELECT * FROM labelled WHERE {SPEC_WHERE}), "
-    "ct AS (SELECT country, count(*) AS companies FROM m WHERE country IS NOT NULL GROUP BY country ORDER BY companies DESC, country LIMIT 10), "
-    "inds AS (SELECT sic_description, count(*) AS n FROM m WHERE sic_description IS NOT NULL GROUP BY 1 ORDER BY n DESC, 1 LIMIT 5) "
-    "SELECT (SELECT count(*) FROM m) AS total_companies, (SELECT round(median(revenue_clean), 4) FROM m) AS median_revenue, "
-    "(SELECT round(avg(lead_score), 6) FROM m) AS avg_lead_score, "
-    "(SELECT string_agg(country || '=' || CAST(companies AS VARCHAR), ';' ORDER BY country) FROM ct) AS countries, "
-    "(SELECT string_agg(sic_description || '=' || CAST(n AS VARCHAR), ';' ORDER BY sic_description) FROM inds) AS top_industries, "
-    "'AMERICA' AS filtered_region, CAST(50000000 AS DOUBLE) AS filtered_max_revenue"))
-def labelled_market_facts(spark, sf):
+def market_facts_sql(where: str, region: str, bound: float, bound_name: str) -> str:
+    return (
+        f", m AS (SELECT * FROM labelled WHERE {where}), "
+        "ct AS (SELECT country, count(*) AS companies FROM m WHERE country IS NOT NULL GROUP BY country ORDER BY companies DESC, country LIMIT 10), "
+        "inds AS (SELECT sic_description, count(*) AS n FROM m WHERE sic_description IS NOT NULL GROUP BY 1 ORDER BY n DESC, 1 LIMIT 5) "
+        "SELECT (SELECT count(*) FROM m) AS total_companies, (SELECT round(median(revenue_clean), 4) FROM m) AS median_revenue, "
+        "(SELECT round(avg(lead_score), 6) FROM m) AS avg_lead_score, "
+        "(SELECT string_agg(country || '=' || CAST(companies AS VARCHAR), ';' ORDER BY country) FROM ct) AS countries, "
+        "(SELECT string_agg(sic_description || '=' || CAST(n AS VARCHAR), ';' ORDER BY sic_description) FROM inds) AS top_industries, "
+        f"{region} AS filtered_region, CAST({bound} AS DOUBLE) AS filtered_{bound_name}")
+
+
+def flat_market_facts(f: DataFrame, bound_name: str) -> DataFrame:
     """G6, flattened: lists as ``name=count`` texts by name, two of the filters."""
-    market, spec = _spec_market(spark, sf)
-    f = G.market_facts(market, Q.country_breakdown(market), spec=spec)
     def text(pairs):  # by name
         return F.concat_ws(";", F.transform(F.array_sort(pairs), lambda p: F.concat(p["name"], F.lit("="), p["n"].cast("string"))))
 
@@ -241,7 +234,13 @@ def labelled_market_facts(spark, sf):
         "total_companies", F.round("median_revenue", 4).alias("median_revenue"), r6("avg_lead_score").alias("avg_lead_score"),
         text(countries).alias("countries"), text(industries).alias("top_industries"),
         F.get_json_object("filters_applied", "$.region").alias("filtered_region"),
-        F.get_json_object("filters_applied", "$.max_revenue").cast("double").alias("filtered_max_revenue"))
+        F.get_json_object("filters_applied", f"$.{bound_name}").cast("double").alias(f"filtered_{bound_name}"))
+
+
+@register("labelled_market_facts", with_labelled(market_facts_sql(SPEC_WHERE, "'AMERICA'", 50000000, "max_revenue")))
+def labelled_market_facts(spark, sf):
+    market, spec = _spec_market(spark, sf)
+    return flat_market_facts(G.market_facts(market, Q.country_breakdown(market), spec=spec), "max_revenue")
 
 
 # ------------------------------------------------------------------ A11, A13, J3, G2–G5
@@ -256,55 +255,54 @@ _PROFILE_SQL = (
 )
 
 
-@register("labelled_cluster_profiles", with_labelled(
+@both("cluster_profiles", (
     _PROFILE_SQL + "SELECT cluster_name, size, median_revenue, median_employees, COALESCE(region, 'N/A') AS top_region, "
     "COALESCE(sic_description, 'N/A') AS top_industry, percentage FROM prof LEFT JOIN top_of USING (cluster_name)"))
-def labelled_cluster_profiles(spark, sf):
-    p = G.cluster_profiles(labelled(spark, sf))
+def cluster_profiles(df):
+    p = G.cluster_profiles(df)
     return p.select("cluster_name", "size", F.round("median_revenue", 4).alias("median_revenue"),
                     F.round("median_employees", 4).alias("median_employees"), "top_region", "top_industry", "percentage")
 
 
-@register("labelled_cluster_facts", with_labelled(
+@both("cluster_facts", (
     _PROFILE_SQL + "SELECT cluster_name AS cluster_id, size AS \"Size\", percentage AS \"Percentage\", median_revenue AS \"Median_Revenue_USD\", "
     "median_employees AS \"Median_Employees\", COALESCE(region, 'N/A') AS \"Top_Region\", COALESCE(sic_description, 'N/A') AS \"Top_Industry\", "
     "'Mixed' AS \"Top_Entity_Type\" FROM prof LEFT JOIN top_of USING (cluster_name)"))
-def labelled_cluster_facts(spark, sf):
-    f = G.cluster_facts(labelled(spark, sf))
+def cluster_facts(df):
+    f = G.cluster_facts(df)
     return f.withColumns({c: F.round(c, 4) for c in ("Median_Revenue_USD", "Median_Employees")})
 
 
-@register("labelled_anomaly_facts", with_labelled(
+@both("anomaly_facts", (
     ", av AS (SELECT cluster_name, round(avg(revenue_clean), 2) AS cluster_avg_revenue, round(avg(employees_clean), 4) AS cluster_avg_employees "
     "FROM labelled GROUP BY cluster_name) SELECT company_id, cluster_name, round(revenue_clean, 2) AS revenue_clean, round(employees_clean, 4) AS employees_clean, "
     "region, round(company_age, 6) AS company_age, it_spend_clean, market_value_clean, cluster_avg_revenue, cluster_avg_employees "
     "FROM labelled JOIN av USING (cluster_name) WHERE is_anomaly"))
-def labelled_anomaly_facts(spark, sf):
-    f = G.anomaly_facts(labelled(spark, sf))
+def anomaly_facts(df):
+    f = G.anomaly_facts(df)
     return f.withColumns({
         "revenue_clean": r2("revenue_clean"), "employees_clean": F.round("employees_clean", 4), "company_age": r6("company_age"),
         "cluster_avg_revenue": r2("cluster_avg_revenue"), "cluster_avg_employees": F.round("cluster_avg_employees", 4)})
 
 
-@register("labelled_action_facts", with_labelled(
+@both("action_facts", (
     "SELECT company_id, cluster_name, round(revenue_clean, 2) AS revenue_clean, round(employees_clean, 4) AS employees_clean, round(lead_score, 6) AS lead_score, "
     "lead_tier, market_value_clean, it_spend_clean, round(company_age, 6) AS company_age, "
     "CAST(is_domestic_ultimate_clean AS DOUBLE) AS is_domestic_ultimate_clean, risk_flags, anomaly_label, risk_shell FROM labelled"))
-def labelled_action_facts(spark, sf):
+def action_facts(df):
     """G5; the domestic flag is a cluster feature and thereby a double."""
-    f = G.action_facts(labelled(spark, sf))
+    f = G.action_facts(df)
     return f.withColumns({"revenue_clean": r2("revenue_clean"), "employees_clean": F.round("employees_clean", 4),
                           "lead_score": r6("lead_score"), "company_age": r6("company_age")})
 
 
-@register("labelled_comparison_facts", with_labelled(
+@both("comparison_facts", (
     ", lead AS (SELECT cluster, company_id AS id_b FROM (SELECT cluster, company_id, row_number() OVER (PARTITION BY cluster ORDER BY revenue_clean DESC, company_id) AS rk "
     "FROM labelled) WHERE rk = 1) SELECT a.company_id AS id_a, id_b, round(a.employees_clean, 4) AS a_employees_clean, round(a.revenue_clean, 2) AS a_revenue_clean, "
     "a.region AS a_region, a.sic_description AS a_sic_description, round(b.employees_clean, 4) AS b_employees_clean, round(b.revenue_clean, 2) AS b_revenue_clean, "
     "b.region AS b_region, b.sic_description AS b_sic_description "
     "FROM labelled a JOIN lead USING (cluster) JOIN labelled b ON b.company_id = id_b WHERE a.company_id <> id_b"))
-def labelled_comparison_facts(spark, sf):
-    df = labelled(spark, sf)
+def comparison_facts(df):
     leader = smallest_k_per_group(df, ["cluster"], [F.col("revenue_clean").desc(), F.col("company_id")], 1).select(
         "cluster", F.col("company_id").alias("id_b"))  # one row per centre
     pairs = df.select("cluster", F.col("company_id").alias("id_a")).join(F.broadcast(leader), "cluster").filter(F.col("id_a") != F.col("id_b"))
@@ -332,15 +330,15 @@ def _due_replies(df: DataFrame) -> DataFrame:
 _DD = "company_id % 5"
 
 
-@register("labelled_due_diligence", with_labelled(
+@both("due_diligence_facts", (
     f"SELECT company_id, 'Mock DD Report for ' || COALESCE(company_name, 'Unknown') || '. Enable LLM for full analysis.' AS executive_summary, "
     f"CASE WHEN risk_flags > 0 THEN 'Medium' ELSE 'Low' END AS overall_risk, risk_flags AS risk_score, {_FLAG_TEXTS} AS flags, "
     "'Enable LLM for detailed risk analysis.' AS explanation, is_domestic_ultimate_clean = 1 AS is_decision_maker, "
     "COALESCE(entity_type, 'N/A') AS entity_type, has_parent = 1 AS has_parent, 'Review Required' AS verdict, "
-    "'Enable LLM for specific recommendations' AS action, 'N/A' AS timeline, 'Low (Mock Mode)' AS confidence FROM labelled"))
-def labelled_due_diligence(spark, sf):
+    "'Enable LLM for specific recommendations' AS action, 'N/A' AS timeline, 'Low (Mock Mode)' AS confidence FROM labelled"), "due_diligence")
+def due_diligence_facts(df):
     """G1, flattened (its financial part is ``due_diligence_financials``)."""
-    f = G.due_diligence_facts(labelled(spark, sf))
+    f = G.due_diligence_facts(df)
     return f.select(
         "company_id", "executive_summary", "risk_assessment.overall_risk", "risk_assessment.risk_score",
         F.concat_ws("; ", "risk_assessment.flags").alias("flags"), "risk_assessment.explanation", "hierarchy_analysis.is_decision_maker",

@@ -1,8 +1,9 @@
 """Further named queries: report-only analytics, statistics, validation,
 report facts, and queries over the k-means / isolation-forest results.
 
-Queries whose result depends on randomised fits (k-means starts, forest
-sampling, bootstrap) have no SQL oracle; they are checked by property tests.
+The queries over k-means, its bootstrap and the isolation forest are compared
+with statements that follow the fits' hashes (``oracle_fits``); classifiers are
+checked by property tests.
 """
 
 from __future__ import annotations
@@ -11,10 +12,14 @@ from pyspark.sql import functions as F
 
 from firmscope.config import CLUSTER_FEATURES, VALIDATION_FEATURES
 from firmscope.operators import extra as X
+from firmscope.operators import lloyd
 from firmscope.operators import queries as Q
 from firmscope.operators import report as G
 from firmscope.operators import validate as V
-from firmscope.plans.catalogue import _lead_cols, r2, r6, register
+from firmscope.plans import oracle_fits as F_SQL
+from firmscope.functions.portable import hash52_sql
+from firmscope.plans.catalogue import LEAD_COLS_SQL, MARKET, MARKET_WHERE, _lead_cols, r2, r6, register
+from firmscope.plans.catalogue_labels import flat_market_facts, market_facts_sql
 from firmscope.plans.oracle import ADAPTER_SQL, EVALUATOR_SQL, with_prepared
 from firmscope.plans.results import companies_raw, prepared, results, results_models
 from firmscope.session import cut_lineage
@@ -155,11 +160,24 @@ def welch_ttest(spark, sf):
     return w.select("group_a", "group_b", "na", "nb", *[r6(c).alias(c) for c in ("mean_a", "mean_b", "t", "df")])
 
 
-@register("welch_pvalue")
+_BEYOND = (
+    "list_sum(list_transform(range(-900, 901), lambda i: exp(-(df + 1) / 2 * ln(1 + ({t} + exp(i * 0.05)) * ({t} + exp(i * 0.05)) / df)) * exp(i * 0.05)))"
+)
+
+
+@register("welch_pvalue", with_prepared(
+    f", m AS (SELECT lead_tier, count({LOG_EFF}) AS n, avg({LOG_EFF}) AS mean, var_samp({LOG_EFF}) AS var FROM prepared "
+    "WHERE lead_tier IN ('Priority', 'Cold') GROUP BY lead_tier), "
+    "w AS (SELECT a.n AS na, b.n AS nb, (a.mean - b.mean) / sqrt(a.var / a.n + b.var / b.n) AS t, (a.var / a.n + b.var / b.n) * (a.var / a.n + b.var / b.n) "
+    "/ ((a.var / a.n) * (a.var / a.n) / (a.n - 1) + (b.var / b.n) * (b.var / b.n) / (b.n - 1)) AS df "
+    "FROM (SELECT * FROM m WHERE lead_tier = 'Priority') a, (SELECT * FROM m WHERE lead_tier = 'Cold') b), "
+    f"p AS (SELECT *, {_BEYOND.format(t='abs(t)')} / {_BEYOND.format(t='0.0')} AS p FROM w) "
+    "SELECT 'Priority' AS group_a, 'Cold' AS group_b, na, nb, round(t, 6) AS t, round(df, 6) AS df, round(p, 12) AS p_value, round(log10(p), 6) AS log10_p FROM p"))
 def welch_pvalue(spark, sf):
     from firmscope.plans.catalogue import _log_eff
 
-    return V.welch_with_p(prepared(spark, sf), "lead_tier", "Priority", "Cold", _log_eff())
+    w = V.welch_with_p(prepared(spark, sf), "lead_tier", "Priority", "Cold", _log_eff())
+    return w.select("group_a", "group_b", "na", "nb", r6("t").alias("t"), r6("df").alias("df"), F.round("p_value", 12).alias("p_value"), r6(F.log10("p_value")).alias("log10_p"))
 
 
 @register("ari_tier_region", with_prepared(
@@ -262,149 +280,53 @@ def csv_roundtrip(spark, sf):
 
 
 # ------------------------------------------------------------------ model-based (rows-only checks)
-@register("kmeans_segments")
+@register("kmeans_segments", F_SQL.results_sql("SELECT cluster, cluster_tier, cluster_name, count(*) AS n FROM labelled GROUP BY ALL"))
 def kmeans_segments(spark, sf):
     """Cluster tiers and names with their sizes."""
     r = results(spark, sf)
     return r.groupBy("cluster", "cluster_tier", "cluster_name").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("cluster_tier_profile")
+@register("cluster_tier_profile", F_SQL.results_sql("SELECT cluster, round(median_revenue, 4) AS median_revenue, entity_mode, size FROM tiers"))
 def cluster_tier_profile(spark, sf):
     from firmscope.operators.segment import cluster_tier_profile as ctp
 
-    return ctp(results(spark, sf))
-
-
-@register("cluster_profiles")
-def cluster_profiles(spark, sf):
-    return G.cluster_profiles(results(spark, sf))
-
-
-@register("cluster_facts")
-def cluster_facts(spark, sf):
-    return G.cluster_facts(results(spark, sf))
-
-
-@register("anomaly_facts")
-def anomaly_facts(spark, sf):
-    return G.anomaly_facts(results(spark, sf))
-
-
-@register("value_counts_cluster")
-def value_counts_cluster(spark, sf):
-    return Q.value_counts(results(spark, sf), "cluster_name")
-
-
-@register("anomalies")
-def anomalies(spark, sf):
-    """Forest decision value and label per company."""
-    return results(spark, sf).select("company_id", "anomaly_score", "anomaly_label")
-
-
-@register("risk_flags")
-def risk_flags(spark, sf):
-    """Four-flag sum, flag texts and risk grade per company."""
-    from firmscope.functions import scoring as S
-
-    r = results(spark, sf)
-    flags = S.risk_flag_list({c: F.col(c) for c in ("risk_shell", "risk_data_quality", "risk_orphan_sub", "is_anomaly")})
-    return r.select("company_id", "risk_flags", flags.alias("flag_texts"), S.risk_grade(F.col("risk_flags")).alias("risk_grade"))
-
-
-@register("risk_summary")
-def risk_summary(spark, sf):
-    r = results(spark, sf)
-    return r.agg(
-        F.count_if("risk_shell").alias("shells"), F.count_if(F.col("anomaly_label") == "Anomaly").alias("anomalies"),
-        F.count_if(F.col("risk_flags") >= 2).alias("high_risk"), (F.avg((F.col("risk_flags") > 0).cast("double")) * 100).alias("risk_rate_pct"),
-    )
-
-
-@register("dataset_stats")
-def dataset_stats(spark, sf):
-    r = results(spark, sf)
-    return r.agg(
-        F.count(F.lit(1)).alias("companies"), F.countDistinct("cluster").alias("clusters"),
-        F.count_if(F.col("anomaly_label") == "Anomaly").alias("anomalies"),
-        (F.count_if(F.col("anomaly_label") == "Anomaly") * 100.0 / F.count(F.lit(1))).alias("anomaly_pct"),
-    )
-
-
-@register("overview_with_anomalies")
-def overview_with_anomalies(spark, sf):
-    """A4 on the sidebar-filtered view (region only)."""
-    v = Q.sidebar_filter(results(spark, sf), region="EUROPE")
-    return v.agg(
-        F.count(F.lit(1)).alias("companies"), F.avg("revenue_clean").alias("avg_revenue"),
-        F.avg("employees_clean").alias("avg_employees"), F.count_if(F.col("anomaly_label") == "Anomaly").alias("anomalies"),
-    )
+    return ctp(results(spark, sf)).withColumn("median_revenue", F.round("median_revenue", 4))
 
 
-@register("sidebar_anomalies")
+@register("sidebar_anomalies", F_SQL.results_sql("SELECT company_id, company_name, cluster_name FROM labelled WHERE region = 'ASIA' AND is_anomaly"))
 def sidebar_anomalies(spark, sf):
     """Region + anomalies-only view."""
     return Q.sidebar_filter(results(spark, sf), region="ASIA", anomalies_only=True).select("company_id", "company_name", "cluster_name")
 
 
-@register("top_anomalies")
-def top_anomalies(spark, sf):
-    r = results(spark, sf).filter(F.col("anomaly_label") == "Anomaly")
-    return Q.top_by(r, "revenue_clean", 10, ["company_id", "company_name", "revenue_clean", "employees_clean", "cluster_name"])
-
-
-@register("market_full_spec")
+@register("market_full_spec", F_SQL.results_sql(
+    f"SELECT {LEAD_COLS_SQL}, cluster_name FROM labelled WHERE region = 'AMERICA' AND regexp_matches(sic_description, '(?i)auto|furn') "
+    "AND cluster_tier IN (1, 2, 3) AND risk_flags < 2 ORDER BY labelled.lead_score DESC, company_id LIMIT 50"))
 def market_full_spec(spark, sf):
     """P2 with tier targets (tier number, not raw label) and high-risk exclusion."""
     spec = Q.MarketSpec(region="AMERICA", industry_keywords=("auto", "furn"), target_tiers=(1, 2, 3), exclude_high_risk=True)
     return Q.top_by(Q.market_filter(results(spark, sf), spec), "lead_score", 50, [*_lead_cols(), "cluster_name"])
 
 
-@register("sample_scatter")
+@register("sample_scatter", F_SQL.results_sql(
+    "SELECT company_id, round(employees_clean, 4) AS employees_clean, round(revenue_clean, 2) AS revenue_clean, cluster_name FROM labelled "
+    f"ORDER BY {hash52_sql('company_id', '7')}, company_id LIMIT 1000"))
 def sample_scatter(spark, sf):
-    return Q.sample_scatter(results(spark, sf).select("company_id", "employees_clean", "revenue_clean", "cluster_name"), 1000)
-
-
-@register("anomaly_histogram")
-def anomaly_histogram(spark, sf):
-    return X.anomaly_histogram(results(spark, sf))
-
-
-@register("due_diligence_facts")
-def due_diligence_facts(spark, sf):
-    return G.due_diligence_facts(results(spark, sf))
-
-
-@register("action_facts")
-def action_facts(spark, sf):
-    return G.action_facts(results(spark, sf))
+    s = Q.sample_scatter(results(spark, sf).select("company_id", "employees_clean", "revenue_clean", "cluster_name"), 1000)
+    return s.withColumns({"employees_clean": F.round("employees_clean", 4), "revenue_clean": r2("revenue_clean")})
 
 
-@register("comparison_facts")
-def comparison_facts(spark, sf):
-    """G4 for every company beside its cluster's highest-revenue company
-    (top-1 per cluster, limited on the map side; no per-cluster sort)."""
-    from firmscope.operators.stats import smallest_k_per_group
-
-    r = results(spark, sf)
-    leader = smallest_k_per_group(r, ["cluster"], [F.col("revenue_clean").desc(), F.col("company_id")], 1).select(
-        "cluster", F.col("company_id").alias("id_b")
-    )
-    pairs = r.select("cluster", F.col("company_id").alias("id_a")).join(F.broadcast(leader), "cluster").filter(
-        F.col("id_a") != F.col("id_b")
-    )  # leader: one row per cluster (k rows)
-    return G.comparison_facts(r, pairs.select("id_a", "id_b"))
-
-
-@register("market_facts")
+@register("market_facts", F_SQL.results_sql(market_facts_sql(MARKET_WHERE.replace("prepared", "labelled"), "'EUROPE'", 1e5, "min_revenue")))
 def market_facts(spark, sf):
-    from firmscope.plans.catalogue import MARKET
-
+    """G6, flattened as ``labelled_market_facts`` is."""
     m = Q.market_filter(results(spark, sf), MARKET)
-    return G.market_facts(m, Q.country_breakdown(m), spec=MARKET)
+    return flat_market_facts(G.market_facts(m, Q.country_breakdown(m), spec=MARKET), "min_revenue")
 
 
-@register("score_companies")
+@register("score_companies", F_SQL.results_sql(
+    "SELECT company_id, cluster_name, round(lead_score, 6) AS lead_score, lead_tier, anomaly_label, round(revenue_clean, 2) AS revenue_clean, "
+    "round(employees_clean, 4) AS employees_clean, round(company_age, 6) AS company_age FROM labelled"))
 def score_companies_q(spark, sf):
     """Score the company table as new rows with the stored models
     (saved to and loaded from the checkpoint folder first)."""
@@ -418,79 +340,80 @@ def score_companies_q(spark, sf):
     path = f"{checkpoint_dir(spark).rstrip('/')}/firmscope-models-{uuid.uuid4().hex}"
     save_models(models, path)
     loaded = load_models(spark, path)
-    out = score_companies(companies_raw(spark, sf), loaded)
-    return out.select("company_id", "cluster_name", "lead_score", "lead_tier", "anomaly_label", "revenue_clean", "employees_clean", "company_age")
+    return _scored_columns(score_companies(companies_raw(spark, sf), loaded))
 
 
-# ------------------------------------------------------------------ validation (rows-only)
-def _validation_vec(spark, sf):
-    from firmscope.operators.segment import cluster_matrix
-
-    r = results(spark, sf).withColumn(
-        "revenue_per_employee_v",
-        F.col("revenue_clean") / F.when(F.col("employees_clean") == 0, F.lit(1.0)).otherwise(F.col("employees_clean")),
-    )
-    r = r.fillna(0.0, subset=list(VALIDATION_FEATURES))
-    vec, _, _ = cluster_matrix(r.drop(*[c for c in r.columns if c.startswith("z_")]), VALIDATION_FEATURES)
-    return cut_lineage(vec.select("company_id", *VALIDATION_FEATURES, "features"), "validation-features")
+def _scored_columns(out):
+    return out.select(
+        "company_id", "cluster_name", r6("lead_score").alias("lead_score"), "lead_tier", "anomaly_label", r2("revenue_clean").alias("revenue_clean"),
+        F.round("employees_clean", 4).alias("employees_clean"), r6("company_age").alias("company_age"))
 
 
+# ------------------------------------------------------------------ validation (rows-only)
+VALIDATION_Z = [f"z_{c}" for c in VALIDATION_FEATURES]
 _VALIDATION: dict = {}
 
 
 def _validation_base(spark, sf):
+    """The validation features of every company, standardised, with the label of the base fit."""
     key = (spark.sparkContext.applicationId, sf)
     if key not in _VALIDATION:
-        from firmscope.operators.segment import kmeans_fit
-
-        vec = _validation_vec(spark, sf)
-        model = kmeans_fit(vec, 5, 10, 42)
-        _VALIDATION[key] = cut_lineage(model.transform(vec).withColumnRenamed("cluster", "base"), "validation-base")
+        from firmscope.operators.segment import cluster_matrix, kmeans_assign, kmeans_fit
+
+        r = prepared(spark, sf).withColumn(
+            "revenue_per_employee_v",
+            F.col("revenue_clean") / F.when(F.col("employees_clean") == 0, F.lit(1.0)).otherwise(F.col("employees_clean")),
+        ).fillna(0.0, subset=list(VALIDATION_FEATURES))
+        z, _, _ = cluster_matrix(r, VALIDATION_FEATURES)
+        z = cut_lineage(z.select("company_id", *VALIDATION_FEATURES, *VALIDATION_Z), "validation-features")
+        centres = kmeans_fit(z, "company_id", VALIDATION_Z, 5, 10, 42).centres
+        _VALIDATION[key] = cut_lineage(kmeans_assign(z, VALIDATION_Z, centres).withColumnRenamed("cluster", "base"), "validation-base")
     return _VALIDATION[key]
 
 
-@register("bootstrap_ari")
+@register("bootstrap_ari", F_SQL.bootstrap_sql("SELECT run, round(ari, 6) AS ari FROM boot_ari"))
 def bootstrap_ari(spark, sf):
     """V2: 20 bootstrap refits (5 starts each), ARI vs the base labels."""
     key = ("boot", spark.sparkContext.applicationId, sf)
     if key not in _VALIDATION:
         base = _validation_base(spark, sf)
-        _VALIDATION[key] = cut_lineage(V.bootstrap_ari(base, "base", runs=20, k=5, starts=5), "bootstrap")
-    return _VALIDATION[key]
+        _VALIDATION[key] = cut_lineage(V.bootstrap_ari(base, "company_id", VALIDATION_Z, "base", runs=20, k=5, starts=5), "bootstrap")
+    return _VALIDATION[key].select("run", r6("ari").alias("ari"))
 
 
-@register("ari_histogram")
+@register("ari_histogram", F_SQL.bootstrap_sql(
+    "SELECT CAST(least(floor((ari - lo) / w), 9) AS BIGINT) AS bin, round(lo + least(floor((ari - lo) / w), 9) * w, 6) AS bin_start, count(*) AS n, round(any_value(mean), 6) AS mean_ari "
+    "FROM (SELECT round(ari, 6) AS ari FROM boot_ari), (SELECT min(round(ari, 6)) AS lo, (max(round(ari, 6)) - min(round(ari, 6))) / 10 AS w, avg(round(ari, 6)) AS mean FROM boot_ari) GROUP BY 1, 2"))
 def ari_histogram(spark, sf):
     """V7: 10-bin histogram of the bootstrap ARIs and their mean."""
     b = bootstrap_ari(spark, sf)
     h = Q.range_histogram(b, "ari", 10)
     mean = Q.stat_row(b.agg(F.avg("ari").alias("mean_ari")))["mean_ari"]
-    return h.withColumn("mean_ari", F.lit(mean).cast("double"))
+    return h.select("bin", r6("bin_start").alias("bin_start"), "n", F.round(F.lit(mean).cast("double"), 6).alias("mean_ari"))
 
 
 @register("cluster_predictor")
 def cluster_predictor(spark, sf):
     """V4, V6: random forest (50 trees, 70/30) predicting the base labels."""
-    base = _validation_base(spark, sf).drop("features")
-    _, test, acc = V.cluster_predictor(base, list(VALIDATION_FEATURES), "base")
+    _, test, acc = V.cluster_predictor(_validation_base(spark, sf), list(VALIDATION_FEATURES), "base", "company_id")
     return spark.createDataFrame([(float(acc), test.count())], "accuracy double, test_rows long")
 
 
 @register("permutation_importance")
 def permutation_importance(spark, sf):
     """V5: mean accuracy drop per shuffled feature, 5 repeats."""
-    base = _validation_base(spark, sf).drop("features")
-    model, test, _ = V.cluster_predictor(base, list(VALIDATION_FEATURES), "base")
-    return V.permutation_importance(model, test.drop("features"), list(VALIDATION_FEATURES), repeats=5)
+    model, test, _ = V.cluster_predictor(_validation_base(spark, sf), list(VALIDATION_FEATURES), "base", "company_id")
+    return V.permutation_importance(model, test.drop("features"), list(VALIDATION_FEATURES), "company_id", repeats=5)
 
 
-@register("k_sweep")
+@register("k_sweep", F_SQL.sweep_sql())
 def k_sweep(spark, sf):
     """Cost and silhouette for k = 2..8 on the cluster features."""
     from firmscope.operators.segment import cluster_matrix
 
-    vec, _, _ = cluster_matrix(prepared(spark, sf), CLUSTER_FEATURES)
-    return X.k_sweep(cut_lineage(vec.select("features"), "sweep"))
+    z, _, _ = cluster_matrix(prepared(spark, sf), CLUSTER_FEATURES)
+    sweep = X.k_sweep(z, "company_id", [f"z_{c}" for c in CLUSTER_FEATURES])
+    return sweep.select("k", F.round("cost", 4).alias("cost"), r6("silhouette").alias("silhouette"))
 
 
 @register("tier_classifier")
@@ -532,33 +455,25 @@ def embeddings_kmeans_ari(spark, sf):
     """K1 + V3 on data with known structure: k-means (k = number of planted
     labels, best of 10 starts) on the embedding vectors, ARI against the
     planted labels."""
-    from pyspark.ml.functions import array_to_vector
-
-    from firmscope.operators.segment import kmeans_fit
-
-    emb = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "label", array_to_vector("embedding").alias("features"))
-    emb = cut_lineage(emb, "embeddings")
-    k = emb.select("label").distinct().count()
-    model = kmeans_fit(emb, k, 10, 42)
-    pred = model.transform(emb)
-    return V.adjusted_rand_index(pred, "label", "cluster").withColumn("k", F.lit(k))
-
-
-@register("anomaly_names")
-def anomaly_names(spark, sf):
-    """The first 20 anomaly names (by name) offered for investigation."""
-    r = results(spark, sf).filter(F.col("anomaly_label") == "Anomaly")
-    return Q.distinct_values(r, "company_name", limit=20)
-
-
-@register("score_companies_evaluator")
+    emb = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "label", "embedding")
+    width = len(emb.select("embedding").first()["embedding"])
+    cols = [f"x{j}" for j in range(width)]
+    wide = cut_lineage(emb.select("vec_id", "label", *[F.col("embedding")[j].cast("double").alias(c) for j, c in enumerate(cols)]), "embeddings")
+    k = wide.select("label").distinct().count()
+    pts = lloyd.points(wide, "vec_id", cols, ("label",))
+    chosen = lloyd.best(lloyd.fit(pts, [lloyd.Replica(k, s) for s in range(10)]))
+    return V.ari_of_counts(lloyd.contingency(pts, "label", [chosen])).withColumn("k", F.lit(k))
+
+
+@register("score_companies_evaluator", F_SQL.EVALUATOR_RESULTS_SQL + (
+    "SELECT company_id, cluster_name, round(lead_score, 6) AS lead_score, lead_tier, anomaly_label, round(revenue_clean, 2) AS revenue_clean, "
+    "round(employees_clean, 4) AS employees_clean, round(company_age, 6) AS company_age FROM evaluator_results"))
 def score_companies_evaluator(spark, sf):
     """E1 with the reference evaluator's rules (D1, D12, I6 variants) over the
     whole company table, with the pipeline's stored models."""
     from firmscope.plans.pipeline import score_companies
 
-    out = score_companies(companies_raw(spark, sf), results_models(spark, sf), variant="evaluator")
-    return out.select("company_id", "cluster_name", "lead_score", "lead_tier", "anomaly_label", "revenue_clean", "employees_clean", "company_age")
+    return _scored_columns(score_companies(companies_raw(spark, sf), results_models(spark, sf), variant="evaluator"))
 
 
 @register("evaluator_scores", EVALUATOR_SQL + (

@@ -142,12 +142,13 @@ _STRICT = "TRY_CAST(trim(replace({c}, ',', '')) AS DOUBLE)"
 
 # The single-company evaluator's rules on every company, imputed against the
 # pipeline's rows as stored donors (same scaler), brute force.
-EVALUATOR_SQL = CORE_SQL.rstrip() + f""",
+EVALUATOR_CTES = f"""
 e0 AS (
   SELECT company_id, {_STRICT.format(c='revenue_usd')} AS rev_e, {_STRICT.format(c='employees_total')} AS emp_e,
     {_STRICT.format(c='year_found')} AS year_e, {_STRICT.format(c='market_value_usd')} AS mv_e,
     COALESCE({_STRICT.format(c='it_spend')}, 0.0) AS it_e,
     CAST(COALESCE(length(is_domestic_ultimate) > 0, false) AS INTEGER) AS du_e,
+    CAST(COALESCE(length(parent_company) > 0, false) AS INTEGER) AS has_parent_e,
     CAST(CASE entity_type WHEN 'Parent' THEN 3 WHEN 'Headquarters' THEN 3 WHEN 'Subsidiary' THEN 2 WHEN 'Branch' THEN 1
          WHEN 'Single Location' THEN 3 ELSE 1 END AS DOUBLE) AS ord_e,
     (CAST(COALESCE(length(sic_code) > 0, false) AS INTEGER) + CAST(COALESCE(length(entity_type) > 0, false) AS INTEGER)
@@ -195,3 +196,4 @@ evaluated AS (
     ) * CASE WHEN completeness < 0.5 THEN 0.8 ELSE 1.0 END)) AS DOUBLE) AS lead_score
   FROM e3)
 """
+EVALUATOR_SQL = CORE_SQL.rstrip() + "," + EVALUATOR_CTES

@@ -32,7 +32,7 @@ class Models:
     donors: DataFrame | None = None
     cluster_scaler: dict = field(default_factory=dict)
     cluster_medians: dict = field(default_factory=dict)
-    kmeans: object = None
+    centres: list | None = None
     cluster_names: DataFrame | None = None
     forest: DataFrame | None = None
     anomaly_threshold: float | None = None
@@ -156,26 +156,24 @@ def finish(df: DataFrame, cfg: Config = DEFAULT, models: Models | None = None, r
     feats = list(CLUSTER_FEATURES)
     zcols = [f"z_{c}" for c in feats]
     if refit:
-        vec, m.cluster_scaler, m.cluster_medians = SG.cluster_matrix(df, feats)
-        vec = cut_lineage(vec, "cluster-features")  # iterative fits re-read it
-        # the forest and the k-means starts are independent fits on the same
+        z, m.cluster_scaler, m.cluster_medians = SG.cluster_matrix(df, feats)
+        narrow = cut_lineage(z.select("company_id", *zcols, "revenue_clean", "entity_score"), "cluster-features")  # the fits read it again and again
+        # the forest and the k-means are independent fits on the same
         # matrix: grow the forest while the k-means jobs run
         with ThreadPoolExecutor(max_workers=1) as pool:
             forest = pool.submit(
-                lambda: IF.iforest_fit(vec, "company_id", zcols, cfg.iforest_trees, cfg.iforest_sample, cfg.seed).toPandas()
+                lambda: IF.iforest_fit(narrow, "company_id", zcols, cfg.iforest_trees, cfg.iforest_sample, cfg.seed).toPandas()
             )
-            m.kmeans = SG.kmeans_fit(vec, cfg.k, cfg.kmeans_starts, cfg.seed)
-            assigned = SG.kmeans_assign(vec, zcols, m.kmeans.clusterCenters())
-            m.cluster_names = cut_lineage(SG.name_clusters(SG.cluster_tier_profile(assigned)), "cluster-names")
+            m.centres = SG.kmeans_fit(narrow, "company_id", zcols, cfg.k, cfg.kmeans_starts, cfg.seed).centres.tolist()
+            profile = SG.cluster_tier_profile(SG.kmeans_assign(narrow, zcols, m.centres).select("cluster", "revenue_clean", "entity_score"))
+            m.cluster_names = cut_lineage(SG.name_clusters(profile), "cluster-names")
             m.forest = forest.result()
+        scores = IF.iforest_score(narrow.select(*zcols), m.forest, zcols)
+        m.anomaly_threshold = IF.anomaly_threshold(cut_lineage(scores.select("iforest_s"), "forest-scores"), cfg.contamination)
     else:
-        vec, _, _ = SG.cluster_matrix(df, feats, m.cluster_scaler, m.cluster_medians)
-        assigned = SG.kmeans_assign(vec, zcols, m.kmeans.clusterCenters())
-    named = SG.attach_cluster_name(assigned, m.cluster_names)
-    scored = IF.iforest_score(named.drop("features"), m.forest, zcols)
-    if refit:
-        scored = cut_lineage(scored, "forest-scores")
-        m.anomaly_threshold = IF.anomaly_threshold(scored, cfg.contamination)
+        z, _, _ = SG.cluster_matrix(df, feats, m.cluster_scaler, m.cluster_medians)
+    named = SG.attach_cluster_name(SG.kmeans_assign(z, zcols, m.centres), m.cluster_names)
+    scored = IF.iforest_score(named, m.forest, zcols).drop(*zcols)
     return flag_stage(scored, m.anomaly_threshold), m
 
 

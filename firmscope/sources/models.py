@@ -2,14 +2,13 @@
 
 Everything goes through Spark writers, so the folder may live on any shared
 filesystem the cluster uses: scalar fits as one JSON text row, tables as
-parquet, k-means as an MLlib model.
+parquet.
 """
 
 from __future__ import annotations
 
 import json
 
-from pyspark.ml.clustering import KMeansModel
 from pyspark.sql import SparkSession
 
 
@@ -20,7 +19,7 @@ def save_models(models, path: str) -> None:
     params = {
         "impute_scaler": models.impute_scaler, "medians": models.medians,
         "cluster_scaler": models.cluster_scaler, "cluster_medians": models.cluster_medians,
-        "anomaly_threshold": models.anomaly_threshold,
+        "anomaly_threshold": models.anomaly_threshold, "centres": models.centres,
     }
     spark.createDataFrame([(json.dumps(params),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/params")
     for name in ("industry", "donors", "cluster_names"):
@@ -29,8 +28,6 @@ def save_models(models, path: str) -> None:
             table.write.mode("overwrite").parquet(f"{path}/{name}")
     if models.forest is not None:
         spark.createDataFrame(models.forest).write.mode("overwrite").parquet(f"{path}/forest")
-    if models.kmeans is not None:
-        models.kmeans.write().overwrite().save(f"{path}/kmeans")
 
 
 def load_models(spark: SparkSession, path: str):
@@ -44,13 +41,12 @@ def load_models(spark: SparkSession, path: str):
             medians=params["medians"],
             cluster_scaler={k: tuple(v) for k, v in params["cluster_scaler"].items()},
             cluster_medians=params["cluster_medians"],
-            anomaly_threshold=params["anomaly_threshold"],
+            anomaly_threshold=params["anomaly_threshold"], centres=params["centres"],
         )
         m.industry = spark.read.parquet(f"{path}/industry")
         m.donors = spark.read.parquet(f"{path}/donors")
         m.cluster_names = spark.read.parquet(f"{path}/cluster_names")
         m.forest = spark.read.parquet(f"{path}/forest").toPandas()  # trees x (2 psi - 1) rows at most
-        m.kmeans = KMeansModel.load(f"{path}/kmeans")
     except Exception as exc:  # report which artefact failed
         raise RuntimeError(f"could not load models from {path}: {exc}") from exc
     return m

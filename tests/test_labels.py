@@ -30,7 +30,14 @@ def test_nearest_centre_matches_numpy_and_breaks_ties_low(spark):
     assert kmeans_assign(tie, ["x"], [(1.0,), (-1.0,), (1.0,)]).first()["cluster"] == 0
 
 
-def test_lookup_of_a_hot_key_is_dealt_over_shares(spark):
+@pytest.fixture
+def small_shares(monkeypatch):
+    from firmscope.operators import stats
+
+    monkeypatch.setattr(stats, "ROWS_PER_SHARE", 100)
+
+
+def test_lookup_of_a_hot_key_is_dealt_over_shares(spark, small_shares):
     from firmscope.operators.stats import attach_by_key
 
     rows = spark.range(5000).select("id", F.when(F.col("id") < 3000, F.lit(7)).otherwise(F.col("id")).alias("k"))
@@ -41,7 +48,7 @@ def test_lookup_of_a_hot_key_is_dealt_over_shares(spark):
     assert left.count() == 5000 and left.filter("v is null").select("id").first()["id"] == 4999
 
 
-def test_pairs_plan_has_no_join_on_a_hot_id_alone(spark):
+def test_pairs_plan_has_no_join_on_a_hot_id_alone(spark, small_shares):
     from firmscope.operators.queries import pair_columns
 
     df = spark.range(1000).select(F.col("id").alias("company_id"), F.col("id").cast("double").alias("m"))
@@ -52,7 +59,9 @@ def test_pairs_plan_has_no_join_on_a_hot_id_alone(spark):
         out = pair_columns(df, pairs, ["m"])
         assert out.filter("a_m <> id_a or b_m <> id_b").count() == 0 and out.count() == pairs.count()
         joins = [line for line in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line]
-        assert len(joins) == 4 and sum("_share" in j for j in joins) == 2
+        # rows are joined by (id, share) alone; the joins by the bare id have the broadcast list of hot ids on their right
+        assert sum("_share" in j.split("(")[1].split(")")[0] or "_share#" in j for j in joins) >= 2
+        assert sum("rightHint=(strategy=broadcast)" in j for j in joins) == 4 and len(joins) == 6
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
@@ -105,9 +114,9 @@ def test_permutation_importance_finds_the_feature_in_use(spark):
 
     from firmscope.operators.validate import permutation_importance
 
-    df = spark.range(2000).select(F.hash("id").cast("double").alias("h")).select(
-        ((F.col("h") % 100) / 100).alias("used"), ((F.floor(F.col("h") / 1000) % 100) / 100).alias("idle")).withColumn(
+    df = spark.range(2000).select("id", F.hash("id").cast("double").alias("h")).select(
+        "id", ((F.col("h") % 100) / 100).alias("used"), ((F.floor(F.col("h") / 1000) % 100) / 100).alias("idle")).withColumn(
         "label", (F.col("used") > 0).cast("double"))
     model = LogisticRegression().fit(VectorAssembler(inputCols=["used", "idle"], outputCol="features").transform(df))
-    got = {r["feature"]: r["importance_mean"] for r in permutation_importance(model, df, ["used", "idle"], repeats=3).collect()}
+    got = {r["feature"]: r["importance_mean"] for r in permutation_importance(model, df, ["used", "idle"], "id", repeats=3).collect()}
     assert got["used"] > 0.4 and abs(got["idle"]) < 0.05

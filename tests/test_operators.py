@@ -57,7 +57,8 @@ def test_knn_partition_invariant(spark):
     assert pa.equals(pb)
 
 
-def test_quantiles_match_pandas(spark):
+@pytest.mark.parametrize("sort_rows", [None, 40])
+def test_quantiles_match_pandas(spark, sort_rows):
     """One dominant group, 60 % ties, negative, tiny and missing values, a null group and a group without values."""
     rng = np.random.default_rng(3)
     n = 30_000
@@ -67,20 +68,56 @@ def test_quantiles_match_pandas(spark):
     rows = [(None if int(b) == 5 else int(b), None if (np.isnan(x) or b == 4) else float(x), float(i)) for i, (x, b) in enumerate(zip(v, g))]
     df = spark.createDataFrame(rows, "g int, v double, w double").repartition(8).cache()
     pdf = pd.DataFrame(rows, columns=["g", "v", "w"])
-    for p in (0.0, 0.05, 0.5, 0.75, 1.0):
-        got = ST.quantiles(df, ["v", "w"], ["g"], p, ["qv", "qw"]).toPandas().set_index("g").sort_index()
+    for p in (0.0, 0.05, 0.5, 0.75, 1.0) if sort_rows is None else (0.05, 1.0):
+        got = ST.quantiles(df, ["v", "w"], ["g"], p, ["qv", "qw"], aggs=[F.count("v").alias("n")], sort_rows=sort_rows).toPandas().set_index("g").sort_index()
         want = pdf.groupby("g", dropna=False)[["v", "w"]].quantile(p).sort_index()
         np.testing.assert_allclose(got[["qv", "qw"]].to_numpy(), want.to_numpy(), rtol=1e-12)
-    row = ST.quantiles(df, ["v"], (), [0.25, 0.5], ["a", "b"]).first()
+        assert got.n.tolist() == pdf.groupby("g", dropna=False).v.count().sort_index().tolist()
+    row = ST.quantiles(df, ["v"], (), [0.25, 0.5], ["a", "b"], sort_rows=sort_rows).first()
     np.testing.assert_allclose([row.a, row.b], pdf.v.quantile([0.25, 0.5]).to_numpy(), rtol=1e-12)
     empty = ST.quantiles(df.filter("false"), ["v"], (), 0.5, ["a"]).collect()
     assert [r.a for r in empty] == [None]
 
 
-def test_quantile_plan_orders_no_row_in_one_task(spark):
-    df = spark.range(1000).withColumn("v", F.col("id").cast("double"))
-    plan = ST.quantiles(df, ["v"], (), 0.5, ["q"])._jdf.queryExecution().executedPlan().toString()
-    assert "TakeOrdered" not in plan and "rangepartitioning" not in plan
+def test_quantile_reads_the_table_once_when_it_is_small(spark, tmp_path):
+    spark.range(1000).select(F.col("id").cast("double").alias("v"), (F.col("id") % 3).alias("g"), F.lit(1).alias("unused")).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    plan = ST.quantiles(df, ["v"], ["g"], 0.5, ["q"], aggs=[F.count(F.lit(1)).alias("n")])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("Exchange") == 1 and "unused" not in plan
+
+
+def test_quantile_narrows_close_values_with_a_pushed_range(spark, tmp_path, monkeypatch):
+    """All values within a hundredth of a per cent of each other: no range of
+    more than ``sort_rows`` rows is left to order, every pass after the first has its
+    bounds pushed into the scan, and no pass orders rows of the table."""
+    spark.range(50_000).select((0.5 + F.col("id") * 1e-9).alias("v")).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    seen = []
+    cut = ST.cut_lineage
+
+    def spy(frame, name="stage", partition_by=None):
+        seen.append((name, frame._jdf.queryExecution().executedPlan().toString()))
+        return cut(frame, name, partition_by)
+
+    monkeypatch.setattr(ST, "cut_lineage", spy)
+    base, held = ST._narrowed(df, [F.col("v")], [], F.array(F.struct(
+        F.lit(0).alias("_t"), F.lit(0).alias("_tj"), F.lit(0).alias("_side"), F.lit(31_234).cast("long").alias("_k"), F.lit(0.0).alias("_frac"))), 20)
+    row = held.filter("_t is not null").first()
+    assert 0 < row["_n"] <= 20 and row["_lo"] <= 0.5 + 31_234e-9 <= row["_hi"]
+    passes = [p for name, p in seen if name == "quantile-ranges"][1:]
+    assert 1 <= len(passes) <= 3
+    for plan in passes:
+        assert "GreaterThanOrEqual(v," in plan and "LessThanOrEqual(v," in plan and "TakeOrdered" not in plan and "rangepartitioning" not in plan
+
+
+def test_page_near_the_end_sorts_only_its_range(spark):
+    rng = np.random.default_rng(5)
+    v = np.concatenate([rng.integers(0, 50, 3000), rng.integers(10**6, 10**9, 3000)])
+    df = spark.createDataFrame([(i, int(x)) for i, x in enumerate(v)], "company_id long, v long").repartition(7)
+    order = sorted(range(len(v)), key=lambda i: (v[i], i))
+    for first, size in ((5950, 50), (0, 50), (2990, 40), (5990, 50), (1234, 7), (7000, 50)):
+        rows, total = ST.rows_at(df, "v", first, size, "company_id", sort_rows=90)
+        assert [r.company_id for r in rows.collect()] == order[first : first + size] and total == 6000
 
 
 def test_forest_sample_does_not_depend_on_layout(spark):
@@ -106,12 +143,15 @@ def test_ari_properties(spark):
     assert V.adjusted_rand_index(hand, "a", "b").first()["ari"] == pytest.approx((1 - 1 / 3) / (1.5 - 1 / 3))
 
 
-def test_t_pvalue_known_values():
-    # two-sided Student t tail values (tabulated)
-    assert V.t_two_sided_p(2.228, 10) == pytest.approx(0.05, abs=2e-4)
-    assert V.t_two_sided_p(1.96, 1e6) == pytest.approx(0.05, abs=2e-4)
-    assert V.t_two_sided_p(0.0, 5) == pytest.approx(1.0)
-    assert V.betainc_reg(2.0, 3.0, 0.4) == pytest.approx(0.5248, abs=1e-4)
+def test_t_pvalue_known_values(spark):
+    # two-sided Student t tail values: tabulated, and the closed forms of one and two degrees of freedom
+    rows = [(2.228, 10.0, 0.05, 2e-4), (1.96, 1e6, 0.05, 2e-4), (0.0, 5.0, 1.0, 1e-12), (1.0, 1.0, 0.5, 1e-12), (-3.0, 1.0, 1 - 2 / math.pi * math.atan(3.0), 1e-12),
+            (2.0, 2.0, 1 - 2 / math.sqrt(6.0), 1e-12), (40.0, 2.0, 1 - 40 / math.sqrt(1602.0), 1e-13), (60.0, 1e9, 0.0, 1e-300)]
+    df = spark.createDataFrame([r[:2] for r in rows], "t double, dof double")
+    for (t, dof, want, near), r in zip(rows, df.select(V.t_two_sided_p(F.col("t"), F.col("dof")).alias("p")).collect()):
+        assert r.p == pytest.approx(want, abs=near), (t, dof)
+    odd = spark.createDataFrame([(1.0, 0.0), (1.0, None), (None, 3.0)], "t double, dof double")
+    assert [r.p for r in odd.select(V.t_two_sided_p(F.col("t"), F.col("dof")).alias("p")).collect()] == [None] * 3
 
 
 def test_iforest_properties(spark):
@@ -124,10 +164,15 @@ def test_iforest_properties(spark):
     z = [f"z_{c}" for c in CLUSTER_FEATURES]
     nodes = IF.iforest_fit(vec, "company_id", z, 100, 256, 42).toPandas()
     assert nodes.tree.nunique() == 100
-    roots = nodes[nodes.node == 0]
+    again = IF.iforest_fit(vec.repartition(11), "company_id", z, 100, 256, 42).toPandas()
+    key = ["tree", "node"]
+    assert again.sort_values(key).reset_index(drop=True).equals(nodes.sort_values(key).reset_index(drop=True))
+    leaves = nodes[nodes.feature < 0]
+    assert (leaves.groupby("tree")["size"].sum() == 256).all()  # every sampled row ends in one leaf
+    roots = nodes[nodes.node == 1]
     assert (roots["size"] == 256).all()
     assert nodes.depth.max() <= 8
-    scored = IF.iforest_score(vec.drop("features"), nodes, z)
+    scored = IF.iforest_score(vec, nodes, z)
     thr = IF.anomaly_threshold(scored, 0.05)
     out = IF.anomaly_columns(scored, thr).select("iforest_s", "is_anomaly", *z).toPandas()
     assert out.iforest_s.between(0, 1).all()
@@ -189,3 +234,50 @@ def test_knn_hot_key_matches_brute_force(spark):
     exp = brute_knn(src.company_id.to_numpy(), src.log_rev_in.to_numpy(dtype=float), src.log_emp_in.to_numpy(dtype=float), src.entity_ord.to_numpy(dtype=float))
     np.testing.assert_allclose(got.imp_log_rev_in.to_numpy(dtype=float), exp[:, 0], rtol=1e-12)
     np.testing.assert_allclose(got.imp_log_emp_in.to_numpy(dtype=float), exp[:, 1], rtol=1e-12)
+
+
+def test_replicas_equal_single_fits_and_plain_lloyd(spark):
+    """All replicas of one call give what each gives alone, on any layout, and
+    a fit is a fixed point of Lloyd's step on the same points."""
+    from firmscope.operators import lloyd as L
+
+    rng = np.random.default_rng(9)
+    centres = rng.normal(0, 4, (4, 3))
+    x = np.concatenate([c + rng.normal(0, 0.5, (100, 3)) for c in centres])
+    df = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(x)], "id int, x double, y double, z double")
+    cols = ["x", "y", "z"]
+    replicas = [L.Replica(4, 0), L.Replica(4, 1), L.Replica(2, 0), L.Replica(4, 0, 3)]
+    pts = L.points(df, "id", cols)
+    together = L.fit(pts, replicas)
+    moved = L.points(df.repartition(5, "x"), "id", cols)
+    for f, r in zip(together, replicas):
+        alone = L.fit(moved, [r])[0]
+        np.testing.assert_array_equal(alone.centres, f.centres)
+        assert alone.iterations == f.iterations and alone.mean_cost == pytest.approx(f.mean_cost)
+    best = L.best(together[:2])
+    near = ((x[:, None] - best.centres[None]) ** 2).sum(axis=2)
+    np.testing.assert_allclose(best.centres, [x[near.argmin(axis=1) == c].mean(axis=0) for c in range(4)], atol=0.02)
+    assert best.cost == pytest.approx(near.min(axis=1).sum(), rel=1e-3)
+    # silhouettes against the definition by squared distances between all pairs
+    label = near.argmin(axis=1)
+    d2 = ((x[:, None] - x[None]) ** 2).sum(axis=2)
+    own = np.array([d2[i][label == label[i]].sum() / ((label == label[i]).sum() - 1) for i in range(len(x))])
+    other = np.array([min(d2[i][label == c].mean() for c in range(4) if c != label[i]) for i in range(len(x))])
+    assert L.silhouettes(pts, [best])[0] == pytest.approx(((other - own) / np.maximum(own, other)).mean(), abs=1e-3)
+
+
+def test_poisson_weights_have_mean_and_variance_one(spark):
+    from firmscope.operators import lloyd as L
+
+    pts = L.points(spark.range(20_000).select("id", F.lit(0.0).alias("x")), "id", ["x"]).toPandas()
+    w = L._weights(pts.a.to_numpy(), pts.b.to_numpy(), [L.Replica(1, 0, 0), L.Replica(1, 0, 1)], 42)
+    assert abs(w.mean() - 1) < 0.02 and abs(w.var() - 1) < 0.04 and abs(np.corrcoef(w.T)[0, 1]) < 0.03
+
+
+def test_kmeans_of_odd_tables(spark):
+    from firmscope.operators import lloyd as L
+
+    few = L.points(spark.createDataFrame([(1, 0.0), (2, 0.0), (3, 5.0)], "id int, x double"), "id", ["x"])
+    f = L.fit(few, [L.Replica(5, 0)])[0]
+    assert sorted(set(np.round(f.centres[:, 0], 6))) == [0.0, 5.0] and f.cost == 0
+    assert L.fit(L.points(spark.createDataFrame([], "id int, x double"), "id", ["x"]), [L.Replica(2, 0)]) == []
