@@ -16,7 +16,7 @@ plan never pairs every receiver with every donor:
 
 1. per (group, x value) keep the k smallest donor ids (salted two-stage rank);
 2. rank the distinct donor x values per group in one bucketed sort (running
-   count per quantile bucket + broadcast bucket offsets); distinct receiver
+   count per quantile bucket + bucket offsets); distinct receiver
    keys ride in the same sort and get their insertion rank r;
 3. each distinct receiver key equi-joins value ranks r-k+1 .. r+k in every
    group (<= 2k values x k ids), plus the k smallest-id donors lacking x per
@@ -32,10 +32,14 @@ column's mean is taken.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from firmscope.functions.portable import hash52
+from firmscope.operators.donor_index import DonorIndex, build, near_values, nearest
 from firmscope.operators.stats import attach_by_key, smallest_k_per_group
 from firmscope.session import cut_lineage
 
@@ -55,15 +59,16 @@ def fit_scaler(df: DataFrame, cols) -> dict:
 
 
 # bucket cuts for the ranking sort: about one bucket per RANK_BUCKET_ROWS input
-# rows (at least `partitions`)
-RANK_BUCKET_ROWS = 2_000_000
+# rows (at least `partitions`), cut at the quantiles of a sample of CUT_ROWS a bucket
+RANK_BUCKET_ROWS, CUT_ROWS = 2_000_000, 20
 
 
-def _fit_with_cuts(df: DataFrame, cols, cut_cols, partitions: int, scaler: dict | None):
+def _fit_with_cuts(df: DataFrame, id_col: str, cols, cut_cols, partitions: int, scaler: dict | None):
     """The row count and the scaler (unless given) in one aggregation, then
-    approximate quantiles of ``cut_cols`` as bucket boundaries for about
-    max(partitions, rows / RANK_BUCKET_ROWS) buckets (a statistics job, so
-    the probabilities never become a large literal expression)."""
+    bucket boundaries of ``cut_cols`` for about max(partitions, rows /
+    RANK_BUCKET_ROWS) buckets. These are quantiles of a sample picked by a hash of
+    the id, about CUT_ROWS rows for each bucket, so the driver holds a
+    hundred-thousandth of the rows; they set where a bucket ends, never a result."""
     aggs = [F.count(F.lit(1)).alias("_rows")]
     if scaler is None:
         for c in cols:
@@ -74,10 +79,15 @@ def _fit_with_cuts(df: DataFrame, cols, cut_cols, partitions: int, scaler: dict
         for c in cols:
             m, s = row[f"m_{c}"], row[f"s_{c}"]
             scaler[c] = (m if m is not None else 0.0, s if (s is not None and s > 0) else 1.0)
-    buckets = max(partitions, -(-(row["_rows"] or 0) // RANK_BUCKET_ROWS))
-    probs = [i / buckets for i in range(1, buckets)]
-    qs = df.approxQuantile(list(cut_cols), probs, 1.0 / (10 * buckets)) if probs else [[] for _ in cut_cols]
-    return scaler, {c: [q for q in qv if q is not None] for c, qv in zip(cut_cols, qs)}
+    rows = row["_rows"] or 0
+    buckets = max(partitions, -(-rows // RANK_BUCKET_ROWS))
+    share = int(min(1.0, 100 * partitions / max(rows, 1) + CUT_ROWS * buckets / max(rows, 1)) * (1 << 40))
+    picked = df.filter(F.pmod(F.xxhash64(id_col), F.lit(1 << 40)) < share).select(*cut_cols).toArrow()
+    cuts = {}
+    for c in cut_cols:
+        values = sorted(v for v in picked.column(c).to_pylist() if v is not None)
+        cuts[c] = sorted({values[len(values) * i // buckets] for i in range(1, buckets)}) if values else []
+    return scaler, cuts
 
 
 def scale(col, mean: float, std: float):
@@ -104,21 +114,51 @@ def _running_rank(u: DataFrame, splits: list) -> DataFrame:
     per_bucket = bucketed.groupBy("tgt", "g", "b").agg(F.sum(is_v).alias("cnt"))
     wb = Window.partitionBy("tgt", "g").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_bucket.select("tgt", "g", "b", F.coalesce(F.sum("cnt").over(wb), F.lit(0)).alias("offset"))
-    # offsets: one row per (target, group, bucket), bounded by 2 x groups x buckets
-    return local.join(F.broadcast(offsets), ["tgt", "g", "b"]).select(
+    # one offset per (target, group, bucket); the rows are dealt by just that for their
+    # window, so they are not moved again, and Spark broadcasts the offsets only while they are few
+    return local.join(offsets, ["tgt", "g", "b"]).select(
         *u.columns, (F.col("offset") + F.col("local")).alias("rank")
     )
 
 
-def _impute_long(long: DataFrame, groups: list, zo_of: dict, k: int, splits: list, ks=None) -> DataFrame:
+def _ordinals(groups, mean: float, std: float):
+    """(array of the ordinal's values, map from a value to its standardised one)."""
+    groups = sorted({float(g) for g in groups})
+    return F.array(*[F.lit(g) for g in groups]), F.create_map(*[x for g in groups for x in (F.lit(g), F.lit((g - mean) / std))])
+
+
+def _smallest_ids(donors: DataFrame, k: int) -> DataFrame:
+    """(tgt, g, lacking, donors): the k smallest ids of all donors, and of
+    those that lack x; at most 2 targets x groups x 2 rows of k."""
+    out = None
+    for lacking, part in ((False, donors), (True, donors.filter(F.col("x").isNull()))):
+        top = smallest_k_per_group(part.select("tgt", "id", "g", "t"), ["tgt", "g"], [F.col("id")], k)
+        rows = top.groupBy("tgt", "g").agg(F.collect_list(F.struct("id", "t")).alias("donors")).withColumn("lacking", F.lit(lacking))
+        out = rows if out is None else out.unionByName(rows)
+    return cut_lineage(out, "knn-extras")
+
+
+def _candidates(keyed: DataFrame, keyless: DataFrame, extras: DataFrame, zo_map) -> DataFrame:
+    """(tgt, rg, rkey, id, t, d2) of asked keys: ``keyed`` come with the values
+    near them (key, donors); keys without x share only the ordinal with every donor,
+    and all keys do with donors that lack x. ``keyless`` holds (tgt, rg, g, rzo, rkey) of all asked keys."""
+    dzo = F.col("rzo") - zo_map[F.col("g")]
+    by_value = keyed.select("tgt", "rg", "g", "rzo", "rkey", "key", F.inline("donors")).select(
+        "tgt", "rg", "rkey", "id", "t", (F.lit(1.5) * ((F.col("rkey") - F.col("key")) * (F.col("rkey") - F.col("key")) + dzo * dzo)).alias("d2"))
+    few = F.broadcast(extras)  # bounded by construction
+    by_ordinal = keyless.join(few, ["tgt", "g"]).filter(F.col("lacking") == F.col("rkey").isNotNull())
+    return by_value.unionByName(by_ordinal.select("tgt", "rg", "g", "rzo", "rkey", F.inline("donors")).select(
+        "tgt", "rg", "rkey", "id", "t", (F.lit(3.0) * (dzo * dzo)).alias("d2")))
+
+
+def _impute_long(long: DataFrame, group_arr, zo_map, k: int, splits: list, ks=None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``long`` holds one row per (row, target): tgt, id, g, zo, x (the other
     coordinate, scaled, nullable), t (target value, null = receiver), _donor.
     Returns (id, tgt, value) for every receiver that has a donor; with ``ks`` (each <= k) one
-    column ``k{n}`` per neighbour count instead of ``value``."""
+    column ``k{n}`` per neighbour count instead of ``value``. Also the written donor
+    values by rank, and the smallest ids, of which a donor index is made."""
     donors = long.filter(F.col("t").isNotNull() & F.col("_donor"))
     receivers = long.filter(F.col("t").isNull())
-    group_arr = F.array(*[F.lit(g) for g in groups])
-    zo_map = F.create_map(*[x for g in groups for x in (F.lit(g), F.lit(zo_of[g]))])
 
     # (1) donors having x: k smallest ids per (target, group, x value), as one array row per value
     d_x = donors.filter(F.col("x").isNotNull()).select("tgt", "id", "g", F.col("x").alias("key"), "t")
@@ -142,27 +182,12 @@ def _impute_long(long: DataFrame, groups: list, zo_of: dict, k: int, splits: lis
     near = rec_x.join(r_keys, ["tgt", "g", "rkey"]).select(
         "tgt", "rg", "g", "rzo", "rkey", F.explode(F.sequence(F.col("r") - (k - 1), F.col("r") + k)).alias("vrank")
     )
-    dzo = F.col("rzo") - zo_map[F.col("g")]
-    cand_a = (
-        near.join(v_ranked, ["tgt", "g", "vrank"])
-        .select("tgt", "rg", "g", "rzo", "rkey", "key", F.explode("donors").alias("d"))
-        .select("tgt", "rg", "rkey", F.col("d.id").alias("id"), F.col("d.t").alias("t"),
-                (F.lit(1.5) * ((F.col("rkey") - F.col("key")) * (F.col("rkey") - F.col("key")) + dzo * dzo)).alias("d2"))
-    )
-    # donors lacking x share only the ordinal: k smallest ids per (target, group)
-    b_nx = smallest_k_per_group(donors.filter(F.col("x").isNull()).select("tgt", "id", "g", "t"), ["tgt", "g"], [F.col("id")], k)
-    by_ordinal = ["tgt", "rg", "rkey", "id", "t", (F.lit(3.0) * (dzo * dzo)).alias("d2")]
-    cand_b = rec_x.join(F.broadcast(b_nx), ["tgt", "g"]).select(*by_ordinal)
-    # receivers lacking x share only the ordinal with every donor
-    b_all = smallest_k_per_group(donors.select("tgt", "id", "g", "t"), ["tgt", "g"], [F.col("id")], k)
-    cand_c = rec.filter(F.col("rkey").isNull()).join(F.broadcast(b_all), ["tgt", "g"]).select(*by_ordinal)
-    # b_nx and b_all hold at most 2 targets x groups x k rows: broadcast is bounded by construction
+    extras = _smallest_ids(donors, k)
+    cands = _candidates(near.join(v_ranked, ["tgt", "g", "vrank"]), rec, extras, zo_map)
 
     # (4) k nearest by (d^2, id), mean of their values: one shuffle by receiver key
     by_key = ["tgt", "rg", "rkey"]
-    cands = cand_a.unionByName(cand_b).unionByName(cand_c).repartition(*by_key)
-    w = Window.partitionBy(*by_key).orderBy("d2", "id")
-    best = cands.withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") <= k)
+    best = nearest(cands.repartition(*by_key), by_key, k)
     if ks:
         names = [f"k{n}" for n in ks]
         found = best.groupBy(*by_key).agg(*[F.avg(F.when(F.col("_rk") <= n, F.col("t"))).alias(f"k{n}") for n in ks])
@@ -176,27 +201,31 @@ def _impute_long(long: DataFrame, groups: list, zo_of: dict, k: int, splits: lis
     keyless = answers.filter(F.col("x").isNull()).drop("x")
     keyed = attach_by_key(rows.filter(F.col("x").isNotNull()), answers.filter(F.col("x").isNotNull()), ["tgt", "g", "x"], ["id"])
     plain = rows.filter(F.col("x").isNull()).join(F.broadcast(keyless), ["tgt", "g"])
-    return keyed.select("id", "tgt", *names).unionByName(plain.select("id", "tgt", *names))
+    return keyed.select("id", "tgt", *names).unionByName(plain.select("id", "tgt", *names)), v_ranked, extras
 
 
 def knn_impute(
     df: DataFrame, id_col: str, a: str, b: str, ordinal: str, groups, k: int = 5, partitions: int = 8,
-    scaler: dict | None = None, donor_col: str | None = None,
+    scaler: dict | None = None,
 ) -> tuple[DataFrame, dict]:
     """Impute columns ``a`` and ``b`` (nullable doubles) from their k nearest
     rows under NaN-Euclidean distance over standardised (a, b, ordinal).
     ``groups`` lists every value the ordinal can take. Returns ``df`` with
     ``imp_a``/``imp_b`` (the observed value where present) and the scaler.
     """
-    # scaler fit and the bucket cuts of the ranking sort share one pass
-    scaler, raw_cuts = _fit_with_cuts(df, [a, b, ordinal], [a, b], partitions, scaler)
+    return knn_fit(df, id_col, a, b, ordinal, groups, k, partitions, scaler)[:2]
+
+
+def knn_fit(
+    df: DataFrame, id_col: str, a: str, b: str, ordinal: str, groups, k: int = 5, partitions: int = 8, scaler: dict | None = None,
+) -> tuple[DataFrame, dict, Callable[[], DonorIndex]]:
+    """``knn_impute``, and a function that stores the donors for ``knn_apply``."""
+    scaler, raw_cuts = _fit_with_cuts(df, id_col, [a, b, ordinal], [a, b], partitions, scaler)
     (ma, sa), (mb, sb), (mo, so) = scaler[a], scaler[b], scaler[ordinal]
-    groups = sorted({float(g) for g in groups})
-    zo_of = {g: (g - mo) / so for g in groups}
+    group_arr, zo_map = _ordinals(groups, mo, so)
     rows = df.select(
         F.col(id_col).alias("id"), F.col(a).alias("va"), F.col(b).alias("vb"), F.col(ordinal).cast("double").alias("g"),
-        scale(a, ma, sa).alias("za"), scale(b, mb, sb).alias("zb"), scale(ordinal, mo, so).alias("zo"),
-        (F.col(donor_col) if donor_col else F.lit(True)).alias("_donor"),
+        scale(a, ma, sa).alias("za"), scale(b, mb, sb).alias("zb"), scale(ordinal, mo, so).alias("zo"), F.lit(True).alias("_donor"),
     )
     cuts = {(q - ma) / sa for q in raw_cuts[a]} | {(q - mb) / sb for q in raw_cuts[b]}
     splits = [float("-inf")] + sorted(c for c in cuts if abs(c) != float("inf")) + [float("inf")]
@@ -204,7 +233,8 @@ def knn_impute(
     long = rows.select(F.lit("a").alias("tgt"), *common, F.col("zb").alias("x"), F.col("va").alias("t")).unionByName(
         rows.select(F.lit("b").alias("tgt"), *common, F.col("za").alias("x"), F.col("vb").alias("t"))
     )
-    imp = _impute_long(long, groups, zo_of, k, splits).groupBy("id").agg(
+    found, ranked, extras = _impute_long(long, group_arr, zo_map, k, splits)
+    imp = found.groupBy("id").agg(
         F.max(F.when(F.col("tgt") == "a", F.col("value"))).alias(f"imp_{a}"),
         F.max(F.when(F.col("tgt") == "b", F.col("value"))).alias(f"imp_{b}"),
     )
@@ -214,24 +244,34 @@ def knn_impute(
         .withColumn(f"imp_{a}", F.coalesce(F.col(a), F.col(f"imp_{a}"), F.lit(ma)))
         .withColumn(f"imp_{b}", F.coalesce(F.col(b), F.col(f"imp_{b}"), F.lit(mb)))
     )
-    return out, scaler
-
-
-def knn_apply(new_rows: DataFrame, donors: DataFrame, id_col: str, a: str, b: str, ordinal: str, groups, scaler: dict, k: int = 5, partitions: int = 8) -> DataFrame:
-    """Impute new rows against stored donors (I4): the same search, with the
-    stored training rows as the only donors and the new rows as receivers.
-    Rows are keyed (is_new, id) so new ids may repeat stored ones; donor ties
-    still break by the stored id."""
-    tagged = donors.select(
-        F.struct(F.lit(0).alias("n"), F.col(id_col).alias("i")).alias("_kid"), F.col(a), F.col(b), F.col(ordinal), F.lit(True).alias("_donor")
-    ).unionByName(
-        new_rows.select(
-            F.struct(F.lit(1).alias("n"), F.col(id_col).alias("i")).alias("_kid"), F.col(a), F.col(b), F.col(ordinal), F.lit(False).alias("_donor")
-        )
-    )
-    out, _ = knn_impute(tagged, "_kid", a, b, ordinal, groups, k, partitions, scaler, donor_col="_donor")
-    imputed = out.filter(~F.col("_donor")).select(F.col("_kid.i").alias(id_col), f"imp_{a}", f"imp_{b}")
-    return new_rows.join(imputed, id_col, "left")
+    return out, scaler, lambda: build(ranked, extras)
+
+
+def knn_apply(new_rows: DataFrame, index: DonorIndex, a: str, b: str, ordinal: str, groups, scaler: dict, k: int = 5) -> DataFrame:
+    """Impute new rows against stored donors (I4): the same neighbours, looked
+    up in the donor index. Each row takes the answer of its (ordinal, other
+    coordinate), so rows need no id and may repeat; without any donor the
+    column's mean is taken."""
+    (ma, sa), (mb, sb), (mo, so) = scaler[a], scaler[b], scaler[ordinal]
+    group_arr, zo_map = _ordinals(groups, mo, so)
+    # a key without x is NaN, and rows that lack nothing have a key that nothing answers
+    nan, none = F.lit(float("nan")), F.lit(float("-inf"))
+    za, zb, g = scale(a, ma, sa), scale(b, mb, sb), F.col(ordinal).cast("double")
+    keyed = new_rows.withColumns({"_g": g, "_xa": F.when(F.col(a).isNotNull(), none).otherwise(F.coalesce(zb, nan)),
+                                  "_xb": F.when(F.col(b).isNotNull(), none).otherwise(F.coalesce(za, nan))})
+    wanted = keyed.select("_g", F.inline(F.array(*[F.struct(F.lit(t).alias("tgt"), F.col(f"_x{t}").alias("x")) for t in "ab"]))).filter(F.col("x") != none).distinct()
+    asked = wanted.select("tgt", F.col("_g").alias("rg"), zo_map[F.col("_g")].alias("rzo"), F.when(~F.isnan("x"), F.col("x")).alias("rkey"))
+    rec = cut_lineage(asked.withColumn("g", F.explode(group_arr)), "knn-asked")
+    cands = _candidates(near_values(index, rec.filter(F.col("rkey").isNotNull()), k), rec, index.extras, zo_map)
+    by_key = ["tgt", "rg", "rkey"]
+    found = nearest(cands.repartition(*by_key), by_key, k).groupBy(*by_key).agg(F.avg("t").alias("value"))
+    answers = cut_lineage(found.select("tgt", F.col("rg").alias("_g"), F.coalesce("rkey", nan).alias("x"), "value"), "knn-answers")
+    out = keyed
+    for t, col, mean in (("a", a, ma), ("b", b, mb)):
+        of = answers.filter(F.col("tgt") == t).select("_g", F.col("x").alias(f"_x{t}"), F.col("value").alias(f"_v{t}"))
+        out = attach_by_key(out, of, ["_g", f"_x{t}"], [a, b, *[c for c in ("company_id",) if c in new_rows.columns]], "left", occurring=keyed)
+        out = out.withColumn(f"imp_{col}", F.coalesce(F.col(col), F.col(f"_v{t}"), F.lit(mean)))
+    return out.select(*new_rows.columns, f"imp_{a}", f"imp_{b}")
 
 
 def impute_cv(
@@ -245,14 +285,13 @@ def impute_cv(
     All folds, targets and k values run in one neighbour-search pass: the
     (target, fold) pair is the search's group key."""
     kmax = max(ks)
-    scaler, raw_cuts = _fit_with_cuts(df, [a, b, ordinal], [a, b], partitions, None)
+    scaler, raw_cuts = _fit_with_cuts(df, id_col, [a, b, ordinal], [a, b], partitions, None)
     (ma, sa), (mb, sb), (mo, so) = scaler[a], scaler[b], scaler[ordinal]
-    groups = sorted({float(g) for g in groups})
-    zo_of = {g: (g - mo) / so for g in groups}
+    group_arr, zo_map = _ordinals(groups, mo, so)
     rows = df.select(
         F.col(id_col).alias("id"), F.col(a).alias("va"), F.col(b).alias("vb"), F.col(ordinal).cast("double").alias("g"),
         scale(a, ma, sa).alias("za"), scale(b, mb, sb).alias("zb"), scale(ordinal, mo, so).alias("zo"),
-        F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(folds)).alias("fold"),
+        F.pmod(hash52(F.col(id_col), F.lit(seed)), F.lit(folds)).alias("fold"),
     )
     cuts = {(q - ma) / sa for q in raw_cuts[a]} | {(q - mb) / sb for q in raw_cuts[b]}
     splits = [float("-inf")] + sorted(c for c in cuts if abs(c) != float("inf")) + [float("inf")]
@@ -266,7 +305,7 @@ def impute_cv(
             (F.col("fold") != F.col("f")).alias("_donor"), F.col(val).alias("truth"),
         ))
     long = parts[0].unionByName(parts[1])
-    pred = _impute_long(long.drop("truth"), groups, zo_of, kmax, splits, ks)
+    pred, _, _ = _impute_long(long.drop("truth"), group_arr, zo_map, kmax, splits, ks)
     truth = long.filter(~F.col("_donor")).select("id", "tgt", "truth")
     err = pred.join(truth, ["id", "tgt"]).withColumn("target", F.split("tgt", ":")[0]).withColumn("fold", F.split("tgt", ":")[1])
     stack = ", ".join(f"{n}, k{n}" for n in ks)

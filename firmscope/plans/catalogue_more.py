@@ -349,7 +349,9 @@ def _scored_columns(out):
         F.round("employees_clean", 4).alias("employees_clean"), r6("company_age").alias("company_age"))
 
 
-# ------------------------------------------------------------------ validation (rows-only)
+# ------------------------------------------------------------------ validation
+# fixed values: components and planted labels of the embeddings table
+EMBEDDING_WIDTH, EMBEDDING_LABELS = 64, 10
 VALIDATION_Z = [f"z_{c}" for c in VALIDATION_FEATURES]
 _VALIDATION: dict = {}
 
@@ -437,7 +439,7 @@ def tier_classifier(spark, sf):
     return spark.createDataFrame([("lead_tier", float(acc_tier)), ("hot_or_priority", float(acc_hot))], "model string, accuracy double")
 
 
-@register("impute_cv")
+@register("impute_cv", F_SQL.impute_cv_sql())
 def impute_cv(spark, sf):
     """5-fold CV of the kNN imputer for k in 1, 3, 5, 7, 10 (log scale),
     with the one-standard-error choice per target."""
@@ -447,22 +449,22 @@ def impute_cv(spark, sf):
 
     clean = cut_lineage(clean_stage(companies_raw(spark, sf)), "cv-clean")
     groups = set(cfg.entity_map_impute.values()) | {cfg.entity_default}
-    return cv(clean, "company_id", "log_rev_in", "log_emp_in", "entity_ord", groups)
+    out = cv(clean, "company_id", "log_rev_in", "log_emp_in", "entity_ord", groups)
+    return out.select("target", "k", r6("mse").alias("mse"), r6("se").alias("se"), "chosen")
 
 
-@register("embeddings_kmeans_ari")
+@register("embeddings_kmeans_ari", F_SQL.embeddings_sql(EMBEDDING_WIDTH, EMBEDDING_LABELS))
 def embeddings_kmeans_ari(spark, sf):
     """K1 + V3 on data with known structure: k-means (k = number of planted
     labels, best of 10 starts) on the embedding vectors, ARI against the
     planted labels."""
     emb = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "label", "embedding")
-    width = len(emb.select("embedding").first()["embedding"])
-    cols = [f"x{j}" for j in range(width)]
+    cols = [f"x{j}" for j in range(EMBEDDING_WIDTH)]
     wide = cut_lineage(emb.select("vec_id", "label", *[F.col("embedding")[j].cast("double").alias(c) for j, c in enumerate(cols)]), "embeddings")
-    k = wide.select("label").distinct().count()
     pts = lloyd.points(wide, "vec_id", cols, ("label",))
-    chosen = lloyd.best(lloyd.fit(pts, [lloyd.Replica(k, s) for s in range(10)]))
-    return V.ari_of_counts(lloyd.contingency(pts, "label", [chosen])).withColumn("k", F.lit(k))
+    chosen = lloyd.best(lloyd.fit(pts, [lloyd.Replica(EMBEDDING_LABELS, s) for s in range(10)]))
+    ari = V.ari_of_counts(lloyd.contingency(pts, "label", [chosen]))
+    return ari.select("n", r6("ari").alias("ari"), F.lit(EMBEDDING_LABELS).alias("k"))
 
 
 @register("score_companies_evaluator", F_SQL.EVALUATOR_RESULTS_SQL + (

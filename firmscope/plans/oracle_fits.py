@@ -57,11 +57,11 @@ def _unit31(x: str, y: str, z: str) -> str:
     return f"(CAST(({x} * a + {y} * b + {z}) % {PRIME} AS DOUBLE) / {PRIME})"
 
 
-def points_ctes(table: str, dims: int, name: str, keep: str = "") -> str:
+def points_ctes(table: str, dims: int, name: str, keep: str = "", id_col: str = "company_id") -> str:
     """``{name}pts``: id, the halves of its hash, and whole-number coordinates."""
     q = ", ".join(f"CAST(round(z{j} * {UNIT}) AS DOUBLE) AS q{j}" for j in range(dims))
-    h = hash52_sql("company_id", str(SEED))
-    return (f"{name}pts AS MATERIALIZED (SELECT company_id AS id, {h} >> {HALF} AS a, {h} & {(1 << HALF) - 1} AS b, {q}{keep} FROM {table})")
+    h = hash52_sql(id_col, str(SEED))
+    return (f"{name}pts AS MATERIALIZED (SELECT {id_col} AS id, {h} >> {HALF} AS a, {h} & {(1 << HALF) - 1} AS b, {q}{keep} FROM {table})")
 
 
 def lloyd_ctes(name: str, dims: int, replicas: list[Replica], max_iter: int = 300) -> str:
@@ -236,3 +236,35 @@ def sweep_sql(ks=range(2, 9), starts: int = 10) -> str:
         "ab AS (SELECT grp, id, max(CASE WHEN mine = 1 THEN size END) AS size, max(CASE WHEN mine = 1 THEN d * size / greatest(size - 1, 1) END) AS x, min(CASE WHEN mine = 0 THEN d END) AS y FROM far GROUP BY grp, id)",
         "sil AS (SELECT grp, avg(CASE WHEN size <= 1 OR y IS NULL OR greatest(x, y) <= 0 THEN 0.0 ELSE (y - x) / greatest(x, y) END) AS silhouette FROM ab GROUP BY grp)",
     ]) + "\nSELECT DISTINCT CAST(grp AS INTEGER) AS k, round(cost, 4) AS cost, round(silhouette, 6) AS silhouette FROM swbest JOIN sil USING (grp)"
+
+
+def embeddings_sql(dims: int, k: int, starts: int = 10) -> str:
+    """(n, ari, k): k-means of the embedding vectors against their labels."""
+    pairs = lambda c: f"({c} * ({c} - 1) / 2.0)"
+    zs = ", ".join(f"CAST(embedding[{j + 1}] AS DOUBLE) AS z{j}" for j in range(dims))
+    return ",\n".join([
+        f"WITH RECURSIVE em AS (SELECT vec_id, label, {zs} FROM embeddings)", points_ctes("em", dims, "em", ", label", "vec_id"), lloyd_ctes("em", dims, [Replica(k, s) for s in range(starts)]),
+        f"l AS MATERIALIZED (SELECT id, any_value(label) AS a, arg_min(c, {{d: {_d2('q', 'm', dims)}, c: c}}) AS b FROM empts, embest GROUP BY id)",
+        "n AS MATERIALIZED (SELECT a, b, count(*) AS n FROM l GROUP BY a, b)",
+        f"s AS (SELECT (SELECT sum({pairs('n')}) FROM n) AS sij, (SELECT sum({pairs('n')}) FROM (SELECT sum(n) AS n FROM n GROUP BY a)) AS sa, "
+        f"(SELECT sum({pairs('n')}) FROM (SELECT sum(n) AS n FROM n GROUP BY b)) AS sb, (SELECT sum(n) FROM n) AS n)",
+    ]) + f"\nSELECT CAST(n AS BIGINT) AS n, round((sij - sa * sb / {pairs('n')}) / ((sa + sb) / 2.0 - sa * sb / {pairs('n')}), 6) AS ari, CAST({k} AS INTEGER) AS k FROM s"
+
+
+def impute_cv_sql(ks=(1, 3, 5, 7, 10), folds: int = 5) -> str:
+    """(target, k, mse, se, chosen) by ranking all donors of every hidden value."""
+    parts = []
+    for target, value, mine, other in (("log_rev_in", "va", "za", "zb"), ("log_emp_in", "vb", "zb", "za")):
+        parts.append(
+            f"SELECT '{target}' AS target, r.fold, r.id, r.{value} AS truth, d.{value} AS t, row_number() OVER (PARTITION BY r.id ORDER BY CASE WHEN r.{other} IS NOT NULL AND d.{other} IS NOT NULL "
+            f"THEN 1.5 * ((r.{other} - d.{other}) * (r.{other} - d.{other}) + (r.zo - d.zo) * (r.zo - d.zo)) ELSE 3.0 * ((r.zo - d.zo) * (r.zo - d.zo)) END, d.id) AS rk "
+            f"FROM zf r JOIN zf d ON r.{value} IS NOT NULL AND d.{value} IS NOT NULL AND r.fold <> d.fold")
+    return CORE_SQL.rstrip() + f""",
+zf AS MATERIALIZED (SELECT *, {hash52_sql('id', str(SEED))} % {folds} AS fold FROM z),
+ranked AS ({' UNION ALL '.join(parts)}),
+preds AS (SELECT target, fold, id, any_value(truth) AS truth, k, avg(t) AS pred FROM ranked, (SELECT unnest([{', '.join(map(str, ks))}]) AS k) WHERE rk <= k GROUP BY target, fold, id, k),
+mses AS (SELECT target, fold, k, avg((pred - truth) * (pred - truth)) AS mse FROM preds GROUP BY target, fold, k),
+summary AS (SELECT target, k, avg(mse) AS mse, stddev_samp(mse) / sqrt(count(*)) AS se FROM mses GROUP BY target, k),
+lowest AS (SELECT target, min(mse) AS m, arg_min(se, mse) AS s FROM summary GROUP BY target),
+pick AS (SELECT target, max(k) AS k FROM summary JOIN lowest USING (target) WHERE mse <= m + s GROUP BY target)
+SELECT s.target, CAST(s.k AS INTEGER) AS k, round(mse, 6) AS mse, round(se, 6) AS se, s.k = pick.k AS chosen FROM summary s JOIN pick USING (target)"""

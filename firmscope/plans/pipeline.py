@@ -7,6 +7,7 @@ driver round trips (scaler, medians, k-means, forest, percentile).
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
@@ -18,7 +19,8 @@ from firmscope.functions import clean as C
 from firmscope.functions import features as FE
 from firmscope.functions import scoring as S
 from firmscope.operators.benchmark import attach_benchmark, industry_benchmark
-from firmscope.operators.impute import fill_median, knn_impute
+from firmscope.operators.donor_index import DonorIndex
+from firmscope.operators.impute import fill_median, knn_fit
 from firmscope.operators.stats import median_row
 from firmscope.session import cut_lineage
 
@@ -29,7 +31,7 @@ class Models:
     impute_scaler: dict = field(default_factory=dict)
     medians: dict = field(default_factory=dict)
     industry: DataFrame | None = None
-    donors: DataFrame | None = None
+    donors: DonorIndex | Callable[[], DonorIndex] | None = None
     cluster_scaler: dict = field(default_factory=dict)
     cluster_medians: dict = field(default_factory=dict)
     centres: list | None = None
@@ -37,6 +39,12 @@ class Models:
     forest: DataFrame | None = None
     anomaly_threshold: float | None = None
 
+    def donor_index(self) -> DonorIndex:
+        """The stored donors; written the first time they are asked for."""
+        if callable(self.donors):
+            self.donors = self.donors()
+        return self.donors
+
 
 def clean_stage(df: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     rev = C.clean_numeric("revenue_usd")
@@ -62,9 +70,9 @@ def clean_stage(df: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     )
 
 
-def impute_stage(df: DataFrame, cfg: Config = DEFAULT, scaler: dict | None = None) -> tuple[DataFrame, dict]:
+def impute_stage(df: DataFrame, cfg: Config = DEFAULT, scaler: dict | None = None) -> tuple[DataFrame, dict, Callable[[], DonorIndex]]:
     groups = set(cfg.entity_map_impute.values()) | {cfg.entity_default}
-    out, scaler = knn_impute(
+    out, scaler, donors = knn_fit(
         df, "company_id", "log_rev_in", "log_emp_in", "entity_ord", groups, cfg.knn_k, cfg.rank_partitions, scaler
     )
     # observed values pass through untouched; only imputed ones come from expm1
@@ -74,7 +82,7 @@ def impute_stage(df: DataFrame, cfg: Config = DEFAULT, scaler: dict | None = Non
             "employees_clean": F.when(F.col("log_emp_in").isNotNull(), F.col("employees_raw")).otherwise(F.expm1("imp_log_emp_in")),
         }
     ).drop("imp_log_rev_in", "imp_log_emp_in")
-    return out, scaler
+    return out, scaler, donors
 
 
 def feature_stage(df: DataFrame, cfg: Config = DEFAULT, medians: dict | None = None) -> tuple[DataFrame, dict]:
@@ -127,8 +135,7 @@ def prepare(
     fitted = models or Models()
     # the cleaned table is read by the scaler fit, the search and the join: materialised
     df = cleaned if cleaned is not None else cut_lineage(clean_stage(raw, cfg), "clean")
-    fitted.donors = df.select("company_id", "log_rev_in", "log_emp_in", "entity_ord")
-    df, fitted.impute_scaler = impute_stage(df, cfg, fitted.impute_scaler or None)
+    df, fitted.impute_scaler, fitted.donors = impute_stage(df, cfg, fitted.impute_scaler or None)
     df = cut_lineage(df, "imputed")  # read by the median fits and everything after
     if fitted.industry is None:
         # global medians and per-industry medians are independent fits: run them together
@@ -195,12 +202,13 @@ def run(raw: DataFrame, cfg: Config = DEFAULT) -> tuple[DataFrame, Models]:
 
 
 def score_companies(
-    raw_new: DataFrame, models: Models, cfg: Config = DEFAULT, donors: DataFrame | None = None, variant: str = "pipeline",
+    raw_new: DataFrame, models: Models, cfg: Config = DEFAULT, variant: str = "pipeline",
 ) -> DataFrame:
     """Score a table of new companies with stored models (E1): cleaning,
     kNN imputation against the stored donors, features, stored industry
-    medians, stored scaler, k-means centres, forest and threshold. Stateless
-    per row except the donor search, so it also runs on a stream's batches.
+    medians, stored scaler, k-means centres, forest and threshold. Its work
+    follows the new rows, not the fitted table (donors are looked up in an
+    index), so it also runs on a stream's batches.
 
     ``variant='pipeline'`` (default) applies the pipeline's rules, so batch
     scores equal the pipeline's for the same rows. ``variant='evaluator'``
@@ -211,15 +219,13 @@ def score_companies(
     missing cluster features as 0, left-closed tier cuts (75/50/30)."""
     from firmscope.operators.impute import knn_apply
 
-    if donors is None:
-        donors = models.donors
     groups = set(cfg.entity_map_impute.values()) | {cfg.entity_default}
     if variant == "evaluator":
-        return _score_evaluator(raw_new, models, cfg, donors, groups)
+        return _score_evaluator(raw_new, models, cfg, groups)
     df = cut_lineage(clean_stage(raw_new, cfg), "new-clean")  # the donor search reads it many times
     needs = df.filter(F.col("log_rev_in").isNull() | F.col("log_emp_in").isNull()).select(F.lit(1)).limit(1).count() > 0
     if needs:
-        imp = knn_apply(df, donors, "company_id", "log_rev_in", "log_emp_in", "entity_ord", groups, models.impute_scaler, cfg.knn_k, cfg.rank_partitions)
+        imp = knn_apply(df, models.donor_index(), "log_rev_in", "log_emp_in", "entity_ord", groups, models.impute_scaler, cfg.knn_k)
     else:  # nothing to impute (e.g. a complete micro-batch): no neighbour search
         imp = df.withColumns({"imp_log_rev_in": F.col("log_rev_in"), "imp_log_emp_in": F.col("log_emp_in")})
     imp = imp.withColumns(
@@ -235,7 +241,7 @@ def score_companies(
     return out
 
 
-def _score_evaluator(raw_new: DataFrame, models: Models, cfg: Config, donors: DataFrame, groups) -> DataFrame:
+def _score_evaluator(raw_new: DataFrame, models: Models, cfg: Config, groups) -> DataFrame:
     from firmscope.config import CLUSTER_FEATURES, ENTITY_MAP_EVALUATOR
     from firmscope.operators.impute import knn_apply
 
@@ -256,7 +262,7 @@ def _score_evaluator(raw_new: DataFrame, models: Models, cfg: Config, donors: Da
         }
     ).withColumn("entity_score", F.col("entity_ord"))
     df = cut_lineage(df, "new-eval")
-    imp = knn_apply(df, donors, "company_id", "log_rev_in", "log_emp_in", "entity_ord", groups, models.impute_scaler, cfg.knn_k, cfg.rank_partitions)
+    imp = knn_apply(df, models.donor_index(), "log_rev_in", "log_emp_in", "entity_ord", groups, models.impute_scaler, cfg.knn_k)
     emp_c = F.col("employees_clean")
     feat = imp.withColumns(
         {

@@ -11,6 +11,8 @@ import json
 
 from pyspark.sql import SparkSession
 
+from firmscope.operators.donor_index import TABLES, DonorIndex
+
 
 def save_models(models, path: str) -> None:
     from firmscope.plans.pipeline import Models  # noqa: F401  (type reference)
@@ -21,8 +23,13 @@ def save_models(models, path: str) -> None:
         "cluster_scaler": models.cluster_scaler, "cluster_medians": models.cluster_medians,
         "anomaly_threshold": models.anomaly_threshold, "centres": models.centres,
     }
+    index = models.donor_index()
+    if index is not None:
+        params["donor_depth"] = index.depth
+        for name in TABLES:
+            getattr(index, name).write.mode("overwrite").parquet(f"{path}/donor_{name}")
     spark.createDataFrame([(json.dumps(params),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/params")
-    for name in ("industry", "donors", "cluster_names"):
+    for name in ("industry", "cluster_names"):
         table = getattr(models, name)
         if table is not None:
             table.write.mode("overwrite").parquet(f"{path}/{name}")
@@ -44,7 +51,8 @@ def load_models(spark: SparkSession, path: str):
             anomaly_threshold=params["anomaly_threshold"], centres=params["centres"],
         )
         m.industry = spark.read.parquet(f"{path}/industry")
-        m.donors = spark.read.parquet(f"{path}/donors")
+        if "donor_depth" in params:
+            m.donors = DonorIndex(*[spark.read.parquet(f"{path}/donor_{name}") for name in TABLES], params["donor_depth"])
         m.cluster_names = spark.read.parquet(f"{path}/cluster_names")
         m.forest = spark.read.parquet(f"{path}/forest").toPandas()  # trees x (2 psi - 1) rows at most
     except Exception as exc:  # report which artefact failed

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_MID, SF_SMALL
+from firmscope.functions.portable import hash52
 from firmscope.operators import iforest as IF
 from firmscope.operators import impute as I
 from firmscope.operators import stats as ST
@@ -197,7 +198,7 @@ def test_impute_cv_matches_brute_force(spark):
     got = I.impute_cv(df, "company_id", "log_rev_in", "log_emp_in", "entity_ord", [1, 2, 3, 4], ks=(3, 5), folds=5, seed=42)
     got = got.toPandas().set_index(["target", "k"]).sort_index()
     src = df.select("company_id", "log_rev_in", "log_emp_in", "entity_ord",
-                    F.pmod(F.xxhash64("company_id", F.lit(42)), F.lit(5)).alias("fold")).toPandas()
+                    F.pmod(hash52(F.col("company_id"), F.lit(42)), F.lit(5)).alias("fold")).toPandas()
     X = src[["log_rev_in", "log_emp_in", "entity_ord"]].to_numpy(dtype=float)
     ids = src.company_id.to_numpy()
     mu, sd = np.nanmean(X, axis=0), np.nanstd(X, axis=0)
@@ -281,3 +282,57 @@ def test_kmeans_of_odd_tables(spark):
     f = L.fit(few, [L.Replica(5, 0)])[0]
     assert sorted(set(np.round(f.centres[:, 0], 6))) == [0.0, 5.0] and f.cost == 0
     assert L.fit(L.points(spark.createDataFrame([], "id int, x double"), "id", ["x"]), [L.Replica(2, 0)]) == []
+
+
+@pytest.mark.parametrize("block", [4, 512])
+def test_donor_index_answers_equal_brute_force(spark, monkeypatch, block):
+    """New rows (missing either or both values, ids of stored rows again,
+    repeated rows, keys below, above and between the stored ones) against
+    every stored donor; with blocks of 4 the tree has several levels."""
+    from firmscope.operators import donor_index as D
+
+    monkeypatch.setattr(D, "BLOCK", block)
+    rng = np.random.default_rng(11)
+    n, groups = 900, [1.0, 2.0, 3.0]
+    a, b = np.round(rng.normal(10, 3, n), 1), np.round(rng.normal(5, 2, n), 1)
+    a[rng.random(n) < 0.2], b[rng.random(n) < 0.2] = np.nan, np.nan
+    o = rng.choice(groups, n, p=[0.9, 0.09, 0.01])
+    clean = lambda v: None if np.isnan(v) else float(v)
+    schema = "company_id int, a double, b double, o double"
+    stored = spark.createDataFrame([(i, clean(x), clean(y), float(z)) for i, (x, y, z) in enumerate(zip(a, b, o))], schema)
+    _, scaler, make = I.knn_fit(stored, "company_id", "a", "b", "o", groups, 5, 8)
+    index = make()
+    assert index.depth == (0 if block == 512 else index.depth) and (block == 512 or index.depth >= 3)
+    new = [(i, None, float(x), float(z)) for i, (x, z) in enumerate(zip(np.concatenate([rng.normal(5, 2, 60), [-99.0, 99.0, 5.0]]), rng.choice(groups, 63)))]
+    new += [(i, float(x), None, float(z)) for i, (x, z) in enumerate(zip(rng.normal(10, 3, 40), rng.choice(groups, 40)))]
+    new += [(5, None, None, 1.0), (5, None, None, 1.0), (6, None, None, 3.0), (7, 1.5, 2.5, 2.0)]
+    windows = []
+    cut = I.cut_lineage
+    monkeypatch.setattr(I, "cut_lineage", lambda f, name="stage", **kw: windows.append((name, f._jdf.queryExecution().executedPlan().toString())) or cut(f, name, **kw))
+    out = I.knn_apply(spark.createDataFrame(new, schema), index, "a", "b", "o", groups, scaler, 5)
+    assert out.columns == ["company_id", "a", "b", "o", "imp_a", "imp_b"]
+    got = sorted(tuple(r) for r in out.fillna(-1e9).collect())
+    # the stored table is looked up, never put in order: one window, over the candidates
+    assert [p.count("Window [") for name, p in windows if name == "knn-answers"] == [1] and "Window" not in out._jdf.queryExecution().executedPlan().toString()
+    (ma, sa), (mb, sb), (mo, so) = scaler["a"], scaler["b"], scaler["o"]
+
+    def imputed(row, col):
+        if row[col + 1] is not None:
+            return row[col + 1]
+        x, mean, std, other = ((b, mb, sb, row[2]), (a, ma, sa, row[1]))[col]
+        t = (a, b)[col]
+        dzo = ((row[3] - o) / so) ** 2
+        both = ~np.isnan(x) if other is not None else np.zeros(n, bool)
+        d2 = np.where(both, 1.5 * (((other if other is not None else 0.0) - np.nan_to_num(x)) / std) ** 2 + 1.5 * dzo, 3.0 * dzo)
+        d2 = np.where(np.isnan(t), np.inf, d2)
+        return t[np.lexsort((np.arange(n), np.round(d2, 9)))[:5]].mean()
+
+    want = sorted(tuple(-1e9 if v is None else v for v in r) + (imputed(r, 0), imputed(r, 1)) for r in new)
+    np.testing.assert_allclose(np.array(got), np.array(want), rtol=1e-9)
+
+
+def test_lookup_against_an_empty_index_takes_the_mean(spark):
+    schema = "company_id int, a double, b double, o double"
+    _, scaler, make = I.knn_fit(spark.createDataFrame([(1, None, 2.0, 1.0)], schema), "company_id", "a", "b", "o", [1.0], 5, 8)
+    out = I.knn_apply(spark.createDataFrame([(2, None, 3.0, 1.0)], schema), make(), "a", "b", "o", [1.0], scaler, 5).first()
+    assert out.imp_a == scaler["a"][0] and out.imp_b == 3.0
