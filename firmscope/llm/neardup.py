@@ -19,11 +19,17 @@ A pair that shares several buckets is made in the first of them alone. A link
 at the threshold itself shares no band with probability 2e-7, and the screen
 drops it with about as much.
 
+What is asked of a bucket (its least and greatest member, the member of most
+links) is an aggregate with partial sums, written and joined back, so that
+Spark can split a large bucket's rows.
+
 Rows: null or empty texts, and texts without words, have the empty set and are
-linked with nothing. Rows that repeat a doc_id and text get the same result;
-with another text they get that text's component. A null doc_id takes no part
-(component null, kept). Empty tables give an empty result. Extra columns are
-not read.
+linked with nothing. Rows that repeat a doc_id and text get the same result. An
+id is one node: where it has several texts, each row gets the component of its own
+text, and those texts' classes may meet in the id. A null doc_id takes no part
+(component null, kept). Ties: the smallest id stands for a class and for a
+component. Very long texts are hashed a piece at a time. Empty tables give an
+empty result. Extra columns are not read, but for those to ``carry``.
 """
 
 from __future__ import annotations
@@ -35,7 +41,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from firmscope.llm.components import connected_components
@@ -50,8 +56,10 @@ BANDS, ROWS = 40, 7
 SIGNATURE_BITS, MAX_DIFFERENT = 256, 42
 #: Shingles hashed at a time.
 PIECE = 2048
-#: Texts whose shingles meet in one range, about.
-TEXTS_PER_RANGE = 5000
+#: Bytes of text whose shingles meet in one range, about.
+RANGE_BYTES = 16 << 20
+#: In place of the id of several texts. A text of this very id would only get a weaker bound.
+NO_OWNER = np.iinfo(np.int64).min
 #: Rows with two texts in an Arrow batch.
 PAIR_ROWS = 200
 
@@ -110,8 +118,8 @@ def jaccard_at_least(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, n_shingles, set_id, bands, sig) of every row; set_id is null for empty sets."""
+def signed(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, n_shingles, set_id, bands, sig, and ``carry``) of every row; set_id is null for empty sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,11 +132,12 @@ def signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 bands.append(None if least is None else band_keys(least))
                 sigs.append(None if least is None else signature(least))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(sets, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.list_(pa.int64()))],
-                names=["id", "n_shingles", "set_id", "bands", "sig"])
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(sets, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.list_(pa.int64())), *batch.columns[2:]],
+                names=["id", "n_shingles", "set_id", "bands", "sig", *carry])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "id long, n_shingles long, set_id binary, bands array<long>, sig array<long>")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *carry)
+    kinds = "".join(f", {c} {rows.schema[c].dataType.simpleString()}" for c in carry)
+    return rows.mapInArrow(run, f"id long, n_shingles long, set_id binary, bands array<long>, sig array<long>{kinds}")
 
 
 def _may_link(percent: int) -> Column:
@@ -140,7 +149,9 @@ def _may_link(percent: int) -> Column:
 
 def _own_shingles(texts: DataFrame, ranges: int) -> DataFrame:
     """(rep, own): shingles of each text that are in no other text. Sorted
-    blocks of hashes are cut by range; a range decides about its hashes."""
+    blocks of hashes are cut by range; a range decides about its hashes. A
+    batch sends each shingle once, without an owner if several of its texts have it, so a
+    very common one comes to its range once for each batch."""
     width = (1 << 64) // ranges + 1
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,9 +159,10 @@ def _own_shingles(texts: DataFrame, ranges: int) -> DataFrame:
             sets = [shingle_set(t.as_py()) for t in batch.column(1).cast(pa.binary())]
             hashes = np.concatenate([*sets, np.empty(0, np.uint64)])
             owners = np.repeat(batch.column(0).to_numpy(), [len(x) for x in sets])
-            order = np.argsort(hashes)
-            cuts = np.searchsorted(hashes[order], np.array([i * width for i in range(1, ranges)], np.uint64))
-            parts = [(i, x) for i, x in enumerate(np.split(order, cuts)) if len(x)]
+            hashes, first, times = np.unique(hashes, return_index=True, return_counts=True)
+            owners = np.where(times == 1, owners[first], NO_OWNER)
+            cuts = np.searchsorted(hashes, np.array([i * width for i in range(1, ranges)], np.uint64))
+            parts = [(i, x) for i, x in enumerate(np.split(np.arange(len(hashes)), cuts)) if len(x)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([i for i, _ in parts], pa.int32()), pa.array([hashes[x].tobytes() for _, x in parts], pa.binary()), pa.array([owners[x].tobytes() for _, x in parts], pa.binary())],
                 names=["part", "hashes", "owners"])
@@ -159,7 +171,8 @@ def _own_shingles(texts: DataFrame, ranges: int) -> DataFrame:
         hashes = np.concatenate([np.frombuffer(x, np.uint64) for x in frame.hashes])
         owners = np.concatenate([np.frombuffer(x, np.int64) for x in frame.owners])
         _, first, n = np.unique(hashes, return_index=True, return_counts=True)
-        rep, own = np.unique(owners[first[n == 1]], return_counts=True)
+        alone = owners[first[n == 1]]
+        rep, own = np.unique(alone[alone != NO_OWNER], return_counts=True)
         return pd.DataFrame({"rep": rep, "own": own})
 
     return (texts.mapInArrow(blocks, "part int, hashes binary, owners binary").groupBy("part").applyInPandas(once, "rep long, own long")
@@ -184,20 +197,21 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return pairs.join(v, "v").join(u, "u").select("u", "v", "u_text", "v_text").mapInArrow(run, "u long, v long").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """(id, n_shingles, component_id, kept) of every row of ``docs``."""
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, n_shingles, component_id, kept, and the columns to ``carry``) of
+    every row of ``docs``. The bands and the screen are set for links of
+    ``PERCENT`` and more; a smaller ``percent`` is refused, as they would lose links."""
+    if percent < PERCENT:
+        raise ValueError(f"percent is at least {PERCENT}")
     spark = docs.sparkSession
-    signs = written(signed(docs, id_col, text_col), "neardup-signs")
+    signs = written(signed(docs, id_col, text_col, carry), "neardup-signs")
     classes = written(
         signs.where("set_id is not null and id is not null").groupBy("set_id").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig")),
         "neardup-classes")
     about = classes.select("rep", "n", "sig", "bands")
-    in_bucket = Window.partitionBy("bucket")
-    buckets = written(
-        classes.select("rep", F.posexplode("bands").alias("band", "bucket"))
-        .select("band", "bucket", "rep", F.min("rep").over(in_bucket).alias("first"), F.max("rep").over(in_bucket).alias("last"))
-        .where("first != last").select("band", "bucket", "rep", "first"),
-        "neardup-buckets")
+    banded = classes.select("rep", F.posexplode("bands").alias("band", "bucket"))
+    several = written(banded.groupBy("bucket").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).where("first != last").select("bucket", "first"), "neardup-several")
+    buckets = written(banded.join(several, "bucket").select("band", "bucket", "rep", "first"), "neardup-buckets")
     met = buckets.select("rep").distinct()
     texts = written(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text is not null").join(met, F.col("id") == F.col("rep"), "left_semi"), "neardup-texts")
 
@@ -212,8 +226,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def apart(components: DataFrame) -> DataFrame:
         """Rows of the buckets that still hold more than one component."""
         of = buckets.select("band", "bucket", "rep").join(components.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        return (of.withColumn("low", F.min("component").over(in_bucket)).withColumn("high", F.max("component").over(in_bucket))
-                .where("low != high").select("band", "bucket", "rep", "component"))
+        of = written(of, "neardup-placed")
+        mixed = written(of.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("bucket"), "neardup-mixed")
+        return of.join(mixed, "bucket").select("band", "bucket", "rep", "component")
 
     # round 1: every member and the smallest of its bucket
     found = links(buckets.where("rep != first").select(F.col("first").alias("u"), F.col("rep").alias("v")), "neardup-first")
@@ -221,13 +236,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rest = written(apart(connected_components(found)), "neardup-apart")
     degree = found.select(F.col("u").alias("rep")).unionByName(found.select(F.col("v").alias("rep"))).groupBy("rep").agg(F.count("*").alias("links"))
     ranked = rest.join(degree, "rep", "left").select("bucket", "rep", "component", F.struct(F.coalesce("links", F.lit(0)).alias("links"), (-F.col("rep")).alias("rep"), "component").alias("by"))
-    best = ranked.withColumn("best", F.max("by").over(in_bucket)).where("component != best.component")
+    ranked = written(ranked, "neardup-ranked")
+    most_linked = written(ranked.groupBy("bucket").agg(F.max("by").alias("best")), "neardup-best")
+    best = ranked.join(most_linked, "bucket").where("component != best.component")
     found = written(found.unionByName(links(best.select((-F.col("best.rep")).alias("u"), F.col("rep").alias("v")), "neardup-second")), "neardup-links")
     # round 3: all pairs of a bucket whose members are in different components
     rest = written(apart(connected_components(found)), "neardup-apart")
     last_texts = texts.join(rest.select(F.col("rep").alias("id")).distinct(), "id", "left_semi").select("id", "text")
-    n_last = last_texts.count()
-    own = written(_own_shingles(last_texts, max(1, n_last // TEXTS_PER_RANGE)), "neardup-own")
+    n_bytes = last_texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    own = written(_own_shingles(last_texts, max(1, n_bytes // RANGE_BYTES)), "neardup-own")
     rest = rest.join(about, "rep").join(own, "rep", "left").select("bucket", "component", F.struct("rep", "n", "sig", F.slice("bands", F.lit(1), F.col("band")).alias("before"), (F.col("n") - F.coalesce("own", F.lit(0))).alias("shared")).alias("x"))
     rest = written(rest, "neardup-apart")
     most = F.least("x.shared", "y.shared")
@@ -240,6 +257,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component = connected_components(found.unionByName(third))
 
     of_class = written(classes.select("set_id", "rep").join(component.withColumnRenamed("node", "rep"), "rep", "left").select("set_id", F.coalesce("component", "rep").alias("component_id")), "neardup-of-class")
-    out = signs.select("id", "n_shingles", "set_id").join(of_class, "set_id", "left")
-    out = out.select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True))).withColumnRenamed("id", id_col)
+    out = signs.select("id", "n_shingles", "set_id", *carry).join(of_class, "set_id", "left")
+    out = out.select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"), *carry)
+    out = out.withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True))).withColumnRenamed("id", id_col)
+    return out.select(id_col, "n_shingles", "component_id", "kept", *carry)

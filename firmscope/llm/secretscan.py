@@ -4,10 +4,13 @@ functions alone.
 Two first-order models over printable ASCII, of random strings and of ordinary
 identifiers, are counted on a labelled sample of tokens. Long tokens of a text
 whose log-likelihood ratio (random to ordinary) is at least ``MIN_TOTAL`` and
-``MIN_MEAN`` for each step are reported beside the fixed formats. The models
-are one table of 128 x 128 numbers, whatever the corpus.
+``MIN_MEAN`` for each step are reported beside the fixed formats, also where that holds of a
+long part of them between separators. The models are one table of 128 x 128
+numbers, whatever the corpus.
 
-Rows: a null or empty text has no spans. Repeated rows: one output row each.
+Rows: a null or empty text has no spans. Very long texts, also those full of
+spans, take time that grows with their length. Ties: spans that begin at one
+place are in the order of their kinds. Repeated rows: one output row each.
 Empty tables: an empty result; an empty sample: no random tokens are reported.
 Extra columns are not read by ``scan``; ``redacted`` keeps all columns.
 """
@@ -19,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from firmscope.llm.spans import joined, let, matches, overlaps, redact
+from firmscope.llm.spans import free_of, joined, let, matches, redact
 
 KINDS = ["assign", "access", "hex", "random"]
 # fixed values: formats and least lengths
@@ -30,22 +33,26 @@ HEX = r"[0-9a-f]{24,}"
 #: What the models look at.
 TOKEN = r"[A-Za-z0-9+/_-]{20,}"
 MIN_TOTAL, MIN_MEAN = 12.0, 0.4
-#: Rows that give the labelled sample, about; and their first words that become ordinary tokens.
-SAMPLE_ROWS, SAMPLE_WORDS = 2000, 200
+#: Characters of a part between / _ and - that is judged by itself.
+LEAST_PART = 20
+#: Rows that give the labelled sample, about; and their pairs of words that become ordinary tokens, about.
+SAMPLE_ROWS, SAMPLE_PAIRS = 2000, 200
 
 
 def labelled_sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE_ROWS) -> DataFrame:
     """(token, label): 1 for random strings, made of digests of the sampled
     texts in the alphabets keys are written in; 0 for identifiers made of the
     texts' words in the usual ways. At most about ``rows`` rows, picked by a
-    hash of the id, teach (a documented bound)."""
+    hash of the id, teach (a documented bound); of a text's pairs of
+    neighbouring words about ``SAMPLE_PAIRS`` do, picked by a hash from the whole of it."""
     n = docs.count()
     picked = docs.where(F.pmod(F.xxhash64(id_col), F.lit(1 << 20)) < float(1 << 20) * rows / max(n, 1)).select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     raw = F.unhex(F.sha2("text", 256))
     plain = F.regexp_replace(F.base64(raw), "[=\r\n]", "")
     random = picked.select(F.explode(F.array(F.sha2("text", 256), plain, F.translate(plain, "+/", "-_"), F.upper(F.regexp_replace(plain, "[+/]", "")))).alias("token"), F.lit(1).alias("label"))
-    words = F.filter(F.slice(F.split(F.regexp_replace("text", r"[^A-Za-z]+", " "), " "), 1, SAMPLE_WORDS), lambda w: w != "")
-    pairs = picked.select(words.alias("w")).select(F.explode(F.arrays_zip(F.col("w").alias("a"), F.slice("w", 2, SAMPLE_WORDS).alias("b"))).alias("p")).where("p.b is not null").select("p.*")
+    words = F.filter(F.split(F.regexp_replace("text", r"[^A-Za-z]+", " "), " "), lambda w: w != "")
+    pairs = picked.select(words.alias("w")).where(F.size("w") > 1).select(F.size("w").alias("n"), F.posexplode(F.arrays_zip(F.col("w").alias("a"), F.slice("w", F.lit(2), F.size("w")).alias("b"))).alias("at", "p"))
+    pairs = pairs.where(F.col("p.b").isNotNull() & (F.pmod(F.xxhash64("at", "p.a", "p.b"), F.col("n").cast("long")) < SAMPLE_PAIRS)).select("p.*")
     lower_a, lower_b = F.lower("a"), F.lower("b")
     names = F.array(F.col("a"), F.concat("a", "b"), F.concat_ws("_", lower_a, lower_b), F.concat_ws("-", lower_a, lower_b), F.concat(lower_a, F.initcap("b")), F.concat_ws("/", lower_a, lower_b), F.upper(F.concat_ws("_", "a", "b")), F.concat(lower_a, F.pmod(F.xxhash64("a"), F.lit(100)).cast("string")))
     return random.unionByName(pairs.select(F.explode(names).alias("token"), F.lit(0).alias("label")))
@@ -91,8 +98,14 @@ def find(text: Column, ratios: list[float] | None) -> tuple[Column, Column]:
         _kind(matches(text, HEX), "hex", lambda s: F.lit(True))))
     if ratios is None:
         return base, F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    random = _kind(matches(text, TOKEN), "random", lambda s: let(log_ratio(s["value"], ratios), lambda r: (r >= MIN_TOTAL) & (r >= MIN_MEAN * (s["end"] - s["start"] - 1))))
-    return base, random
+    def drawn(token: Column) -> Column:
+        return let(log_ratio(token, ratios), lambda r: (r >= MIN_TOTAL) & (r >= MIN_MEAN * (F.length(token) - 1)))
+
+    # a key joined to ordinary words by / _ or - is judged by itself as well
+    def has_part(token: Column) -> Column:
+        return F.exists(F.split(token, "[/_-]+"), lambda part: (F.length(part) >= LEAST_PART) & (F.length(part) < F.length(token)) & drawn(part))
+
+    return base, _kind(matches(text, TOKEN), "random", lambda s: drawn(s["value"]) | has_part(s["value"]))
 
 
 def scan(docs: DataFrame, ratios: list[float] | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -100,8 +113,7 @@ def scan(docs: DataFrame, ratios: list[float] | None, id_col: str = "doc_id", te
     models' own where they overlap no fixed format."""
     base, random = find(F.col(text_col), ratios)
     found = docs.select(F.col(id_col), base.alias("base"), random.alias("random"))
-    own = F.filter("random", lambda s: ~overlaps(s, F.col("base")))
-    return found.select(id_col, "base", F.array_sort(F.concat("base", own)).alias("spans"))
+    return found.select(id_col, "base", F.array_sort(F.concat("base", free_of(F.col("random"), F.col("base")))).alias("spans"))
 
 
 def redacted(docs: DataFrame, ratios: list[float] | None, text_col: str = "text", by: str = "[SECRET]") -> DataFrame:

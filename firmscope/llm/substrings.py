@@ -45,7 +45,6 @@ PIECE = 1 << 20
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9))
 _PLACE = np.uint64((1 << 21) - 1)
-_LOW = np.uint64((1 << 48) - 1)
 _MESSAGE = "key long, src long, a binary, b binary, c binary, d binary"
 
 
@@ -103,16 +102,26 @@ class Shard:
         self.count = np.concatenate([np.empty(0, np.int64), *(c for _, (_, c, _) in found)])
         self.doc = np.concatenate([np.empty(0, np.int64), *(np.full(len(c), self.ids[i], np.int64) for i, (_, c, _) in found)])
         hashed = np.concatenate([np.empty(0, np.uint64), *(a for _, (_, _, a) in found)])
-        # the range of anchors, then 48 bits: anchors that share them by chance only add candidates
-        self.anchor = ((hashed >> np.uint64(64 - self.bits) << np.uint64(48)) if self.bits else np.uint64(0)) | (hashed & _LOW)
+        # the range of anchors, then up to 48 bits: anchors that share them by chance only add candidates
+        low = _low_bits(self.bits)
+        self.anchor = ((hashed >> np.uint64(64 - self.bits) << np.uint64(low)) if self.bits else np.uint64(0)) | (hashed & np.uint64((1 << low) - 1))
         return self
 
 
+def _low_bits(bits: int) -> int:
+    """Bits of an anchor below the number of its range."""
+    return min(48, 64 - bits)
+
+
 def _pack(keys: np.ndarray) -> bytes:
-    """The low six bytes of each key."""
+    """The low six bytes of each key, which hold all below its range."""
     return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
 
 
+def _low_part(keys: np.ndarray, bits: int) -> np.ndarray:
+    return keys & np.uint64((1 << _low_bits(bits)) - 1)
+
+
 def _unpack(data: bytes) -> np.ndarray:
     out = np.zeros((len(data) // 6, 8), np.uint8)
     out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
@@ -127,10 +136,11 @@ def _messages(rows: list[tuple]) -> pa.Table:
 
 def _ranges(keys: np.ndarray, bits: int) -> Iterator[tuple[int, slice]]:
     """The non-empty ranges of sorted keys, cut by binary search."""
-    cuts = np.searchsorted(keys, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(48)) if bits else np.empty(0, np.int64)
-    edges = np.concatenate([[0], cuts, [len(keys)]])
-    for r in np.flatnonzero(np.diff(edges)):
-        yield int(r), slice(int(edges[r]), int(edges[r + 1]))
+    of = keys >> np.uint64(_low_bits(bits)) if bits else np.zeros(len(keys), np.uint64)
+    every = np.unique(of)
+    edges = np.append(np.searchsorted(of, every), len(keys))
+    for r, a, b in zip(every.tolist(), edges[:-1].tolist(), edges[1:].tolist()):
+        yield r, slice(a, b)
 
 
 def send_anchors(shard_id: int, shard: Shard) -> list[tuple]:
@@ -163,7 +173,7 @@ def send_contexts(shard_id: int, shard: Shard, shared: pa.Table) -> list[tuple]:
     To itself, by a key behind the ranges: its runs and where their contexts went."""
     found = [np.empty(0, np.uint64)]
     for r, a in sorted(zip(shared.column("src").to_pylist(), shared.column("a").to_pylist())):
-        found.append(_unpack(a) | np.uint64(r << 48))
+        found.append(_low_part(_unpack(a), shard.bits) | (np.uint64(r << _low_bits(shard.bits)) if shard.bits else np.uint64(0)))
     known = np.concatenate(found)
     if not len(known):
         return []
@@ -349,7 +359,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-total // SHARD_BYTES))
-    bits = min(16, max(0, (shards - 1).bit_length()))
+    bits = (shards - 1).bit_length()  # as many ranges as shards, so neither grows with the text
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)))
     by_shard = dealt.groupBy("shard")
 

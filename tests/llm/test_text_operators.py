@@ -416,3 +416,104 @@ def test_held_out_rows_are_those_of_the_contract(spark):
 
     got = spark.range(500).select("id", held_out(F.col("id")).alias("h")).collect()
     assert all(r.h == (zlib.crc32(str(r.id).encode()) % 4 == 2) for r in got)
+
+
+# ------------------------------------------------------------------ long texts, prefixes, refused values
+def full_of_spans(n, seed=1):
+    rng = random.Random(seed)
+    key = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(28))
+    parts, size = [], 0
+    while size < n:
+        parts.append(rng.choice([f"password = abc{rng.randint(0, 9999)}xyzw é", key() + " ", f"mail joe{rng.randint(0, 999)}@ex.com ", f"call 555-{rng.randint(100, 999)}-4567 ", f"token: {key()}{'a1' * 14} ", "word 漢 "]))
+        size += len(parts[-1])
+    return "".join(parts)
+
+
+def seconds(work):
+    import time
+
+    at = time.time()
+    work()
+    return time.time() - at
+
+
+def test_long_texts_full_of_spans_take_time_that_grows_with_them(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    ratios = secretscan.train(secretscan.labelled_sample(docs))
+    model = pii.fit(pii.labelled_proposals(docs))
+    small, large = full_of_spans(250_000), full_of_spans(1_000_000)
+    for name, work in {
+        "scan": lambda df: secretscan.report(secretscan.scan(df, ratios)).collect(),
+        "redact": lambda df: secretscan.redacted(df, ratios).collect(),
+        "pii": lambda df: pii.report(pii.scan(df, model)).collect(),
+    }.items():
+        took = []
+        for text in (small, small, large):
+            df = table(spark, [(1, text)])
+            took.append(seconds(lambda: work(df)))  # noqa: B023
+        assert took[2] < 8 * max(took[1], 1.0), (name, took)
+
+
+def test_span_filters_equal_brute_force(spark):
+    rng = random.Random(3)
+    rows = []
+    for i in range(60):
+        cuts = sorted(rng.sample(range(400), 2 * rng.randint(0, 60)))
+        own = [(a, b) for a, b in zip(cuts[::2], cuts[1::2])]
+        others = [(a, a + rng.randint(1, 30)) for a in (rng.randrange(400) for _ in range(rng.randint(0, 40)))]
+        rows.append((i, own, others, "".join(rng.choice("abé漢😀") for _ in range(430))))
+    span = "array<struct<start:int,end:int>>"
+    df = spark.createDataFrame(rows, f"id int, own {span}, others {span}, text string")
+    out = df.select("id", spans.free_of(F.col("own"), F.col("others")).alias("free"), spans.runs(F.array_sort("others")).alias("runs"), spans.redact(F.col("text"), F.array_sort("others"), "#").alias("cut")).collect()
+    for r in out:
+        _, own, others, text = rows[r.id]
+        assert [tuple(s) for s in r.free] == [s for s in own if not any(a < s[1] and s[0] < b for a, b in others)]
+        runs = []
+        for a, b in sorted(others):
+            if runs and a < runs[-1][1]:
+                runs[-1][1] = max(runs[-1][1], b)
+            else:
+                runs.append([a, b])
+        assert [list(s) for s in r.runs] == runs
+        want, at = "", 0
+        for a, b in runs:
+            want, at = want + text[at:a] + "#", b
+        assert r.cut == (want + text[at:] if runs else text)
+
+
+def test_key_joined_to_ordinary_words_is_found(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    ratios = secretscan.train(secretscan.labelled_sample(docs))
+    text = "see services/billing/internal/team/reports/q8Zx3VbN7kLp2WmT9sRd5YhC now, or services/billing/internal/team/reports/monthly"
+    found = secretscan.scan(table(spark, [(1, text)]), ratios).first()
+    assert [text[s.start : s.end] for s in found.spans] == ["services/billing/internal/team/reports/q8Zx3VbN7kLp2WmT9sRd5YhC"]
+
+
+def test_smaller_percent_is_refused(spark):
+    with pytest.raises(ValueError):
+        neardup.near_duplicates(table(spark, [(1, "a")]), percent=80)
+
+
+def test_id_with_two_texts_keeps_one_copy_of_each(spark):
+    import corpus_pipeline as C
+
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    docs = spark.createDataFrame([(3, b, "en", "s", 1), (6, a, "en", "s", 1), (6, b, "en", "s", 1), (None, a, "en", "s", 1), (7, None, "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars int")
+    kept = {(r.doc_id, r.text) for r in C.drop_near_duplicates(spark, docs, SF).collect()}
+    assert kept == {(3, b), (6, a), (None, a), (7, None)}
+
+
+def test_ranges_of_anchors_have_no_ceiling():
+    rng = np.random.default_rng(2)
+    text = bytes(rng.integers(97, 123, 4000, np.uint8))
+    import pyarrow as pa
+
+    docs = pa.table({"id": pa.array([1, 2]), "text": pa.array([text, text[500:900] + b"x" * 80], pa.binary())})
+    for bits in (0, 5, 16, 20, 24):
+        shard = substrings.Shard(docs, bits).find()
+        keys = np.sort(shard.anchor)
+        parts = list(substrings._ranges(keys, bits))
+        assert sum(s.stop - s.start for _, s in parts) == len(keys) and all(0 <= r < 1 << bits for r, _ in parts)
+        for r, s in parts:
+            again = substrings._low_part(substrings._unpack(substrings._pack(keys[s])), bits) | (np.uint64(r << substrings._low_bits(bits)) if bits else np.uint64(0))
+            assert (again == keys[s]).all()
