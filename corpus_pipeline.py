@@ -34,9 +34,11 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest id of each group; a row repeated whole stays once."""
-    kept = neardup.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    same = docs.select(*COLUMNS).join(kept, "doc_id", "left_semi").unionByName(docs.select(*COLUMNS).where("doc_id is null"))
-    return same.dropDuplicates()
+    # by id and text: where an id has several texts, each is kept or not by itself
+    hashed = docs.select(*COLUMNS, F.xxhash64("text").alias("text_hash"))
+    kept = neardup.near_duplicates(hashed, carry=("text_hash",)).where("kept").select("doc_id", "text_hash").distinct()
+    same = hashed.join(kept, ["doc_id", "text_hash"], "left_semi").unionByName(hashed.where("doc_id is null"))
+    return same.select(*COLUMNS).dropDuplicates()
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
