@@ -10,7 +10,7 @@ from firmscope.functions import scoring as S
 from firmscope.operators import lloyd
 from firmscope.operators.queries import stat_row
 from firmscope.operators.stats import quantiles, smallest_k_per_group
-from firmscope.session import cut_lineage
+from firmscope.session import Scratch, cut_lineage
 
 # Employee size bands (fixed values): label, inclusive upper bound.
 SIZE_BANDS = (("1-10", 10.0), ("11-50", 50.0), ("51-200", 200.0), ("201-1000", 1000.0), ("1000+", None))
@@ -71,10 +71,11 @@ def segment_insights(df: DataFrame) -> DataFrame:
 def k_sweep(df: DataFrame, id_col: str, cols, ks=range(2, 9), seed: int = 42, starts: int = 10, max_iter: int = 300) -> DataFrame:
     """Training cost and silhouette (squared Euclidean) per k, of the best of
     ``starts`` fits; all of them advance in the same scans."""
-    pts = lloyd.points(df, id_col, list(cols), seed=seed)
-    fits = lloyd.fit(pts, [lloyd.Replica(k, s) for k in ks for s in range(starts)], seed, max_iter)
-    chosen = [lloyd.best([f for f in fits if f.replica.k == k]) for k in ks]
-    rows = [(int(f.replica.k), float(f.cost), float(s)) for f, s in zip(chosen, lloyd.silhouettes(pts, chosen))]
+    with Scratch(df.sparkSession) as scratch:
+        pts = lloyd.points(df, id_col, list(cols), seed=seed, scratch=scratch)
+        fits = lloyd.fit(pts, [lloyd.Replica(k, s) for k in ks for s in range(starts)], seed, max_iter)
+        chosen = [lloyd.best([f for f in fits if f.replica.k == k]) for k in ks]
+        rows = [(int(f.replica.k), float(f.cost), float(s)) for f, s in zip(chosen, lloyd.silhouettes(pts, chosen))]
     return df.sparkSession.createDataFrame(rows, "k int, cost double, silhouette double")
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from firmscope.functions.portable import hash52
-from firmscope.session import cut_lineage
+from firmscope.session import Scratch, cut_lineage
 
 #: Steps of a coordinate to one standard deviation.
 UNIT = 1 << 16
@@ -61,12 +61,13 @@ def poisson_steps() -> list[float]:
     return out
 
 
-def points(df: DataFrame, id_col: str, cols: list, keep: tuple = (), seed: int = 42) -> DataFrame:
+def points(df: DataFrame, id_col: str, cols: list, keep: tuple = (), seed: int = 42, scratch: Scratch | None = None) -> DataFrame:
     """A written table (a, b, q, and ``keep``): two halves of the id's hash
     and the whole-number coordinates of the standardised columns."""
     h = hash52(F.col(id_col), F.lit(seed))
     q = F.array(*[F.round(F.col(c) * UNIT).cast("long") for c in cols])
-    return cut_lineage(df.select(F.shiftright(h, HALF).alias("a"), h.bitwiseAND((1 << HALF) - 1).alias("b"), q.alias("q"), *keep), "points")
+    rows = df.select(F.shiftright(h, HALF).alias("a"), h.bitwiseAND((1 << HALF) - 1).alias("b"), q.alias("q"), *keep)
+    return scratch.write(rows, "points") if scratch else cut_lineage(rows, "points")
 
 
 # ---------------------------------------------------------------- inside a task

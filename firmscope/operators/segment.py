@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from firmscope.operators import lloyd
 from firmscope.operators.impute import fit_scaler
 from firmscope.operators.stats import median_row, quantiles
+from firmscope.session import Scratch
 
 # Cluster structure names (fixed values).
 STRUCTURE_GLOBAL_HQ = "Global HQ"
@@ -46,8 +47,9 @@ def cluster_matrix(df: DataFrame, cols, scaler: dict | None = None, medians: dic
 def kmeans_fit(df: DataFrame, id_col: str, cols, k: int = 5, starts: int = 10, seed: int = 42, max_iter: int = 300) -> lloyd.Fit:
     """Best of ``starts`` fits (k-means++ starts) by cost on the standardised
     columns; all starts advance in the same scans."""
-    fits = lloyd.fit(lloyd.points(df, id_col, list(cols), seed=seed), [lloyd.Replica(k, s) for s in range(starts)], seed, max_iter)
-    return lloyd.best(fits)
+    with Scratch(df.sparkSession) as scratch:
+        pts = lloyd.points(df, id_col, list(cols), seed=seed, scratch=scratch)
+        return lloyd.best(lloyd.fit(pts, [lloyd.Replica(k, s) for s in range(starts)], seed, max_iter))
 
 
 def kmeans_assign(df: DataFrame, cols, centres) -> DataFrame:

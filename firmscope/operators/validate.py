@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from firmscope.functions.portable import hash52, unit
 from firmscope.operators import lloyd
-from firmscope.session import cut_lineage
+from firmscope.session import Scratch, cut_lineage
 
 
 # ------------------------------------------------------------------ V1
@@ -85,10 +85,11 @@ def bootstrap_ari(df: DataFrame, id_col: str, cols: list, base_col: str, runs: i
     """Resample with replacement (Poisson(1) row weights, no row copies),
     refit k-means, relabel the original rows, ARI vs the base labels. All runs
     and starts advance in the same scans. Returns (run, ari)."""
-    pts = lloyd.points(df, id_col, cols, (base_col,), seed)
-    fits = lloyd.fit(pts, [lloyd.Replica(k, s, run) for run in range(runs) for s in range(starts)], seed)
-    chosen = [lloyd.best([f for f in fits if f.replica.run == run]) for run in range(runs)]
-    counts = lloyd.contingency(pts, base_col, chosen)
+    with Scratch(df.sparkSession) as scratch:
+        pts = lloyd.points(df, id_col, cols, (base_col,), seed, scratch)
+        fits = lloyd.fit(pts, [lloyd.Replica(k, s, run) for run in range(runs) for s in range(starts)], seed)
+        chosen = [lloyd.best([f for f in fits if f.replica.run == run]) for run in range(runs)]
+        counts = cut_lineage(lloyd.contingency(pts, base_col, chosen), "bootstrap-counts")  # runs x k x k rows
     return ari_of_counts(counts, ("fit",)).select(F.col("fit").alias("run"), "ari")
 
 

@@ -22,7 +22,7 @@ from firmscope.operators.benchmark import attach_benchmark, industry_benchmark
 from firmscope.operators.donor_index import DonorIndex
 from firmscope.operators.impute import fill_median, knn_fit
 from firmscope.operators.stats import median_row
-from firmscope.session import cut_lineage
+from firmscope.session import Scratch, cut_lineage
 
 
 @dataclass
@@ -164,10 +164,11 @@ def finish(df: DataFrame, cfg: Config = DEFAULT, models: Models | None = None, r
     zcols = [f"z_{c}" for c in feats]
     if refit:
         z, m.cluster_scaler, m.cluster_medians = SG.cluster_matrix(df, feats)
-        narrow = cut_lineage(z.select("company_id", *zcols, "revenue_clean", "entity_score"), "cluster-features")  # the fits read it again and again
-        # the forest and the k-means are independent fits on the same
-        # matrix: grow the forest while the k-means jobs run
-        with ThreadPoolExecutor(max_workers=1) as pool:
+        with Scratch(df.sparkSession) as scratch, ThreadPoolExecutor(max_workers=1) as pool:
+            # the fits read their columns again and again
+            narrow = scratch.write(z.select("company_id", *zcols, "revenue_clean", "entity_score"), "cluster-features")
+            # the forest and the k-means are independent fits on the same
+            # matrix: grow the forest while the k-means jobs run
             forest = pool.submit(
                 lambda: IF.iforest_fit(narrow, "company_id", zcols, cfg.iforest_trees, cfg.iforest_sample, cfg.seed).toPandas()
             )
@@ -175,8 +176,8 @@ def finish(df: DataFrame, cfg: Config = DEFAULT, models: Models | None = None, r
             profile = SG.cluster_tier_profile(SG.kmeans_assign(narrow, zcols, m.centres).select("cluster", "revenue_clean", "entity_score"))
             m.cluster_names = cut_lineage(SG.name_clusters(profile), "cluster-names")
             m.forest = forest.result()
-        scores = IF.iforest_score(narrow.select(*zcols), m.forest, zcols)
-        m.anomaly_threshold = IF.anomaly_threshold(cut_lineage(scores.select("iforest_s"), "forest-scores"), cfg.contamination)
+            scores = IF.iforest_score(narrow.select(*zcols), m.forest, zcols)
+            m.anomaly_threshold = IF.anomaly_threshold(scratch.write(scores.select("iforest_s"), "forest-scores"), cfg.contamination)
     else:
         z, _, _ = SG.cluster_matrix(df, feats, m.cluster_scaler, m.cluster_medians)
     named = SG.attach_cluster_name(SG.kmeans_assign(z, zcols, m.centres), m.cluster_names)

@@ -51,6 +51,41 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def remove_table(spark: SparkSession, path: str) -> None:
+    """Delete a folder through the file system it lives on."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(conf).delete(where, True)
+
+
+class Scratch:
+    """Tables that a fit writes for itself alone. They are removed when the
+    block ends, by when their readers have brought their numbers to the
+    driver or into another table."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> "Scratch":
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.clear()
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{checkpoint_dir(self.spark).rstrip('/')}/firmscope-{name}-{uuid.uuid4().hex}"
+        self.paths.append(path)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path).select(*df.columns)
+
+    def clear(self, keep: int = 0) -> None:
+        """Remove all tables but the last ``keep``."""
+        gone = self.paths[: len(self.paths) - keep]
+        self.paths = self.paths[len(gone) :]
+        for path in gone:
+            remove_table(self.spark, path)
+
+
 def cut_lineage(df: DataFrame, name: str = "stage", partition_by: str | None = None) -> DataFrame:
     """Materialise ``df`` as a parquet table in the shared checkpoint folder
     and read it back: one job, survives executor loss, starts a new lineage,

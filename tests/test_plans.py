@@ -3,9 +3,6 @@ partitions and value filters reach the parquet scan; top-k is a TakeOrdered."""
 
 from conftest import SF_SMALL
 
-SLOW = {"bootstrap_ari", "ari_histogram", "tier_classifier", "permutation_importance", "k_sweep", "cluster_predictor",
-        "impute_cv", "embeddings_kmeans_ari"}
-
 
 def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
@@ -16,8 +13,6 @@ def test_no_cross_joins(spark):
 
     bad = {}
     for name, fn in E.queries().items():
-        if name in SLOW:
-            continue
         plan = _plan(fn(spark, SF_SMALL))
         hits = [w for w in ("CartesianProduct", "BroadcastNestedLoopJoin") if w in plan]
         if hits:
