@@ -17,7 +17,9 @@ hashes are broadcast while there are at most ``BROADCAST_ROWS`` of them
 Rows: a null text has no words; such documents, and those without words, hit
 nothing. Items without words, or with a null id, have no windows; repeated
 items count once. Rows that repeat a doc_id and text get the same result, rows
-with another text their own; a null doc_id is treated like any other. Empty
+with another text their own; a null doc_id is treated like any other. Ties among the
+rarest shingles go to the first in the window. Very long texts are read as a whole; a
+row is made for each of their known shingles alone. Empty
 tables: no documents give an empty result, no items give no hits. Extra columns
 are not read.
 """

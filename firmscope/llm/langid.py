@@ -12,7 +12,8 @@ size does not depend on the corpus: languages x ``size`` n-grams.
 
 Rows: a text that is null or has no letter is ``und`` with score 0; so is
 every text if nothing could be learned. Rows without language teach nothing.
-Repeated rows: one output row each. Extra columns are not read.
+Very long texts are counted a piece at a time. Ties: n-grams of a count are in
+the order of their codes, languages of a distance in that of their names. Repeated rows: one output row each. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -39,6 +40,8 @@ PIECE = 1 << 20
 UNKNOWN = "und"
 
 _BITS = np.uint64(21)
+#: What stands for a blank in an n-gram; no letter.
+_BLANK = np.uint64(1)
 
 
 @cache
@@ -56,10 +59,13 @@ def _grams(text: str) -> np.ndarray:
     points = points[(points != 0) | np.concatenate([[True], points[:-1] != 0])].astype(np.uint64)
     if len(points) < 3:
         return np.empty(0, np.uint64)
+    letter = points[points != 0]
+    # a blank is a character of its own, or a word's end would be the same as the n-gram without it
+    points = np.where(points == 0, _BLANK, points)
     a, b, c = points[:-2], points[1:-1], points[2:]
-    two, letter = a | b << _BITS, points[points != 0]
+    two = a | b << _BITS
     # an n-gram has at least one letter and no blank inside
-    return np.concatenate([letter, two, points[-2:-1] | points[-1:] << _BITS, (two | c << _BITS << _BITS)[b != 0]])
+    return np.concatenate([letter, two, points[-2:-1] | points[-1:] << _BITS, (two | c << _BITS << _BITS)[b != _BLANK]])
 
 
 def gram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:

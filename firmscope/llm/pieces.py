@@ -8,7 +8,8 @@ position. The table lives in the task; it is emptied when it holds
 ``table_entries`` chunks, which changes speed only.
 
 Rows: a null text is the empty text (no ids, empty decoding). Empty table:
-empty result. Repeated rows: one output row each. Extra columns are not read;
+empty result. Very long texts: their ids are held by the task that has the row.
+There are no ties. Repeated rows: one output row each. Extra columns are not read;
 the result has the id column, ``ids`` and ``decoded``.
 """
 

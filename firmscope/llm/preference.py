@@ -7,8 +7,9 @@ completion, with the spans that are trained on: the text and end mark of
 assistant turns, in code points, end exclusive.
 
 Both sides meet in one shuffle by pair; a conversation is the unit that one
-task holds. Rows: turns go by number, then role, then text (nulls first);
-repeated rows count once; a null text is empty, a null role is ``unknown``. A
+task holds, each turn once, however often its row is repeated: repeats go before the
+shuffle. Very long texts are held with their conversation. Rows: turns go by
+number, and ties by role, then text (nulls first); repeated rows count once; a null text is empty, a null role is ``unknown``. A
 side without rows is an empty conversation. Pairs without id are left out.
 Empty tables give an empty result. Extra columns are not read. Texts cannot
 forge marks: ``<|`` in them becomes ``< |``.
@@ -62,7 +63,7 @@ def format_pairs(chosen: DataFrame, rejected: DataFrame, pair_col: str = "pair_i
         return df.where(F.col(pair_col).isNotNull()).select(F.col(pair_col).alias("pair"), F.lit(n).alias("side"), F.struct("turn", F.coalesce("role", F.lit("unknown")).alias("role"), text.alias("text")).alias("t"))
 
     def turns(n: int) -> Column:
-        return F.array_distinct(F.array_sort(F.collect_list(F.when(F.col("side") == n, F.col("t")))))
+        return F.array_sort(F.array_distinct(F.collect_set(F.when(F.col("side") == n, F.col("t")))))
 
     both = side(chosen, 0).unionByName(side(rejected, 1)).groupBy("pair").agg(turns(0).alias("a"), turns(1).alias("b"))
     both = both.withColumn("k", common_turns(F.col("a"), F.col("b")))

@@ -15,8 +15,10 @@ with the corpus. Scoring reads every whole text.
 
 Rows: a null or empty text has no indicators and gets the score of the
 intercept. Null labels teach nothing; without labels of both classes every
-score is the share of good labels (0.5 if there are none). Repeated rows: one
-output row each. Extra columns are not read.
+score is the share of good labels (0.5 if there are none). Very long texts
+are turned into tokens a piece at a time. Ties: sampled rows of one hash are in the
+order of what they hold. Repeated rows: one output row each. Empty tables give
+an empty result. Extra columns are not read.
 """
 
 from __future__ import annotations
