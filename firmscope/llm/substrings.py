@@ -4,7 +4,7 @@ Every byte goes that is covered by a string of ``LENGTH`` bytes which also
 starts in a document of smaller id. The work is dealt so that no suffix list
 of the corpus is ever held or sent whole:
 
-* Documents are dealt into shards by a hash of their id. A string's anchor is
+* Documents are dealt into shards by a hash of their id and text. A string's anchor is
   the 16-byte gram of the string with the smallest hash, so equal strings have
   equal anchors. A shard sends its sorted distinct anchors, cut at the range
   borders by binary search; a range of anchors finds those of two documents or
@@ -20,8 +20,9 @@ of the corpus is ever held or sent whole:
 The shuffled documents are one exchange that three steps read.
 
 Rows: a null or empty text has no bytes, nothing is removed. Rows that repeat a
-doc_id are the same document: they never remove each other's bytes. A null
-doc_id takes no part: nothing is removed from it or for it. Empty table: empty
+doc_id are the same document: they never remove each other's bytes (ties of
+ids). A null doc_id takes no part and is not dealt: nothing is removed from it
+or for it. A very long text is in one shard. Empty table: empty
 result. Extra columns are not read.
 """
 
@@ -360,7 +361,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-total // SHARD_BYTES))
     bits = (shards - 1).bit_length()  # as many ranges as shards, so neither grows with the text
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)))
+    # rows are compared by id wherever they are, so an id of many rows is dealt by their texts too
+    dealt = rows.where("id is not null").withColumn("shard", F.pmod(F.xxhash64("id", "text"), F.lit(shards)))
     by_shard = dealt.groupBy("shard")
 
     def anchors(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
@@ -377,4 +379,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     strings = by_shard.cogroup(shared.groupBy("key")).applyInArrow(contexts, _MESSAGE)
     answers = strings.groupBy("key").applyInArrow(lambda t: _messages(answer(t, 1 << bits)), _MESSAGE)
     out = by_shard.cogroup(answers.groupBy("key")).applyInArrow(cut_out, "id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
-    return out.withColumnRenamed("id", id_col)
+    # rows without id take no part
+    span = "array<struct<start:long,end:long>>"
+    text = F.coalesce("text", F.lit(b""))
+    unnamed = rows.where("id is null").select("id", F.octet_length(text).cast("long").alias("n_bytes"), F.array().cast(span).alias("spans"), text.alias("kept"))
+    return out.unionByName(unnamed).withColumnRenamed("id", id_col)
