@@ -10,7 +10,8 @@ probabilities by a logistic curve fitted on labelled rows kept apart from the
 fit.
 
 The fit uses at most about ``rows`` labelled rows (a documented bound; rows
-are picked by a hash of their id), so the sample and the weights do not grow
+are picked by a hash of their id, and the indicators of a very long one by a
+hash from the whole of it), so the sample and the weights do not grow
 with the corpus. Scoring reads every whole text.
 
 Rows: a null or empty text has no indicators and gets the score of the
@@ -39,6 +40,8 @@ TOKENS = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 FIT_ROWS = 8000
 #: Hashed indicators.
 BITS = 18
+#: Indicators of a fit row at most; a longer text teaches by those of the smallest hashes. With FIT_ROWS this bounds what the driver holds.
+ROW_INDICATORS = 8192
 #: Every so many fit rows, one is kept for the logistic curve.
 CALIBRATION_EVERY = 4
 #: Characters turned into tokens at a time.
@@ -69,6 +72,14 @@ def _slots(hashes: np.ndarray) -> np.ndarray:
     return ((hashes * _SALT) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
+def teaching(slots: np.ndarray) -> np.ndarray:
+    """All indicators, or ``ROW_INDICATORS`` of them from the whole of a very long text."""
+    if len(slots) <= ROW_INDICATORS:
+        return slots
+    order = slots.astype(np.uint64) * _SALT
+    return np.sort(slots[np.argpartition(order ^ (order >> np.uint64(29)), ROW_INDICATORS)[:ROW_INDICATORS]])
+
+
 @dataclass(frozen=True)
 class Model:
     """score = logistic(slope * margin + shift); margin = weights over the scaled row + intercept."""
@@ -173,7 +184,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            slots = [indicators(t.as_py()).astype(np.int32) for t in batch.column(2)]
+            slots = [teaching(indicators(t.as_py())).astype(np.int32) for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(slots, pa.list_(pa.int32()))], names=["at", "label", "slots"])
 
     sample = picked.mapInArrow(reduce, "at long, label int, slots array<int>").toArrow().combine_chunks()
@@ -196,3 +207,14 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     schema = T.StructType([T.StructField("key", rows.schema["key"].dataType), T.StructField("score", T.DoubleType())])
     return rows.mapInArrow(run, schema).withColumnsRenamed({"key": id_col, "score": column})
+
+
+def accepted(docs: DataFrame, model: Model, least: float, text_col: str = "text") -> DataFrame:
+    """The rows scored at least ``least``, all columns; each text goes to Python once."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([model.score(t.as_py()) >= least for t in batch.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
