@@ -27,9 +27,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored at least ``ACCEPT``. The fit uses the labelled rows that are not held out."""
     model = quality.fit(docs, table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id"))))
-    keyed = docs.select(F.struct(*[F.col(c) for c in COLUMNS]).alias("row"), F.col("text"))
-    kept = quality.score(keyed, model, id_col="row", column="quality_score").where(F.col("quality_score") >= ACCEPT)
-    return kept.select("row.*")
+    return quality.accepted(docs.select(*COLUMNS), model, ACCEPT)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
