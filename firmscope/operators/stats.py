@@ -184,8 +184,8 @@ def quantiles(
         return out
     rest = df.groupBy(*g).agg(*aggs)
     rest_names = [c for c in rest.columns if c not in g]
-    if not g:
-        return out.join(F.broadcast(rest))  # one row each
+    if not g:  # one row each
+        return out.unionByName(rest, allowMissingColumns=True).agg(*[F.first(c, ignorenulls=True).alias(c) for c in [*out.columns, *rest_names]])
     return out.alias("q").join(rest.alias("r"), _same("q", "r", g)).select("q.*", *[f"r.{c}" for c in rest_names])
 
 

@@ -74,7 +74,8 @@ def test_quantiles_match_pandas(spark, sort_rows):
         want = pdf.groupby("g", dropna=False)[["v", "w"]].quantile(p).sort_index()
         np.testing.assert_allclose(got[["qv", "qw"]].to_numpy(), want.to_numpy(), rtol=1e-12)
         assert got.n.tolist() == pdf.groupby("g", dropna=False).v.count().sort_index().tolist()
-    row = ST.quantiles(df, ["v"], (), [0.25, 0.5], ["a", "b"], sort_rows=sort_rows).first()
+    row = ST.quantiles(df, ["v"], (), [0.25, 0.5], ["a", "b"], aggs=[F.count("v").alias("n")], sort_rows=sort_rows).first()
+    assert row.n == pdf.v.count()
     np.testing.assert_allclose([row.a, row.b], pdf.v.quantile([0.25, 0.5]).to_numpy(), rtol=1e-12)
     empty = ST.quantiles(df.filter("false"), ["v"], (), 0.5, ["a"]).collect()
     assert [r.a for r in empty] == [None]
