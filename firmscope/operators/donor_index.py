@@ -2,7 +2,8 @@
 table in sorted blocks, with a tree of block bounds above them.
 
 * ``blocks``: a row for each ``BLOCK`` donor values of a (target, ordinal), in order: the
-  values, and for each the k smallest donor ids with their targets.
+  values, and for each the k smallest donor ids with their targets; a folder
+  for each ``PART_BLOCKS`` of them.
 * ``nodes``: level by level, the least value of each block (or node) below; a
   node has at most ``BLOCK`` of them.
 * ``extras``: for each (target, ordinal) the k smallest ids of all donors and
@@ -10,8 +11,9 @@ table in sorted blocks, with a tree of block bounds above them.
 
 New keys go down the tree by one equi-join a level (the number of levels is
 log base ``BLOCK`` of the values) and then read their own block and, at its edges, a
-neighbour. Nothing of the stored table is sorted, ranked or scanned as a whole for a lookup but
-what the joins read, and only distinct keys are looked up.
+neighbour, from the folders that hold them: the folders' numbers are known before
+the blocks are read, and the others are pruned. Nothing of the stored table is
+sorted or ranked for a lookup, and only distinct keys are looked up.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ from firmscope.session import cut_lineage
 
 #: Values of a block, and children of a node.
 BLOCK = 512
+#: Blocks of a folder (about 200 MB); folders up to which a lookup names those it reads.
+PART_BLOCKS, NAMED_PARTS = 4096, 5_000
 #: Nodes of a level (4 kB each) up to which it is broadcast.
 BROADCAST_NODES = 5_000
 
@@ -34,7 +38,7 @@ TABLES = ("blocks", "nodes", "extras")
 
 @dataclass
 class DonorIndex:
-    blocks: DataFrame  # tgt, g, block, keys, donors
+    blocks: DataFrame  # tgt, g, block, keys, donors, part
     nodes: DataFrame  # tgt, g, level, node, los
     extras: DataFrame  # tgt, g, lacking, donors
     depth: int
@@ -44,7 +48,9 @@ def build(ranked: DataFrame, extras: DataFrame) -> DonorIndex:
     """From donor values (tgt, g, vrank, key, donors), ranked from 1 within (tgt, g)."""
     at = F.floor((F.col("vrank") - 1) / BLOCK).cast("long")
     held = ranked.groupBy("tgt", "g", at.alias("block")).agg(F.array_sort(F.collect_list(F.struct("key", "vrank", "donors"))).alias("v"))
-    blocks = cut_lineage(held.select("tgt", "g", "block", F.col("v.key").alias("keys"), F.col("v.donors").alias("donors")), "donor-blocks")
+    rows = held.select("tgt", "g", "block", F.col("v.key").alias("keys"), F.col("v.donors").alias("donors"), part_of(F.col("block")).alias("part"))
+    # each folder is written by few tasks
+    blocks = cut_lineage(rows.repartition("part", "tgt", "g"), "donor-blocks", partition_by="part")
     last = blocks.agg(F.max("block")).first()[0] or 0
     below = blocks.select("tgt", "g", F.col("block").alias("node"), F.get("keys", F.lit(0)).alias("lo"))
     nodes, depth = None, 0
@@ -59,6 +65,17 @@ def build(ranked: DataFrame, extras: DataFrame) -> DonorIndex:
     return DonorIndex(blocks, nodes, extras, depth)
 
 
+def part_of(block):
+    return F.floor(block / PART_BLOCKS).cast("long")
+
+
+def _named_parts(index: DonorIndex, here: DataFrame) -> DataFrame:
+    """The blocks in the folders of the keys' blocks and of the next ones."""
+    near = F.explode(F.array(*[part_of(F.greatest(F.col("block") + d, F.lit(0))) for d in (-1, 0, 1)]))
+    parts = [r["p"] for r in here.select(near.alias("p")).distinct().limit(NAMED_PARTS + 1).collect()]
+    return index.blocks if len(parts) > NAMED_PARTS else index.blocks.filter(F.col("part").isin(parts))
+
+
 def _upto(values, key):
     """How many of an ordered array are not greater."""
     return F.size(F.filter(values, lambda v: v <= key))
@@ -71,7 +88,8 @@ def near_values(index: DonorIndex, asked: DataFrame, k: int) -> DataFrame:
     for level in range(index.depth, 0, -1):
         nodes = bounded_broadcast(index.nodes.filter(F.col("level") == level).select("tgt", "g", F.col("node").alias("block"), "los"), BROADCAST_NODES)
         here = here.join(nodes, ["tgt", "g", "block"]).withColumn("block", F.col("block") * BLOCK + F.greatest(_upto(F.col("los"), F.col("rkey")) - 1, F.lit(0))).drop("los")
-    blocks = index.blocks.select("tgt", "g", "block", F.arrays_zip("keys", "donors").alias("v"))
+    here = cut_lineage(here, "donor-places")  # read for the folders, then for the blocks
+    blocks = _named_parts(index, here).select("tgt", "g", "block", F.arrays_zip("keys", "donors").alias("v"))
     own = here.join(blocks, ["tgt", "g", "block"]).withColumn("at", _upto(F.col("v.keys"), F.col("rkey")))
     # the k values up to the key and the k after it, as far as the block goes
     around = F.slice("v", F.greatest(F.col("at") - (k - 1), F.lit(1)), F.lit(2 * k))

@@ -27,7 +27,8 @@ def save_models(models, path: str) -> None:
     if index is not None:
         params["donor_depth"] = index.depth
         for name in TABLES:
-            getattr(index, name).write.mode("overwrite").parquet(f"{path}/donor_{name}")
+            writer = getattr(index, name).write.mode("overwrite")
+            (writer.partitionBy("part") if name == "blocks" else writer).parquet(f"{path}/donor_{name}")
     spark.createDataFrame([(json.dumps(params),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/params")
     for name in ("industry", "cluster_names"):
         table = getattr(models, name)

@@ -293,6 +293,7 @@ def test_donor_index_answers_equal_brute_force(spark, monkeypatch, block):
     from firmscope.operators import donor_index as D
 
     monkeypatch.setattr(D, "BLOCK", block)
+    monkeypatch.setattr(D, "PART_BLOCKS", 8 if block == 4 else 4096)
     rng = np.random.default_rng(11)
     n, groups = 900, [1.0, 2.0, 3.0]
     a, b = np.round(rng.normal(10, 3, n), 1), np.round(rng.normal(5, 2, n), 1)
@@ -315,6 +316,12 @@ def test_donor_index_answers_equal_brute_force(spark, monkeypatch, block):
     got = sorted(tuple(r) for r in out.fillna(-1e9).collect())
     # the stored table is looked up, never put in order: one window, over the candidates
     assert [p.count("Window [") for name, p in windows if name == "knn-answers"] == [1] and "Window" not in out._jdf.queryExecution().executedPlan().toString()
+    # one new key reads the folders around its block alone
+    if block == 4:
+        one = spark.createDataFrame([("a", 1.0, 0.0, 1.0, 0.1)], "tgt string, g double, rzo double, rg double, rkey double")
+        plan = D.near_values(index, one, 5)._jdf.queryExecution().executedPlan().toString()
+        filters = [x.split("]")[0] for x in plan.split("PartitionFilters: [")[1:]]
+        assert any("part#" in x and (" IN " in x or " = " in x) for x in filters), filters
     (ma, sa), (mb, sb), (mo, so) = scaler["a"], scaler["b"], scaler["o"]
 
     def imputed(row, col):
