@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 #: Set around matches; a text's own marks are changed to a neighbour first, which no pattern here tells apart.
 _MARK, _OTHER = "\uE000", "\uE001"
-_BLOCK = 64
+_BLOCK = 128
 #: Code points of a block of text.
 _TEXT_BLOCK = 256
 
@@ -40,7 +40,7 @@ def most(a: Column, b: Column) -> Column:
     return F.greatest(a, b)
 
 
-def before_each(values: Column, op: Callable[[Column, Column], Column], levels: int = 2) -> Column:
+def before_each(values: Column, op: Callable[[Column, Column], Column], levels: int = 1) -> Column:
     """``op`` (a sum, a maximum) over 0 and all ints before each place."""
     over = lambda c: F.aggregate(c, F.lit(0), op)
 
