@@ -36,6 +36,8 @@ SHINGLE = 3
 BROADCAST_ROWS = 1_000_000
 #: What is no part of a word, after lower-casing A-Z.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same before lower-casing.
+SEPARATORS_OF_ANY_CASE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def words(text: Column) -> Column:
@@ -44,6 +46,12 @@ def words(text: Column) -> Column:
     return F.when(plain == "", F.array().cast("array<string>")).otherwise(F.split(plain, " "))
 
 
+def word_count(text: Column) -> Column:
+    """Number of words, without making them: the blanks that separate them, and one."""
+    plain = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), SEPARATORS_OF_ANY_CASE, " "))
+    return F.when(plain == "", 0).otherwise(F.octet_length(plain) - F.octet_length(F.replace(plain, F.lit(" "), F.lit(""))) + 1).cast("long")
+
+
 def item_windows(items: DataFrame, item_col: str, text_col: str, size: int) -> DataFrame:
     """(item, window, w): each window's words, and its text as a key."""
     w = items.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("string").alias("item"), words(F.col(text_col)).alias("all")).where(F.size("all") > 0)
@@ -84,7 +92,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     for q, n in sorted(counts.items()):
         part = shingle_hits(text, known.where(F.col("q") == q), q, n <= BROADCAST_ROWS)
         hits = part if hits is None else hits.unionByName(part)
-    n_words = text.select("doc", "text_hash", F.size("w").cast("long").alias("n_words"))
+    n_words = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text_col).alias("text_hash"), word_count(F.col(text_col)).alias("n_words"))
     if hits is None:
         out = n_words.select("doc", "n_words", F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), F.array().cast("array<string>").alias("items"))
     else:

@@ -34,5 +34,5 @@ def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
 
 
 def ascii_lower(c: Column) -> Column:
-    """Lower case for A-Z alone."""
-    return F.translate(c, string.ascii_uppercase, string.ascii_lowercase)
+    """Lower case for A-Z alone. Texts of ASCII alone take the plain function, which is faster."""
+    return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(F.translate(c, string.ascii_uppercase, string.ascii_lowercase))

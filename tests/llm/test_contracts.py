@@ -222,3 +222,25 @@ def test_pipeline_stages_on_odd_and_empty_tables(spark):
             n = out.count()
             assert n <= len(rows) and (rows or n == 0)
     assert DOCS
+
+
+def test_word_counts_and_ascii_lower_case(spark):
+    from firmscope.llm import decontaminate
+    from firmscope.llm.shared import ascii_lower
+
+    texts = [None, "", " -- ", "A", "a B9 c", "É x", "Straße-İK \x00 Ünï_c0de", "ONE two\nTHREE" * 50, "漢 😀 A"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    lower = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t)
+    for i, low, n, made in df.select("i", ascii_lower(F.col("t")), decontaminate.word_count(F.col("t")), F.size(decontaminate.words(F.col("t")))).collect():
+        t = texts[i]
+        assert low == (None if t is None else lower(t))
+        assert n == made == len(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t or "")))
+
+
+def test_long_text_teaches_by_a_bounded_part_of_the_whole():
+    slots = np.arange(100_000)
+    own = quality.teaching(slots)
+    assert len(own) == quality.ROW_INDICATORS and len(set(own.tolist())) == len(own) and (np.diff(own) > 0).all()
+    # from all over, and the same ones each time
+    assert np.histogram(own, 10, (0, 100_000))[0].min() > quality.ROW_INDICATORS / 20 and (own == quality.teaching(slots)).all()
+    assert (quality.teaching(slots[:50]) == slots[:50]).all()
