@@ -4,9 +4,9 @@ and a positional index of rare licence words.
 The templates are openings and notices of known licences. Their words are
 counted over all documents, and the words of highest inverse document
 frequency of each template enter a positional index (word, template, place). A
-file's index words are looked up; each gives the place where the template
-would begin. Where two or more agree, the template is a candidate, and it is
-reported if all its mandatory key phrases stand in the file near the places
+file's index words (two different ones at least) are looked up; each gives the
+place where the template would begin. Where two or more agree, the template is
+a candidate, and it is reported if all its mandatory key phrases stand in the file near the places
 they have in the template. The index is a fixed number of rows, whatever the
 corpus; documents are read twice and never shuffled.
 

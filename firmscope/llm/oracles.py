@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from firmscope.llm import licences as L
+
 ORACLE: dict[str, str] = {}
 
 ORACLE["op8_topk"] = """
@@ -132,3 +134,94 @@ y AS (
 SELECT part, filter_order, CAST(step AS INTEGER) AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
   CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley FROM y
 """
+
+
+def _licence_sql() -> str:
+    """The licence scan by joins: index words by document counts, agreeing places, key phrases, shares."""
+    def text(x: str) -> str:
+        return f"'{x}'"
+
+    templates = ", ".join(f"({i}, {text(t.label)}, {text(t.text)})" for i, t in enumerate(L.TEMPLATES))
+    keys = ", ".join(f"({i}, {len(t.text[: f' {t.text} '.index(f' {k} ')].split())}, {text(k)})" for i, t in enumerate(L.TEMPLATES) for k in t.keys)
+    phrases = ", ".join(f"({text(p)}, {text(label)})" for p, label in L.PHRASES.items())
+    return f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+p AS MATERIALIZED (SELECT r, unnest(range(len(w))) AS i, unnest(w) AS word FROM d),
+t AS (SELECT t, label, string_split(body, ' ') AS w FROM (VALUES {templates}) x(t, label, body)),
+tp AS MATERIALIZED (SELECT t, unnest(range(len(w))) AS q, unnest(w) AS word FROM t),
+held AS (SELECT word, count(DISTINCT r) AS n FROM p WHERE word IN (SELECT word FROM tp) GROUP BY word),
+rare AS (
+  SELECT t, word FROM (SELECT DISTINCT t, word, coalesce(n, 0) AS n FROM tp LEFT JOIN held USING (word))
+  QUALIFY row_number() OVER (PARTITION BY t ORDER BY n, word) <= greatest({L.INDEX_LEAST}, ceil({L.INDEX_SHARE} * count(*) OVER (PARTITION BY t)))),
+idx AS MATERIALIZED (SELECT tp.t, q, word FROM tp JOIN rare USING (t, word)),
+two AS (SELECT r FROM p WHERE word IN (SELECT word FROM idx) GROUP BY r HAVING count(DISTINCT word) >= 2),
+v AS (SELECT r, t, i - q AS pos FROM p JOIN idx USING (word) JOIN two USING (r) GROUP BY r, t, i - q HAVING count(*) >= 2),
+k AS (SELECT t, q, string_split(body, ' ') AS ph FROM (VALUES {keys}) x(t, q, body)),
+ok AS (
+  SELECT r, t, pos FROM v JOIN d USING (r) JOIN k USING (t)
+  GROUP BY r, t, pos HAVING bool_and(list_contains(list_transform(range({-L.DRIFT}, {L.DRIFT} + 1), lambda s: pos + q + s >= 0 AND w[pos + q + s + 1:pos + q + s + len(ph)] = ph), true))),
+own AS (
+  SELECT r, t, pos, avg(CASE WHEN pos + q >= 0 AND d.w[pos + q + 1] = tp.word THEN 1.0 ELSE 0.0 END) AS share FROM ok JOIN d USING (r) JOIN tp USING (t) GROUP BY r, t, pos),
+f AS (SELECT r, list(DISTINCT label) AS labels, max(share) AS share FROM own JOIN t USING (t) GROUP BY r),
+b AS (
+  SELECT r, i, label FROM (SELECT string_split(body, ' ') AS ph, label FROM (VALUES {phrases}) x(body, label)) n JOIN p ON p.word = n.ph[1] JOIN d USING (r)
+  WHERE d.w[i + 1:i + len(ph)] = ph),
+g AS (SELECT r, count(*) AS n, min(i) AS lo, max(i) AS hi, list(DISTINCT label) AS labels FROM b GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_base, CAST(lo AS BIGINT) AS first_word, CAST(hi AS BIGINT) AS last_word,
+  array_to_string(list_sort(coalesce(g.labels, [])), ',') AS base_labels, array_to_string(list_sort(list_distinct(list_concat(coalesce(g.labels, []), coalesce(f.labels, [])))), ',') AS labels,
+  greatest(coalesce(share, 0.0), CASE WHEN n > 0 THEN {L.NAMED} ELSE 0.0 END) AS score
+FROM d LEFT JOIN f USING (r) LEFT JOIN g USING (r)
+"""
+
+
+ORACLE["op12_licences"] = _licence_sql()
+
+#: Bytes as pairs of hexadecimal digits; every 50-byte string with the smallest document it starts in.
+ORACLE["op9_suffix"] = """
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+s AS MATERIALIZED (SELECT r, doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM (SELECT r, doc_id, h, unnest(range(0, len(h) // 2 - 49)) AS i FROM d WHERE doc_id IS NOT NULL AND len(h) >= 100)),
+f AS (SELECT s, min(doc_id) AS lowest FROM s GROUP BY s HAVING min(doc_id) < max(doc_id)),
+g AS (SELECT s.r, s.i FROM s JOIN f ON f.s = s.s WHERE f.lowest < s.doc_id),
+e AS (SELECT r, i, i > coalesce(lag(i) OVER (PARTITION BY r ORDER BY i), -1000) + 50 AS opens FROM g),
+n AS (SELECT r, i, sum(CAST(opens AS INTEGER)) OVER (PARTITION BY r ORDER BY i) AS run FROM e),
+u AS (SELECT r, run, min(i) AS a, max(i) + 50 AS z FROM n GROUP BY r, run),
+k AS (SELECT r, a, z, coalesce(lag(z) OVER (PARTITION BY r ORDER BY a), 0) AS b FROM u),
+x AS (
+  SELECT k.r, count(*) AS n_spans, sum(z - a) AS n_removed, string_agg(substr(h, 2 * b + 1, 2 * (a - b)), '' ORDER BY a) || substr(any_value(h), 2 * max(z) + 1) AS kept
+  FROM k JOIN d ON d.r = k.r GROUP BY k.r)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN x ON x.r = d.r
+"""
+
+#: Counts of n-grams by language and by document, ranks, and sums of their differences; every row teaches
+#: that is not held out, as the sample does while a language has no more rows than it takes.
+ORACLE["op6_langid"] = r"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, lang, text, %HELD% AS held_out FROM documents),
+w AS (SELECT r, unnest(regexp_extract_all(lower(text), '\p{L}+')) AS word FROM d),
+c AS MATERIALIZED (SELECT r, word, count(*) AS n FROM w GROUP BY r, word),
+g AS MATERIALIZED (
+  SELECT r, gram, sum(n) AS n FROM (
+    SELECT r, n, unnest(list_concat(
+      list_transform(range(1, len(word) + 1), lambda i: word[i:i]),
+      list_transform(range(1, len(word) + 2), lambda i: (' ' || word || ' ')[i:i + 1]),
+      list_transform(range(1, len(word) + 1), lambda i: (' ' || word || ' ')[i:i + 2]))) AS gram FROM c) GROUP BY r, gram),
+o AS (SELECT gram, coalesce(unicode(nullif(gram[3:3], '')), 0) AS x, coalesce(unicode(nullif(gram[2:2], '')), 0) AS y, unicode(gram[1:1]) AS z FROM (SELECT DISTINCT gram FROM g)),
+e AS MATERIALIZED (SELECT gram, CASE WHEN x = 32 THEN 1 ELSE x END AS x, CASE WHEN y = 32 THEN 1 ELSE y END AS y, CASE WHEN z = 32 THEN 1 ELSE z END AS z FROM o),
+p AS MATERIALIZED (
+  SELECT lang, gram, row_number() OVER (PARTITION BY lang ORDER BY n DESC, x, y, z) - 1 AS place FROM (
+    SELECT lang, gram, sum(n) AS n FROM g JOIN d USING (r) WHERE lang IS NOT NULL AND NOT held_out GROUP BY lang, gram) JOIN e USING (gram) QUALIFY place < 300),
+t AS MATERIALIZED (SELECT r, gram, row_number() OVER (PARTITION BY r ORDER BY n DESC, x, y, z) - 1 AS place FROM g JOIN e USING (gram) QUALIFY place < 300),
+l AS (SELECT DISTINCT lang FROM p),
+a AS (
+  SELECT t.r, l.lang, sum(coalesce(abs(p.place - t.place), 300)) AS away, count(*) AS own FROM t CROSS JOIN l LEFT JOIN p ON p.lang = l.lang AND p.gram = t.gram GROUP BY t.r, l.lang),
+b AS (SELECT r, arg_min(lang, {a: away, l: lang}) AS lang, min(away) AS away, any_value(own) AS own FROM a GROUP BY r)
+SELECT d.doc_id, d.held_out, coalesce(b.lang, 'und') AS lang_pred, coalesce(1.0 - CAST(b.away AS DOUBLE) / (300 * b.own), 0.0) AS score FROM d LEFT JOIN b ON b.r = d.r
+"""
+
+#: crc32 of the id's digits, bit by bit, leaves the remainder of held-out rows.
+_HELD_OUT = (
+    "xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ord(c) AS BIGINT))), "
+    "lambda crc, b: list_reduce(list_concat([xor(crc, b)], CAST([0, 0, 0, 0, 0, 0, 0, 0] AS BIGINT[])), lambda v, z: xor(v >> 1, (v & 1) * 3988292384))), 4294967295) % 4 = 2"
+)
+ORACLE["op6_langid"] = ORACLE["op6_langid"].replace("%HELD%", _HELD_OUT)

@@ -259,7 +259,7 @@ def test_intervals_cover_every_order_once():
         assert step_of == {r: 1 + next(s for s, f in enumerate(o) if mask >> f & 1) for r, o in enumerate(orders)}
 
 
-@pytest.mark.parametrize("name", ["op11_search", "op13_interaction"])
+@pytest.mark.parametrize("name", ["op11_search", "op12_licences", "op13_interaction"])
 def test_queries_equal_their_sql(spark, name):
     from oracle_harness import compare
 

@@ -400,7 +400,7 @@ def test_pipeline_keeps_what_quality_and_decontamination_keep(spark):
     assert 0 < len(want) < len(texts) and kept(C.drop_contaminated(spark, docs, sf)) == want
 
 
-@pytest.mark.parametrize("name", ["op3_preference", "op4_decontaminate", "op5_minhash", "op8_topk"])
+@pytest.mark.parametrize("name", ["op3_preference", "op4_decontaminate", "op5_minhash", "op6_langid", "op8_topk", "op9_suffix"])
 def test_queries_equal_their_sql(spark, name):
     from oracle_harness import compare
 
