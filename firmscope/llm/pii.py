@@ -5,24 +5,25 @@ Spans of the fixed formats (email, ip, card, phone) always count. Two
 high-recall generators propose further, overlapping spans: addresses written
 with "at" and "dot", and runs of digit groups. Boosted trees look at a span's
 format (digits, groups, separators, Luhn, lengths) and context (neighbouring
-characters, cue words before it). They are fitted on at most about
-``SAMPLE_ROWS`` documents (a documented bound; picked by a hash of the id).
-Positives are the fixed spans of the sample, rewritten in place into forms that
+characters, cue words before it). They are fitted on all documents, whose
+proposals are counted by features and label first, so the rounds of boosting
+read weighted different ones.
+Positives are the fixed spans of the documents, rewritten in place into forms that
 the fixed formats miss (addresses with "at" and "dot", phones without plus,
 other separators); negatives are the other proposals there, and ordinary
 numbers (runs, dates, sums, ranges) and mentions with "@" that are put into the
 same texts. Proposals that overlap a fixed format neither teach nor count. The
-threshold of each generator is calibrated on a fold of the sample that the
+threshold of each generator is calibrated on a fold of the documents that the
 trees have not seen: the lowest score from which ``PRECISION`` of what is
 selected is positive.
 
 The trees become one expression, so texts are scanned in one pass without a
-shuffle.
+shuffle, after the pass that learns.
 
 Rows: a null or empty text has no spans. Very long texts, also those full of
 spans, take time that grows with their length. Ties: spans are in the order of their
-kinds, then places. Repeated rows: one output row each. Empty tables: an empty result. A sample without fixed spans, or with proposals
-of one class only, selects nothing beyond the fixed formats. Extra columns are not read.
+kinds, then places. Repeated rows: one output row each. Empty tables: an empty result. Documents without fixed spans, or with proposals
+of one class only, select nothing beyond the fixed formats. Extra columns are not read.
 """
 
 from __future__ import annotations
@@ -50,8 +51,7 @@ GENERATORS = {"email_like": EMAIL_LIKE, "number_like": NUMBER_LIKE}
 CUES = r"(?i)(?:phone|call|tel|fax|mobile|mail|contact|card|visa|account|address|server|host|ssn)"
 #: Code points of context on each side.
 CONTEXT = 24
-SAMPLE_ROWS = 4000
-#: Rewritten copies of a sampled text that has fixed spans.
+#: Rewritten copies of a text that has fixed spans.
 COPIES = 4
 PRECISION = 0.95
 TREES, DEPTH, FOLDS = 12, 3, 4
@@ -197,45 +197,46 @@ def ordinary_number(seed: Column) -> Column:
     ], seed)
 
 
-def labelled_proposals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE_ROWS) -> DataFrame:
-    """(fold, kind, x, label) of the sample's proposals that overlap no fixed
-    format; 1 for those that overlap a rewritten span."""
-    n = docs.count()
+def labelled_proposals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(fold, kind, x, label) of the proposals of all documents that overlap no
+    fixed format; 1 for those that overlap a rewritten span."""
     at = F.xxhash64(id_col)
-    picked = docs.where(F.pmod(at, F.lit(1 << 20)) < float(1 << 20) * rows / max(n, 1)).select(F.pmod(F.xxhash64(at), F.lit(FOLDS)).alias("fold"), at.alias("at"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    spans = F.filter(fixed_spans(F.col("text")), lambda s: s["kind"] != KINDS.index("ip"))
-    # of overlapping ones the first; the sample's spans are few
+    every = docs.select(F.pmod(F.xxhash64(at), F.lit(FOLDS)).alias("fold"), at.alias("at"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    every = every.withColumn("given", fixed_spans(F.col("text")))
+    spans = F.filter("given", lambda s: s["kind"] != KINDS.index("ip"))
+    # of overlapping ones the first
     spans = let(F.array_sort(F.transform(spans, lambda s: F.struct(s["start"], s["kind"], s["end"]))), lambda a: let(
         before_each(F.transform(a, lambda s: s["end"]), most), lambda reach: F.filter(a, lambda s, i: s["start"] >= F.get(reach, i))))
-    copies = picked.withColumn("found", spans).withColumn("copy", F.explode(F.sequence(F.lit(0), F.when(F.size("found") > 0, COPIES - 1).otherwise(0))))
+    copies = every.withColumn("found", spans).withColumn("copy", F.explode(F.sequence(F.lit(0), F.when(F.size("found") > 0, COPIES - 1).otherwise(0))))
     seed = F.xxhash64("at", "copy")
     plain = rewritten(F.col("text"), F.col("found"), lambda s, v: hidden_form(s["kind"], v, F.xxhash64(F.col("at"), s["start"]) + F.col("copy")))
     # after the first three words in a row; never inside a rewritten span, which marks set off
     mixed = F.regexp_replace(F.col("plain"), F.lit(r"(?s)\A(.*?[A-Za-z]) ([A-Za-z]+) ([A-Za-z]+)(.*)\z"), F.concat(_one_of([F.lit("$1 @ $2. $3 "), F.concat(F.lit("$1 @ "), F.format_string("%d.%02d", F.pmod(seed, F.lit(89)), F.pmod(seed, F.lit(97))), F.lit(" $2 $3 "))], F.xxhash64(seed)), ordinary_number(seed), F.lit(" $4")))
-    copies = copies.withColumn("plain", plain).select("fold", F.when(F.size("found") > 0, mixed).otherwise(F.col("plain")).alias("marked"))
-    copies = copies.select("fold", without_marks(F.col("marked")).alias("text"), between_marks(F.col("marked")).alias("hidden"))
-    both = copies.select("fold", "hidden", "text", fixed_spans(F.col("text")).alias("base"))
+    copies = copies.withColumn("plain", plain).select("fold", F.when(F.size("found") == 0, F.col("given")).alias("given"), F.when(F.size("found") > 0, mixed).otherwise(F.col("plain")).alias("marked"))
+    copies = copies.select("fold", "given", without_marks(F.col("marked")).alias("text"), between_marks(F.col("marked")).alias("hidden"))
+    both = copies.select("fold", "hidden", "text", F.coalesce("given", fixed_spans(F.col("text"))).alias("base"))
     both = both.select("fold", "hidden", proposals(F.col("text"), F.col("base")).alias("all"))
     missed = F.concat(*[F.transform(free_of(F.filter("all", lambda s: s["kind"] == KINDS.index(k)), F.col("hidden")), lambda s: F.struct(s["kind"], s["start"])) for k in GENERATORS])  # noqa: B023
     rows = both.select("fold", missed.alias("missed"), F.explode("all").alias("s"))
     return rows.select("fold", "s.kind", "s.x", (~F.array_contains("missed", F.struct("s.kind", "s.start"))).cast("double").alias("label"))
 
 
-def fit(sample: DataFrame, precision: float = PRECISION) -> Model | None:
-    """None unless the sample has both labels in the folds the trees see."""
+def fit(labelled: DataFrame, precision: float = PRECISION) -> Model | None:
+    """None unless both labels are in the folds the trees see."""
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.functions import array_to_vector
 
-    # written, so that the rounds of boosting do not carry the expressions that made the sample
-    rows = written(sample.select("fold", "kind", "x", "label"), "pii-sample").withColumn("features", array_to_vector("x"))
+    # equal proposals are one row of their number; written, so that the rounds of boosting do not carry the expressions that made them
+    counted = labelled.groupBy("fold", "kind", "x", "label").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    rows = written(counted, "pii-proposals").withColumn("features", array_to_vector("x"))
     seen = rows.where("fold != 0").agg(F.count_if(F.col("label") == 1), F.count_if(F.col("label") == 0)).first()
     model = None
     if min(seen) > 0:
-        fitted = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, maxBins=32, seed=11, cacheNodeIds=False).fit(rows.where("fold != 0"))
+        fitted = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, maxBins=32, seed=11, cacheNodeIds=False, weightCol="n").fit(rows.where("fold != 0"))
         model = Model([read_tree(t.toDebugString) for t in fitted.trees], list(fitted.treeWeights), {})
         # positives and all from each hundredth of the score up; at most 101 rows a generator
         score = F.floor(probability(model, F.col("x")) * 100).cast("int")
-        counts = rows.where("fold = 0").groupBy("kind", score.alias("score")).agg(F.count("*").alias("n"), F.sum("label").alias("good")).collect()
+        counts = rows.where("fold = 0").groupBy("kind", score.alias("score")).agg(F.sum("n").alias("n"), F.sum(F.col("label") * F.col("n")).alias("good")).collect()
         for kind in GENERATORS:
             good = n = 0.0
             for r in sorted((r for r in counts if KINDS[r.kind] == kind), key=lambda r: -r.score):

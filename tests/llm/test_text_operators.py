@@ -275,6 +275,14 @@ def test_personal_data_that_the_fixed_formats_miss(spark):
     assert added[0][at.start : at.end] == "jane.roe (at) example (dot) org"
 
 
+def test_personal_data_is_learnt_from_every_document(spark):
+    # each document proposes one number of its own
+    docs = table(spark, [(i, f"the order {10_000_000 + i} of") for i in range(9000)])
+    labelled = pii.labelled_proposals(docs)
+    assert labelled.count() == 9000 and labelled.where("label = 1").count() == 0
+    assert pii.fit(labelled) is None
+
+
 # ------------------------------------------------------------------ classifiers
 def test_quality_on_held_out_rows(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
