@@ -37,6 +37,8 @@ PRIME, HALF = (1 << 31) - 1, 26
 TOLERANCE = 1e-4
 #: Distances held at once by a task.
 CELLS = 2_000_000
+#: Two squared distances nearer than this to each other, in squared lengths, are added up in full: hundreds of times the rounding of a product.
+CLOSE = 1e-12
 
 
 @dataclass(frozen=True)
@@ -105,6 +107,30 @@ def _distances(q: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return out
 
 
+def _nearest(q: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """``_distances(q, centres).argmin(axis=2)``, by products of matrices; only
+    where those cannot tell the two nearest centres apart are the distances added up."""
+    best = second = label = None
+    for c in range(centres.shape[1]):
+        at = centres[:, c, :]
+        d = (at * at).sum(axis=1) - 2.0 * (q @ at.T)
+        if best is None:
+            best, second, label = d, np.full_like(d, np.inf), np.zeros(d.shape, np.int64)
+        else:
+            np.putmask(label, d < best, c)
+            second = np.minimum(second, np.maximum(best, d))
+            best = np.minimum(best, d)
+    size = np.sqrt((q * q).sum(axis=1))[:, None] + np.sqrt((centres * centres).sum(axis=2)).max(axis=1)[None, :]
+    rows, of = np.nonzero(~(second - best > CLOSE * size * size))
+    if len(rows):
+        d = np.zeros((len(rows), centres.shape[1]))
+        for j in range(q.shape[1]):
+            gap = q[rows, j][:, None] - centres[of, :, j]
+            d += gap * gap
+        label[rows, of] = d.argmin(axis=1)
+    return label
+
+
 def _by_k(replicas: list[Replica]) -> list[tuple[int, list[int]]]:
     """Places of the replicas of each number of clusters."""
     return [(k, [i for i, r in enumerate(replicas) if r.k == k]) for k in sorted({r.k for r in replicas})]
@@ -128,7 +154,8 @@ def _next_starts(pts: DataFrame, replicas: list[Replica], chosen: list[np.ndarra
                 usable = np.flatnonzero(speed > 0)
                 if len(usable):
                     key = -np.log(1.0 - _unit(a[usable], b[usable], name)) / speed[usable]
-                    at = usable[np.lexsort((b[usable], a[usable], key))[0]]
+                    first = usable[key == key.min()]
+                    at = first[np.lexsort((b[first], a[first]))[0]]
                     mine = (float(key.min()), int(a[at]), int(b[at]), q[at].astype(np.int64).tolist())
                     best[i] = mine if best[i] is None else min(best[i], mine)
         got = [(i, *x) for i, x in enumerate(best) if x is not None]
@@ -139,26 +166,41 @@ def _next_starts(pts: DataFrame, replicas: list[Replica], chosen: list[np.ndarra
     return {r["r"]: np.array(r["m"]["q"], np.float64) for r in found.groupBy("r").agg(F.min(F.struct("key", "a", "b", "q")).alias("m")).collect()}
 
 
-def _totals(pts: DataFrame, replicas: list[Replica], centres: list[np.ndarray], seed: int) -> dict:
-    """(replica, centre) -> (weight, sums of coordinates, sum of squared distances), of the rows nearest to it."""
+def _totals(pts: DataFrame, replicas: list[Replica], centres: list[np.ndarray], seed: int, costs: bool = True) -> dict:
+    """(replica, centre) -> (weight, sums of coordinates, sum of squared distances), of the rows nearest to it.
+    Without ``costs`` the last is 0. Weights and coordinates are whole numbers, so their sums are exact in any order."""
 
     def run(batches):
         kept: dict = {}
         for a, b, q, _ in _batches(batches, sum(r.k for r in replicas)):
             every = _weights(a, b, replicas, seed)
+            plain, weighed = np.column_stack([np.ones(len(q)), q]), {}
             for k, at in _by_k(replicas):
-                d = _distances(q, np.stack([centres[i] for i in at]))
-                label = d.argmin(axis=2)
-                w = np.ones(label.shape) if every is None else every[:, at]
+                of = np.stack([centres[i] for i in at])
+                label = _nearest(q, of)
                 cell = (np.arange(len(at)) * k + label).ravel()
-                add = lambda x: np.bincount(cell, x.ravel(), len(at) * k)  # noqa: B023, E731
-                rows = [add(w), *[add(w * q[:, j][:, None]) for j in range(q.shape[1])], add(w * d.min(axis=2))]
+                sums = np.empty((len(at) * k, plain.shape[1]))
+                for n, i in enumerate(at):
+                    run_of = replicas[i].run
+                    if run_of not in weighed:
+                        weighed[run_of] = plain if every is None else plain * every[:, i][:, None]
+                    own = (label[:, n] == np.arange(k)[:, None]).astype(np.float64)
+                    sums[n * k : (n + 1) * k] = own @ weighed[run_of]
+                cost = np.zeros(len(at) * k)
+                if costs:
+                    d = np.zeros(label.shape)
+                    for j in range(q.shape[1]):
+                        gap = q[:, j][:, None] - of[np.arange(len(at)), label, j]
+                        d += gap * gap
+                    cost = np.bincount(cell, (d if every is None else every[:, at] * d).ravel(), len(at) * k)
+                rows = [sums, cost]
                 kept[k] = [x + y for x, y in zip(kept[k], rows)] if k in kept else rows
         for k, at in _by_k(replicas):
             if k in kept:
-                n, *sums, cost = kept[k]
-                rows = pa.array(np.stack(sums, axis=1).astype(np.int64).tolist(), pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(at, k), pa.int32()), pa.array(np.tile(np.arange(k), len(at)), pa.int32()), pa.array(n.astype(np.int64)), rows, pa.array(cost)], names=["r", "c", "n", "s", "cost"])
+                sums, cost = kept[k]
+                whole = sums.astype(np.int64)
+                rows = pa.array(whole[:, 1:].tolist(), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(at, k), pa.int32()), pa.array(np.tile(np.arange(k), len(at)), pa.int32()), pa.array(whole[:, 0]), rows, pa.array(cost)], names=["r", "c", "n", "s", "cost"])
 
     width = len(centres[0][0])
     found = pts.select("a", "b", "q").mapInArrow(run, "r int, c int, n long, s array<long>, cost double")
@@ -190,7 +232,7 @@ def fit(pts: DataFrame, replicas: list[Replica], seed: int = 42, max_iter: int =
     iterations = [0] * len(replicas)
     moving = list(range(len(replicas)))
     for _ in range(max_iter):
-        totals = _totals(pts, [replicas[i] for i in moving], [centres[i] for i in moving], seed)
+        totals = _totals(pts, [replicas[i] for i in moving], [centres[i] for i in moving], seed, costs=False)
         still = []
         for n, i in enumerate(moving):
             new = centres[i].copy()
@@ -230,7 +272,7 @@ def contingency(pts: DataFrame, label: str, fits: list[Fit]) -> DataFrame:
         for _, _, q, batch in _batches(batches, sum(r.k for r in shapes)):
             given = np.array(batch.column(3), np.int64)
             for _, at in _by_k(shapes):
-                near = _distances(q, np.stack([centres[i] for i in at])).argmin(axis=2)
+                near = _nearest(q, np.stack([centres[i] for i in at]))
                 for n, i in enumerate(at):
                     pairs, times = np.unique(np.stack([given, near[:, n]]), axis=1, return_counts=True)
                     for (x, y), t in zip(pairs.T.tolist(), times.tolist()):
@@ -263,7 +305,7 @@ def silhouettes(pts: DataFrame, fits: list[Fit], seed: int = 42) -> list[float]:
         for _, _, q, _ in _batches(batches, sum(r.k for r in shapes)):
             n += len(q)
             for _, at in _by_k(shapes):
-                label = _distances(q, np.stack([centres[i] for i in at])).argmin(axis=2)
+                label = _nearest(q, np.stack([centres[i] for i in at]))
                 to_mean = _distances(q, np.stack([means[i] for i in at]))
                 for m, i in enumerate(at):
                     own = label[:, m]

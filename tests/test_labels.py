@@ -120,3 +120,17 @@ def test_permutation_importance_finds_the_feature_in_use(spark):
     model = LogisticRegression().fit(VectorAssembler(inputCols=["used", "idle"], outputCol="features").transform(df))
     got = {r["feature"]: r["importance_mean"] for r in permutation_importance(model, df, ["used", "idle"], "id", repeats=3).collect()}
     assert got["used"] > 0.4 and abs(got["idle"]) < 0.05
+
+
+def test_nearest_centres_equal_the_full_distances_also_on_ties():
+    import numpy as np
+
+    from firmscope.operators import lloyd
+
+    rng = np.random.default_rng(5)
+    q = np.rint(rng.normal(size=(3000, 6)) * lloyd.UNIT)
+    centres = np.rint(rng.normal(size=(100, 5, 6)) * lloyd.UNIT)
+    centres[::7, 3] = centres[::7, 1]  # the same centre twice
+    q[:50, 0] = 0
+    centres[1, 2], centres[1, 4] = centres[1, 0] * [-1, 1, 1, 1, 1, 1], centres[1, 0]  # mirrored: as far from rows at 0
+    assert (lloyd._nearest(q, centres) == lloyd._distances(q, centres).argmin(axis=2)).all()
