@@ -57,11 +57,10 @@ class Boosted:
 def walk(tree: Tree, bins: np.ndarray, levels: int) -> np.ndarray:
     """The node of each row after some levels."""
     at = np.ones(len(bins), np.int64)
-    rows = np.arange(len(bins))
-    for _ in range(levels):
-        split = tree.feature[at] >= 0
-        right = bins[rows, np.maximum(tree.feature[at], 0)] > tree.last[at]
-        at = np.where(split, 2 * at + right, at)
+    for node in range(1, 1 << levels):  # a node's children come after it
+        if tree.feature[node] >= 0:
+            right = bins[:, tree.feature[node]] > tree.last[node]
+            at = np.where(at == node, 2 * node + right, at)
     return at
 
 
@@ -95,7 +94,8 @@ def _margins(model: Boosted, trees: list, bins: np.ndarray, start: np.ndarray, d
 
 def _columns(batch: pa.RecordBatch, width: int, slots: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = batch.num_rows
-    bins = np.array(batch.column(0).flatten(), np.int64).reshape(n, width)
+    # a column's bins lie together: trees and histograms read them by column
+    bins = np.asfortranarray(np.array(batch.column(0).flatten(), np.int64).reshape(n, width))
     return bins, np.array(batch.column(1).flatten(), np.int64).reshape(n, -1), np.array(batch.column(2).flatten(), np.float64).reshape(n, slots)
 
 

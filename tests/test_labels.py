@@ -134,3 +134,22 @@ def test_nearest_centres_equal_the_full_distances_also_on_ties():
     q[:50, 0] = 0
     centres[1, 2], centres[1, 4] = centres[1, 0] * [-1, 1, 1, 1, 1, 1], centres[1, 0]  # mirrored: as far from rows at 0
     assert (lloyd._nearest(q, centres) == lloyd._distances(q, centres).argmin(axis=2)).all()
+
+
+def test_boosted_trees_are_walked_by_node():
+    import numpy as np
+
+    from firmscope.operators import boosting as B
+
+    rng = np.random.default_rng(2)
+    tree = B.Tree(rng.integers(-1, 5, 16), rng.integers(0, B.BINS, 16), np.zeros(16))
+    tree.feature[1] = 2
+    tree.feature[8:] = -1
+    bins = rng.integers(0, B.BINS, (500, 5))
+    for levels in range(4):
+        for row, got in zip(bins, B.walk(tree, bins, levels)):
+            at = 1
+            for _ in range(levels):
+                if tree.feature[at] >= 0:
+                    at = 2 * at + (row[tree.feature[at]] > tree.last[at])
+            assert at == got
