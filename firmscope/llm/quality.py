@@ -27,6 +27,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -106,7 +107,9 @@ def log_count_ratios(rows: list[np.ndarray], labels: np.ndarray, alpha: float =
     counts = []
     for wanted in (1, 0):
         own = [r for r, y in zip(rows, labels) if y == wanted]
-        n = alpha + np.bincount(np.concatenate([*own, np.empty(0, np.int64)]), minlength=1 << BITS)
+        n = np.full(1 << BITS, alpha)
+        for at in range(0, len(own), 256):
+            n += np.bincount(np.concatenate(own[at : at + 256]).astype(np.int64, copy=False), minlength=1 << BITS)
         counts.append(np.log(n / n.sum()))  # of indicators, over all of the class
     return counts[0] - counts[1]
 
@@ -162,7 +165,12 @@ def fit_rows(rows: list[np.ndarray], labels: np.ndarray, c: float = 1.0) -> Mode
         apart[:] = False
     use = np.flatnonzero(~apart)
     ratios = log_count_ratios([rows[i] for i in use], labels[use])
-    values = [scaled(ratios[rows[i]]) for i in use]
+    # one block for all rows: thousands of small ones would stay in the driver's memory after the fit
+    ends = np.cumsum([0, *(len(rows[i]) for i in use)])
+    block = np.empty(ends[-1])
+    values = [block[i:j] for i, j in zip(ends[:-1], ends[1:])]
+    for i, v in zip(use, values):
+        v[:] = scaled(ratios[rows[i]])
     y = labels[use]
     # both classes weigh the same in total
     cost = c * len(y) / 2 / np.where(y == 1, (y == 1).sum(), (y == 0).sum())
@@ -173,6 +181,14 @@ def fit_rows(rows: list[np.ndarray], labels: np.ndarray, c: float = 1.0) -> Mode
     return Model(ratios, w, b, slope, shift)
 
 
+def settled(at: np.ndarray, labels: np.ndarray, rows: list[np.ndarray]) -> list[int]:
+    """Places of the rows in an order that does not depend on how tasks ended:
+    by hash and label; rows that share both are sorted by what they hold."""
+    order = np.lexsort((labels, at)).tolist()
+    again = lambda i: (at[i], labels[i])
+    return [i for _, same in groupby(order, again) for i in sorted(same, key=lambda i: rows[i].tobytes())]
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = FIT_ROWS) -> Model:
     """Fit on the labelled rows of ``docs``; the caller leaves out what is to be held out."""
     known = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("key"), F.col(label_col).cast("int").alias("label"))
@@ -191,10 +207,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     slots = sample.column("slots").combine_chunks()
     values, ends = slots.values.to_numpy(), slots.offsets.to_numpy()
     label = sample.column("label").to_numpy()
-    # in an order that does not depend on how tasks ended; rows with one hash are sorted by what they hold
-    keys = [(at, y, values[i:j].tobytes()) for at, y, i, j in zip(sample.column("at").to_pylist(), label.tolist(), ends[:-1], ends[1:])]
-    order = sorted(range(len(keys)), key=keys.__getitem__)
-    return fit_rows([values[ends[i] : ends[i + 1]] for i in order], label[order])
+    order = settled(sample.column("at").to_numpy(), label, [values[i:j] for i, j in zip(ends[:-1], ends[1:])])
+    model = fit_rows([values[ends[i] : ends[i + 1]] for i in order], label[order])
+    del sample, slots, values, ends, label
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", column: str = "score") -> DataFrame:

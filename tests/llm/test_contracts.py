@@ -159,6 +159,24 @@ def test_quality_scores_follow_from_ratios_and_weights(spark):
     assert model.score(text) == pytest.approx(1 / (1 + np.exp(-(model.slope * (model.weights[slots] @ x + model.intercept) + model.shift))))
 
 
+def test_quality_fit_holds_no_second_copy_of_its_rows():
+    """Counting goes by few rows at a time; the order of the rows follows from hash, label and content."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    rows = [np.sort(rng.choice(1 << quality.BITS, 4000, replace=False)).astype(np.int32) for _ in range(1200)]
+    labels = np.arange(len(rows)) % 2
+    tracemalloc.start()
+    quality.log_count_ratios(rows, labels)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 18e6  # the rows of one label take 19.2 MB as whole numbers
+    few = [np.array(x, np.int32) for x in ([5], [4], [4, 9], [1], [], [4])]
+    at, label = np.array([7, 7, 7, -2, 7, 7]), np.array([1, 0, 0, 1, 0, 1])
+    keys = [(int(a), int(y), r.tobytes()) for a, y, r in zip(at, label, few)]
+    assert quality.settled(at, label, few) == sorted(range(6), key=keys.__getitem__)
+
+
 # ------------------------------------------------------------------ op6
 def brute_profile(texts, size):
     counts = Counter()
