@@ -4,12 +4,12 @@ with nothing left to a random generator: any engine can grow the same trees.
 * sample: rows whose portable hash falls in a range that holds about
   trees x psi rows (all rows of a small table) are the pool; each tree takes
   the psi = min(256, n) of them with the least universal hash of its own.
-* grow: level by level for all trees in one plan. A node's count and the
+* grow: level by level for all trees, one job a level. A node's count and the
   least and greatest value of every feature are window aggregates over (tree, node);
   the feature (among those that vary) and the place of the cut between its
   ends come from a portable hash of (tree, node). Nodes are numbered as in a
   heap: 2 i and 2 i + 1 lie below i. At most trees x psi rows take part,
-  dealt by tree once, whatever the input's size.
+  whatever the input's size.
 * score: a pandas function walks every tree for an Arrow batch of rows at
   once against the broadcast node table (at most trees x (2 psi - 1) rows). Path
   lengths are whole numbers, so their sums do not depend on their order.
@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from firmscope.functions.portable import hash52, unit
 from firmscope.operators.lloyd import HALF, PRIME, stream
 from firmscope.operators.stats import quantiles
+from firmscope.session import Scratch, cut_lineage
 
 #: Steps of a path length to one node.
 STEPS = 1 << 32
@@ -70,25 +71,27 @@ def iforest_fit(df: DataFrame, id_col: str, features: list, trees: int = 100, ps
     psi = min(psi, n)
     x = F.array(*[F.col(c).cast("double") for c in features])
     sample = sample_trees(df.select(F.col(id_col), x.alias("x")), id_col, trees, psi, seed, n)
-    # windows over (tree, node) are satisfied by rows dealt by tree: one shuffle for all levels
-    parallel = max(1, min(trees, 2 * df.sparkSession.sparkContext.defaultParallelism))
-    rows = sample.repartition(parallel, "tree").select("tree", "x", F.lit(1).alias("node"), F.array().cast("array<struct<node:int,feature:int,cut:double,size:bigint>>").alias("path"))
+    rows = sample.select("tree", "x", F.lit(1).alias("node"), F.array().cast("array<struct<node:int,feature:int,cut:double,size:bigint>>").alias("path"))
     by = Window.partitionBy("tree", "node")
-    for _ in range(max_depth(psi)):
-        ends = F.array(*[F.struct(F.lit(j).alias("j"), F.min(F.get("x", F.lit(j))).over(by).alias("lo"), F.max(F.get("x", F.lit(j))).over(by).alias("hi")) for j in range(len(features))])
-        rows = rows.select("tree", "x", "node", "path", F.count(F.lit(1)).over(by).alias("size"), F.filter(ends, lambda e: e["hi"] > e["lo"]).alias("varies"))
-        which = F.pmod(hash52(F.col("tree"), F.col("node"), F.lit(seed)), F.size("varies").cast("long")).cast("int")
-        rows = rows.withColumn("f", F.when(F.size("varies") > 0, F.get("varies", which)))
-        cut = F.col("f.lo") + unit(F.col("node"), F.col("tree"), F.lit(seed)) * (F.col("f.hi") - F.col("f.lo"))
-        rows = rows.withColumn("cut", cut)
-        split = F.col("f").isNotNull()
-        rows = rows.select(
-            "tree", "x", F.when(split, 2 * F.col("node") + (F.get("x", F.col("f.j")) >= F.col("cut")).cast("int")).otherwise(F.col("node")).alias("node"),
-            F.when(split, F.concat("path", F.array(F.struct("node", F.col("f.j").alias("feature"), "cut", "size")))).otherwise(F.col("path")).alias("path"))
-    inner = rows.select("tree", F.inline("path")).distinct()
-    leaves = rows.groupBy("tree", "node").agg(F.count(F.lit(1)).alias("size")).select("tree", "node", F.lit(-1).alias("feature"), F.lit(0.0).alias("cut"), "size")
-    nodes = inner.unionByName(leaves)
-    return nodes.withColumns({"depth": F.floor(F.log2("node")).cast("int"), "psi": F.lit(psi)})
+    with Scratch(df.sparkSession) as scratch:
+        # a written table for each level: one task would hold the memory of all levels' sorts at once
+        rows = scratch.write(rows, "forest-level")
+        for _ in range(max_depth(psi)):
+            ends = F.array(*[F.struct(F.lit(j).alias("j"), F.min(F.get("x", F.lit(j))).over(by).alias("lo"), F.max(F.get("x", F.lit(j))).over(by).alias("hi")) for j in range(len(features))])
+            rows = rows.select("tree", "x", "node", "path", F.count(F.lit(1)).over(by).alias("size"), F.filter(ends, lambda e: e["hi"] > e["lo"]).alias("varies"))
+            which = F.pmod(hash52(F.col("tree"), F.col("node"), F.lit(seed)), F.size("varies").cast("long")).cast("int")
+            rows = rows.withColumn("f", F.when(F.size("varies") > 0, F.get("varies", which)))
+            cut = F.col("f.lo") + unit(F.col("node"), F.col("tree"), F.lit(seed)) * (F.col("f.hi") - F.col("f.lo"))
+            rows = rows.withColumn("cut", cut)
+            split = F.col("f").isNotNull()
+            rows = scratch.write(rows.select(
+                "tree", "x", F.when(split, 2 * F.col("node") + (F.get("x", F.col("f.j")) >= F.col("cut")).cast("int")).otherwise(F.col("node")).alias("node"),
+                F.when(split, F.concat("path", F.array(F.struct("node", F.col("f.j").alias("feature"), "cut", "size")))).otherwise(F.col("path")).alias("path")), "forest-level")
+            scratch.clear(keep=1)
+        inner = rows.select("tree", F.inline("path")).distinct()
+        leaves = rows.groupBy("tree", "node").agg(F.count(F.lit(1)).alias("size")).select("tree", "node", F.lit(-1).alias("feature"), F.lit(0.0).alias("cut"), "size")
+        nodes = inner.unionByName(leaves)
+        return cut_lineage(nodes.withColumns({"depth": F.floor(F.log2("node")).cast("int"), "psi": F.lit(psi)}), "forest")
 
 
 def leaf_steps(depth, size) -> np.ndarray:

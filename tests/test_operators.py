@@ -417,3 +417,12 @@ def test_boosting_beats_one_against_the_rest(spark):
     vec = lambda d: VectorAssembler(inputCols=feats, outputCol="features").transform(d.withColumn("label", number))
     rest = OneVsRest(classifier=GBTClassifier(maxIter=5, maxDepth=3, seed=1), parallelism=4).fit(vec(train))
     assert own >= V.accuracy(rest.transform(vec(test))) and own > 0.9
+
+
+def test_forest_levels_are_jobs_of_their_own(spark):
+    """No task holds the sorts of several levels: the node table is read, not windowed."""
+    df = spark.range(300).select("id", (F.col("id") % 17).cast("double").alias("u"), F.sqrt("id").alias("v"))
+    nodes = IF.iforest_fit(df, "id", ["u", "v"], 5, 64, 42)
+    assert "Window" not in nodes._jdf.queryExecution().executedPlan().toString()
+    got = nodes.toPandas()
+    assert got[got.feature < 0].groupby("tree")["size"].sum().tolist() == [64] * 5
