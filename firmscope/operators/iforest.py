@@ -99,39 +99,46 @@ def leaf_steps(depth, size) -> np.ndarray:
     return np.rint((np.asarray(depth, "float64") + avg_path_length(size)) * STEPS).astype("int64")
 
 
+def _walked(t: pd.DataFrame, levels: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(feature, cut, path length) by place of a tree whose every walk takes
+    ``levels`` steps: below a leaf, whatever way is taken, lies its path length."""
+    places = 2 << levels
+    feat, cut, leaf = np.zeros(places, dtype="int64"), np.zeros(places), np.full(places, True)
+    # a place without sampled rows is a leaf of size 0
+    length = leaf_steps(np.floor(np.log2(np.maximum(np.arange(places), 1))), np.zeros(places))
+    at, inner = t["node"].to_numpy(), t["feature"].to_numpy() >= 0
+    feat[at[inner]], cut[at[inner]] = t["feature"].to_numpy()[inner], t["cut"].to_numpy()[inner]
+    length[at] = leaf_steps(t["depth"].to_numpy(), t["size"].to_numpy())
+    leaf[at[inner]] = False
+    for p in range(2, places):  # from the root down
+        if leaf[p // 2]:
+            length[p], leaf[p] = length[p // 2], True
+    return feat, cut, length
+
+
 def iforest_score(df: DataFrame, nodes_pdf: pd.DataFrame, features: list, out_col: str = "iforest_s") -> DataFrame:
     """Anomaly score s in (0, 1] per row (higher = more isolated)."""
     psi = int(nodes_pdf["psi"].iloc[0])
     norm = float(avg_path_length([psi])[0]) or 1.0
-    places = 2 << max_depth(psi)
-    trees = []
-    for _, t in nodes_pdf.groupby("tree"):
-        feat, cut = np.full(places, -1, dtype="int64"), np.zeros(places)
-        # a place without sampled rows is a leaf of size 0
-        length = leaf_steps(np.floor(np.log2(np.maximum(np.arange(places), 1))), np.zeros(places))
-        at = t["node"].to_numpy()
-        feat[at], cut[at] = t["feature"].to_numpy(), t["cut"].to_numpy()
-        length[at] = leaf_steps(t["depth"].to_numpy(), t["size"].to_numpy())
-        trees.append((feat, cut, length))
+    levels = max_depth(psi)
+    trees = [_walked(t, levels) for _, t in nodes_pdf.groupby("tree")]
     shared = df.sparkSession.sparkContext.broadcast(trees)
 
     @F.pandas_udf("double")
     def score(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         forest = shared.value
         for columns in batches:
-            x = np.column_stack([c.to_numpy(dtype="float64") for c in columns])
-            total = np.zeros(len(x), dtype="int64")
-            rows = np.arange(len(x))
+            x = np.concatenate([c.to_numpy(dtype="float64") for c in columns])
+            rows = len(x) // len(columns)
+            place, total = np.arange(rows), np.zeros(rows, dtype="int64")
             for feat, cut, length in forest:
-                at = np.ones(len(x), dtype="int64")
-                while True:
-                    f = feat[at]
-                    inner = f >= 0
-                    if not inner.any():
-                        break
-                    r = rows[inner]
-                    at[inner] = 2 * at[inner] + (x[r, f[inner]] >= cut[at[inner]])
-                total += length[at]
+                at = np.ones(rows, dtype="int64")
+                for _ in range(levels):
+                    # the values of feature j begin at j x rows
+                    right = x.take(feat.take(at) * rows + place) >= cut.take(at)
+                    at += at
+                    at += right
+                total += length.take(at)
             yield pd.Series(np.power(2.0, -(total / STEPS / len(forest)) / norm))
 
     # only the features go through Python

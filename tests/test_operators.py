@@ -426,3 +426,20 @@ def test_forest_levels_are_jobs_of_their_own(spark):
     assert "Window" not in nodes._jdf.queryExecution().executedPlan().toString()
     got = nodes.toPandas()
     assert got[got.feature < 0].groupby("tree")["size"].sum().tolist() == [64] * 5
+
+
+def test_forest_walk_of_fixed_length_ends_in_the_leaf():
+    """A tree with leaves at several depths and a place without rows, against a walk that stops at leaves."""
+    nodes = pd.DataFrame([(1, 0, 0.5, 9, 0), (2, -1, 0.0, 4, 1), (3, 1, -1.0, 5, 1), (6, 0, 2.0, 2, 2), (12, -1, 0.0, 2, 3), (7, -1, 0.0, 3, 2)], columns=["node", "feature", "cut", "size", "depth"])
+    feat, cut, length = IF._walked(nodes, 4)
+    known = {n: (f, c, IF.leaf_steps([d], [s])[0]) for n, f, c, s, d in nodes.itertuples(index=False)}
+    odd = [0.0, 0.5, 1.0, 2.0, 3.0, -1.0, -2.0, float("inf"), float("-inf"), float("nan")]
+    for x in [(u, v) for u in odd for v in odd]:
+        at = 1
+        while known.get(at, (-1,))[0] >= 0:
+            at = 2 * at + (x[known[at][0]] >= known[at][1])
+        want = known[at][2] if at in known else IF.leaf_steps([int(np.log2(at))], [0])[0]
+        at = 1
+        for _ in range(4):
+            at = 2 * at + (x[feat[at]] >= cut[at])
+        assert length[at] == want
