@@ -77,8 +77,10 @@ def _named_parts(index: DonorIndex, here: DataFrame) -> DataFrame:
 
 
 def _upto(values, key):
-    """How many of an ordered array are not greater."""
-    return F.size(F.filter(values, lambda v: v <= key))
+    """How many of an ordered array (a column, of at most ``BLOCK`` values) are not greater, by halving."""
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(BLOCK.bit_length()))])
+    # beyond the end there is no value, and no step is taken
+    return F.aggregate(steps, F.lit(0), lambda n, step: F.when(F.get(values, n + step - 1) <= key, n + step).otherwise(n))
 
 
 def near_values(index: DonorIndex, asked: DataFrame, k: int) -> DataFrame:
@@ -89,8 +91,8 @@ def near_values(index: DonorIndex, asked: DataFrame, k: int) -> DataFrame:
         nodes = bounded_broadcast(index.nodes.filter(F.col("level") == level).select("tgt", "g", F.col("node").alias("block"), "los"), BROADCAST_NODES)
         here = here.join(nodes, ["tgt", "g", "block"]).withColumn("block", F.col("block") * BLOCK + F.greatest(_upto(F.col("los"), F.col("rkey")) - 1, F.lit(0))).drop("los")
     here = cut_lineage(here, "donor-places")  # read for the folders, then for the blocks
-    blocks = _named_parts(index, here).select("tgt", "g", "block", F.arrays_zip("keys", "donors").alias("v"))
-    own = here.join(blocks, ["tgt", "g", "block"]).withColumn("at", _upto(F.col("v.keys"), F.col("rkey")))
+    blocks = _named_parts(index, here).select("tgt", "g", "block", "keys", F.arrays_zip("keys", "donors").alias("v"))
+    own = here.join(blocks, ["tgt", "g", "block"]).withColumn("at", _upto(F.col("keys"), F.col("rkey")))
     # the k values up to the key and the k after it, as far as the block goes
     around = F.slice("v", F.greatest(F.col("at") - (k - 1), F.lit(1)), F.lit(2 * k))
     cols = [c for c in asked.columns]

@@ -443,3 +443,14 @@ def test_forest_walk_of_fixed_length_ends_in_the_leaf():
         for _ in range(4):
             at = 2 * at + (x[feat[at]] >= cut[at])
         assert length[at] == want
+
+
+def test_places_in_a_donor_block_are_found_by_halving(spark):
+    """Counts of values not above a key, at every place of blocks of every size; not one value after the other."""
+    from firmscope.operators import donor_index as DI
+
+    rows = [(sorted(float(i // 2) for i in range(n)), key) for n in (0, 1, 2, 3, 255, 256, 511, DI.BLOCK) for key in (-1.0, 0.0, 0.5, 1.0, n / 4, n / 2 - 1.0, n / 2, 1e9)]
+    df = spark.createDataFrame(rows, "v array<double>, key double").select("v", "key", DI._upto(F.col("v"), F.col("key")).alias("at"))
+    assert "filter(" not in df._jdf.queryExecution().optimizedPlan().toString()
+    for r in df.collect():
+        assert r["at"] == sum(v <= r["key"] for v in r["v"])
