@@ -115,16 +115,25 @@ def accuracy(pred: DataFrame, label: str = "label", prediction: str = "predictio
     return MulticlassClassificationEvaluator(labelCol=label, predictionCol=prediction, metricName="accuracy").evaluate(pred)
 
 
-def hashed_rank(df: DataFrame, by: list, id_col: str, buckets: int, seed: int, name: str) -> DataFrame:
+#: Rows that one slice of a hash bucket, and one task of the permutation's sorts, holds on average.
+SLICE_ROWS, TASK_ROWS = 50_000, 500_000
+
+
+def hashed_rank(df: DataFrame, by: list, id_col: str, buckets: int, seed: int, name: str, slices: int = 1, tasks: int | None = None) -> DataFrame:
     """Rank (from 1) of every row within ``by`` in the order of a hash of the
     id: rows are numbered inside hash buckets and the sizes of the earlier
-    buckets (groups x buckets numbers) are added."""
-    dealt = df.withColumn("_h", hash52(F.col(id_col), *[F.col(c) for c in by], F.lit(seed))).withColumn("_b", F.pmod("_h", F.lit(buckets)))
-    local = dealt.withColumn("_n", F.row_number().over(Window.partitionBy(*by, "_b").orderBy("_h", id_col)))
-    sizes = dealt.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_c"))
-    earlier = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(*by, "_b", F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_start"))
-    return local.join(starts, [*by, "_b"]).withColumn(name, F.col("_start") + F.col("_n")).drop("_h", "_b", "_n", "_start")
+    buckets (groups x buckets numbers) are added. ``slices`` cuts each bucket
+    into as many ranges of the hash, which leaves the order as it is;
+    ``tasks`` is the number of tasks that sort them."""
+    dealt = df.withColumn("_h", hash52(F.col(id_col), *[F.col(c) for c in by], F.lit(seed))).withColumns({
+        "_b": F.pmod("_h", F.lit(buckets)), "_s": F.floor(F.col("_h") / F.lit(float(1 << 52)) * slices)})
+    cells = [*by, "_b", "_s"]
+    sorted_by = dealt if tasks is None else dealt.repartition(tasks, *cells)
+    local = sorted_by.withColumn("_n", F.row_number().over(Window.partitionBy(*cells).orderBy("_h", id_col)))
+    sizes = dealt.groupBy(*cells).agg(F.count(F.lit(1)).alias("_c"))
+    earlier = Window.partitionBy(*by).orderBy("_b", "_s").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(*cells, F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_start"))
+    return local.join(starts, cells).withColumn(name, F.col("_start") + F.col("_n")).drop("_h", "_b", "_s", "_n", "_start")
 
 
 def permutation_importance(model, test: DataFrame, features: list, id_col: str, repeats: int = 5, seed: int = 42, rows_per_bucket: int = 200_000) -> DataFrame:
@@ -133,16 +142,21 @@ def permutation_importance(model, test: DataFrame, features: list, id_col: str,
     All (feature, repeat) variants run in one pass: each has its own hashed
     order of the rows, and the row at rank r of the plain order takes the value
     of the row at rank r of the variant's order. The orders are those of a
-    portable hash of the id, whatever the file layout."""
+    portable hash of the id, whatever the file layout. The number of tasks
+    follows the rows of all variants, so that a task's sorts and predictions
+    stay at about TASK_ROWS rows at every size."""
     base = cut_lineage(test.select(*features, "label", F.col(id_col).alias("_rid")), "perm-test")
-    buckets = max(8, base.count() // rows_per_bucket + 1)
-    variant = F.explode(F.sequence(F.lit(0), F.lit(len(features) * repeats - 1))).alias("_var")
+    n = base.count()
+    buckets = max(8, n // rows_per_bucket + 1)
+    slices = n // buckets // SLICE_ROWS + 1
+    tasks = max(8, n * len(features) * repeats // TASK_ROWS + 1)
     of_variant = F.floor(F.col("_var") / repeats)
-    donors = base.select("_rid", variant, *features)
+    donors = base.select("_rid", F.explode(F.sequence(F.lit(0), F.lit(len(features) * repeats - 1))).alias("_var"), *features)
     value = F.element_at(F.array(*[F.col(f).cast("double") for f in features]), (of_variant + 1).cast("int"))
-    donors = hashed_rank(donors.select("_rid", "_var", value.alias("_v")), ["_var"], "_rid", buckets, seed, "_rank").select("_var", "_rank", "_v")
-    plain = hashed_rank(base.withColumn("_all", F.lit(-1)), ["_all"], "_rid", buckets, seed, "_rank")
-    rows = plain.select("*", variant).join(donors, ["_var", "_rank"])
+    donors = hashed_rank(donors.select("_rid", "_var", value.alias("_v")), ["_var"], "_rid", buckets, seed, "_rank", slices, tasks).select("_var", "_rank", "_v")
+    plain = hashed_rank(base.withColumn("_all", F.lit(-1)), ["_all"], "_rid", buckets, seed, "_rank", slices).select("_rank", "label", *features)
+    # every rank has one donor of each variant: the plain rows are copied by the join alone
+    rows = plain.repartition(tasks, "_rank").join(donors.repartition(tasks, "_rank"), "_rank")
     mixed = rows.select("_var", "label", *[F.when(of_variant == i, F.col("_v")).otherwise(F.col(f)).alias(f) for i, f in enumerate(features)])
     own = base.select(F.lit(-1).alias("_var"), "label", *features)
     scored = model.transform(VectorAssembler(inputCols=features, outputCol="features").transform(mixed.unionByName(own)))

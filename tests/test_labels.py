@@ -122,6 +122,32 @@ def test_permutation_importance_finds_the_feature_in_use(spark):
     assert got["used"] > 0.4 and abs(got["idle"]) < 0.05
 
 
+def test_slices_leave_the_hashed_order_as_it_is(spark):
+    from firmscope.operators.validate import hashed_rank
+
+    df = spark.range(1000).withColumn("g", F.col("id") % 2)
+    whole, cut = (sorted((r["id"], r["r"]) for r in hashed_rank(df, ["g"], "id", 8, 5, "r", slices, tasks).collect()) for slices, tasks in ((1, None), (7, 5)))
+    assert whole == cut
+
+
+def test_permuted_rows_are_dealt_over_tasks_by_their_number(spark, monkeypatch):
+    from firmscope.operators import validate as V
+
+    class Model:
+        def transform(self, df):
+            sizes = df.groupBy(F.spark_partition_id().alias("p"), "_var").count().groupBy("p").agg(F.sum(F.when(F.col("_var") >= 0, F.col("count"))).alias("n"))
+            self.most, self.rows = sizes.agg(F.max("n"), F.sum("n")).first()
+            return df.withColumn("prediction", (F.col("used") > 0.5).cast("double"))
+
+    monkeypatch.setattr(V, "TASK_ROWS", 1000)
+    monkeypatch.setattr(V, "SLICE_ROWS", 20)
+    df = spark.range(3000).select("id", (F.abs(F.hash("id")) % 100 / 100).alias("used"), F.lit(1.0).alias("idle")).withColumn("label", (F.col("used") > 0.5).cast("double"))
+    model = Model()
+    got = {r["feature"]: r["importance_mean"] for r in V.permutation_importance(model, df, ["used", "idle"], "id", repeats=3).collect()}
+    assert model.rows == 18000 and model.most <= 3000  # one task held the copies of a whole bucket or table
+    assert got["used"] > 0.4 and got["idle"] == 0
+
+
 def test_nearest_centres_equal_the_full_distances_also_on_ties():
     import numpy as np
 
