@@ -22,7 +22,7 @@ from firmscope.operators.benchmark import attach_benchmark, industry_benchmark
 from firmscope.operators.donor_index import DonorIndex
 from firmscope.operators.impute import fill_median, knn_fit
 from firmscope.operators.stats import median_row
-from firmscope.session import Scratch, cut_lineage
+from firmscope.session import Scratch, cut_lineage, own_method
 
 
 @dataclass
@@ -49,7 +49,7 @@ class Models:
 def clean_stage(df: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     rev = C.clean_numeric("revenue_usd")
     emp = C.clean_numeric("employees_total")
-    df = df.withColumns({"revenue_raw": rev, "employees_raw": emp})
+    df = own_method(df).withColumns({"revenue_raw": rev, "employees_raw": emp})
     return df.withColumns(
         {
             "is_revenue_missing": C.is_missing(F.col("revenue_raw")),
@@ -105,7 +105,7 @@ def feature_stage(df: DataFrame, cfg: Config = DEFAULT, medians: dict | None = N
 
 
 def score_stage(df: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    df = df.withColumn(
+    df = own_method(df).withColumn(
         "lead_score",
         S.lead_score_v2(
             F.col("revenue_clean"), F.col("is_domestic_ultimate_clean"), F.col("entity_score"),

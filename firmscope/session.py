@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "firmscope") -> SparkSession:
@@ -86,6 +87,14 @@ class Scratch:
             remove_table(self.spark, path)
 
 
+def own_method(df: DataFrame) -> DataFrame:
+    """``df`` with its rows counted in passing (``observe``). Spark generates
+    separate code for the steps before and after the count. A projection over
+    wide rows that is fused with the one before it becomes a method of more
+    than 8,000 bytes, which the JVM runs without compiling it."""
+    return df.observe(f"rows-{uuid.uuid4().hex}", F.count(F.lit(1)).alias("rows"))
+
+
 def cut_lineage(df: DataFrame, name: str = "stage", partition_by: str | None = None) -> DataFrame:
     """Materialise ``df`` as a parquet table in the shared checkpoint folder
     and read it back: one job, survives executor loss, starts a new lineage,

@@ -32,6 +32,39 @@ def test_entry_smoke(spark):
     assert df.columns[0] == "company_id"
 
 
+def test_methods_generated_for_the_wide_steps_are_small_enough_to_be_compiled(spark, tmp_path, capsys):
+    import re
+
+    from firmscope.operators.benchmark import attach_benchmark
+    from firmscope.plans import pipeline as P
+    from firmscope.sources.companies import read_tables
+
+    tables = {
+        "customer": "SELECT id AS c_custkey, concat('C', id) AS c_name, id % 2 AS c_nationkey, id * 100.5D AS c_acctbal, 'M' AS c_mktsegment FROM range(100)",
+        "orders": "SELECT id AS o_orderkey, id % 90 AS o_custkey, id * 1.25D AS o_totalprice FROM range(500)",
+        "nation": "SELECT id AS n_nationkey, concat('N', id) AS n_name, 0L AS n_regionkey FROM range(2)",
+        "region": "SELECT 0L AS r_regionkey, 'R' AS r_name",
+    }
+    for name, sql in tables.items():
+        spark.sql(sql).write.parquet(f"{tmp_path}/{name}.parquet")
+    clean = P.clean_stage(read_tables(spark, str(tmp_path)))
+    clean.write.parquet(f"{tmp_path}/clean")
+    filled = spark.read.parquet(f"{tmp_path}/clean").withColumns({"revenue_clean": F.col("revenue_raw"), "employees_clean": F.col("employees_raw")})
+    features, _ = P.feature_stage(filled, medians={"company_age": 30.0, "revenue_per_employee": 1.0})
+    medians = spark.createDataFrame([("10", 1.0, 2.0)], "sic2 string, ind_rev_med double, ind_emp_med double")
+    prepared = P.rule_risk_stage(P.score_stage(attach_benchmark(features, medians)))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for df in (clean, prepared):
+            capsys.readouterr()
+            df.explain("codegen")
+            sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+            assert sizes and max(sizes) < 8000, sizes
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert clean.count() == prepared.count() == 100
+
+
 def test_results_properties(spark):
     from firmscope.plans.results import results
 
